@@ -8,11 +8,39 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import bpe, common, token_files
+from quillspark.llm import bpe, class_lm, common, compression_quality, ppm_language, token_files, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted."""
+    docs, labels = common.table(spark, sf_dir, "documents", "doc_id", "text"), common.table(spark, sf_dir, "labels", "doc_id", "quality")
+    model = compression_quality.fit(docs, labels.where(common.fold("doc_id", 3) != 1))
+    scored = docs.withColumn("score", compression_quality.score(docs, model))
+    return scored.select("doc_id", (common.fold("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op3_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    docs = common.table(spark, sf_dir, "documents", "doc_id", "text")
+    model, counts = class_lm.fit(docs.where(common.fold("doc_id", 5) != 1))
+    return class_lm.score(docs, model, counts).select(F.col("id").alias("doc_id"), (common.fold("id", 5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op4_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, lang_pred, score."""
+    docs = common.table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    held_out = common.fold("doc_id", 5) == 0
+    model = ppm_language.fit(docs.where(~held_out), key="doc_id")
+    return ppm_language.identify(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, host, path, rule, verdict, url_score."""
+    return url_filter.judge(common.table(spark, sf_dir, "pages", "page_id", "url")).select("page_id", "host", "path", "rule", "verdict", "url_score")
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32, read back from the files."""
     folder = common.scratch(spark, "token-files")
@@ -33,6 +61,10 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) ->
 
 
 QUERIES: dict[str, Query] = {
+    "op2_compression_quality": op2_compression_quality,
+    "op3_class_lm": op3_class_lm,
+    "op4_ppm_language": op4_ppm_language,
+    "op5_url_filter": op5_url_filter,
     "op7_token_files": op7_token_files,
     "op10_byte_bpe": op10_byte_bpe,
 }
