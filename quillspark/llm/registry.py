@@ -8,11 +8,27 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import bpe, class_lm, common, compression_quality, ppm_language, token_files, url_filter
+from quillspark.llm import bpe, class_lm, common, compression_quality, fingerprints, fuzzy_lines, ngram_join, ppm_language, token_files, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
+    rows, order = fingerprints.in_order(common.table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text")
+    n, half = F.length("text"), F.floor(F.length("text") / 2).cast("int")
+    edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring("__next", F.lit(1), half))
+    made = rows.withColumn("__next", F.lead("text").over(order)).select(
+        "*", n.cast("long").alias("n_chars"), F.sha2(edited.cast("binary"), 256).alias("edited_sha256"),
+        fingerprints.fingerprint(F.col("text")).alias("fp"), fingerprints.fingerprint(edited).alias("edited_fp"),
+    ).drop("__next")
+    met = made.withColumn("next_fp", F.lead("fp").over(order)).where("not __halo")
+    return met.select(
+        F.col("id").alias("doc_id"), "n_chars", "edited_sha256", fingerprints.as_text(F.col("fp")).alias("fingerprint"), fingerprints.as_text(F.col("edited_fp")).alias("edited_fingerprint"),
+        fingerprints.likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"), fingerprints.likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
+    )
+
+
 def op2_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, score, predicted."""
     docs, labels = common.table(spark, sf_dir, "documents", "doc_id", "text"), common.table(spark, sf_dir, "labels", "doc_id", "quality")
@@ -41,6 +57,11 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(common.table(spark, sf_dir, "pages", "page_id", "url")).select("page_id", "host", "path", "rule", "verdict", "url_score")
 
 
+def op6_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_lines, n_kept, text: each document with the lines that stay."""
+    return fuzzy_lines.dedupe(common.table(spark, sf_dir, "documents", "doc_id", "text")).select("doc_id", "n_lines", "n_kept", "text")
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32, read back from the files."""
     folder = common.scratch(spark, "token-files")
@@ -48,6 +69,11 @@ def op7_token_files(spark: SparkSession, sf_dir: str, path: str | None = None) -
     return token_files.read(spark, folder).select(F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("ids_le32").alias("ids_crc32"))
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, class_id, n_links."""
+    return ngram_join.join(common.table(spark, sf_dir, "documents", "doc_id", "text")).select(F.col("id").alias("doc_id"), "class_id", "n_links")
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256."""
     path = path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -61,11 +87,14 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) ->
 
 
 QUERIES: dict[str, Query] = {
+    "op1_fingerprints": op1_fingerprints,
     "op2_compression_quality": op2_compression_quality,
     "op3_class_lm": op3_class_lm,
     "op4_ppm_language": op4_ppm_language,
     "op5_url_filter": op5_url_filter,
+    "op6_fuzzy_lines": op6_fuzzy_lines,
     "op7_token_files": op7_token_files,
+    "op9_ngram_join": op9_ngram_join,
     "op10_byte_bpe": op10_byte_bpe,
 }
 ORACLES: dict[str, str] = {}
