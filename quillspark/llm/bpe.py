@@ -2,8 +2,9 @@
 
 A text is cut at places where no match of the split pattern can cross: before a space that stands between
 two characters that aren't white space. What lies between two cuts is encoded once for each Python worker
-and then looked up, so the library sees each distinct piece instead of each occurrence. Pieces follow each
-other without gaps, hence the ids of a text are those that the library gives for the whole text.
+and then looked up, so the library sees each distinct piece instead of each occurrence. (A piece of letters and marks is
+handed to the library's model as its one or two matches, in characters that stand for bytes; any other, whole.) Pieces
+follow each other without gaps, hence the ids of a text are those that the library gives for the whole text.
 
 Null texts count as empty; empty texts give no ids. Texts may be of any length: pieces longer than
 LONGEST characters are encoded on their own and not kept.
@@ -15,7 +16,9 @@ import base64
 import codecs
 import os
 import re
+from array import array
 from collections.abc import Callable, Iterable, Iterator
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -26,9 +29,13 @@ from pyspark.sql import types as T
 
 #: Safe cuts. Python's \s holds every white space that the pattern's \s does, so \S is never white space there.
 CUT = re.compile(r"(?<=\S)(?= \S)")
+#: Letters, then marks: two matches of the split pattern (with the space before the letters), whatever stands after them.
+SIMPLE = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([.,;:!?*$%&#|]*)")
 LONGEST = 64
-#: Distinct pieces that a Python worker keeps; beyond it starts anew.
-KEPT_PIECES = 400_000
+#: Marks the first piece of a text, which has no space before it; after a space no piece begins with one.
+FIRST = " "
+#: Distinct pieces that a Python worker keeps, or somewhat more.
+KEPT_PIECES = 500_000
 #: Characters that go through the library at once.
 AT_ONCE = 1_000_000
 
@@ -84,26 +91,72 @@ def load_tokenizer(path: str):
 
 
 class Pieces:
-    """Ids of texts as little-endian unsigned integers, through a bounded store of pieces."""
+    """Ids of texts as little-endian unsigned integers, through a bounded store of pieces.
+
+    The store has two halves. New and used pieces go to the young one; when it is full, it becomes the old one, so
+    that frequent pieces stay and rare ones go.
+    """
 
     def __init__(self, tokenizer, dtype: str = "<u4", kept: int = KEPT_PIECES):
-        self.tokenizer, self.dtype, self.kept, self.store = tokenizer, np.dtype(dtype), kept, {}
+        self.tokenizer, self.model, self.dtype = tokenizer, tokenizer.model, np.dtype(dtype)
+        self.kept, self.young, self.old, self.matches = kept // 2, {}, {}, {}
+        self.shown = dict(enumerate(byte_table()))
 
     def ids(self, pieces: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        made, cut = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False), self.dtype.itemsize
+        ids = [e.ids for e in made]
+        ends = np.cumsum([0, *map(len, ids)]) * cut
+        flat = np.fromiter(chain.from_iterable(ids), self.dtype, int(ends[-1]) // cut).tobytes()
+        return [flat[a:b] for a, b in pairwise(ends.tolist())]
+
+    def match(self, text: str) -> bytes:
+        """Ids of what the split pattern gives as one match: its bytes as characters, merged by the library's model."""
+        if (got := self.matches.get(text)) is None:
+            if len(self.matches) > self.kept:
+                self.matches.clear()
+            # of the characters that come here, ASCII ones but the space stand for themselves
+            shown = text.replace(" ", self.shown[32]) if text.isascii() else text.encode().decode("latin-1").translate(self.shown)
+            got = self.matches[text] = array(self.dtype.char, [t.id for t in self.model.tokenize(shown)]).tobytes()
+        return got
+
+    def learn(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces as encode() knows them: letters and what follows them are cut here, all else by the library."""
+        out, rest = [b""] * len(pieces), []
+        for i, p in enumerate(pieces):
+            first = p[:1] == FIRST
+            if found := SIMPLE.fullmatch(p, 1 if first else 0):
+                word, mark = found.groups()
+                out[i] = self.match(word if first else f" {word}") + (self.match(mark) if mark else b"")
+            else:
+                rest.append(i)
+        for i, x in zip(rest, self.ids([pieces[i][1:] if pieces[i][:1] == FIRST else f" {pieces[i]}" for i in rest]), strict=True):
+            out[i] = x
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [CUT.split(t) for t in texts]
-        new = set().union(*cut).difference(self.store)
-        if len(self.store) + len(new) > self.kept:
-            self.store.clear()
-            new = set().union(*cut)
-        new.discard("")
-        long = {p for p in new if len(p) > LONGEST}
-        got = dict(zip(new, self.ids(list(new)), strict=True))
-        self.store.update((p, got[p]) for p in new - long)
-        find = (self.store | {p: got[p] for p in long} if long else self.store).__getitem__
-        return [b"".join(map(find, p)) if t else b"" for t, p in zip(texts, cut, strict=True)]
+        """A piece is known by its text without the space before it; the first of a text, by FIRST and its text."""
+        cut = [self.cut(t) for t in texts]
+        if len(self.young) > self.kept:
+            self.young, self.old = {}, self.young
+        young, old = self.young, self.old
+        lacking = [p for p in set().union(*cut) if p not in young]
+        young.update((p, old[p]) for p in lacking if p in old)
+        new = [p for p in lacking if p not in young]
+        young.update(zip(new, self.learn(new), strict=True))
+        out = [b"".join(map(young.__getitem__, p)) for p in cut]
+        for p in new:
+            if len(p) > LONGEST:
+                del young[p]
+        return out
+
+    @staticmethod
+    def cut(text: str) -> list[str]:
+        pieces = text.split(" ")
+        if "" in pieces or list(map(str.strip, pieces)) != pieces:  # other white space beside a space
+            pieces = [p[i > 0 :] for i, p in enumerate(CUT.split(text))] if text else []
+        if pieces:
+            pieces[0] = FIRST + pieces[0]
+        return pieces
 
 
 _made: dict[tuple, object] = {}
