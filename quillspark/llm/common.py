@@ -69,6 +69,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Small rows (a few ids each) that are broadcast at most; more are shuffled.
+BROADCAST_ROWS = 1_000_000
+
+
+def checked_broadcast(df: DataFrame, rows: int) -> DataFrame:
+    """To be broadcast if it has so many rows at most, as counted."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
 def bind(value: Column, body) -> Column:
     """body(value) with value computed once, wherever body uses it, inside lambdas too."""
     return F.transform(F.array(value), body)[0]

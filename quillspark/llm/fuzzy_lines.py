@@ -11,7 +11,7 @@ Ids needn't be unique. Other columns are carried along as they are.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -29,7 +29,7 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return named.withColumn("line_hash", F.xxhash64("line"))
 
 
-def key(id_col: str):
+def key(id_col: str) -> Column:
     return F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
 
 
@@ -39,7 +39,7 @@ def dedupe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", char
     texts = lines.select(F.col("line_hash").alias("id"), F.col("line").alias("text"))
     found = near.classes(texts, near.char_shingles(chars), threshold, near.choose_bands(threshold, recall, rows), rows, "fuzzy-lines")
     found = common.written(found.select(F.col("id").alias("line_hash"), F.col("root").alias("class")).where("line_hash != class"), "line-classes")
-    placed = lines.select("__id", "__h", "place", "line_hash").join(near.checked_broadcast(found, found.count()), "line_hash", "left")
+    placed = lines.select("__id", "__h", "place", "line_hash").join(common.checked_broadcast(found, found.count()), "line_hash", "left")
     first = placed.groupBy(F.coalesce("class", "line_hash").alias("class")).agg(F.min(F.struct("__id", "__h", "place")).alias("at"))
     stay = first.groupBy("at.__id", "at.__h").agg(F.collect_list("at.place").alias("__stay")).withColumnsRenamed({"__id": "__kid", "__h": "__kh"})
     keyed = docs.drop("n_lines", "n_kept").withColumn("__id", key(id_col)).withColumn("__h", F.xxhash64(text_col))

@@ -30,8 +30,6 @@ BLOCK = 2048
 #: Groups up to so many texts are compared set by set.
 SMALL = 32
 COLUMNS = 4096
-#: Ids whose rows are joined by broadcast at most; beyond it, by a shuffle.
-BROADCAST_ROWS = 1_000_000
 
 Hashes = Callable[[list[str]], tuple[np.ndarray, np.ndarray]]
 
@@ -298,17 +296,12 @@ def verify(members: DataFrame, hashes: Hashes, threshold: float) -> DataFrame:
     return dealt.mapInArrow(run, "class long, split boolean, id long, root long, links long")
 
 
-def checked_broadcast(df: DataFrame, rows: int) -> DataFrame:
-    """To be broadcast if it has so many rows at most."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
-
-
 def classes(texts: DataFrame, hashes: Hashes, threshold: float, bands: int, rows: int, name: str) -> DataFrame:
     """id, root, links of every id that is linked to another; root: the least id of its class. texts: id, text, weight 1 each; equal ids are one text, and links count a partner as often as it occurs."""
     of = components(candidates(texts, hashes, bands, rows, name), f"{name}-candidates")
     member = common.written(of.select(F.col("a").alias("id"), F.col("b").alias("class")).unionByName(of.select(F.col("b").alias("id"), F.col("b").alias("class")).distinct()), f"{name}-members")
     n = member.count()
-    with_text = texts.join(checked_broadcast(member, n), "id").groupBy("id").agg(F.first("class").alias("class"), F.count("*").alias("weight"), F.first("text").alias("text"))
+    with_text = texts.join(common.checked_broadcast(member, n), "id").groupBy("id").agg(F.first("class").alias("class"), F.count("*").alias("weight"), F.first("text").alias("text"))
     found = common.written(verify(with_text, hashes, threshold), f"{name}-verified")
     parts = found.where("split").select(F.col("id").alias("a"), F.col("root").alias("b"))
     joined = components(parts, f"{name}-split")

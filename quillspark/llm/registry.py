@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import bpe, class_lm, common, compression_quality, fingerprints, fuzzy_lines, ngram_join, ppm_language, token_files, url_filter
+from quillspark.llm import bpe, class_lm, common, compression_quality, fingerprints, fuzzy_lines, ngram_join, ppm_language, qgram_decontamination, token_files, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -69,6 +69,12 @@ def op7_token_files(spark: SparkSession, sf_dir: str, path: str | None = None) -
     return token_files.read(spark, folder).select(F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("ids_le32").alias("ids_crc32"))
 
 
+def op8_qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, contaminated, item_ids: whether, and which, benchmark passages each document holds."""
+    docs, items = common.table(spark, sf_dir, "documents", "doc_id", "text"), common.table(spark, sf_dir, "benchmark", "item_id", "text")
+    return qgram_decontamination.flagged(docs, items).select("doc_id", (F.size("__items") > 0).alias("contaminated"), F.col("__items").alias("item_ids"))
+
+
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, class_id, n_links."""
     return ngram_join.join(common.table(spark, sf_dir, "documents", "doc_id", "text")).select(F.col("id").alias("doc_id"), "class_id", "n_links")
@@ -94,6 +100,7 @@ QUERIES: dict[str, Query] = {
     "op5_url_filter": op5_url_filter,
     "op6_fuzzy_lines": op6_fuzzy_lines,
     "op7_token_files": op7_token_files,
+    "op8_qgram_decontamination": op8_qgram_decontamination,
     "op9_ngram_join": op9_ngram_join,
     "op10_byte_bpe": op10_byte_bpe,
 }
