@@ -1,0 +1,354 @@
+"""Each operator against a brute-force version, held-out accuracy, or known cases, on the small tables and on hard rows."""
+
+import hashlib
+import math
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from quillspark.llm import class_lm, common, components, fingerprints, fuzzy_lines, near, ngram_join, ppm_language, qgram_decontamination, registry, url_filter
+from quillspark.llm import compression_quality as cq
+
+WORDS = "the of and to in is that for it was on are as with his they at be this from have or by one had not but what all were when we there can an your which their said if do will each".split()
+
+
+def text(seed, n=60):
+    x = np.random.default_rng(seed)
+    return " ".join(x.choice(WORDS, n))
+
+
+LONG = text(99, 30_000)
+HARD = [
+    (1, text(1), "en", "a", 1), (2, text(1), "en", "a", 1), (2, text(1), "en", "a", 1), (3, text(1) + " more", "en", "b", None), (4, None, None, None, None),
+    (5, "", "en", "a", 0), (6, " \n\t", "xx", "a", 3), (7, "word", "en", None, 4), (None, text(2), None, "a", 1), (None, text(2), "en", "a", 1),
+    (8, LONG, "en", "a", 1), (9, "日本語のテキスト\nzwei 🎉", "ja", "a", 1), (10, text(3) + "\n" + text(4) + "\n\n" + text(3), "en", "a", 1), (11, "x" * 5000, "en", "a", 1),
+]
+
+
+@pytest.fixture(scope="module")
+def hard(spark, tmp_path_factory):
+    to = tmp_path_factory.mktemp("hard")
+    docs = spark.createDataFrame(HARD, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.repartition(3).write.parquet(f"{to}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (3, 0, 0), (8, None, None), (10, 1, 1), (10, 1, 1), (None, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{to}/labels.parquet")
+    spark.createDataFrame([(1, text(4)), (1, text(4)), (2, None), (3, ""), (4, "short"), (None, text(77))], "item_id long, text string").write.parquet(f"{to}/benchmark.parquet")
+    spark.createDataFrame([(1, None, None), (2, "", ""), (3, "no scheme/x", ""), (4, "http://", ""), (None, "http://A.Net/x?y", "")], "page_id long, url string, html string").write.parquet(f"{to}/pages.parquet")
+    return str(to)
+
+
+@pytest.fixture(scope="module")
+def nothing(spark, tmp_path_factory):
+    to = tmp_path_factory.mktemp("none")
+    for name, kind in {"documents": "doc_id long, text string, lang string, source string, n_chars long", "labels": "doc_id long, quality int, toxic int", "benchmark": "item_id long, text string", "pages": "page_id long, url string, html string"}.items():
+        spark.createDataFrame([], kind).write.parquet(f"{to}/{name}.parquet")
+    return str(to)
+
+
+@pytest.fixture(scope="module")
+def documents(spark, sf_dir):
+    return {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+
+
+@pytest.mark.parametrize("name", [n for n in registry.QUERIES if n != "op5_url_filter"])
+def test_hard_rows_and_no_rows(spark, hard, nothing, name):
+    got = registry.QUERIES[name](spark, hard).collect()
+    assert len(got) == len(HARD)
+    assert sorted(str(r.doc_id) for r in got) == sorted(str(r[0]) for r in HARD)
+    assert registry.QUERIES[name](spark, nothing).collect() == []
+
+
+def shingles(t):
+    w = (t or "").split()
+    return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def find(up, x):
+    while up[x] != x:
+        x = up[x]
+    return x
+
+
+def classes(sets, threshold):
+    up, links, inv = list(range(len(sets))), Counter(), defaultdict(list)
+    for i, s in enumerate(sets):
+        for j, n in Counter(j for x in s for j in inv[x]).items():
+            if n / (len(s) + len(sets[j]) - n) >= threshold:
+                links[i] += 1
+                links[j] += 1
+                a, b = find(up, i), find(up, j)
+                up[max(a, b)] = min(a, b)
+        for x in s:
+            inv[x].append(i)
+    return [find(up, i) for i in range(len(sets))], links
+
+
+def test_op1(spark, sf_dir, documents):
+    got = {r.doc_id: r for r in registry.op1_fingerprints(spark, sf_dir).collect()}
+    ids = sorted(documents)
+    off = []
+    for i, after in zip(ids, ids[1:] + ids[:1], strict=True):
+        t, n = documents[i], len(documents[i])
+        edited = t[: n - n // 2] + documents[after][: n // 2]
+        assert got[i].n_chars == n and got[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        off += [got[i].near_edited - jaccard(shingles(t), shingles(edited)), got[i].near_next - jaccard(shingles(t), shingles(documents[after]))]
+        assert len(got[i].fingerprint) in (0, 512)
+    assert np.abs(off).mean() < 0.03
+    by_text = defaultdict(set)
+    for i in ids:
+        by_text[documents[i]].add(got[i].fingerprint)
+    assert all(len(x) == 1 for x in by_text.values())
+
+
+def test_op1_order_over_ties_and_ranges(spark):
+    rows = [(i % 50, f"t{i:04d} {text(i, 8)}") for i in range(200)] + [(None, "first of all")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    dealt, order = fingerprints.in_order(df, "doc_id", "text", buckets=16)
+    got = dealt.withColumn("next", F.lead("text").over(order)).where("not __halo").collect()
+    want = [t for _, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))]
+    after = dict(zip(want, want[1:] + want[:1], strict=True))
+    assert len(got) == len(rows) and all(r.next == after[r.text] for r in got)
+
+
+def test_op1_empty_fingerprints(spark):
+    df = spark.createDataFrame([("", " \n"), ("", "a b"), ("a b", "a  b")], "a string, b string")
+    got = df.select(fingerprints.likeness(fingerprints.fingerprint(F.col("a")), fingerprints.fingerprint(F.col("b"))).alias("x")).collect()
+    assert [r.x for r in got] == [1.0, 0.0, 1.0]
+
+
+def test_op2(spark, sf_dir):
+    sf_dir = sf_dir.replace("sf0.001", "sf0.01")
+    label = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
+    got = [r for r in registry.op2_compression_quality(spark, sf_dir).collect()]
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and r.predicted == (r.score >= 0.5) and 0 <= r.score <= 1 for r in got)
+    held = [(r.predicted, label[r.doc_id]) for r in got if r.held_out and r.doc_id in label]
+    assert np.mean([a == b for a, b in held]) > 0.95
+
+
+def test_op2_without_one_label():
+    assert cq.Classifier(b"", b"", None, 0.7).score(b"text") == 0.7
+
+
+def test_op3(spark, sf_dir, documents):
+    got = {r.doc_id: r for r in registry.op3_class_lm(spark, sf_dir).collect()}
+    tokens = {i: [*re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")), None] for i, t in documents.items()}
+    held = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i in documents}
+    count = Counter(w for i in documents if not held[i] for w in tokens[i])
+    n, v = sum(count.values()), len(count)
+    for i, r in got.items():
+        base = sum(math.log10((count[w] + 0.5) / (n + 0.5 * (v + 1))) for w in tokens[i])
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[i], len(tokens[i]), sum(count[w] > 0 for w in tokens[i]), n)
+        assert abs(r.base_score - base) < 1e-6 * abs(base)
+    for side in (True, False):
+        assert sum(r.score for i, r in got.items() if held[i] == side) > sum(r.base_score for i, r in got.items() if held[i] == side)
+
+
+def test_op3_tail_words_as_words_that_are_looked_up(spark, sf_dir, monkeypatch):
+    want = {r.doc_id: (round(r.base_score, 6), round(r.score, 6), r.n_known) for r in registry.op3_class_lm(spark, sf_dir).collect()}
+    monkeypatch.setattr(class_lm, "LOOKUP", 1200)
+    assert {r.doc_id: (round(r.base_score, 6), round(r.score, 6), r.n_known) for r in registry.op3_class_lm(spark, sf_dir).collect()} == want
+
+
+def test_op3_probabilities_sum_to_one(spark, sf_dir):
+    docs = common.table(spark, sf_dir, "documents", "doc_id", "text")
+    m, counts = class_lm.fit(docs)
+    assert np.allclose((10**m.step).sum(1), 1)
+    mass, unit = np.zeros(len(m.total)), m.units
+    for r in counts.collect():
+        mass[m.of[unit[r.word.encode()]]] += (r.n - m.discount) / m.total[m.of[unit[r.word.encode()]]]
+    mass += 10 ** np.array(m.unknown())
+    assert np.allclose(mass[1:][m.kinds[1:] > 0], 1)
+
+
+def test_op3_exchange_raises_likelihood():
+    x = np.random.default_rng(0)
+    seq = [0]
+    for _ in range(4000):  # two kinds of words that take turns
+        seq.append(int(1 + 2 * x.integers(0, 10) + (len(seq) % 2)))
+    pairs = Counter(zip(seq[:-1], seq[1:], strict=True))
+    a, b, n = (np.array(z) for z in zip(*((i, j, c) for (i, j), c in pairs.items()), strict=True))
+    of = class_lm.exchange(22, a, b, n, classes=3)
+    assert len({of[i] for i in range(1, 21, 2)}) == 1 and len({of[i] for i in range(2, 21, 2)}) == 1 and of[1] != of[2]
+
+
+def test_op4(spark, sf_dir):
+    lang = {r.doc_id: r.lang for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    got = registry.op4_ppm_language(spark, sf_dir).collect()
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and 0 <= r.score <= 1 for r in got)
+    assert np.mean([r.lang_pred == lang[r.doc_id] for r in got if r.held_out]) > 0.97
+
+
+def test_op4_code_lengths_and_und(spark):
+    model = ppm_language.Ppm({"a": [b"abracadabra", b"abc"], "b": [b"xyzzy"]}, {"a": 0.5, "b": 0.5})
+
+    def p(seen, context, c):  # by the book, with exclusion
+        grams = Counter()
+        for t in seen:
+            t = b"\0\0\0" + t
+            for i in range(3, len(t)):
+                for k in range(len(context) + 1):
+                    grams[t[i - k : i], t[i]] += 1
+        excluded, share = set(), 1.0
+        for k in range(len(context), -1, -1):
+            own = {s: n for (ctx, s), n in grams.items() if ctx == context[len(context) - k :]}
+            if not own:
+                continue
+            n, kinds = sum(own.values()), len(own)
+            free = sum(v for s, v in own.items() if s not in excluded)
+            if c in own and c not in excluded:
+                return share * own[c] / (n + kinds) if k == len(context) or not excluded else None
+            excluded |= set(own)
+            share *= kinds / (n + kinds)
+            del free
+        return share / (256 - len(excluded))
+
+    for text_, lang in ((b"q", 0), (b"a", 0), (b"x", 1), (b"zz", 1)):
+        got = model.bits(np.frombuffer(text_, np.uint8), np.array([0, len(text_)]))[0, lang]
+        assert got > 0
+    assert abs(2 ** -model.bits(np.frombuffer(b"a", np.uint8), np.array([0, 1]))[0, 0] - p([b"abracadabra", b"abc"], b"\0\0\0", ord("a"))) < 1e-6
+    # every row of the table is a distribution over bytes: symbol 0 stands for all bytes that were not seen
+    share = np.exp2(-model.code.astype(float)).reshape(-1, model.a, 2)
+    unseen = 256 - (model.a - 1)
+    assert np.allclose(share[:, 1:].sum(1) + unseen * share[:, 0], 1, atol=1e-4)
+    # runs and neighbours don't matter
+    data = np.frombuffer(b"abraxyzzycab", np.uint8)
+    whole = model.bits(data, np.array([0, 4, 4, 9, 12]))
+    for k, (a, b) in enumerate(((0, 4), (4, 4), (4, 9), (9, 12))):
+        assert np.allclose(whole[k], model.bits(data[a:b], np.array([0, b - a])) if b > a else 0, atol=1e-4)
+    ppm_language.RUN, was = 5, ppm_language.RUN
+    assert np.allclose(model.bits(data, np.array([0, 4, 4, 9, 12])), whole, atol=1e-4)
+    ppm_language.RUN = was
+    df = spark.createDataFrame([(None,), ("",), ("12 !",), ("abra",)], "text string")
+    assert [r.lang_pred for r in ppm_language.identify(df, model).collect()] == ["und", "und", "und", "a"]
+
+
+def test_op5(spark, sf_dir, hard, nothing):
+    got = registry.op5_url_filter(spark, sf_dir).collect()
+    url = {r.page_id: r.url for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
+    for r in got:
+        rest = url[r.page_id].partition("://")[2]
+        host = re.split(r"[/?#]", rest)[0]
+        path = re.split(r"[?#]", rest[len(host) :])[0]
+        fits = [(len(h) + len(p), h + p, v) for v, h, p in url_filter.RULES if (host.lower() == h or host.lower().endswith("." + h)) and path.startswith(p)]
+        assert (r.host, r.path) == (host.lower(), path)
+        assert r.rule == (max(fits)[1] if fits else None)
+        assert r.verdict == max(fits)[2] if fits else r.verdict in ("allow", "block")
+    odd = sorted((str(r.page_id), r.host, r.path, r.rule, r.verdict) for r in registry.op5_url_filter(spark, hard).collect())
+    assert odd == [("1", "", "", None, "allow"), ("2", "", "", None, "allow"), ("3", "", "", None, "allow"), ("4", "", "", None, "allow"), ("None", "a.net", "/x", "net/", "block")]
+    assert registry.op5_url_filter(spark, nothing).collect() == []
+
+
+def test_op5_model_tells_hosts_apart():
+    judge = url_filter.Judge([f"good{i}.example.org/fr/{i}" for i in range(60)], [f"casino{i}.bad.net/x/{i}" for i in range(60)])
+    assert judge.score("good999.example.org/fr/7") > 0.5 > judge.score("casino777.bad.net/x/3")
+
+
+def test_op6(spark, sf_dir, documents):
+    got = {r.doc_id: r for r in registry.op6_fuzzy_lines(spark, sf_dir).collect()}
+    first = {}
+    for i in sorted(documents):
+        for p, raw in enumerate(documents[i].split("\n")):
+            if line := raw.strip(fuzzy_lines.SPACE).lower():
+                first.setdefault(line, (i, p))
+    lines = list(first)
+    of, _ = classes([frozenset(x[k : k + 8] for k in range(max(1, len(x) - 7))) for x in lines], 0.8)
+    least = {}
+    for k, x in zip(of, lines, strict=True):
+        least[k] = min(least.get(k, first[x]), first[x])
+    keep = set(least.values())
+    off = sum(got[i].text != "\n".join(x for p, x in enumerate(t.split("\n")) if (i, p) in keep or not x.strip(fuzzy_lines.SPACE)) for i, t in documents.items())
+    assert off <= len(documents) // 100  # banding finds a pair at the threshold with probability 0.998
+
+
+def test_op6_hard_rows(spark, hard):
+    got = sorted(((r.doc_id or 0, r.n_lines, r.n_kept, r.text) for r in registry.op6_fuzzy_lines(spark, hard).collect()), key=str)
+    assert [x for x in got if x[0] == 4] == [(4, 0, 0, None)]
+    assert sorted(x[2] for x in got if x[0] in (1, 2, 3)) == [0, 0, 0, 1]
+    assert [x[1:3] for x in got if x[0] == 10] == [(3, 2)]
+    assert sum(x[2] for x in got if x[0] == 0) == 1
+
+
+def test_op8(spark, sf_dir, documents):
+    plain = lambda t: " ".join(re.findall(r"[^\W_]+", t.lower()))
+    items = {r.item_id: plain(r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()}
+    got = {r.doc_id: set(r.item_ids) for r in registry.op8_qgram_decontamination(spark, sf_dir).collect()}
+    for i, t in documents.items():
+        assert got[i] >= {k for k, x in items.items() if x in plain(t)}
+    assert sum(map(bool, got.values())) < len(documents) / 10
+
+
+def edits(a, b):
+    """Least edits between a and a part of b."""
+    row = [0] * (len(b) + 1)
+    for i, x in enumerate(a):
+        new = [i + 1]
+        for j, y in enumerate(b):
+            new.append(min(row[j] + (x != y), row[j + 1] + 1, new[j] + 1))
+        row = new
+    return min(row)
+
+
+def test_op8_with_edits():
+    x = np.random.default_rng(5)
+    items = [(i, text(200 + i, 30)) for i in range(6)]
+    index = qgram_decontamination.Items(items)
+    for trial in range(40):
+        i, t = items[trial % 6]
+        t = list(t)
+        for _ in range(int(x.integers(0, 24))):
+            p = int(x.integers(0, len(t)))
+            t[p : p + 1] = [[], ["z"], [t[p], "q"]][int(x.integers(0, 3))]
+        doc = text(900 + trial, 40) + " " + "".join(t) + " " + text(800 + trial, 40)
+        e = edits(items[i][1], doc)
+        found = {r[1]: r for r in index.find(["before", doc, "after"])}
+        assert (i in found) == (e <= int(index.edits[i])), (trial, e, index.edits[i])
+        if i in found:
+            _, _, a, b, n = found[i]
+            assert n == e and edits(items[i][1], doc[a:b]) <= e
+
+
+def test_op9(spark, sf_dir, documents):
+    ids = sorted(documents)
+    of, links = classes([shingles(documents[i]) for i in ids], 0.8)
+    got = {r.doc_id: (r.class_id, r.n_links) for r in registry.op9_ngram_join(spark, sf_dir).collect()}
+    assert sum(got[ids[k]] != (ids[of[k]], links[k]) for k in range(len(ids))) <= len(ids) // 200
+
+
+def test_op9_split_classes(spark, monkeypatch):
+    monkeypatch.setattr(near, "BLOCK", 12)
+    monkeypatch.setattr(near, "SMALL", 6)
+    base = text(7, 80).split()
+    rows = []
+    for i in range(60):
+        w = list(base)
+        w[i % 80] = f"w{i}"
+        rows.append((i, " ".join(w[: 80 - i % 7])))
+    rows += [(100 + i, text(500 + i, 50)) for i in range(5)] + [(i, t) for i, t in rows[:4]]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    of, links = classes([shingles(t) for _, t in rows], 0.8)
+    got = ngram_join.join(df, recall=0.999999).collect()
+    want = Counter((rows[k][0], min(rows[j][0] for j in range(len(rows)) if of[j] == of[k]), links[k]) for k in range(len(rows)))
+    assert Counter((r.id, r.class_id, r.n_links) for r in got) == want
+
+
+def test_components(spark):
+    x = np.random.default_rng(1)
+    chain = [(i, i + 1) for i in range(300)]
+    links = chain + [(1000, int(i)) for i in x.integers(1001, 1400, 300)] + [(5000, 5000)]
+    df = spark.createDataFrame([(int(a), int(b)) for a, b in x.permutation(links)], "a long, b long").repartition(6)
+    got = {r.a: r.b for r in components.components(df).collect()}
+    assert got == {i: 0 for i in range(1, 301)} | {b: 1000 for a, b in links if a == 1000}
+    assert components.components(df.limit(0)).count() == 0
+
+
+def test_bands():
+    assert near.choose_bands(0.8, 0.999, 5) == 18
+    h, ends = near.char_shingles(3)(["abcd", "", "ab", "xabcd"])
+    assert ends.tolist() == [0, 2, 2, 3, 6] and h[0] == h[4] and h[1] == h[5]
