@@ -119,13 +119,15 @@ def band_hashes(hashes: np.ndarray, ends: np.ndarray, bands: int, rows: int) ->
     """A row for each text that has shingles (in order), a column for each band."""
     starts = ends[:-1][np.diff(ends) > 0]
     out, short = np.empty((len(starts), bands), np.uint64), (hashes >> np.uint64(32)).astype(np.uint32)
+    moved = np.empty_like(short)
     for b in range(bands):
         band = np.full(len(starts), np.uint64(b + 1))
         for r in range(rows):
             # a multiplication by an odd number and an addition permute the hashes
             seed = int(mix(np.array([b * rows + r + 1], np.uint64))[0])
-            least = np.minimum.reduceat(short * np.uint32(seed >> 32 | 1) + np.uint32(seed & 0xFFFFFFFF), starts)
-            band = mix(band * np.uint64(0x100000001B3) + least)
+            np.multiply(short, np.uint32(seed >> 32 | 1), out=moved)
+            np.add(moved, np.uint32(seed & 0xFFFFFFFF), out=moved)
+            band = mix(band * np.uint64(0x100000001B3) + np.minimum.reduceat(moved, starts))
         out[:, b] = band
     return out
 
