@@ -6,7 +6,7 @@
    once and only that one goes on to the shuffle on the band, so a band of very many texts arrives as a row for each batch.
 3. Candidates are joined into candidate classes by distributed union-find.
 4. Each class's texts meet once and all of its pairs are compared on their full sets. A large class is split into blocks
-   of about BLOCK texts, and each pair of blocks is a group of its own; within a group, sets are compared by
+   of BLOCK texts or fewer, and each pair of blocks is a group of its own; within a group, sets are compared by
    matrix products over bounded slices. Pairs are never written: a group gives, for each text, how many it is linked to and the least id it is connected to.
 
 Ids are 64-bit hashes of the texts, so equal texts are one. Texts without a shingle have no links.
@@ -26,7 +26,8 @@ from quillspark.llm import common
 from quillspark.llm.components import Forest, components
 
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-BLOCK = 2048
+#: Texts in a block: BLOCK at most on average, LEAST at least; between these a class is split into SPREAD blocks, for as many tasks as their pairs.
+BLOCK, LEAST, SPREAD = 2048, 256, 24
 #: Groups up to so many texts are compared set by set.
 SMALL = 32
 COLUMNS = 4096
@@ -260,7 +261,7 @@ def verify(members: DataFrame, hashes: Hashes, threshold: float) -> DataFrame:
     An id has a row for each group in which it has a link: in a class that was not split, one.
     """
     compare = Compare(hashes, threshold)
-    sizes = members.groupBy("class").count().where(F.col("count") > BLOCK).select("class", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
+    sizes = members.groupBy("class").count().where(F.col("count") > LEAST).select("class", F.least(F.ceil(F.col("count") / LEAST), F.greatest(F.lit(SPREAD), F.ceil(F.col("count") / BLOCK))).cast("int").alias("blocks"))
     placed = members.join(sizes, "class", "left").withColumn("own", F.when(F.col("blocks").isNull(), 0).otherwise(F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")))
     other = F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1)))
     met = placed.withColumn("other", other).select(

@@ -323,6 +323,8 @@ def test_op9(spark, sf_dir, documents):
 
 def test_op9_split_classes(spark, monkeypatch):
     monkeypatch.setattr(near, "BLOCK", 12)
+    monkeypatch.setattr(near, "LEAST", 8)
+    monkeypatch.setattr(near, "SPREAD", 4)
     monkeypatch.setattr(near, "SMALL", 6)
     base = text(7, 80).split()
     rows = []
