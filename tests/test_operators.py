@@ -56,8 +56,31 @@ def test_flat_ocr(spark, tmp_path):
     assert [r.policy_reason for r in got][1:4] == ["provider_front_matter:title_abstract_gap", "provider_body_whitelist:abstract", "provider_body_whitelist:heading"]
     assert got[-1].policy_reason == "provider_non_text:image" and [r.policy_translate for r in got] == [False, False, True, True, True, False, False, False]
     assert documents.violations(documents.read_flat_ocr(spark, f"{tmp_path}/*.json")).count() == 0
-    raw = spark.createDataFrame([("d", "generic_flat_ocr", []), ("e", "x", [])], f"document_id string, {documents.DOCUMENT}")
-    assert [r.detected for r in documents.detect(raw).orderBy("document_id").collect()] == ["generic_flat_ocr", None]
+
+
+def test_adapters(spark, tmp_path):
+    seg = lambda x: [{"type": "text", "content": x}]
+    files = {
+        "flat": {"provider": "generic_flat_ocr", "pages": [{"blocks": [{"text": "a"}]}]},
+        "labels": {"layoutParsingResults": [{"prunedResult": {"parsing_res_list": [{"block_label": "doc_title", "block_content": "T"}, {"block_label": "abstract", "block_content": "A", "block_bbox": [0, 0, 1, 2]}, {"block_label": "number", "block_content": "3"}]}}]},
+        "tree": {"pdf_info": [{"para_blocks": [{"type": "text", "lines": [{"spans": [{"content": " x  y "}, {"content": "z"}]}]}, {"type": "image", "blocks": [{"type": "image_body"}, {"type": "image_caption", "lines": [{"spans": [{"content": "cap"}]}]}]}]}]},
+        "list": [[{"type": "title", "content": {"title_content": seg("T")}}, {"type": "list", "content": {"list_items": [{"item_content": seg("i")}, {"item_content": seg("j ")}]}}], [{"type": "image", "content": {}}]],
+        "none": {"x": 1},
+    }
+    for name, doc in files.items():
+        (tmp_path / f"{name}.json").write_text(json.dumps(doc))
+    got = documents.read_any(spark, f"{tmp_path}/*.json").orderBy("document_id", "page_index", "ord").collect()
+    rows = [(r.document_id, r.provider, r.block_id, r.kind, r.sub_type, r.text, r.policy_reason) for r in got]
+    assert rows == [
+        ("flat", "generic_flat_ocr", "p001-b0000", "text", "body", "a", "provider_body_whitelist:body"),
+        ("labels", "layout_labels", "p001-b0000", "text", "title", "T", "semantic_role=unknown"), ("labels", "layout_labels", "p001-b0001", "text", "abstract", "A", "semantic_role=abstract"),
+        ("labels", "layout_labels", "p001-b0002", "text", "page_number", "3", "layout_role=page_number"),
+        ("list", "content_list", "p001-b0000", "text", "title", "T", "semantic_role=unknown"), ("list", "content_list", "p001-b0001", "text", "body", "i j", "main_text"), ("list", "content_list", "p002-b0000", "image", "figure", "", "non_text"),
+        ("tree", "layout_tree", "p001-b0000", "text", "body", "x y z", "main_text"), ("tree", "layout_tree", "p001-b0001", "image", "figure", "", "non_text"), ("tree", "layout_tree", "p001-b0002", "image", "figure", "", "non_text"),
+        ("tree", "layout_tree", "p001-b0003", "text", "metadata", "cap", "semantic_role=metadata"),
+    ]
+    raw = spark.createDataFrame([("d", json.dumps(files["list"])), ("e", "{}")], "document_id string, json string")
+    assert [r.detected for r in documents.detect(raw).orderBy("document_id").collect()] == ["content_list", None]
 
 
 def test_derived_roles(spark):
