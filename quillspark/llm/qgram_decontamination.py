@@ -29,6 +29,8 @@ ITEM_CHARS = 4_000_000
 #: Characters of documents that are looked at together; longer documents are looked at whole.
 RUN = 400_000
 BITS = 22
+#: Regions that are aligned together.
+TOGETHER = 256
 KNOWN = 0x530
 END = 10
 
@@ -69,19 +71,33 @@ def grams(codes: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint32(13))
 
 
-def align(item: np.ndarray, text: np.ndarray, width: int, anchor: int | None = None) -> tuple[int, int]:
-    """Least edits between the item and a part of text, and the diagonal where that part ends.
+def align(items: list[np.ndarray], texts: np.ndarray, width: int, anchor: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Of each item and its row of texts, the least edits between the item and a part of the row, and the diagonal where that part ends.
 
-    The part begins on any of the first `width` diagonals for free, or, with an anchor, on that one.
+    The part begins on any of the first `width` diagonals for free, or, with anchors, on the row's own. Rows of many items advance together,
+    the longest items first, so that those that are done fall away at the end.
     """
-    i = np.arange(width)
-    row = np.zeros(width, np.int32) if anchor is None else np.where(i < anchor, 1 << 20, i - anchor).astype(np.int32)
-    for k, c in enumerate(item):
-        step = row + (text[k : k + width] != c)
-        step[:-1] = np.minimum(step[:-1], row[1:] + 1)
-        row = np.minimum.accumulate(step - i) + i
-    end = int(row.argmin())
-    return int(row[end]), end
+    size = np.array([len(c) for c in items])
+    order = np.argsort(-size, kind="stable")
+    size, texts = size[order], texts[order]
+    codes = np.full((len(items), int(size[0])), END, np.uint32)
+    for r, x in enumerate(order.tolist()):
+        codes[r, : size[r]] = items[x]
+    i = np.arange(width, dtype=np.int32)
+    row = np.zeros((len(items), width), np.int32) if anchor is None else np.where(i < anchor[order, None], 1 << 20, i - anchor[order, None]).astype(np.int32)
+    edits, ends = np.empty(len(items), np.int32), np.empty(len(items), np.int64)
+    n = len(items)
+    for k in range(int(size[0])):
+        step = row + (texts[:n, k : k + width] != codes[:n, k, None])
+        np.minimum(step[:, :-1], row[:, 1:] + 1, out=step[:, :-1])
+        row = np.minimum.accumulate(step - i, axis=1) + i
+        left = int(np.count_nonzero(size > k + 1))
+        if left < n:
+            done = order[left:n]
+            ends[done] = row[left:].argmin(1)
+            edits[done] = row[left:].min(1)
+            row, n = row[:left], left
+    return edits, ends
 
 
 class Items:
@@ -114,42 +130,54 @@ class Items:
         hit, k = hit[same], k[same]
         n = self.n[k]
         row = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.first[k], n)
-        item, diagonal = self.of[row], np.repeat(hit, n) - self.place[row]
-        step = np.maximum(self.edits[item], 1)
-        low = diagonal // step
-        # bands [b * step, (b + 2) * step): a diagonal lies in two
-        wide = len(codes) + 1 << 1
-        key = item * (2 * wide) + low + wide
-        key, n = np.unique(np.concatenate([key, key - 1]), return_counts=True)
+        item, place = self.of[row], self.place[row]
+        diagonal = np.repeat(hit, n) - place
+        low = diagonal // np.maximum(self.edits[item], 1)
+        # Bands [b * step, (b + 2) * step): a diagonal lies in two. Each place of the item counts once in a band.
+        wide, long = len(codes) + 1 << 1, int(self.place.max()) + 1
+        key = (item * (2 * wide) + low + wide) * long + place
+        key = np.sort(np.concatenate([key, key - long]))
+        key = key[np.r_[True, key[1:] != key[:-1]][: len(key)]] // long
+        new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
+        n, key = np.diff(np.r_[new, len(key)]), key[new]
         item, low = key // (2 * wide), key % (2 * wide) - wide
         enough = np.flatnonzero(n >= self.bound[item])
-        best: dict[tuple[int, int], tuple[int, int, int]] = {}
         bounds = np.cumsum([len(t) + 1 for t in texts])
-        for x in enough.tolist():
-            i = int(item[x])
-            c, e = self.codes[i], int(self.edits[i])
-            width = 4 * max(e, 1) + 1
-            start = int(low[x]) * max(e, 1) - max(e, 1)
-            got = np.full(len(c) + width, END, np.uint32)
-            a, b = max(start, 0), min(start + len(got), len(codes))
-            got[a - start : b - start] = codes[a:b]
-            edits, end = align(c, got, width)
-            if edits > e:
-                continue
-            end += start + len(c)
-            # backwards from the end, for the place where it begins
-            back = np.full(len(c) + 2 * e + 1, END, np.uint32)
-            a = max(end - len(c) - e, 0)
-            back[e : e + end - a] = codes[a:end][::-1]
-            _, d = align(c[::-1], back, 2 * e + 1, e)
-            begin = max(end - (len(c) + d - e), 0)
-            first, last = int(at[begin]), int(at[end - 1]) + 1
-            t = int(np.searchsorted(bounds, first, "right"))
-            base = int(bounds[t - 1]) if t else 0
-            if (t, i) not in best or edits < best[t, i][2]:
-                best[t, i] = (first - base, last - base, edits)
+        best: dict[tuple[int, int], tuple[int, int, int]] = {}
+        for some in range(0, len(enough), TOGETHER):
+            x = enough[some : some + TOGETHER]
+            self.verify(item[x], low[x], codes, at, bounds, best)
         return [(t, self.ids[i], *x) for (t, i), x in best.items()]
 
+    def verify(self, item: np.ndarray, low: np.ndarray, codes: np.ndarray, at: np.ndarray, bounds: np.ndarray, best: dict[tuple[int, int], tuple[int, int, int]]) -> None:
+        """Keep in best what the bands hold within the items' edits."""
+        chosen, budget = [self.codes[i] for i in item], self.edits[item]
+        step, size = np.maximum(budget, 1), np.array([len(c) for c in chosen])
+        width = 4 * int(step.max()) + 1
+        start = low * step - step
+        edits, ends = align(chosen, around(codes, start, int(size.max()) + width), width)
+        good = np.flatnonzero(edits <= budget)
+        if not len(good):
+            return
+        # Backwards from where they end, for the places where they begin.
+        chosen, budget, size, edits, i = [chosen[x][::-1] for x in good], budget[good], size[good], edits[good], item[good]
+        end = start[good] + size + ends[good]
+        back, width = int(budget.max()), 2 * int(budget.max()) + 1
+        part = around(codes[::-1], len(codes) - end - back, int(size.max()) + width)
+        _, shift = align(chosen, part, width, np.full(len(good), back))
+        begin = np.maximum(end - (size + shift - back), 0)
+        for i, a, b, n in zip(i.tolist(), at[begin].tolist(), (at[end - 1] + 1).tolist(), edits.tolist(), strict=True):
+            t = int(np.searchsorted(bounds, a, "right"))
+            base = int(bounds[t - 1]) if t else 0
+            if (t, i) not in best or n < best[t, i][2]:
+                best[t, i] = (a - base, b - base, n)
+
+
+def around(codes: np.ndarray, start: np.ndarray, n: int) -> np.ndarray:
+    """A row of n codes from each start; END outside."""
+    place = start[:, None] + np.arange(n)
+    return np.where((place >= 0) & (place < len(codes)), codes[np.clip(place, 0, len(codes) - 1)], END)
+
 
 def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """id, text_hash, item_id, start, end, edits: every document and item that occurs in it, with the occurrence of fewest edits."""
