@@ -18,7 +18,7 @@ import os
 import re
 from array import array
 from collections.abc import Callable, Iterable, Iterator
-from itertools import chain, pairwise
+from itertools import accumulate, chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -99,7 +99,7 @@ class Pieces:
 
     def __init__(self, tokenizer, dtype: str = "<u4", kept: int = KEPT_PIECES):
         self.tokenizer, self.model, self.dtype = tokenizer, tokenizer.model, np.dtype(dtype)
-        self.kept, self.young, self.old, self.matches = kept // 2, {}, {}, {}
+        self.kept, self.young, self.old, self.marks = kept // 2, {}, {}, {}
         self.shown = dict(enumerate(byte_table()))
 
     def ids(self, pieces: list[str]) -> list[bytes]:
@@ -111,40 +111,52 @@ class Pieces:
 
     def match(self, text: str) -> bytes:
         """Ids of what the split pattern gives as one match: its bytes as characters, merged by the library's model."""
-        if (got := self.matches.get(text)) is None:
-            if len(self.matches) > self.kept:
-                self.matches.clear()
-            # of the characters that come here, ASCII ones but the space stand for themselves
-            shown = text.replace(" ", self.shown[32]) if text.isascii() else text.encode().decode("latin-1").translate(self.shown)
-            got = self.matches[text] = array(self.dtype.char, [t.id for t in self.model.tokenize(shown)]).tobytes()
+        # of the characters that come here, ASCII ones but the space stand for themselves
+        shown = text.replace(" ", self.shown[32]) if text.isascii() else text.encode().decode("latin-1").translate(self.shown)
+        return array(self.dtype.char, [t.id for t in self.model.tokenize(shown)]).tobytes()
+
+    def word(self, word: str) -> bytes:
+        """Ids of a space and a word of letters."""
+        got = self.young.get(word)
+        if got is None:
+            got = self.young[word] = self.old.get(word) or self.match(f" {word}")
         return got
 
-    def learn(self, pieces: list[str]) -> list[bytes]:
-        """Ids of pieces as encode() knows them: letters and what follows them are cut here, all else by the library."""
-        out, rest = [b""] * len(pieces), []
-        for i, p in enumerate(pieces):
-            first = p[:1] == FIRST
-            if found := SIMPLE.fullmatch(p, 1 if first else 0):
+    def learn(self, pieces: list[str]) -> None:
+        """Put pieces into the young half: letters and what follows them are cut here, all else by the library."""
+        young, marks, rest = self.young, self.marks, []
+        for p in pieces:
+            if len(p) > LONGEST:
+                rest.append(p)
+            elif p.isascii() and p.isalpha():
+                self.word(p)
+            elif found := SIMPLE.fullmatch(p):
                 word, mark = found.groups()
-                out[i] = self.match(word if first else f" {word}") + (self.match(mark) if mark else b"")
+                if mark not in marks:
+                    marks[mark] = self.match(mark) if mark else b""
+                young[p] = self.word(word) + marks[mark] if mark else self.word(p)
             else:
-                rest.append(i)
-        for i, x in zip(rest, self.ids([pieces[i][1:] if pieces[i][:1] == FIRST else f" {pieces[i]}" for i in rest]), strict=True):
-            out[i] = x
-        return out
+                rest.append(p)
+        young.update(zip(rest, self.ids([p[1:] if p[:1] == FIRST else f" {p}" for p in rest]), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """A piece is known by its text without the space before it; the first of a text, by FIRST and its text."""
-        cut = [self.cut(t) for t in texts]
+        cut = list(map(self.cut, texts))
         if len(self.young) > self.kept:
             self.young, self.old = {}, self.young
-        young, old = self.young, self.old
-        lacking = [p for p in set().union(*cut) if p not in young]
-        young.update((p, old[p]) for p in lacking if p in old)
-        new = [p for p in lacking if p not in young]
-        young.update(zip(new, self.learn(new), strict=True))
-        out = [b"".join(map(young.__getitem__, p)) for p in cut]
-        for p in new:
+        if len(self.marks) > self.kept:
+            self.marks.clear()
+        young, old, flat = self.young, self.old, list(chain.from_iterable(cut))
+        got = list(map(young.get, flat))
+        lacking = [i for i, x in enumerate(got) if x is None]
+        names = {flat[i] for i in lacking}
+        young.update((p, old[p]) for p in names if p in old)
+        self.learn([p for p in names if p not in young])
+        for i in lacking:
+            got[i] = young[flat[i]]
+        ends = [0, *accumulate(map(len, cut))]
+        out = [b"".join(got[a:b]) for a, b in pairwise(ends)]
+        for p in names:
             if len(p) > LONGEST:
                 del young[p]
         return out
