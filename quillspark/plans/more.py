@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillspark.functions import text
-from quillspark.operators import ordered, records, terms
+from quillspark.operators import arrow_ops, ordered, records, terms
 from quillspark.plans.catalog import SQL_LINES, lines, q, query, sql_count, sql_match, sql_norm, t
 
 # What a failed job's message says about it.
@@ -162,3 +162,29 @@ def worker_allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
     shares = n.withColumn("__w", F.greatest(F.lit(1), F.floor(12 * F.col("n") / F.sum("n").over(every)))).withColumn("__rn", F.row_number().over(every.orderBy("event_type"))).withColumn("__k", F.count(F.lit(1)).over(every))
     before = F.sum(F.when(F.col("__rn") < F.col("__k"), F.col("__w"))).over(every)
     return shares.select("event_type", "n", F.when(F.col("__rn") == F.col("__k"), F.greatest(F.lit(1), 12 - before)).otherwise(F.col("__w")).cast("long").alias("workers"))
+
+
+# What SQL can't say; tests/test_operators.py has their cases.
+@query()
+def copied_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns that repeat the one before to COPY_RATIO or more."""
+    was = F.lag("text").over(ordered.over(["conv_id"], ["turn"]))
+    c = t(spark, sf_dir, "conversations").withColumn("was", was).where("was is not null")
+    ratio = c.select("conv_id", "turn", arrow_ops.copy_ratio(F.col("was"), F.col("text")).alias("ratio"))
+    return ratio.select("conv_id", "turn", F.round("ratio", 6).alias("ratio"), (F.col("ratio") >= arrow_ops.COPY_RATIO).alias("copied"))
+
+
+@query()
+def protected_formulas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many formulas each text has, and whether putting them back gives the text."""
+    p = t(spark, sf_dir, "documents").select("doc_id", "text", arrow_ops.protect(F.col("text")).alias("p"))
+    return p.select("doc_id", F.size("p.tokens").alias("n_formulas"), (arrow_ops.restore(F.col("p.text"), F.col("p.tokens")) == F.coalesce("text", F.lit(""))).alias("same_text"))
+
+
+@query()
+def adaptive_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The limit of requests after each event of a user, errors being refusals and `value` seconds the time each took."""
+    e = t(spark, sf_dir, "events")
+    requests = e.select("user_id", F.struct("ts", "event_id").alias("at"), (F.col("event_type") != "error").alias("success"), F.when(F.col("event_type") == "error", 429).otherwise(200).alias("status_code"), (F.col("value") * 1000).alias("elapsed_ms"))
+    numbered = ordered.resequence(requests, ["user_id"], ["at"], "request_no")
+    return arrow_ops.adaptive_limits(numbered, "user_id", "request_no")

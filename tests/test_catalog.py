@@ -11,3 +11,12 @@ def test_same_rows_as_sql(spark, sf_dir, name):
     assert len(mine[1]) == len(sql[1])
     assert mine[1] == sql[1]
     assert len(mine[1]) or name in ("auto_terms", "slow_items", "library_search", "toc_lines")
+
+
+def test_queries_without_sql(spark, sf_dir):
+    rows = {name: catalog.QUERIES[name](spark, sf_dir).collect() for name in catalog.QUERIES if name not in catalog.ORACLES}
+    assert len(rows) == 3
+    assert all(r.same_text for r in rows["protected_formulas"])
+    assert all(0 <= r.ratio <= 1 and r.copied == (r.ratio >= 0.82) for r in rows["copied_turns"])
+    limits = rows["adaptive_limits"]
+    assert len(limits) == spark.read.parquet(f"{sf_dir}/events.parquet").count() and all(1 <= r.limit <= 32 for r in limits)
