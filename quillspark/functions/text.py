@@ -38,6 +38,7 @@ INDEXED = r"^\(?\[?[0-9]{1,3}\]?\)?[.)]? "
 AUTHOR = r"^(?:\(?\[?[0-9]{1,3}\]?\)?[.)]? +)?(?:[A-Z][A-Za-z'`.-]+(?: +[A-Z][A-Za-z'`.-]+){0,2} *, *(?:[A-Z]\. *)+)"
 PLACEHOLDER = r"<[ft][0-9]+-[0-9a-z]{3}/>"
 HEX_BYTE = r"^[0-9A-Fa-f]{2}$"
+HEX_TOKEN = r"(?<![^ ])[0-9A-Fa-f]{2}(?![^ ])"
 ODD = r"[^\p{L}\p{N} \t\r\n.,;:!?()\[\]{}'\"_/+*&%$#=@-]"
 CJK = r"[\x{4e00}-\x{9fff}]"
 TERMINAL, SOFT = r"[.!?:;]$", r",$"
@@ -47,6 +48,11 @@ SUSPICIOUS = ("is", "are", "was", "were", "be", "been", "being", "have", "has",
 HEADING = r"^(?:\(?[0-9]+(?:\.[0-9]+)*\)?[.)]? +|[A-Z][A-Z -]{3,}|[•*-] +)"
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once however often body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def empty_for_null(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
@@ -82,18 +88,20 @@ def stripped(text: Column) -> Column:
 
 
 def is_url(text: Column) -> Column:
-    return stripped(text).rlike(URL)
+    """Cheap tests first: a URL has no space and has a dot or a colon."""
+    t = stripped(text)
+    return ~F.contains(t, F.lit(" ")) & t.rlike("[.:]") & t.rlike(URL)
 
 
 def is_email(text: Column) -> Column:
-    return stripped(text).rlike(EMAIL)
+    return F.contains(empty_for_null(text), F.lit("@")) & stripped(text).rlike(EMAIL)
 
 
 def is_copyright_tail(text: Column) -> Column:
-    """A short note of rights: at most 220 characters and 32 words, and no disclaimer."""
-    t = normalized(text)
-    low = F.lower(t)
-    return (F.length(t) <= 220) & (count(t, WORD) <= 32) & t.rlike(COPYRIGHT) & has_any(low, COPYRIGHT_SIGNALS) & ~has_any(low, DISCLAIMERS)
+    """A short note of rights: at most 220 characters and 32 words, and no disclaimer. Most text has none of the signals, which is tested first."""
+    signal = has_any(F.lower(normalized(text)), COPYRIGHT_SIGNALS)
+    note = let(normalized(text), lambda t: (F.length(t) <= 220) & t.rlike(COPYRIGHT) & (count(t, WORD) <= 32) & ~has_any(F.lower(t), DISCLAIMERS))
+    return F.when(signal, note).otherwise(F.lit(False))
 
 
 def is_hard_nontranslatable(text: Column) -> Column:
@@ -102,31 +110,43 @@ def is_hard_nontranslatable(text: Column) -> Column:
 
 def is_code_literal(text: Column) -> Column:
     """Code rather than prose: of 2 to 64 tokens, half (three at least) look like code, and prose is scarce."""
-    t = normalized(text)
-    tokens = F.split(t, " ")
-    n = F.size(tokens)
-    codeish = F.size(F.filter(tokens, lambda w: w.rlike(OPERATORS) | w.rlike(r"(?i)(^|[^\p{L}\p{N}_])[0-9]+(?:\.[0-9]+)?D[+-]?[0-9]+([^\p{L}\p{N}_]|$)") | w.rlike(r"^[A-Z][A-Z0-9_.-]{3,}$") | F.contains(w, F.lit("_")) | (w.rlike("[A-Za-z]") & w.rlike("[0-9]"))))
-    letters, upper = count(t, r"\p{L}"), count(t, r"\p{Lu}")
-    cues = t.rlike(rf"(?i)(^|[^\p{{L}}\p{{N}}_])(?:{PROSE_CUES})([^\p{{L}}\p{{N}}_]|$)")
-    operators = count(t, OPERATORS)
-    loop = t.rlike(r"(?i)(^|[^\p{L}\p{N}_])DO[0-9]+[A-Z] *=") & (codeish >= 2)
-    shape = (codeish >= F.greatest(F.lit(3), F.floor(n / 2))) & ((natural_words(t) <= 4) | ((upper >= 0.55 * F.greatest(F.lit(1), letters)) & ~cues) | (operators >= F.greatest(F.lit(6), F.floor(F.length(t) / 18))))
-    return (F.length(t) >= 24) & ~t.rlike(CJK) & n.between(2, 64) & (loop | shape)
+    token = "|".join([OPERATORS, "_", r"(?i:(?:^|[^\p{L}\p{N}_])[0-9]+(?:\.[0-9]+)?D[+-]?[0-9]+(?:[^\p{L}\p{N}_]|$))", r"^[A-Z][A-Z0-9_.-]{3,}$", r"[A-Za-z].*[0-9]", r"[0-9].*[A-Za-z]"])
+
+    def shape(t: Column, n: Column, codeish: Column) -> Column:
+        operators, cues = count(t, OPERATORS), t.rlike(rf"(?i)(^|[^\p{{L}}\p{{N}}_])(?:{PROSE_CUES})([^\p{{L}}\p{{N}}_]|$)")
+        capitals = count(t, r"\p{Lu}") >= 0.55 * F.greatest(F.lit(1), count(t, r"\p{L}"))
+        loop = (codeish >= 2) & t.rlike(r"(?i)(^|[^\p{L}\p{N}_])DO[0-9]+[A-Z] *=")
+        return loop | ((codeish >= F.greatest(F.lit(3), F.floor(n / 2))) & ((natural_words(t) <= 4) | (capitals & ~cues) | (operators >= F.greatest(F.lit(6), F.floor(F.length(t) / 18)))))
+
+    def judged(t: Column) -> Column:
+        n = F.length(t) - F.length(F.replace(t, F.lit(" "), F.lit(""))) + 1
+        fits = (F.length(t) >= 24) & (n <= 64) & (n >= 2) & ~t.rlike(CJK)
+        return F.when(fits, let(F.size(F.filter(F.split(t, " "), lambda w: w.rlike(token))), lambda c: shape(t, n, c))).otherwise(F.lit(False))
+
+    return let(normalized(text), judged)
 
 
 def is_reference_entry(text: Column) -> Column:
     """A bibliography's entry, from years, DOIs, journals, page ranges, indexes and authors."""
-    t = normalized(text)
-    commas = count(t, "[,;]")
-    year, doi, journal, pages, indexed, author = (t.rlike(p) for p in (YEAR, DOI, JOURNAL, PAGES, INDEXED, AUTHOR))
-    return (doi & (year | (commas >= 1))) | ((indexed | author) & (year | doi | journal | pages | (commas >= 2))) | (year & (journal | pages) & (commas >= 1))
+
+    def judged(t: Column) -> Column:
+        commas = count(t, "[,;]")
+        year, doi, journal, pages, indexed, author = (t.rlike(p) for p in (YEAR, DOI, JOURNAL, PAGES, INDEXED, AUTHOR))
+        # Each of the three ways needs a digit or an author; most text has neither.
+        way = (doi & (year | (commas >= 1))) | ((indexed | author) & (year | doi | journal | pages | (commas >= 2))) | (year & (journal | pages) & (commas >= 1))
+        return F.when(t.rlike("[0-9]|(?i:doi|https?://)") | author, way).otherwise(F.lit(False))
+
+    return let(normalized(text), judged)
 
 
 def is_hex_dump(text: Column) -> Column:
     """24 tokens or more, of which many are two hexadecimal digits."""
-    tokens = F.split(normalized(text), " ")
-    n, b = F.size(tokens), F.size(F.filter(tokens, lambda w: w.rlike(HEX_BYTE)))
-    return (n >= 24) & (((b >= 32) & (b >= 0.55 * n)) | ((b >= 128) & (b >= 0.35 * n)))
+
+    def judged(t: Column) -> Column:
+        n, b = F.length(t) - F.length(F.replace(t, F.lit(" "), F.lit(""))) + 1, count(t, HEX_TOKEN)
+        return (n >= 24) & (((b >= 32) & (b >= 0.55 * n)) | ((b >= 128) & (b >= 0.35 * n)))
+
+    return let(normalized(text), judged)
 
 
 def without_placeholders(text: Column) -> Column:
@@ -158,38 +178,33 @@ def plain_text(markup: Column) -> Column:
 
 
 def last_word(text: Column) -> Column:
-    return F.lower(F.coalesce(F.get(F.reverse(F.regexp_extract_all(text, F.lit(f"({WORD})"), 1)), F.lit(0)), F.lit("")))
+    return F.lower(F.coalesce(F.try_element_at(F.regexp_extract_all(text, F.lit(f"({WORD})"), 1), F.lit(-1)), F.lit("")))
 
 
 def starts_like_continuation(text: Column) -> Column:
     """A lower-case start, or a joining word as the last word of the first 32 characters."""
-    t = normalized(text)
-    return t.rlike("^[a-z]") | last_word(F.substring(t, 1, 32)).isin(*CONTINUES)
+    return let(normalized(text), lambda t: t.rlike("^[a-z]") | last_word(F.substring(t, 1, 32)).isin(*CONTINUES))
 
 
 def ends_like_continuation(text: Column) -> Column:
-    t = normalized(text)
-    return t.endswith("-") | (~t.rlike(TERMINAL) & last_word(t).isin(*ENDS_OPEN))
+    return let(normalized(text), lambda t: t.endswith("-") | (~t.rlike(TERMINAL) & last_word(t).isin(*ENDS_OPEN)))
 
 
-def join_score(before: Column, after: Column) -> Column:
-    """Points for joining two paragraphs on neighbouring pages; -999 where one is empty."""
-    a, b = normalized(before), normalized(after)
+def join_score(a: Column, b: Column, more: Column) -> Column:
+    """Points for joining two paragraphs on neighbouring pages, as normalized; more: b starts like a continuation. -999 where one is empty."""
     ends = a.rlike(TERMINAL)
-    points = [
-        (starts_like_continuation(b), 3), (ends & starts_like_continuation(b), 3), (ends_like_continuation(a), 3), (a.endswith("-"), 4), (a.rlike(SOFT), 1), (last_word(a).isin(*SUSPICIOUS), 1), (~ends, 2),
-    ]
+    points = [(more, 3), (ends & more, 3), (a.endswith("-") | (~ends & last_word(a).isin(*ENDS_OPEN)), 3), (a.endswith("-"), 4), (a.rlike(SOFT), 1), (last_word(a).isin(*SUSPICIOUS), 1), (~ends, 2)]
     return F.when((a == "") | (b == ""), F.lit(-999)).otherwise(sum((F.when(c, n).otherwise(0) for c, n in points), F.lit(0)))
 
 
-def break_score(before: Column, after: Column) -> Column:
-    a, b = normalized(before), normalized(after)
+def break_score(a: Column, b: Column, more: Column) -> Column:
     ends = F.when(a.rlike("[.!?]$"), 4).when(a.rlike(TERMINAL), 2).otherwise(0)
-    more = starts_like_continuation(b)
     return F.greatest(F.lit(0), ends - F.when(more, 3).otherwise(0) + F.when(b.rlike(HEADING), 3).otherwise(0) + F.when(b.rlike("^[A-Z]") & ~more, 1).otherwise(0))
 
 
 def pair_decision(before: Column, after: Column) -> Column:
-    """join, break or candidate."""
-    j, b = join_score(before, after), break_score(before, after)
-    return F.when(j < 0, "break").when((j >= 4) & (j >= b + 2), "join").when((b >= 4) & (b >= j + 1), "break").otherwise("candidate")
+    """join, break or candidate. Texts and scores are computed once each."""
+    decide = lambda j, b: F.when(j < 0, "break").when((j >= 4) & (j >= b + 2), "join").when((b >= 4) & (b >= j + 1), "break").otherwise("candidate")
+    scores = lambda p: F.struct(join_score(p["a"], p["b"], p["more"]).alias("j"), break_score(p["a"], p["b"], p["more"]).alias("k"))
+    pair = F.struct(normalized(before).alias("a"), normalized(after).alias("b"), starts_like_continuation(after).alias("more"))
+    return let(let(pair, scores), lambda x: decide(x["j"], x["k"]))

@@ -33,8 +33,9 @@ def matches(texts: DataFrame, glossary: DataFrame, text_col: str, term_col: str)
     n = glossary.limit(MOST_ENTRIES + 1).count()
     if n > MOST_ENTRIES:
         raise ValueError(f"a glossary has at most {MOST_ENTRIES} entries")
-    near = F.contains(F.lower(text_col), F.lower(term_col))
-    return texts.join(F.broadcast(glossary), near & F.regexp_like(F.lower(text_col), F.lower(bounded(F.col(term_col)))))
+    low = texts.withColumn("__low", F.lower(text_col))
+    known = glossary.withColumn("__term", F.lower(term_col)).withColumn("__pattern", bounded(F.lower(term_col)))
+    return low.join(F.broadcast(known), F.contains("__low", F.col("__term")) & F.regexp_like("__low", F.col("__pattern"))).drop("__low", "__term", "__pattern")
 
 
 def technical_terms(texts: DataFrame, text_col: str, order: str, least: int, most: int) -> DataFrame:

@@ -32,9 +32,15 @@ def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """For work that is heavy by row: rows of fewer partitions than there are cores, as of one small file, are dealt to all. Large tables stay as they are."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, ord from 0, line."""
-    return t(spark, sf_dir, "documents").select("doc_id", "lang", F.posexplode(F.split(text.empty_for_null(F.col("text")), "\n")).alias("ord", "line"))
+    return spread(t(spark, sf_dir, "documents").select("doc_id", "lang", "text")).select("doc_id", "lang", F.posexplode(F.split(text.empty_for_null(F.col("text")), "\n")).alias("ord", "line"))
 
 
 # The same in SQL.
@@ -369,13 +375,13 @@ def glossary(spark: SparkSession) -> DataFrame:
 
 @query(f"SELECT doc_id, term FROM documents, {SQL_GLOSSARY} WHERE {_HIT}")
 def glossary_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return terms.matches(t(spark, sf_dir, "documents").select("doc_id", "text"), glossary(spark), "text", "term").select("doc_id", "term")
+    return terms.matches(spread(t(spark, sf_dir, "documents").select("doc_id", "text")), glossary(spark), "text", "term").select("doc_id", "term")
 
 
 @query(f"""SELECT term, (SELECT count(*) FROM documents WHERE {_HIT}) AS source_hits, (SELECT count(*) FROM conversations WHERE {_HIT}) AS target_hits,
  (SELECT count(*) FROM documents WHERE {_HIT}) > 0 AND (SELECT count(*) FROM conversations WHERE {_HIT}) = 0 AS unapplied FROM {SQL_GLOSSARY}""")
 def glossary_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g, hits = glossary(spark), lambda name, to: terms.matches(t(spark, sf_dir, name).select("text"), glossary(spark), "text", "term").groupBy("term").agg(F.count(F.lit(1)).alias(to))
+    g, hits = glossary(spark), lambda name, to: terms.matches(spread(t(spark, sf_dir, name).select("text")), glossary(spark), "text", "term").groupBy("term").agg(F.count(F.lit(1)).alias(to))
     met = g.join(hits("documents", "source_hits"), "term", "left").join(hits("conversations", "target_hits"), "term", "left").na.fill(0)
     return met.withColumn("unapplied", (F.col("source_hits") > 0) & (F.col("target_hits") == 0))
 
@@ -383,7 +389,7 @@ def glossary_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH f AS (SELECT doc_id, i, regexp_extract_all(text, {q(terms.TECHNICAL)}, 1)[i] AS term FROM (SELECT doc_id, text, unnest(range(1, len(regexp_extract_all(text, {q(terms.TECHNICAL)}, 1)) + 1)) AS i FROM documents))
  SELECT lower(term) AS term_key, arg_min(term, (doc_id, i)) AS term, count(*) AS hits FROM f GROUP BY lower(term) HAVING count(*) >= 2 ORDER BY hits DESC, term_key LIMIT 240""")
 def auto_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return terms.technical_terms(t(spark, sf_dir, "documents").select("doc_id", "text"), "text", "doc_id", 2, 240)
+    return terms.technical_terms(spread(t(spark, sf_dir, "documents").select("doc_id", "text")), "text", "doc_id", 2, 240)
 
 
 @query("""WITH k AS (SELECT p_type AS key, count(*) AS hits, array_to_string(list_reverse(list_slice(list(p_brand ORDER BY p_partkey DESC), 1, 8)), '|') AS sources FROM part GROUP BY p_type)
