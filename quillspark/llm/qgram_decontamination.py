@@ -7,7 +7,7 @@ bands of width 2k that overlap by k: one of them holds all hits of an occurrence
 verified by banded alignment; nothing else is looked at again.
 
 k is RATE of the item's length, or less where the bound would fall below one. Items with fewer than LEAST characters are too
-short to tell from chance and are left out; null texts have no passages. Repeated items count each for itself.
+short to tell from chance and are left out; null texts have no passages. Items repeated with the same id and text count once.
 
 The items are broadcast in blocks of ITEM_CHARS characters at most; larger sets take several passes over the documents.
 """
@@ -182,7 +182,7 @@ def around(codes: np.ndarray, start: np.ndarray, n: int) -> np.ndarray:
 def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """id, text_hash, item_id, start, end, edits: every document and item that occurs in it, with the occurrence of fewest edits."""
     spark = docs.sparkSession
-    named = items.where(F.col(item_text).isNotNull()).select(F.col(item_col).cast("long").alias("i"), F.col(item_text).alias("t"))
+    named = items.where(F.col(item_text).isNotNull()).select(F.col(item_col).cast("long").alias("i"), F.col(item_text).alias("t")).distinct()
     chars = named.agg(F.sum(F.length("t"))).first()[0] or 0
     blocks = -(-chars // ITEM_CHARS) or 1
     rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("t"))

@@ -38,10 +38,10 @@ def op2_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity."""
     docs = common.table(spark, sf_dir, "documents", "doc_id", "text")
     model, counts = class_lm.fit(docs.where(common.fold("doc_id", 5) != 1))
-    return class_lm.score(docs, model, counts).select(F.col("id").alias("doc_id"), (common.fold("id", 5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return class_lm.score(docs, model, counts).select(F.col("id").alias("doc_id"), (common.fold("id", 5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))
 
 
 def op4_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,9 +70,9 @@ def op7_token_files(spark: SparkSession, sf_dir: str, path: str | None = None) -
 
 
 def op8_qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, contaminated, item_ids: whether, and which, benchmark passages each document holds."""
+    """doc_id, item_id, start, end, edits: a row for each benchmark passage that a document holds; documents without any have no row."""
     docs, items = common.table(spark, sf_dir, "documents", "doc_id", "text"), common.table(spark, sf_dir, "benchmark", "item_id", "text")
-    return qgram_decontamination.flagged(docs, items).select("doc_id", (F.size("__items") > 0).alias("contaminated"), F.col("__items").alias("item_ids"))
+    return qgram_decontamination.find(docs, items).select(F.col("id").alias("doc_id"), "item_id", "start", "end", "edits")
 
 
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -53,7 +53,7 @@ def documents(spark, sf_dir):
     return {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
 
 
-@pytest.mark.parametrize("name", [n for n in registry.QUERIES if n != "op5_url_filter"])
+@pytest.mark.parametrize("name", [n for n in registry.QUERIES if n not in ("op5_url_filter", "op8_qgram_decontamination")])
 def test_hard_rows_and_no_rows(spark, hard, nothing, name):
     got = registry.QUERIES[name](spark, hard).collect()
     assert len(got) == len(HARD)
@@ -278,10 +278,17 @@ def test_op6_hard_rows(spark, hard):
 def test_op8(spark, sf_dir, documents):
     plain = lambda t: " ".join(re.findall(r"[^\W_]+", t.lower()))
     items = {r.item_id: plain(r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()}
-    got = {r.doc_id: set(r.item_ids) for r in registry.op8_qgram_decontamination(spark, sf_dir).collect()}
-    for i, t in documents.items():
-        assert got[i] >= {k for k, x in items.items() if x in plain(t)}
-    assert sum(map(bool, got.values())) < len(documents) / 10
+    rows = registry.op8_qgram_decontamination(spark, sf_dir).collect()
+    got = {(r.doc_id, r.item_id) for r in rows}
+    assert len(got) == len(rows) and all(r.edits <= len(items[r.item_id]) / 10 for r in rows)
+    assert got >= {(i, k) for i, t in documents.items() for k, x in items.items() if x in plain(t)}
+    assert len({i for i, _ in got}) < len(documents) / 10
+
+
+def test_op8_hard_rows(spark, hard, nothing):
+    got = registry.op8_qgram_decontamination(spark, hard).collect()
+    assert [(r.doc_id, r.item_id, r.edits) for r in got] == [(10, 1, 0)] and HARD[12][1][got[0].start : got[0].end] == text(4)
+    assert registry.op8_qgram_decontamination(spark, nothing).collect() == []
 
 
 def edits(a, b):
