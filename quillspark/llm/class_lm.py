@@ -3,11 +3,13 @@
 P(word | word before) = P(class | class before) * P(word | class). Tokens are the words of a text between ASCII white
 space, with A-Z in lower case, then one end; the end also stands before the first word and is a class of its own.
 
-Clustering works on units: each of the FREQUENT most frequent words is a unit, other words are units by a hash of
-their last two bytes (endings carry inflection, punctuation and language). All words of a unit share a class. Exchange
-moves one unit at a time to the class that raises the likelihood of the corpus' class bigrams most, until a round changes
-nothing or after ROUNDS rounds. It runs on the driver over the units' bigram counts, whose number is bounded
-by the number of units squared; the counts are of the whole corpus.
+Clustering works on units: each word that the training part has COUNTED times or more is a unit; rarer words are units by a hash of
+their last two bytes (endings carry inflection, punctuation and language). All words of a unit share a class.
+A first exchange on the driver takes the FREQUENT most frequent words and the endings only, and gives every other word the class of its
+ending to begin with. From there all units are exchanged in Spark: their bigrams lie in shards by unit, each round finds for every unit the class that raises
+the likelihood of the corpus' class bigrams most, all else held. Those that gain move together; where that brings too little, the half with the
+most gain is tried, and the last ALONE units move one by one. It ends when no move of any unit raises the likelihood by GAIN. The driver and the workers hold nine
+bytes for each unit (a 60-bit hash of the word, its class); two words with the same hash would be one unit.
 
 Word counts, too, are of the whole corpus and stay distributed. The LOOKUP most frequent words (all words down to a count that no more
 words reach) go to the workers; the others of a text meet their counts in a join on the word, once for each
@@ -22,6 +24,8 @@ score is the base score.
 
 from __future__ import annotations
 
+import hashlib
+import itertools
 import math
 import zlib
 from collections import Counter
@@ -29,15 +33,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm import common
 
-FREQUENT, ENDINGS, CLASSES, ROUNDS = 1000, 1024, 48, 6
+COUNTED, FREQUENT, ENDINGS, CLASSES, ROUNDS = 10, 1000, 1024, 48, 6
 LOOKUP = 200_000
 #: What a task holds of words before it passes counts on, and of bigrams before it sums them.
 HELD = 400_000
+#: Tokens whose bigrams are summed at once, units in a shard, and the least gain (of log likelihood) that is a move.
+TOKENS, SHARD, GAIN = 2_000_000, 4096, 1e-3
+#: Units that the driver moves one by one at most; more move together.
+ALONE = 2000
+#: Counts up to which a shard looks gains up instead of computing them.
+SMALL = 64
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -46,27 +57,34 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
+def hash_of(word: Column) -> Column:
+    """60 bits of the word's MD5, as Units has them."""
+    return F.conv(F.substring(F.md5(word.cast("binary")), 1, 15), 16, 10).cast("long")
+
+
 class Units(dict):
-    """Unit of a word: 0 the end, 1.. the frequent words, then the endings."""
+    """Unit of a word: 0 the end, 1.. the counted words in the order of their hashes, then the endings."""
 
-    def __init__(self, frequent: list[bytes]):
-        super().__init__((w, i + 1) for i, w in enumerate(frequent))
-        self.frequent, self.first = frequent, 1 + len(frequent)
+    def __init__(self, hashes: np.ndarray):
+        super().__init__()
+        self.hashes, self.first = hashes, 1 + len(hashes)
         self.n = self.first + ENDINGS
 
     def __missing__(self, word: bytes) -> int:
         if len(self) > HELD:
             self.clear()
-            self.update((w, i + 1) for i, w in enumerate(self.frequent))
-        got = self[word] = self.first + zlib.crc32(word[-2:]) % ENDINGS
+        h = int.from_bytes(hashlib.md5(word, usedforsecurity=False).digest()[:8], "big") >> 4
+        i = int(self.hashes.searchsorted(h))
+        known = i < len(self.hashes) and self.hashes[i] == h
+        got = self[word] = i + 1 if known else self.first + zlib.crc32(word[-2:]) % ENDINGS
         return got
 
     def __reduce__(self):
-        return Units, (self.frequent,)
+        return Units, (self.hashes,)
 
 
 def unit_of_tail(word: Column, first: int) -> Column:
-    """The unit of a word that isn't frequent, as Units gives it."""
+    """The unit of a word that isn't counted, as Units gives it."""
     return F.lit(first) + (F.crc32(F.substring(word.cast("binary"), -2, 2)) % ENDINGS).cast("int")
 
 
@@ -88,33 +106,73 @@ def count_words(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.select(F.col(text_col)).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def _summed(code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The codes once each, in order, with their sums."""
+    order = np.argsort(code, kind="stable")
+    code, n = code[order], n[order]
+    new = np.flatnonzero(np.r_[True, code[1:] != code[:-1]][: len(code)])
+    return code[new], np.add.reduceat(n, new) if len(new) else n
+
+
+def _chunks(key: np.ndarray, *columns: np.ndarray) -> Iterator[tuple]:
+    """The columns' bytes by key; keys are in order."""
+    new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
+    for x, y in zip(new.tolist(), [*new[1:].tolist(), len(key)], strict=True):
+        yield int(key[x]), *(c[x:y].tobytes() for c in columns)
+
+
+def _joined(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.int64)
+
+
 def count_bigrams(docs: DataFrame, text_col: str, units: Units) -> DataFrame:
-    """code, n: the first unit times their number plus the second."""
-    made = docs.sparkSession.sparkContext.broadcast(units)
+    """shard, code0, n0, code1, n1: a row for each shard of units, with its bigrams and their counts as bytes of longs.
+
+    0 are those that begin with a unit of the shard, 1 those that end with one; a code is that unit times their number plus the other.
+    Bigrams are summed in parts by a hash first, so that a frequent unit's come together only when each is one row.
+    """
+    spark = docs.sparkSession
+    made, size = spark.sparkContext.broadcast(units), units.n
+    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = made.value
-        find, size, held, run_ = known.__getitem__, known.n, Counter(), []
+        find, run_ = made.value.__getitem__, []
 
-        def add() -> None:
+        def rows() -> pa.RecordBatch:
             s = np.array(run_, np.int64)
             code, n = np.unique(s[:-1] * size + s[1:], return_counts=True)
-            held.update(dict(zip(code.tolist(), n.tolist(), strict=True)))
+            part = (code * 0x9E3779B97F4A7C1 >> 20) % parts  # wraps
+            order = np.argsort(part, kind="stable")
+            got = list(zip(*_chunks(part[order], code[order], n[order].astype(np.int64)), strict=True))
+            return pa.RecordBatch.from_arrays([pa.array(got[0], pa.int32()), pa.array(got[1], pa.binary()), pa.array(got[2], pa.binary())], ["part", "code", "n"])
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 run_ = run_ or [0]
                 run_.extend(map(find, words(text)))
                 run_.append(0)
-                if len(run_) > HELD:
-                    add()
+                if len(run_) > TOKENS:
+                    yield rows()
                     run_ = []
         if len(run_) > 1:
-            add()
-        if held:
-            yield pa.RecordBatch.from_pydict({"code": pa.array(list(held.keys()), pa.int64()), "n": pa.array(list(held.values()), pa.int64())})
+            yield rows()
 
-    return docs.select(F.col(text_col)).mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    def sides(part: pa.Table) -> pa.Table:
+        code, n = _summed(_joined(part.column("code")), _joined(part.column("n")))
+        turned = code % size * size + code // size
+        order = np.argsort(turned, kind="stable")
+        got = [(shard, side, c, k) for side, x, y in ((0, code, n), (1, turned[order], n[order])) for shard, c, k in _chunks(x // size // SHARD, x, y)]
+        return pa.table([pa.array(c, k) for c, k in zip(zip(*got, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["shard", "side", "code", "n"])
+
+    def whole(key: tuple, part: pa.Table) -> pa.Table:
+        got = []
+        for side in (0, 1):
+            own = part.filter(pc.equal(part.column("side"), side))
+            got += _summed(_joined(own.column("code")), _joined(own.column("n")))
+        return pa.table([pa.array([key[0].as_py()], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in got)], ["shard", "code0", "n0", "code1", "n1"])
+
+    summed = docs.select(F.col(text_col)).mapInArrow(run, "part int, code binary, n binary").groupBy("part").applyInArrow(sides, "shard int, side int, code binary, n binary")
+    return summed.groupBy("shard").applyInArrow(whole, "shard int, code0 binary, n0 binary, code1 binary, n1 binary")
 
 
 def _f(x: np.ndarray) -> np.ndarray:
@@ -136,7 +194,14 @@ def exchange(n: int, first: np.ndarray, second: np.ndarray, count: np.ndarray, c
     member[np.flatnonzero(of >= 0), of[of >= 0]] = 1
     right, left = full.astype(np.float64) @ member, full.T.astype(np.float64) @ member  # of each unit, by class
     m = member.T.astype(np.float64) @ right
-    for _ in range(rounds):
+    sweep(order, full, of, right, left, m, rounds, 1e-6)
+    of[of < 0] = np.bincount(of[of > 0], minlength=2)[1:].argmax() + 1 if (of > 0).any() else min(1, classes - 1)
+    return of
+
+
+def sweep(order: np.ndarray, full: np.ndarray, of: np.ndarray, right: np.ndarray, left: np.ndarray, m: np.ndarray, rounds: int | None, least: float) -> None:
+    """Move the units of order one by one, in place, for so many rounds or until none moves. All but the class bigrams m covers these units only."""
+    for _ in itertools.count() if rounds is None else range(rounds):
         moved = 0
         for u in order:
             a, s = of[u], float(full[u, u])
@@ -153,7 +218,7 @@ def exchange(n: int, first: np.ndarray, second: np.ndarray, count: np.ndarray, c
             gain -= _f(rows + r.sum() + s) - _f(rows) + _f(cols + l.sum() + s) - _f(cols)
             gain[0] = -np.inf
             b = int(gain.argmax())
-            if gain[b] <= gain[a] + 1e-6:
+            if gain[b] <= gain[a] + least:
                 b = a
             m[b] += r
             m[:, b] += l
@@ -167,15 +232,182 @@ def exchange(n: int, first: np.ndarray, second: np.ndarray, count: np.ndarray, c
                 left[:, b] += full[u]
         if not moved:
             break
-    of[of < 0] = np.bincount(of[of > 0], minlength=2)[1:].argmax() + 1 if (of > 0).any() else min(1, classes - 1)
-    return of
+
+
+def likelihood(m: np.ndarray) -> float:
+    """Of class bigrams, what depends on the classes."""
+    return float(_f(m).sum() - _f(m.sum(0)).sum() - _f(m.sum(1)).sum())
+
+
+def best_moves(right: np.ndarray, left: np.ndarray, own: np.ndarray, a: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of units with these bigrams by class, with themselves, and classes a: the class to which each alone would move best, and by how much the likelihood then rises."""
+    k, u = len(m), np.arange(len(a))
+    r, l, s = (np.array(x, float) for x in (right, left, own))
+    r[u, a] -= s
+    l[u, a] -= s
+    by_col, by_row = np.ascontiguousarray(m.T), np.ascontiguousarray(m)  # [c] is m[:, c] and m[c]
+    gain = np.zeros((len(a), k))
+    stay = np.zeros(len(a))
+    for x, by in ((r, by_col), (l, by_row)):
+        at_a = x[u, a]
+        x[u, a] = 0
+        w, c = np.nonzero(x)
+        n = x[w, c]
+        counts = np.arange(1, SMALL)
+        table = (_f(by[:, None] + counts[:, None]) - _f(by)[:, None]) if len(w) > k * SMALL else None
+        for some in range(0, len(w), 16384):
+            ws, cs, ns = w[some : some + 16384], c[some : some + 16384], n[some : some + 16384]
+            more = np.empty((len(ws), k))
+            low = (ns < SMALL) & (table is not None)
+            if low.any():
+                more[low] = table[cs[low], ns[low].astype(np.int64) - 1]
+            more[~low] = _f(by[cs[~low]] + ns[~low, None]) - _f(by[cs[~low]])
+            new = np.flatnonzero(np.r_[True, ws[1:] != ws[:-1]])
+            gain[ws[new]] += np.add.reduceat(more, new, axis=0)
+        # In its own class the unit's share is taken out first.
+        held = by[c, a[w]]
+        stay += np.bincount(w, _f(held) - _f(held - n), len(a))
+        x[u, a] = at_a
+    for x, y, by in ((r, l, by_col), (l, r, by_row)):
+        without = by[a] - y
+        gain += _f(without + x[u, a][:, None]) - _f(without)
+    d = m.diagonal()
+    gain += _f(d + r + l + s[:, None]) + _f(d) - _f(d + r) - _f(d + l)
+    d, ra, la = d[a], r[u, a], l[u, a]
+    stay += _f(d) - _f(d - ra - la - s)
+    for x, total in ((r, m.sum(1)), (l, m.sum(0))):
+        n = x.sum(1) + s
+        gain -= _f(total + n[:, None]) - _f(total)
+        stay -= _f(total[a]) - _f(total[a] - n)
+    gain -= stay[:, None]
+    gain[u, a] = 0
+    gain[:, 0] = -np.inf
+    to = gain.argmax(1)
+    return to, gain[u, to]
+
+
+def bigrams_of(units: np.ndarray, first: int, code: bytes, count: bytes, of: np.ndarray, n: int, k: int) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of a shard's side, the bigrams of these units: by class of the other, and one by one (place among units, other, count)."""
+    code, count = np.frombuffer(code, np.int64), np.frombuffer(count, np.int64)
+    row = np.full(SHARD, -1)
+    row[units - first] = np.arange(len(units))
+    at = row[code // n - first]
+    code, count, at = code[at >= 0], count[at >= 0], at[at >= 0]
+    other = code % n
+    return np.bincount(at * k + of[other], count, len(units) * k).reshape(-1, k), (at, other, count)
+
+
+class Shards:
+    """The units' bigrams, and what is asked of them: sums by group, and moves."""
+
+    def __init__(self, rows: DataFrame, n: int):
+        self.rows, self.n = rows, n
+
+    def sums(self, groups: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Codes (first group times k plus second) and counts, at most k squared."""
+        made, n = self.rows.sparkSession.sparkContext.broadcast(groups), self.n
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            of, held = made.value.astype(np.int64), np.zeros(k * k, np.int64)
+            for batch in batches:
+                for code, count in zip(batch.column(0), batch.column(1), strict=True):
+                    code, count = np.frombuffer(code.as_py(), np.int64), np.frombuffer(count.as_py(), np.int64)
+                    by, at = np.unique(of[code // n] * k + of[code % n], return_inverse=True)
+                    held[by] += np.bincount(at, count, len(by)).astype(np.int64)
+            at = np.flatnonzero(held)
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(held[at], pa.int64())], ["code", "n"])
+
+        got = self.rows.select("code0", "n0").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+        made.unpersist()
+        return got.column("code").to_numpy(), got.column("n").to_numpy()
+
+    def table(self, of: np.ndarray, k: int) -> np.ndarray:
+        m = np.zeros(k * k)
+        code, n = self.sums(of, k)
+        m[code] = n
+        return m.reshape(k, k)
+
+    def moves(self, of: np.ndarray, m: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the units that are asked for and gain by a move: unit, class, gain."""
+        made, n, k = self.rows.sparkSession.sparkContext.broadcast((of, asked, m)), self.n, len(m)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            of, asked, m = made.value
+            for batch in batches:
+                for shard, *sides in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    first = shard * SHARD
+                    units = first + np.flatnonzero(asked[first : first + SHARD])
+                    (right, (u, v, count)), (left, _) = (bigrams_of(units, first, *x, of, n, k) for x in (sides[:2], sides[2:]))
+                    own = np.bincount(u, np.where(units[u] == v, count, 0), len(units))
+                    seen = np.flatnonzero(right.sum(1) + left.sum(1))
+                    to, gain = best_moves(right[seen], left[seen], own[seen], of[units[seen]].astype(np.int64), m)
+                    up = gain > GAIN
+                    yield pa.RecordBatch.from_arrays([pa.array(units[seen][up], pa.int64()), pa.array(to[up], pa.int32()), pa.array(gain[up])], ["unit", "to", "gain"])
+
+        got = self.rows.mapInArrow(run, "unit long, to int, gain double").toArrow()
+        made.unpersist()
+        return tuple(got.column(c).to_numpy() for c in ("unit", "to", "gain"))
+
+    def alone(self, of: np.ndarray, m: np.ndarray, units: np.ndarray) -> None:
+        """Move these few units one by one until none of them gains; of and m change in place."""
+        made, n, k = self.rows.sparkSession.sparkContext.broadcast((of, np.sort(units))), self.n, len(m)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            of, chosen = made.value
+            for batch in batches:
+                for shard, *sides in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    first = shard * SHARD
+                    units = chosen[np.searchsorted(chosen, first) : np.searchsorted(chosen, first + SHARD)]
+                    if len(units):
+                        (right, (u, v, count)), (left, _) = (bigrams_of(units, first, *x, of, n, k) for x in (sides[:2], sides[2:]))
+                        at = np.minimum(np.searchsorted(chosen, v), len(chosen) - 1)
+                        both = chosen[at] == v
+                        got = (units, right, left, units[u[both]], v[both], count[both])
+                        yield pa.RecordBatch.from_arrays([pa.array([x.astype(np.int64).tobytes()], pa.binary()) for x in got], ["units", "r", "l", "u", "v", "n"])
+
+        got = self.rows.mapInArrow(run, "units binary, r binary, l binary, u binary, v binary, n binary").toArrow()
+        made.unpersist()
+        units, right, left, u, v, count = (_joined(c) for c in got.columns)
+        order = np.argsort(units)
+        units = units[order]
+        right, left = (x.reshape(-1, k)[order].astype(float) for x in (right, left))
+        full = np.zeros((len(units), len(units)), np.float32)
+        full[np.searchsorted(units, u), np.searchsorted(units, v)] = count
+        its = of[units].astype(np.int64)
+        sweep(np.arange(len(units)), full, its, right, left, m, None, GAIN)
+        of[units] = its
+
+    def exchange(self, of: np.ndarray, k: int) -> np.ndarray:
+        """The classes after all moves that raise the likelihood, from the given ones. Unit 0 stays."""
+        asked = np.ones(self.n, bool)
+        asked[0] = False
+        of, m = of.copy(), self.table(of, k)
+        while True:
+            unit, to, gain = self.moves(of, m, asked)
+            if not len(unit):
+                return of
+            order = np.lexsort((unit, -gain))
+            while len(order) > ALONE:
+                tried = of.copy()
+                tried[unit[order]] = to[order]
+                new = self.table(tried, k)
+                # Together they must bring a fair part of what each would bring alone.
+                if likelihood(new) - likelihood(m) > gain[order].sum() / 4:
+                    of, m = tried, new
+                    break
+                order = order[: len(order) // 2]
+            else:
+                before = likelihood(m)
+                self.alone(of, m, unit[order])
+                if likelihood(m) - before < GAIN / 2:  # below what the sums can tell
+                    return of
 
 
 class Model:
     """What a worker needs to score a text: units, classes, transitions and the most frequent words' counts."""
 
     def __init__(self, units: Units, of: np.ndarray, step: np.ndarray, total: np.ndarray, kinds: np.ndarray, discount: float, lookup: dict[bytes, int], n: int, v: int, ends: int):
-        self.units, self.of, self.step, self.total, self.kinds, self.discount = units, of.tolist(), step, total, kinds, discount
+        self.units, self.of, self.step, self.total, self.kinds, self.discount = units, of.astype(np.uint8).tobytes(), step, total, kinds, discount
         self.lookup, self.n, self.v, self.ends = lookup, n, v, ends
 
     def base(self, count: float) -> float:
@@ -200,22 +432,30 @@ def fit(train: DataFrame, text_col: str = "text", classes: int = CLASSES) -> tup
         least, above = n, above + kinds
     top = counts.where(F.col("n") >= least).collect() if least else []  # at most LOOKUP rows
     lookup = {r.word.encode(): r.n for r in top}
-    units = Units(sorted(lookup, key=lambda w: (-lookup[w], w))[:FREQUENT])
-    pairs = count_bigrams(train, "t", units).toPandas()  # at most the units' number squared
-    if not len(pairs):
+    own = counts.where(F.col("n") >= COUNTED).select(hash_of(F.col("word")).alias("h"), "n", unit_of_tail(F.col("word"), 0).alias("tail")).toArrow()
+    own = [own.column(c).to_numpy() for c in ("h", "n", "tail")]
+    hashes, at = np.unique(own[0], return_index=True)
+    often, tail = own[1][at], own[2][at]
+    units = Units(hashes)
+    shards = Shards(common.written(count_bigrams(train, "t", units), "bigrams"), units.n)
+    # First the most frequent words and the endings, here; their number doesn't grow.
+    frequent = np.lexsort((hashes, -often))[:FREQUENT]
+    group = np.r_[0, 1 + len(frequent) + tail, 1 + len(frequent) + np.arange(ENDINGS)].astype(np.int32)
+    group[1 + frequent] = 1 + np.arange(len(frequent))
+    size = 1 + len(frequent) + ENDINGS
+    code, count = shards.sums(group, size)
+    if not len(code):
         return None, counts
-    code, count = pairs["code"].to_numpy(), pairs["n"].to_numpy()
-    of = exchange(units.n, code // units.n, code % units.n, count, classes)
+    of = exchange(size, code // size, code % size, count, classes)
     k = int(of.max()) + 1
-    m = np.zeros((k, k))
-    np.add.at(m, (of[code // units.n], of[code % units.n]), count)
+    of = shards.exchange(of[group].astype(np.uint8), k)
+    m = shards.table(of, k)
     total = m.sum(0)
     share = (total + 0.5) / (total.sum() + 0.5 * k)
     after, kinds = m.sum(1, keepdims=True), np.maximum((m > 0).sum(1, keepdims=True), 1)
     step = np.log10((m + kinds * share) / (after + kinds))
-    # Words by class: the frequent ones are units, the rest is counted by unit.
-    frequent = [w.decode() for w in units.frequent]
-    tail = counts.where(~F.col("word").isin(frequent)) if frequent else counts
+    # Words by class: those that are units, and the rest counted by unit.
+    tail = counts.where(F.col("n") < COUNTED)
     types = np.zeros(units.n)
     types[1 : units.first] = 1
     for r in tail.groupBy(unit_of_tail(F.col("word"), units.first).alias("u")).count().collect():

@@ -178,6 +178,41 @@ def test_op3_exchange_raises_likelihood():
     assert len({of[i] for i in range(1, 21, 2)}) == 1 and len({of[i] for i in range(2, 21, 2)}) == 1 and of[1] != of[2]
 
 
+def op3_by_context(spark):
+    """1100 words between a and b, then two rarer words of one ending: one stands as a does, one as b does."""
+    x = np.random.default_rng(5)
+    often = [f"w{i}" for i in range(1100)]
+    lines = [" ".join(y for w in x.choice(often, 30) for y in ("aa", w, "bb")) for _ in range(600)]
+    lines += [" ".join(f"{start} {x.choice(often)} {end}" for _ in range(4)) for start, end in (("onexy", "bb"), ("aa", "twoxy")) for _ in range(4)]
+    return spark.createDataFrame([(i, t) for i, t in enumerate(lines)], "doc_id long, text string")
+
+
+def test_op3_rarer_words_have_classes_of_their_own(spark):
+    m, _ = class_lm.fit(op3_by_context(spark))
+    of = lambda w: m.of[m.units[w]]
+    assert of(b"onexy") != of(b"twoxy")
+
+
+def test_op3_no_move_is_left(spark, sf_dir):
+    docs = common.table(spark, sf_dir, "documents", "doc_id", "text").limit(150)
+    m, _ = class_lm.fit(docs)
+    of = np.frombuffer(m.of, np.uint8)
+    shards = class_lm.Shards(class_lm.count_bigrams(docs, "text", m.units), m.units.n)
+    unit, _, gain = shards.moves(of, shards.table(of, len(m.total)), np.arange(len(of)) > 0)
+    assert gain.sum() < 0.1
+
+
+def test_op3_best_moves_as_by_recounting():
+    x = np.random.default_rng(1)
+    full = x.poisson(0.7, (30, 30)) + 70.0 * (x.random((30, 30)) < 0.05)
+    of = np.r_[0, x.integers(1, 6, 29)]
+    table = lambda of: np.eye(6)[of].T @ full @ np.eye(6)[of]
+    to, gain = class_lm.best_moves((full @ np.eye(6)[of])[1:], (full.T @ np.eye(6)[of])[1:], full.diagonal()[1:], of[1:], table(of))
+    for u in range(1, 30):
+        moved = [class_lm.likelihood(table(np.where(np.arange(30) == u, b, of))) - class_lm.likelihood(table(of)) for b in range(1, 6)]
+        assert abs(max(moved) - gain[u - 1]) < 1e-6 and abs(moved[to[u - 1] - 1] - gain[u - 1]) < 1e-6
+
+
 def test_op4(spark, sf_dir):
     lang = {r.doc_id: r.lang for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     got = registry.op4_ppm_language(spark, sf_dir).collect()
