@@ -285,6 +285,14 @@ def test_op5_model_tells_hosts_apart():
     assert judge.score("good999.example.org/fr/7") > 0.5 > judge.score("casino777.bad.net/x/3")
 
 
+def test_op5_judges_the_whole_url(spark):
+    urls = [f"http://{h}/{p}/{i}?ref={q}{i}#top" for h, p, q in (("good.org", "fr", "news"), ("bad.net", "x", "casino")) for i in range(60)]
+    urls += ["http://other.io/a?ref=news7", "http://other.io/a?ref=casino7", "other.io/ref=news7", "other.io/ref=casino7"]
+    got = {r.url: r for r in url_filter.judge(spark.createDataFrame([(u,) for u in urls], "url string")).collect()}
+    for a, b in (urls[-4:-2], urls[-2:]):
+        assert got[a].rule is None and got[b].rule is None and got[a].url_score > got[b].url_score
+
+
 def test_op6(spark, sf_dir, documents):
     got = {r.doc_id: r for r in registry.op6_fuzzy_lines(spark, sf_dir).collect()}
     first = {}
