@@ -70,9 +70,10 @@ def op7_token_files(spark: SparkSession, sf_dir: str, path: str | None = None) -
 
 
 def op8_qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, item_id, start, end, edits: a row for each benchmark passage that a document holds; documents without any have no row."""
+    """doc_id, contaminated, n_passages, passages (item_id, start, end, edits): a row for each document with the benchmark passages that it holds."""
     docs, items = common.table(spark, sf_dir, "documents", "doc_id", "text"), common.table(spark, sf_dir, "benchmark", "item_id", "text")
-    return qgram_decontamination.find(docs, items).select(F.col("id").alias("doc_id"), "item_id", "start", "end", "edits")
+    n = F.size("__passages")
+    return qgram_decontamination.flagged(docs, items).select("doc_id", (n > 0).alias("contaminated"), n.alias("n_passages"), F.col("__passages").alias("passages"))
 
 
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -53,7 +53,7 @@ def documents(spark, sf_dir):
     return {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
 
 
-@pytest.mark.parametrize("name", [n for n in registry.QUERIES if n not in ("op5_url_filter", "op8_qgram_decontamination")])
+@pytest.mark.parametrize("name", [n for n in registry.QUERIES if n != "op5_url_filter"])
 def test_hard_rows_and_no_rows(spark, hard, nothing, name):
     got = registry.QUERIES[name](spark, hard).collect()
     assert len(got) == len(HARD)
@@ -322,16 +322,20 @@ def test_op8(spark, sf_dir, documents):
     plain = lambda t: " ".join(re.findall(r"[^\W_]+", t.lower()))
     items = {r.item_id: plain(r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()}
     rows = registry.op8_qgram_decontamination(spark, sf_dir).collect()
-    got = {(r.doc_id, r.item_id) for r in rows}
-    assert len(got) == len(rows) and all(r.edits <= len(items[r.item_id]) / 10 for r in rows)
+    assert sorted(r.doc_id for r in rows) == sorted(documents) and all(r.contaminated == (r.n_passages > 0) and r.n_passages == len(r.passages) for r in rows)
+    got = {(r.doc_id, p.item_id) for r in rows for p in r.passages}
+    assert all(p.edits <= len(items[p.item_id]) / 10 and 0 <= p.start < p.end <= len(documents[r.doc_id]) for r in rows for p in r.passages)
     assert got >= {(i, k) for i, t in documents.items() for k, x in items.items() if x in plain(t)}
     assert len({i for i, _ in got}) < len(documents) / 10
 
 
 def test_op8_hard_rows(spark, hard, nothing):
     got = registry.op8_qgram_decontamination(spark, hard).collect()
-    assert [(r.doc_id, r.item_id, r.edits) for r in got] == [(10, 1, 0)] and HARD[12][1][got[0].start : got[0].end] == text(4)
-    assert registry.op8_qgram_decontamination(spark, nothing).collect() == []
+    assert [(r.doc_id, p.item_id, p.edits, HARD[12][1][p.start : p.end]) for r in got for p in r.passages] == [(10, 1, 0, text(4))]
+    docs = spark.createDataFrame([(1, f"x {text(5)} y"), (1, f"x {text(5)} y"), (None, text(6)), (2, None), (3, " Yes! ")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, text(5)), (7, text(6)), (8, "yes"), (9, "..."), (None, None)], "item_id long, text string")
+    got = qgram_decontamination.flagged(docs, items).collect()
+    assert sorted((str(r.doc_id), [(p.item_id, p.edits) for p in r["__passages"]]) for r in got) == [("1", [(None, 0)])] * 2 + [("2", []), ("3", [(8, 0)]), ("None", [(7, 0)])]
 
 
 def edits(a, b):
@@ -346,22 +350,49 @@ def edits(a, b):
 
 
 def test_op8_with_edits():
+    """Against full dynamic programming; passages in the middle of a text, cut at its borders, first and last of a batch."""
     x = np.random.default_rng(5)
     items = [(i, text(200 + i, 30)) for i in range(6)]
     index = qgram_decontamination.Items(items)
-    for trial in range(40):
+    for trial in range(120):
         i, t = items[trial % 6]
         t = list(t)
-        for _ in range(int(x.integers(0, 24))):
+        for _ in range(int(x.integers(0, 24 if trial < 60 else 12))):
             p = int(x.integers(0, len(t)))
             t[p : p + 1] = [[], ["z"], [t[p], "q"]][int(x.integers(0, 3))]
-        doc = text(900 + trial, 40) + " " + "".join(t) + " " + text(800 + trial, 40)
+        t, cut = "".join(t), int(x.integers(0, 18))
+        doc = [f"{text(900 + trial, 40)} {t} {text(800 + trial, 40)}", t[: len(t) - cut], t[cut:], f"{text(900 + trial, 9)} {t[: len(t) - cut]}"][trial % 4]
+        doc = " ".join(doc.split())  # as it is compared
         e = edits(items[i][1], doc)
-        found = {r[1]: r for r in index.find(["before", doc, "after"])}
-        assert (i in found) == (e <= int(index.edits[i])), (trial, e, index.edits[i])
-        if i in found:
-            _, _, a, b, n = found[i]
-            assert n == e and edits(items[i][1], doc[a:b]) <= e
+        for batch, at in ((["before", doc, "after"], 1), ([doc], 0), ([doc, "zzz other text", items[0][1]], 0), (["other text " + items[1][1][:90], doc], 1)):
+            found = {r[1]: r for r in index.find(batch) if r[0] == at}
+            assert (i in found) == (e <= int(index.edits[i])), (trial, e, index.edits[i])
+            if i in found:
+                _, _, a, b, n = found[i]
+                assert n == e and 0 <= a < b <= len(doc) and edits(items[i][1], doc[a:b]) <= e
+
+
+def test_op8_repetitive_texts_and_short_items():
+    index = qgram_decontamination.Items([(1, "ha " * 80), (2, "Short one"), (3, "これは短い文です。"), (4, text(9, 30))])
+    for batch in (["ha " * 6666], ["x", "ha " * 6666 + "!"], ["ha " * 6666, "ha"]):
+        got = [r for r in index.find(batch) if r[1] == 1]
+        assert len(got) >= 70 and all(n <= index.edits[0] and edits(("ha " * 80).strip(), batch[t][a:b]) <= n for t, _, a, b, n in got[:3])
+        spans = sorted(r[2:4] for r in got)
+        assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:], strict=False))
+    assert [r[1] for r in index.find(["a short one.", "ashort one", "short ones", "彼は言ったこれは短い文ですと", "Short  ONE"])] == [2, 3, 2]
+    twice = text(9, 30) + " between them " + text(9, 30)
+    assert [(twice[a:b], n) for _, _, a, b, n in index.find([twice])] == [(text(9, 30), 0)] * 2
+
+
+def test_op8_any_slices_and_batches(monkeypatch):
+    items = [(i, text(200 + i, 30)) for i in range(4)] + [(9, "ha " * 60)]
+    docs = [f"{text(i, 50)} {items[i % 5][1][i:]} {text(70 + i, 50)}" for i in range(20)] + ["ha " * 900]
+    want = sorted(qgram_decontamination.Items(items).find(docs))
+    assert len(want) > 20
+    monkeypatch.setattr(qgram_decontamination, "HITS", 40)
+    index = qgram_decontamination.Items(items)
+    assert sorted(index.find(docs)) == want
+    assert sorted((i, *r[1:]) for i, d in enumerate(docs) for r in index.find([d])) == want
 
 
 def test_op9(spark, sf_dir, documents):
