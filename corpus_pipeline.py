@@ -47,7 +47,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark passage."""
-    return qgram_decontamination.flagged(docs, common.table(spark, sf_dir, "benchmark", "item_id", "text")).where(F.size("__items") == 0).select(*docs.columns)
+    return qgram_decontamination.flagged(docs, common.table(spark, sf_dir, "benchmark", "item_id", "text")).where(F.size("__passages") == 0).select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
