@@ -379,7 +379,7 @@ def test_op8_repetitive_texts_and_short_items():
         assert len(got) >= 70 and all(n <= index.edits[0] and edits(("ha " * 80).strip(), batch[t][a:b]) <= n for t, _, a, b, n in got[:3])
         spans = sorted(r[2:4] for r in got)
         assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:], strict=False))
-    assert [r[1] for r in index.find(["a short one.", "ashort one", "short ones", "彼は言ったこれは短い文ですと", "Short  ONE"])] == [2, 3, 2]
+    assert [r[1] for r in index.find(["a short one.", "ashort one", "short ones", "彼は言ったこれは短い文です。と", "Short  ONE"])] == [2, 3, 2]
     twice = text(9, 30) + " between them " + text(9, 30)
     assert [(twice[a:b], n) for _, _, a, b, n in index.find([twice])] == [(text(9, 30), 0)] * 2
 
