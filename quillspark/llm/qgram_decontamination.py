@@ -40,7 +40,8 @@ BITS = 22
 #: Regions that are aligned together.
 TOGETHER = 256
 KNOWN = 0x530
-END = 10
+#: What stands at a text's end and before its start, and beyond its end, when it is aligned.
+END, PAST = 10, 11
 #: What it costs to match a character beyond a text's border: more than any edits.
 NEVER = 1 << 20
 
@@ -85,7 +86,7 @@ def align(items: list[np.ndarray], texts: np.ndarray, width: int, anchor: np.nda
     """Of each item and its row of texts, the least edits between the item and a part of the row, and the diagonal where that part ends.
 
     The part begins on any of the first `width` diagonals for free, or, with anchors, on the row's own. Rows of many items advance together,
-    the longest items first, so that those that are done fall away at the end. END in a row is never matched.
+    the longest items first, so that those that are done fall away at the end. END and PAST in a row are never matched, and no part reaches into PAST.
     """
     size = np.array([len(c) for c in items])
     order = np.argsort(-size, kind="stable")
@@ -100,9 +101,10 @@ def align(items: list[np.ndarray], texts: np.ndarray, width: int, anchor: np.nda
     for k in range(int(size[0])):
         part = texts[:n, k : k + width]
         step = row + (part != codes[:n, k, None])
-        step[part == END] = NEVER
+        step[part < 32] = NEVER
         np.minimum(step[:, :-1], row[:, 1:] + 1, out=step[:, :-1])
         row = np.minimum.accumulate(step - i, axis=1) + i
+        row[part == PAST] = NEVER
         left = int(np.count_nonzero(size > k + 1))
         if left < n:
             done = order[left:n]
@@ -188,7 +190,7 @@ class Items:
                 upto = hit[b] if b < len(hit) else len(codes)
                 some = hit[a : int(np.searchsorted(hit, upto + reach))]
                 first = hit[a] if a else -reach
-                for item, text, low in self.bands(h, some, ends, first, upto):
+                for item, text, low in self.bands(h, some, starts, first, upto):
                     self.verify(item, text, low, codes, starts, ends, found)
                 a = b
         out = []
@@ -205,10 +207,12 @@ class Items:
             out += [(t, i, int(at[a] - base[t]), int(at[b - 1] + 1 - base[t]), 0) for i in self.whole.get(codes[a:b].tobytes(), ())]
         return out
 
-    def bands(self, h: np.ndarray, hit: np.ndarray, ends: np.ndarray, first: int, upto: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Items, texts and bands (their number times the step is the first diagonal) that reach the bound, of bands that begin in [first, upto)."""
+    def bands(self, h: np.ndarray, hit: np.ndarray, starts: np.ndarray, first: int, upto: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Items, texts and bands (their number times the step is the first diagonal, from the text's start) that reach the bound, of bands that begin in [first, upto)."""
+        text = np.searchsorted(starts, hit, "right") - 1
+        own = hit - starts[text]
         k, item, place = self.rare.rows(h[hit])
-        low = (hit[k] - place) // self.step[item]
+        low = (own[k] - place) // self.step[item]
         # Bands [b * step, (b + 2) * step): a diagonal lies in two.
         k, item, place, low = np.r_[k, k], np.r_[item, item], np.r_[place, place], np.r_[low, low - 1]
         w, of = self.often.rows(h[hit])
@@ -216,14 +220,13 @@ class Items:
         more = np.repeat(np.arange(len(w)), n)
         back = np.arange(len(more)) - np.repeat(np.cumsum(n) - n, n)
         w, of = w[more], of[more]
-        k, item, low = np.r_[k, w], np.r_[item, of], np.r_[low, hit[w] // self.step[of] - back]
+        k, item, low = np.r_[k, w], np.r_[item, of], np.r_[low, own[w] // self.step[of] - back]
         place = np.r_[place, -1 - hit[w]]  # each of these hits counts once
-        begin = low * self.step[item]
+        begin = starts[text[k]] + low * self.step[item]
         mine = (begin >= first) & (begin < upto)
-        text = np.searchsorted(ends, hit[k[mine]])
-        columns = [item[mine], text, low[mine], place[mine]]
-        if not len(text):
+        if not mine.any():
             return
+        columns = [item[mine], text[k[mine]], low[mine], place[mine]]
         least = [int(c.min()) for c in columns]
         wide = [int(c.max()) - x + 1 for c, x in zip(columns, least, strict=True)]
         if math.prod(wide) < 1 << 62:
@@ -249,7 +252,7 @@ class Items:
         """Add to found what the bands hold within the items' edits; places in codes."""
         chosen, budget, step = [self.codes[i] for i in item], self.edits[item], self.step[item]
         size, width = self.size[item], 4 * int(step.max()) + 1
-        start = low * step - step
+        start = starts[text] + low * step - step
         edits, diagonal = align(chosen, around(codes, start, int(size.max()) + width, starts[text], ends[text]), width)
         good = np.flatnonzero(edits <= budget)
         if not len(good):
@@ -272,9 +275,12 @@ def border(codes: np.ndarray, place: np.ndarray) -> np.ndarray:
 
 
 def around(codes: np.ndarray, start: np.ndarray, n: int, first: np.ndarray, upto: np.ndarray) -> np.ndarray:
-    """A row of n codes from each start; END outside [first, upto)."""
+    """A row of n codes from each start; END before first, PAST from upto on."""
     place = start[:, None] + np.arange(n)
-    return np.where((place >= first[:, None]) & (place < upto[:, None]), codes[np.clip(place, 0, len(codes) - 1)], END)
+    made = codes[np.clip(place, 0, len(codes) - 1)]
+    made[place < first[:, None]] = END
+    made[place >= upto[:, None]] = PAST
+    return made
 
 
 def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
