@@ -1,13 +1,13 @@
 """Byte-level BPE with the tokenizers library, over Arrow batches.
 
-A text is cut at places where no match of the split pattern can cross: before a space that stands between
-two characters that aren't white space. What lies between two cuts is encoded once for each Python worker
-and then looked up, so the library sees each distinct piece instead of each occurrence. (A piece of letters and marks is
-handed to the library's model as its one or two matches, in characters that stand for bytes; any other, whole.) Pieces
-follow each other without gaps, hence the ids of a text are those that the library gives for the whole text.
-
-Null texts count as empty; empty texts give no ids. Texts may be of any length: pieces longer than
-LONGEST characters are encoded on their own and not kept.
+A text is cut at places where no match of the split pattern can cross: before white space that follows anything else. What
+lies between two cuts is encoded once for each Python worker and then looked up, so the library sees each distinct
+piece instead of each occurrence. Arrow cuts a batch at its spaces and line feeds and finds its distinct pieces; ids are gathered
+by numpy. (A piece of letters and marks is handed to the library's model as its matches, in characters
+that stand for bytes; any other, whole.) Pieces follow each other without gaps, hence the ids of a text are those
+that the library gives for the whole text.
+
+Null texts count as empty; empty texts give no ids. Texts may be of any length.
 """
 
 from __future__ import annotations
@@ -18,26 +18,22 @@ import os
 import re
 from array import array
 from collections.abc import Callable, Iterable, Iterator
-from itertools import accumulate, chain, pairwise
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import SparkFiles
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Safe cuts. Python's \s holds every white space that the pattern's \s does, so \S is never white space there.
-CUT = re.compile(r"(?<=\S)(?= \S)")
-#: Letters, then marks: two matches of the split pattern (with the space before the letters), whatever stands after them.
-SIMPLE = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([.,;:!?*$%&#|]*)")
-LONGEST = 64
-#: Marks the first piece of a text, which has no space before it; after a space no piece begins with one.
-FIRST = " "
-#: Distinct pieces that a Python worker keeps, or somewhat more.
-KEPT_PIECES = 500_000
-#: Characters that go through the library at once.
-AT_ONCE = 1_000_000
+#: Letters and marks. A line feed, letters (with a space before them) and marks after them are separate matches of the split pattern, whatever stands around them.
+LETTERS, MARKS = re.compile(r"[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+"), ".,;:!?*$%&#|"
+#: Distinct pieces, and characters of these, that a Python worker keeps.
+KEPT_PIECES, KEPT_CHARACTERS = 600_000, 40_000_000
+#: Bytes of text that are cut at once, and ids or pieces that are gathered at once.
+AT_ONCE, GATHERED = 4_000_000, 500_000
 
 
 def byte_table() -> list[str]:
@@ -90,85 +86,141 @@ def load_tokenizer(path: str):
     return made
 
 
-class Pieces:
-    """Ids of texts as little-endian unsigned integers, through a bounded store of pieces.
+class Joined:
+    """Byte strings one after another, gathered by number."""
+
+    def __init__(self, parts: Iterable[bytes] = ()):
+        self.flat, self.ends = bytearray(), array("q", [0])
+        for x in parts:
+            self.append(x)
+        self.arrays = None
+
+    def append(self, x: bytes) -> None:
+        self.flat += x
+        self.ends.append(len(self.flat))
+        self.arrays = None
+
+    def freeze(self, dtype) -> None:
+        ends = np.array(self.ends) // np.dtype(dtype).itemsize
+        self.arrays = np.frombuffer(bytes(self.flat), dtype), ends[:-1], np.diff(ends)
+
+    def lengths(self, numbers: np.ndarray) -> np.ndarray:
+        return self.arrays[2][numbers]
+
+    def gather(self, numbers: np.ndarray) -> np.ndarray:
+        """The strings of the numbers, joined."""
+        flat, start, size = self.arrays
+        out, at = np.empty(int(size[numbers].sum()), flat.dtype), 0
+        for a in range(0, len(numbers), GATHERED):
+            some = numbers[a : a + GATHERED]
+            n = size[some]
+            ends = np.cumsum(n)
+            total = int(ends[-1])
+            out[at : at + total] = flat[np.repeat(start[some] - ends + n, n) + np.arange(total)]
+            at += total
+        return out
 
-    The store has two halves. New and used pieces go to the young one; when it is full, it becomes the old one, so
-    that frequent pieces stay and rare ones go.
-    """
 
-    def __init__(self, tokenizer, dtype: str = "<u4", kept: int = KEPT_PIECES):
-        self.tokenizer, self.model, self.dtype = tokenizer, tokenizer.model, np.dtype(dtype)
-        self.kept, self.young, self.old, self.marks = kept // 2, {}, {}, {}
-        self.shown = dict(enumerate(byte_table()))
-
-    def ids(self, pieces: list[str]) -> list[bytes]:
-        made, cut = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False), self.dtype.itemsize
-        ids = [e.ids for e in made]
-        ends = np.cumsum([0, *map(len, ids)]) * cut
-        flat = np.fromiter(chain.from_iterable(ids), self.dtype, int(ends[-1]) // cut).tobytes()
-        return [flat[a:b] for a, b in pairwise(ends.tolist())]
-
-    def match(self, text: str) -> bytes:
-        """Ids of what the split pattern gives as one match: its bytes as characters, merged by the library's model."""
-        # of the characters that come here, ASCII ones but the space stand for themselves
-        shown = text.replace(" ", self.shown[32]) if text.isascii() else text.encode().decode("latin-1").translate(self.shown)
-        return array(self.dtype.char, [t.id for t in self.model.tokenize(shown)]).tobytes()
-
-    def word(self, word: str) -> bytes:
-        """Ids of a space and a word of letters."""
-        got = self.young.get(word)
-        if got is None:
-            got = self.young[word] = self.old.get(word) or self.match(f" {word}")
-        return got
-
-    def learn(self, pieces: list[str]) -> None:
-        """Put pieces into the young half: letters and what follows them are cut here, all else by the library."""
-        young, marks, rest = self.young, self.marks, []
-        for p in pieces:
-            if len(p) > LONGEST:
-                rest.append(p)
-            elif p.isascii() and p.isalpha():
-                self.word(p)
-            elif found := SIMPLE.fullmatch(p):
-                word, mark = found.groups()
-                if mark not in marks:
-                    marks[mark] = self.match(mark) if mark else b""
-                young[p] = self.word(word) + marks[mark] if mark else self.word(p)
+class Pieces:
+    """Ids of texts as little-endian unsigned integers, through a bounded store of pieces."""
+
+    def __init__(self, tokenizer, dtype: str = "<u4"):
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.tokenizer, self.dtype = tokenizer, np.dtype(dtype)
+        #: For matches in characters that stand for bytes, with spaces between them.
+        self.merger = Tokenizer(tokenizer.model)
+        self.merger.pre_tokenizer = pre_tokenizers.Split(" ", "removed")
+        shown = byte_table()
+        self.shown = dict(enumerate(shown)) | {10: " ", 13: shown[10]}
+        vocab = tokenizer.get_vocab(with_added_tokens=False)
+        self.size = np.zeros(max(vocab.values(), default=0) + 1, np.int64)
+        self.size[list(vocab.values())] = list(map(len, vocab))
+        self.forget()
+
+    def forget(self) -> None:
+        """Numbers of pieces, by their text without the space before them; pieces that begin a text are apart."""
+        self.known: tuple[dict[str, int], dict[str, int]] = ({}, {})
+        self.words: dict[str, bytes] = {"": b""}
+        self.ids, self.open, self.characters = Joined(), bytearray(), 0
+
+    def merge(self, words: list[str]) -> None:
+        """Learn the ids of matches of the split pattern: their bytes as characters, merged by the library. A line feed comes as a carriage return."""
+        shown = [x if x.isascii() else x.encode().decode("latin-1") for x in words]
+        made = self.merger.encode_batch_fast(["\n".join(shown).translate(self.shown)], add_special_tokens=False)[0].ids
+        ids = np.array(made, self.dtype)
+        # tokens cover the characters without gaps
+        ends = np.searchsorted(np.cumsum(self.size[ids]), np.cumsum(list(map(len, shown))), "right") * self.dtype.itemsize
+        flat = ids.tobytes()
+        self.words |= zip(words, (flat[a:b] for a, b in pairwise([0, *ends.tolist()])), strict=True)
+
+    def add(self, known: dict[str, int], name: str, ids: bytes) -> None:
+        known[name] = len(self.open)
+        self.characters += len(name)
+        self.open.append(not name or name[-1].isspace())
+        self.ids.append(ids)
+
+    def numbers(self, names: list[str], first: bool) -> np.ndarray:
+        got = list(map(self.known[first].get, names))
+        if None in got:
+            self.learn([x for x, k in zip(names, got, strict=True) if k is None], first)
+            got = list(map(self.known[first].get, names))
+        return np.array(got, np.int32)
+
+    def learn(self, names: list[str], first: bool) -> None:
+        """Number new pieces."""
+        known, words, rest, parts, space = self.known[first], self.words, {}, {}, "" if first else " "
+        for name in names:
+            line = not first and name[:1] == "\n"
+            core = name[line:]
+            word = core.rstrip(MARKS)
+            if word.isalpha() and (word.isascii() or LETTERS.fullmatch(word)):
+                parts[name] = ("\r", word, core[len(word) :]) if line else ("", space + word, core[len(word) :])
             else:
-                rest.append(p)
-        young.update(zip(rest, self.ids([p[1:] if p[:1] == FIRST else f" {p}" for p in rest]), strict=True))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """A piece is known by its text without the space before it; the first of a text, by FIRST and its text."""
-        cut = list(map(self.cut, texts))
-        if len(self.young) > self.kept:
-            self.young, self.old = {}, self.young
-        if len(self.marks) > self.kept:
-            self.marks.clear()
-        young, old, flat = self.young, self.old, list(chain.from_iterable(cut))
-        got = list(map(young.get, flat))
-        lacking = [i for i, x in enumerate(got) if x is None]
-        names = {flat[i] for i in lacking}
-        young.update((p, old[p]) for p in names if p in old)
-        self.learn([p for p in names if p not in young])
-        for i in lacking:
-            got[i] = young[flat[i]]
-        ends = [0, *accumulate(map(len, cut))]
-        out = [b"".join(got[a:b]) for a, b in pairwise(ends)]
-        for p in names:
-            if len(p) > LONGEST:
-                del young[p]
-        return out
-
-    @staticmethod
-    def cut(text: str) -> list[str]:
-        pieces = text.split(" ")
-        if "" in pieces or list(map(str.strip, pieces)) != pieces:  # other white space beside a space
-            pieces = [p[i > 0 :] for i, p in enumerate(CUT.split(text))] if text else []
-        if pieces:
-            pieces[0] = FIRST + pieces[0]
-        return pieces
+                # a line feed was given a space before it, to be cut there
+                rest[name] = (space + name).replace(" \n", "\n")
+        new = list({x: None for part in parts.values() for x in part if x not in words})
+        if new:
+            self.merge(new)
+        for name, (line, word, marks) in parts.items():
+            self.add(known, name, words[line] + words[word] + words[marks])
+        for name, made in zip(rest, self.tokenizer.encode_batch_fast(list(rest.values()), add_special_tokens=False) if rest else (), strict=True):
+            self.add(known, name, array(self.dtype.char, made.ids).tobytes())
+
+    def number(self, pieces: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of all pieces, and where each text's end. Where one ends in white space, it and the next are one piece."""
+        ends = pieces.offsets.to_numpy().astype(np.int64)
+        coded = pieces.values.slice(ends[0], ends[-1] - ends[0]).dictionary_encode()
+        ends -= ends[0]
+        names, of = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
+        number = self.numbers(names, False)[of]
+        is_open = np.frombuffer(self.open, np.uint8).astype(bool)[number]
+        begins = np.r_[True, ~is_open[:-1]]
+        begins[ends[:-1]] = True
+        start = np.flatnonzero(begins)
+        size = np.diff(np.r_[start, len(number)])
+        number = number[start]
+        texts = np.searchsorted(start, ends[:-1])
+        first = np.zeros(len(start), bool)
+        first[texts] = True
+        odd = np.flatnonzero(first | (size > 1))
+        joined = [" ".join([names[k] for k in of[a : a + n].tolist()]) for a, n in zip(start[odd].tolist(), size[odd].tolist(), strict=True)]
+        for side in (False, True):
+            at = np.flatnonzero(first[odd] == side)
+            number[odd[at]] = self.numbers([joined[k] for k in at.tolist()], side)
+        return number, np.r_[texts, len(start)]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, and where each text's end."""
+        if not len(texts):
+            return np.empty(0, self.dtype), np.zeros(1, np.int64)
+        if len(self.open) > KEPT_PIECES or self.characters > KEPT_CHARACTERS:
+            self.forget()
+        texts = texts.fill_null("").cast(pa.large_string())
+        number, ends = self.number(pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " "))
+        self.ids.arrays or self.ids.freeze(self.dtype)
+        total = np.r_[0, np.cumsum(self.ids.lengths(number))]
+        return self.ids.gather(number), total[ends]
 
 
 _made: dict[tuple, object] = {}
@@ -185,26 +237,26 @@ def pieces(path: str, dtype: str = "<u4") -> Pieces:
     return once(("pieces", path, dtype), lambda: Pieces(once(("tokenizer", path), lambda: load_tokenizer(path)), dtype))
 
 
-def runs(texts: Iterable[str | None], at_once: int = AT_ONCE) -> Iterator[list[str]]:
-    """The texts in runs of about so many characters; None is empty."""
-    run, n = [], 0
-    for t in texts:
-        run.append(t or "")
-        n += len(run[-1])
-        if n >= at_once:
-            yield run
-            run, n = [], 0
-    if run:
-        yield run
+def runs(texts: pa.Array) -> Iterator[pa.Array]:
+    """The texts in runs of AT_ONCE bytes or little more; a longer text is a run of its own."""
+    size = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    a = 0
+    while a < len(texts):
+        b = max(a + 1, int(np.searchsorted(size, (size[a - 1] if a else 0) + AT_ONCE, "right")))
+        yield texts.slice(a, b - a)
+        a = b
 
 
 def encode(text: Column, path: str) -> Column:
     """array<int>: the ids of a text. path: a tokenizer file that every machine has at that place."""
 
     def run(batch: pa.Array) -> pa.Array:
-        made = [x for part in runs(batch.to_pylist()) for x in pieces(path).encode(part)]
-        ends = np.cumsum([0, *map(len, made)], dtype=np.int64) // 4
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(made), "<u4").astype(np.int32)))
+        ids, ends = [np.empty(0, "<u4")], [np.zeros(1, np.int64)]
+        for part in runs(batch):
+            made, to = pieces(path).encode(part)
+            ends.append(to[1:] + ends[-1][-1])
+            ids.append(made)
+        return pa.ListArray.from_arrays(pa.array(np.concatenate(ends), pa.int32()), pa.array(np.concatenate(ids).view("<i4")))
 
     return F.arrow_udf(run, T.ArrayType(T.IntegerType(), False))(text)
 
@@ -234,11 +286,21 @@ def offsets(ids: Column, path: str) -> Column:
 def decode_bytes(ids: Column, path: str) -> Column:
     """binary: the bytes of the ids; null for null. An id outside the vocabulary is an error."""
 
+    def known() -> Joined:
+        made = Joined(token_bytes(once(("tokenizer", path), lambda: load_tokenizer(path))))
+        made.freeze("u1")
+        return made
+
     def run(batch: pa.Array) -> pa.Array:
-        known = once(("bytes", path), lambda: token_bytes(once(("tokenizer", path), lambda: load_tokenizer(path))))
-        values, ends = batch.values.to_numpy(zero_copy_only=False), batch.offsets.to_numpy()
-        find, gone = known.__getitem__, batch.is_null().to_pylist()
-        return pa.array([None if no else b"".join(map(find, values[a:b].tolist())) for a, b, no in zip(ends[:-1], ends[1:], gone, strict=True)], pa.binary())
+        table = once(("joined", path), known)
+        ends = batch.offsets.to_numpy()
+        values = batch.values.slice(int(ends[0]), int(ends[-1] - ends[0])).to_numpy(zero_copy_only=False)
+        total = np.r_[0, np.cumsum(table.lengths(values))]
+        to = pa.array(total[ends - ends[0]].astype(np.int64), pa.int64())
+        gone = batch.is_null()
+        valid = pc.invert(gone) if batch.null_count else None
+        made = pa.Array.from_buffers(pa.large_binary(), len(batch), [valid.buffers()[1] if valid is not None else None, to.buffers()[1], pa.py_buffer(table.gather(values))])
+        return made.cast(pa.binary())
 
     return F.arrow_udf(run, T.BinaryType())(ids)
 

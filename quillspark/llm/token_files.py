@@ -49,7 +49,6 @@ def write(docs: DataFrame, folder: str, path: str, id_col: str = "doc_id", text_
     where.create_dir(root, recursive=True)
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        end = b"" if end_id is None else np.array([end_id], dtype).tobytes()
         name, fs_, at = uuid.uuid4().hex, *store(folder)
         encoder, out, lengths, ids, null = bpe.pieces(path, dtype), None, [], [], []
         for batch in batches:
@@ -57,17 +56,17 @@ def write(docs: DataFrame, folder: str, path: str, id_col: str = "doc_id", text_
             null.append(column.is_null().to_numpy(zero_copy_only=False))
             ids.append(column.fill_null(0).to_numpy())
             out = out or fs_.open_output_stream(f"{at}/{name}.bin")
-            for run in bpe.runs(batch.column(1).to_pylist()):
-                made = [x + end for x in encoder.encode(run)]
-                lengths += map(len, made)
-                out.write(b"".join(made))
+            for run in bpe.runs(batch.column(1)):
+                flat, ends = encoder.encode(run)
+                lengths.append(np.diff(ends) + (end_id is not None))
+                out.write(flat if end_id is None else np.insert(flat, ends[1:], end_id))
         if out:
             out.close()
-            ends = np.cumsum([0, *lengths], dtype="<u8") // np.dtype(dtype).itemsize
+            ends = np.r_[0, np.cumsum(np.concatenate(lengths))]
             with fs_.open_output_stream(f"{at}/{name}.idx") as f:
-                for x in (np.array([len(lengths)], "<u8"), ends.astype("<u8"), np.concatenate(ids).astype("<i8"), np.concatenate(null).astype("u1")):
+                for x in (np.array([len(ends) - 1], "<u8"), ends.astype("<u8"), np.concatenate(ids).astype("<i8"), np.concatenate(null).astype("u1")):
                     f.write(x.tobytes())
-            yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int32()), "shard": [name], "n_docs": [len(lengths)], "n_ids": [int(ends[-1])]})
+            yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int32()), "shard": [name], "n_docs": [len(ends) - 1], "n_ids": [int(ends[-1])]})
 
     done = sorted(rows.mapInArrow(shard, SUMMARY).collect())  # a row for each task
     docs_before, ids_before = np.cumsum([0, *(r.n_docs for r in done)]), np.cumsum([0, *(r.n_ids for r in done)])
