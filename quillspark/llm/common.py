@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import tempfile
 import uuid
 import zipfile
@@ -43,11 +44,13 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all machines share, as spark.checkpoint.dir names it.
 
-    Only where neither the setting nor a checkpoint folder exists (tests in one process) a temporary one is set.
+    Only where all runs on one machine (a local master) a missing setting is made up for by a temporary folder.
     """
     sc = spark.sparkContext
     if not (at := sc.getCheckpointDir()):
         at = spark.conf.get("spark.checkpoint.dir", None)
+        if not at and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(at or tempfile.mkdtemp(prefix="checkpoints-"))
         at = sc.getCheckpointDir()
     return at
@@ -61,21 +64,33 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a scratch path that nothing reads any more."""
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
+
+
+def write(df: DataFrame, path: str) -> DataFrame:
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows, written as Parquet in the shared folder and read again: lineage is cut and no executor's disk holds the only copy."""
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return write(df, scratch(df.sparkSession, name))
+
+
+#: What is broadcast at most, as Spark's own default; more is shuffled.
+BROADCAST_BYTES = 10 << 20
 
 
-#: Small rows (a few ids each) that are broadcast at most; more are shuffled.
-BROADCAST_ROWS = 1_000_000
+def fits_broadcast(rows: int, row_bytes: int) -> bool:
+    return rows * row_bytes <= BROADCAST_BYTES
 
 
-def checked_broadcast(df: DataFrame, rows: int) -> DataFrame:
-    """To be broadcast if it has so many rows at most, as counted."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def checked_broadcast(df: DataFrame, rows: int, row_bytes: int = 32) -> DataFrame:
+    """To be broadcast if so many rows, as counted, of about so many bytes fit."""
+    return F.broadcast(df) if fits_broadcast(rows, row_bytes) else df
 
 
 def bind(value: Column, body) -> Column:
@@ -94,15 +109,32 @@ def chance(*columns: Column | str, seed: int = 0) -> Column:
 
 
 def bounded_sample(df: DataFrame, label: str, per_label: int, *key: str, seed: int = 0) -> DataFrame:
-    """About per_label rows of each label, picked by a hash of the key columns, never many more.
+    """About per_label rows of each label, picked by a hash of the key columns; of rows with equal keys one stands for all.
 
-    The labels are counted first, so that no group is sorted or gathered for this.
+    The labels' distinct keys are counted first, so no group is sorted or gathered, and a key with very many rows is one row. How many
+    rows of a label are picked differs from per_label by a few square roots of it.
     """
-    counts = {r[0]: r[1] for r in df.where(F.col(label).isNotNull()).groupBy(label).count().collect()}
+    named = df.where(F.col(label).isNotNull()).withColumn("__key", F.xxhash64(F.lit(seed), *key))
+    counts = {r[0]: r[1] for r in named.select(label, "__key").distinct().groupBy(label).count().collect()}
     take = F.lit(False)
     for value, n in sorted(counts.items(), key=str):
-        take = take | ((F.col(label) == F.lit(value)) & (chance(*key, seed=seed) < min(1.0, per_label / n)))
-    return df.where(take).limit(2 * per_label * max(1, len(counts)))
+        take = take | ((F.col(label) == F.lit(value)) & (chance("__key", seed=seed) < min(1.0, per_label / n)))
+    return named.where(take).dropDuplicates([label, "__key"]).drop("__key")
+
+
+def one_of_each(df: DataFrame, *key: str) -> DataFrame:
+    """The rows with __first, true for one row of each group with equal keys. Groups are told by their counts: only those of several rows are
+    written and numbered, and no group is gathered in a task."""
+    several = df.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").select(*[F.col(k).alias(f"__of_{k}") for k in key])
+    same = [F.col(k).eqNullSafe(F.col(f"__of_{k}")) for k in key]
+    n = several.count()
+    if not n:
+        return df.withColumn("__first", F.lit(True))
+    several = checked_broadcast(several, n)
+    some = written(df.join(several, same, "left_semi").withColumn("__row", F.monotonically_increasing_id()), "repeated")
+    least = some.groupBy(*key).agg(F.min("__row").alias("__least")).select("__least")
+    first = some.join(least, some["__row"] == least["__least"], "left").withColumn("__first", F.col("__least").isNotNull()).drop("__row", "__least")
+    return df.join(several, same, "left_anti").withColumn("__first", F.lit(True)).unionByName(first)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:

@@ -1,7 +1,7 @@
 """Connected components of links between 64-bit ids, distributed.
 
 Links are first contracted by union-find within each partition, then large-star and small-star steps alternate
-until a round changes nothing. Each round's links are a table in the shared folder. Only counts reach the driver.
+until a round changes nothing. Each round's links are a table in the shared folder; the round before goes. Only counts reach the driver.
 """
 
 from __future__ import annotations
@@ -56,19 +56,33 @@ def contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def components(links: DataFrame, name: str = "components", rounds: int = 40) -> DataFrame:
+#: Ids with more than one of so many links (and more than LIGHT) are heavy: there are twice that many at most.
+SHARE, LIGHT = 10_000, 1000
+
+
+def with_least(links: DataFrame, least: DataFrame, n: int) -> DataFrame:
+    """links with m, the least id linked to a. The few heavy ids meet their links by broadcast, so that none of these gathers in a task."""
+    heavy = F.col("n") > max(LIGHT, n // SHARE)
+    few = F.broadcast(least.where(heavy).select("a", F.col("m").alias("__m")))  # 2 * SHARE rows at most
+    met = links.join(few, "a", "left")
+    return met.where("__m is not null").select("a", "b", F.col("__m").alias("m")).unionByName(met.where("__m is null").select("a", "b").join(least.where(~heavy).select("a", "m"), "a"))
+
+
+def components(links: DataFrame, name: str = "components") -> DataFrame:
     """a, b: every linked id that isn't the least of its component, with that least id. links: a and b, in any order."""
-    clean = links.select("a", "b").where("a != b").mapInArrow(contract, LINK).where("a != b").distinct()
-    links, was = common.written(clean, name), None
-    for _ in range(rounds):
+    spark = links.sparkSession
+    path, was = common.scratch(spark, name), None
+    links = common.write(links.select("a", "b").where("a != b").mapInArrow(contract, LINK).where("a != b").distinct(), path)
+    while True:
         now = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % (1 << 40))).first()
         if now == was or not now[0]:
             return links
         was = now
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.*")
-        links = common.written(small.where("a != b").distinct(), name)
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
+        large = with_least(both, least, now[0]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        small = with_least(large, least, now[0]).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.*")
+        before, path = path, common.scratch(spark, name)
+        links = common.write(small.where("a != b").distinct(), path)
+        common.remove(spark, before)

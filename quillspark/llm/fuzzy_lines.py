@@ -13,7 +13,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from quillspark.llm import common, near
 
@@ -35,21 +34,21 @@ def key(id_col: str) -> Column:
 
 def dedupe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars: int = CHARS, threshold: float = THRESHOLD, recall: float = RECALL, rows: int = ROWS) -> DataFrame:
     """The input with the lines that stay, n_lines and n_kept; columns of these names are replaced."""
-    lines = lines_of(docs, id_col, text_col)
+    lines = common.written(lines_of(docs, id_col, text_col), "lines")
     texts = lines.select(F.col("line_hash").alias("id"), F.col("line").alias("text"))
-    found = near.classes(texts, near.char_shingles(chars), threshold, near.choose_bands(threshold, recall, rows), rows, "fuzzy-lines")
+    found = near.classes(texts, near.char_shingles(chars), threshold, near.choose_bands(threshold, recall, rows), rows, "fuzzy-lines", counted=False)
     found = common.written(found.select(F.col("id").alias("line_hash"), F.col("root").alias("class")).where("line_hash != class"), "line-classes")
-    placed = lines.select("__id", "__h", "place", "line_hash").join(common.checked_broadcast(found, found.count()), "line_hash", "left")
-    first = placed.groupBy(F.coalesce("class", "line_hash").alias("class")).agg(F.min(F.struct("__id", "__h", "place")).alias("at"))
+    # Equal lines are one before they meet their class, so that a frequent one doesn't gather in a task.
+    each = lines.groupBy("line_hash").agg(F.min(F.struct("__id", "__h", "place")).alias("at")).join(common.checked_broadcast(found, found.count()), "line_hash", "left")
+    first = each.groupBy(F.coalesce("class", "line_hash").alias("class")).agg(F.min("at").alias("at"))
     stay = first.groupBy("at.__id", "at.__h").agg(F.collect_list("at.place").alias("__stay")).withColumnsRenamed({"__id": "__kid", "__h": "__kh"})
-    keyed = docs.drop("n_lines", "n_kept").withColumn("__id", key(id_col)).withColumn("__h", F.xxhash64(text_col))
-    met = keyed.join(stay, (F.col("__id") == F.col("__kid")) & (F.col("__h") == F.col("__kh")), "left").drop("__kid", "__kh")
-    turn = F.row_number().over(Window.partitionBy("__id", "__h").orderBy("__id"))
+    keyed = common.one_of_each(docs.drop("n_lines", "n_kept").withColumn("__id", key(id_col)).withColumn("__h", F.xxhash64(text_col)), "__id", "__h")
+    met = keyed.join(stay.hint("shuffle_hash"), (F.col("__id") == F.col("__kid")) & (F.col("__h") == F.col("__kh")), "left").drop("__kid", "__kh")
     none = F.array().cast("array<int>")
     cut = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")
     blank = lambda line: F.btrim(line, F.lit(SPACE)) == ""
     blanks = F.filter(F.transform(cut, lambda x, i: F.when(blank(x), i)), lambda i: i.isNotNull())
-    kept = met.withColumn("__stay", F.when(turn == 1, F.coalesce("__stay", none)).otherwise(none)).withColumn("n_kept", F.size("__stay").cast("long"))
+    kept = met.withColumn("__stay", F.when(F.col("__first"), F.coalesce("__stay", none)).otherwise(none)).withColumn("n_kept", F.size("__stay").cast("long"))
     text = common.bind(cut, lambda c: F.array_join(F.transform(F.sort_array(F.concat("__stay", blanks)), lambda i: F.get(c, i)), "\n"))
     counted = kept.withColumn("n_lines", F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.size(cut) - F.size(blanks)).cast("long"))
-    return counted.withColumn(text_col, F.when(F.col(text_col).isNotNull(), text)).drop("__stay", "__id", "__h")
+    return counted.withColumn(text_col, F.when(F.col(text_col).isNotNull(), text)).drop("__stay", "__id", "__h", "__first")

@@ -5,9 +5,10 @@
 2. Texts that share a band are candidates. Within an Arrow batch, texts with a common band are linked to the least id at
    once and only that one goes on to the shuffle on the band, so a band of very many texts arrives as a row for each batch.
 3. Candidates are joined into candidate classes by distributed union-find.
-4. Each class's texts meet once and all of its pairs are compared on their full sets. A large class is split into blocks
-   of BLOCK texts or fewer, and each pair of blocks is a group of its own; within a group, sets are compared by
+4. Each class's texts meet once and are compared on their full sets. A large class is split into blocks
+   of BLOCK texts or fewer, and each pair of blocks is a group of its own, dealt evenly; within a group, sets are compared by
    matrix products over bounded slices. Pairs are never written: a group gives, for each text, how many it is linked to and the least id it is connected to.
+   Where links aren't counted, only texts that aren't connected yet are compared.
 
 Ids are 64-bit hashes of the texts, so equal texts are one. Texts without a shingle have no links.
 """
@@ -15,6 +16,7 @@ Ids are 64-bit hashes of the texts, so equal texts are one. Texts without a shin
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +33,8 @@ BLOCK, LEAST, SPREAD = 2048, 256, 24
 #: Groups up to so many texts are compared set by set.
 SMALL = 32
 COLUMNS = 4096
+#: Characters of groups whose sets are made together.
+TOGETHER = 200_000
 
 Hashes = Callable[[list[str]], tuple[np.ndarray, np.ndarray]]
 
@@ -138,8 +142,8 @@ def candidates(texts: DataFrame, hashes: Hashes, bands: int, rows: int, name: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, column = batch.column(0).to_numpy(), batch.column(1).to_pylist()
-            key, of = [], []
+            ids, once = np.unique(batch.column(0).to_numpy(), return_index=True)
+            column, key, of = batch.column(1).take(pa.array(once)).to_pylist(), [], []
             for a, b in runs([len(t) for t in column]):
                 made, ends = hashes(column[a:b])
                 if len(made):
@@ -176,16 +180,15 @@ class Compare:
         out = []
         for a, b in runs([len(t) for t in texts]):
             made, ends = self.hashes(texts[a:b])
-            out += [np.unique(made[x:y]) for x, y in zip(ends[:-1], ends[1:], strict=True)]
+            out += [np.unique(made[x:y]) for x, y in pairwise(ends.tolist())]
         return out
 
     def near(self, common_: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
         return (common_ > 0) & (common_ >= self.threshold * (n + m - common_) - 1e-9)
 
-    def links(self, texts: list[str], left: np.ndarray, right: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Places of linked texts, of left and of right, in parts. left is right: every pair, in both orders."""
-        sets = self.sets(texts)
-        if len(texts) <= SMALL:
+    def links(self, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, counted: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places of linked texts, of left and of right, in parts. left is right: every pair, in both orders. Not counted: links enough to connect them."""
+        if len(sets) <= SMALL:
             known = [frozenset(s.tolist()) for s in sets]
             found = [(i, j) for i in left.tolist() for j in right.tolist() if i != j and known[i] and self.pair(known[i], known[j])]
             yield (np.array([x[0] for x in found], np.int64), np.array([x[1] for x in found], np.int64))
@@ -198,14 +201,14 @@ class Compare:
         column, of = number[column[keep]], of[keep]
         order = np.argsort(column, kind="stable")
         column, of = column[order], of[order]
-        place = np.full(len(texts), -1)
-        for at in range(0, len(left), 512):
-            some = left[at : at + 512]
-            total = np.zeros((len(some), len(right)), np.float32)
+        place = np.full(len(sets), -1)
+
+        def linked(some: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            total = np.zeros((len(some), len(others)), np.float32)
             for c in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
                 a, b = np.searchsorted(column, [c, c + COLUMNS])
                 sides = []
-                for who in (some, right):
+                for who in (some, others):
                     place[:] = -1
                     place[who] = np.arange(len(who))
                     p = place[of[a:b]]
@@ -213,23 +216,46 @@ class Compare:
                     x[p[p >= 0], column[a:b][p >= 0] - c] = 1
                     sides.append(x)
                 total += sides[0] @ sides[1].T
-            i, j = np.nonzero(self.near(total, size[some][:, None], size[right][None]))
-            i, j = some[i], right[j]
-            yield i[i != j], j[i != j]
+            i, j = np.nonzero(self.near(total, size[some][:, None], size[others][None]))
+            i, j = some[i], others[j]
+            return i[i != j], j[i != j]
+
+        if counted:
+            for at in range(0, len(left), 512):
+                yield linked(left[at : at + 512], right)
+            return
+        # From one text to all that it is linked to and that no link has reached, and on from these; then from the next.
+        sides = (np.isin(np.arange(len(sets)), left), np.isin(np.arange(len(sets)), right))
+        fresh = np.ones(len(sets), bool)
+        for first in range(len(sets)):
+            reached = np.array([first]) if fresh[first] else np.empty(0, np.int64)
+            fresh[reached] = False
+            while len(reached):
+                new = []
+                for mine, theirs in (sides, sides[::-1]):
+                    some = reached[mine[reached]]
+                    for at in range(0, len(some), 512):
+                        if len(others := np.flatnonzero(fresh & theirs)):
+                            i, j = linked(some[at : at + 512], others)
+                            j, k = np.unique(j, return_index=True)
+                            yield i[k], j
+                            fresh[j] = False
+                            new.append(j)
+                reached = np.concatenate(new) if new else np.empty(0, np.int64)
 
     def pair(self, x: frozenset, y: frozenset) -> bool:
         n = len(x & y)
         return n > 0 and n >= self.threshold * (len(x) + len(y) - n) - 1e-9
 
-    def group(self, ids: list[int], weights: list[int], block: list[bool], both: bool, texts: list[str]) -> tuple[list[int], list[int], list[int]]:
+    def group(self, ids: list[int], weights: list[int], block: list[bool], both: bool, sets: list[np.ndarray], counted: bool) -> tuple[list[int], list[int], list[int]]:
         """Linked ids, the least id each is connected to here, and the weight of its partners. both: two blocks meet, and only pairs across them count."""
         side = np.array(block)
         everyone = np.arange(len(ids))
         left, right = (np.flatnonzero(side), np.flatnonzero(~side)) if both else (everyone, everyone)
         weight, total, forest = np.array(weights, np.int64), np.zeros(len(ids), np.int64), Forest()
-        for i, j in self.links(texts, left, right):
+        for i, j in self.links(sets, left, right, counted):
             np.add.at(total, i, weight[j])
-            if both:
+            if both or not counted:
                 np.add.at(total, j, weight[i])
             if not len(i):
                 continue
@@ -255,28 +281,35 @@ class Compare:
         return zip(np.arange(n).tolist(), label.tolist(), strict=True)
 
 
-def verify(members: DataFrame, hashes: Hashes, threshold: float) -> DataFrame:
+def verify(members: DataFrame, hashes: Hashes, threshold: float, counted: bool) -> DataFrame:
     """class, split, id, root, links, from members (class, id, weight, text), one row for each id.
 
     An id has a row for each group in which it has a link: in a class that was not split, one.
     """
     compare = Compare(hashes, threshold)
+    tasks = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sizes = members.groupBy("class").count().where(F.col("count") > LEAST).select("class", F.least(F.ceil(F.col("count") / LEAST), F.greatest(F.lit(SPREAD), F.ceil(F.col("count") / BLOCK))).cast("int").alias("blocks"))
     placed = members.join(sizes, "class", "left").withColumn("own", F.when(F.col("blocks").isNull(), 0).otherwise(F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")))
     other = F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1)))
     met = placed.withColumn("other", other).select(
         "class", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), (F.col("own") <= F.col("other")).alias("left"), F.col("blocks").isNotNull().alias("split"), "id", "weight", "text"
     )
-    dealt = met.repartition("class", "p", "q").sortWithinPartitions("class", "p", "q", "id")
+    # A class's pairs of blocks, numbered, go to one task after another.
+    to = F.pmod(F.xxhash64("class") + F.col("q").cast("long") * (F.col("q") + 1) / 2 + F.col("p"), F.lit(tasks)).cast("int")
+    dealt = met.repartitionById(tasks, to).sortWithinPartitions("class", "p", "q", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, rows, out = None, [], []
+        held, rows, whole, out, waiting = None, [], [], [], 0
 
         def close() -> None:
-            if len(rows) > 1:
-                _, p, q, _, split, *_ = rows[0]
-                got = compare.group([r[5] for r in rows], [r[6] for r in rows], [r[3] for r in rows], p != q, [r[7] for r in rows])
-                out.extend((held[0], split, *x) for x in zip(*got, strict=True))
+            """Compare the groups that wait, their sets made together."""
+            sets = compare.sets([r[7] for group in whole for r in group])
+            for group in whole:
+                own, sets = sets[: len(group)], sets[len(group) :]
+                key, p, q, _, split, *_ = group[0]
+                got = compare.group([r[5] for r in group], [r[6] for r in group], [r[3] for r in group], p != q, own, counted)
+                out.extend((key, split, *x) for x in zip(*got, strict=True))
+            whole.clear()
 
         def flush() -> pa.RecordBatch:
             cols = list(zip(*out, strict=True))
@@ -287,11 +320,18 @@ def verify(members: DataFrame, hashes: Hashes, threshold: float) -> DataFrame:
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if row[:3] != held:
-                    close()
+                    if len(rows) > 1:
+                        whole.append(rows)
+                        waiting += sum(len(r[7]) for r in rows)
                     held, rows = row[:3], []
+                    if waiting > TOGETHER:
+                        close()
+                        waiting = 0
                 rows.append(row)
             if len(out) > 20_000:
                 yield flush()
+        if len(rows) > 1:
+            whole.append(rows)
         close()
         if out:
             yield flush()
@@ -299,13 +339,17 @@ def verify(members: DataFrame, hashes: Hashes, threshold: float) -> DataFrame:
     return dealt.mapInArrow(run, "class long, split boolean, id long, root long, links long")
 
 
-def classes(texts: DataFrame, hashes: Hashes, threshold: float, bands: int, rows: int, name: str) -> DataFrame:
-    """id, root, links of every id that is linked to another; root: the least id of its class. texts: id, text, weight 1 each; equal ids are one text, and links count a partner as often as it occurs."""
+def classes(texts: DataFrame, hashes: Hashes, threshold: float, bands: int, rows: int, name: str, counted: bool = True) -> DataFrame:
+    """id, root, links of every id that is linked to another; root: the least id of its class. texts: id, text; equal ids are one text, and links count a partner as
+    often as it occurs (not counted: links mean nothing)."""
     of = components(candidates(texts, hashes, bands, rows, name), f"{name}-candidates")
     member = common.written(of.select(F.col("a").alias("id"), F.col("b").alias("class")).unionByName(of.select(F.col("b").alias("id"), F.col("b").alias("class")).distinct()), f"{name}-members")
     n = member.count()
-    with_text = texts.join(common.checked_broadcast(member, n), "id").groupBy("id").agg(F.first("class").alias("class"), F.count("*").alias("weight"), F.first("text").alias("text"))
-    found = common.written(verify(with_text, hashes, threshold), f"{name}-verified")
+    if common.fits_broadcast(n, 32):
+        met = texts.join(F.broadcast(member), "id").groupBy("class", "id", "text").agg(F.count("*").alias("weight"))
+    else:  # equal texts are one before they meet, so that a frequent one doesn't gather in a task
+        met = texts.groupBy("id", "text").agg(F.count("*").alias("weight")).join(member, "id")
+    found = common.written(verify(met.select("class", "id", "weight", "text"), hashes, threshold, counted), f"{name}-verified")
     parts = found.where("split").select(F.col("id").alias("a"), F.col("root").alias("b"))
     joined = components(parts, f"{name}-split")
     whole = found.where("not split").select("id", "root", "links")
