@@ -9,7 +9,6 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from quillspark.llm import bpe, common, compression_quality, fuzzy_lines, ngram_join, qgram_decontamination
 
@@ -17,14 +16,21 @@ TOKENIZER = "byte_bpe_multi_50k.tiktoken"
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the compression classifier scores 0.5 or more."""
+    """Documents that the compression classifier scores 0.5 or more.
+
+    Null texts count as empty; empty ones get the score of nothing to compress. Repeated rows score alike and stay or go together. Without labels all
+    documents stay (score 0.5); of no documents none remain.
+    """
     labels = common.table(spark, sf_dir, "labels", "doc_id", "quality")
     model = compression_quality.fit(docs, labels.where(common.fold("doc_id", 3) != 1))
     return docs.where(compression_quality.score(docs, model) >= 0.5)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that a near-equal line precedes; those that lose every line go. n_chars follows the text."""
+    """Documents without the lines that a near-equal line precedes; those that lose every line go. n_chars follows the text.
+
+    Null and blank texts stay as they are. Of rows repeated with the same id and text one keeps its lines and the others go. Of no documents none remain.
+    """
     common.ship(spark)
     kept = fuzzy_lines.dedupe(docs.withColumnsRenamed({c: f"__was_{c}" for c in docs.columns if c in ("n_lines", "n_kept")}))
     kept = kept.where("n_lines = 0 or n_kept > 0").withColumn("n_chars", F.length("text").cast("long"))
@@ -32,26 +38,32 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near-equal documents the one with the least id (null ids last), then the least text hash; of repeated rows one."""
+    """Of each class of near-equal documents the one with the least id (null ids last), then the least text hash; of repeated rows one.
+
+    Null and empty texts are equal texts. Of no documents none remain.
+    """
     common.ship(spark)
     of = ngram_join.join(docs)
     place = F.struct(F.col("id").isNull().alias("x"), F.col("id").alias("i"), F.col("text_hash").alias("h"))
-    stay = of.groupBy("class_hash").agg(F.min(place).alias("at"), F.count("*").alias("n"))
-    stay = stay.select(F.coalesce("at.i", F.lit(-(1 << 63))).alias("__i"), F.col("at.h").alias("__h"), (F.col("n") > 1).alias("__many"))
+    stay = of.groupBy("class_hash").agg(F.min(place).alias("at")).select(F.coalesce("at.i", F.lit(-(1 << 63))).alias("__i"), F.col("at.h").alias("__h"))
     keyed = docs.withColumn("__id", F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))).withColumn("__th", ngram_join.text_hash(F.col("text")))
-    met = keyed.join(stay, (F.col("__id") == F.col("__i")) & (F.col("__th") == F.col("__h")))
-    # Only rows repeated with the same id and text can still be several.
-    turn = F.row_number().over(Window.partitionBy("__id", "__th").orderBy("__id"))
-    return met.withColumn("__turn", turn).where("__turn = 1").select(*docs.columns)
+    once = common.one_of_each(keyed, "__id", "__th").where("__first")
+    return once.join(stay.hint("shuffle_hash"), (F.col("__id") == F.col("__i")) & (F.col("__th") == F.col("__h"))).select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark passage."""
+    """Documents without a benchmark passage.
+
+    Null and empty texts hold none and stay, and so do repeated rows. Without items all documents stay; of no documents none remain.
+    """
     return qgram_decontamination.flagged(docs, common.table(spark, sf_dir, "benchmark", "item_id", "text")).where(F.size("__passages") == 0).select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, n_tokens, ids, and whether decoding the ids gives the text again."""
+    """doc_id, lang, source, n_tokens, ids, and whether decoding the ids gives the text again; a row for each row.
+
+    Null and empty texts have no ids. Of no documents there are no rows.
+    """
     common.ship(spark)
     path = public_tokenizers.path(TOKENIZER)
     coded = docs.withColumn("__ids", bpe.encode(F.col("text"), path))
