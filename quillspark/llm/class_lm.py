@@ -4,104 +4,114 @@ P(word | word before) = P(class | class before) * P(word | class). Tokens are th
 space, with A-Z in lower case, then one end; the end also stands before the first word and is a class of its own.
 
 Clustering works on units: each word that the training part has COUNTED times or more is a unit; rarer words are units by a hash of
-their last two bytes (endings carry inflection, punctuation and language). All words of a unit share a class.
-A first exchange on the driver takes the FREQUENT most frequent words and the endings only, and gives every other word the class of its
-ending to begin with. From there all units are exchanged in Spark: their bigrams lie in shards by unit, each round finds for every unit the class that raises
-the likelihood of the corpus' class bigrams most, all else held. Those that gain move together; where that brings too little, the half with the
-most gain is tried, and the last ALONE units move one by one. It ends when no move of any unit raises the likelihood by GAIN. The driver and the workers hold nine
-bytes for each unit (a 60-bit hash of the word, its class); two words with the same hash would be one unit.
+their last two bytes (endings carry inflection, punctuation and language). All words of a unit share a class, and units start in the
+class of their ending. Exchange goes in rounds: the units' bigrams lie in shards, and of every unit Spark finds the
+class in which it raises the likelihood of the corpus' class bigrams most, all else held (to the first order, which is
+close for all but the most frequent units). Those that gain move together, or, where that brings too little, the half of them with
+the most gain, and so on; then the ALONE most frequent units are exchanged one by one with exact gains. It ends when a round raises the log
+likelihood by less than LEAST for each token. The driver and the workers hold nine bytes for each unit (the word's hash, its class).
 
 Word counts, too, are of the whole corpus and stay distributed. The LOOKUP most frequent words (all words down to a count that no more
-words reach) go to the workers; the others of a text meet their counts in a join on the word, once for each
-text and word.
+words reach) go to the workers as hashes and counts; the others of a text meet their counts in a join on the word, once for each
+text and word. Words are told apart by 64-bit hashes there and as units.
 
-Transitions are smoothed by Witten-Bell with the classes' shares below; emissions by absolute discounting, whose
-freed share of a class belongs to the words it lacks.
+Transitions are smoothed by Witten-Bell with the classes' shares below. Emissions are smoothed by absolute discounting: what is freed of a class goes to
+all its words and one unseen word by their shares in the base model (add one half), so they sum to one with each class's unseen word.
 
-Null texts count as empty: they have one token, the end. Repeated rows stay and score alike. Without training rows every
-score is the base score.
+Null texts count as empty: they have one token, the end. Repeated rows stay and score alike, and so do rows with null ids. Of no documents
+there are no rows. Without training rows every score is the base score.
 """
 
 from __future__ import annotations
 
-import hashlib
-import itertools
 import math
-import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm import common
+from quillspark.llm.bpe import runs
 
-COUNTED, FREQUENT, ENDINGS, CLASSES, ROUNDS = 10, 1000, 1024, 48, 6
-LOOKUP = 200_000
-#: What a task holds of words before it passes counts on, and of bigrams before it sums them.
-HELD = 400_000
-#: Tokens whose bigrams are summed at once, units in a shard, and the least gain (of log likelihood) that is a move.
-TOKENS, SHARD, GAIN = 2_000_000, 4096, 1e-3
-#: Units that the driver moves one by one at most; more move together.
-ALONE = 2000
-#: Counts up to which a shard looks gains up instead of computing them.
-SMALL = 64
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+COUNTED, ENDINGS, CLASSES = 10, 1024, 48
+LOOKUP = 1_000_000
+#: Tokens whose bigrams are summed at once, and units in a shard.
+TOKENS, SHARD = 1_000_000, 4096
+#: Units that are exchanged one by one, and the gain in log likelihood for each token below which a round is the last.
+ALONE, LEAST = 1000, 1e-4
 
 
-def words(text: str | None) -> list[bytes]:
-    """bytes.lower() and bytes.split() know ASCII only, which is what the tokens are defined by."""
-    return (text or "").encode().lower().split()
+def tokens(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The distinct words of the texts, the number of each token's word, and where each text's end. Arrow's ASCII functions leave other characters alone."""
+    cut = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("").cast(pa.large_string())))
+    ends = cut.offsets.to_numpy().astype(np.int64)
+    coded = cut.values.slice(ends[0], ends[-1] - ends[0]).dictionary_encode()
+    names, of = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
+    ends = ends[1:] - ends[0]
+    if "" in names:  # beside white space at a text's ends
+        kept = of != names.index("")
+        ends, of = np.r_[0, np.cumsum(kept)][ends], of[kept]
+    return names, of, ends
 
 
-def hash_of(word: Column) -> Column:
-    """60 bits of the word's MD5, as Units has them."""
-    return F.conv(F.substring(F.md5(word.cast("binary")), 1, 15), 16, 10).cast("long")
+def hashes_of(words: list[str]) -> np.ndarray:
+    """As Spark's xxhash64."""
+    return np.array([xxhash.xxh64_intdigest(w, 42) for w in words], np.uint64).view(np.int64)
 
 
-class Units(dict):
+def unit_of_tail(word: Column) -> Column:
+    """The unit of a word that isn't counted, from the first of these on."""
+    return (F.xxhash64(F.substring(word.cast("binary"), -2, 2)).bitwiseAND(ENDINGS - 1)).cast("int")
+
+
+def start_class(ending: np.ndarray, k: int) -> np.ndarray:
+    """The class in which units of this ending start."""
+    return 1 + ending % (k - 1)
+
+
+class Sorted:
+    """Values by 64-bit hash."""
+
+    def __init__(self, hashes: np.ndarray, values: np.ndarray):
+        self.hashes, at = np.unique(hashes, return_index=True)
+        self.values = values[at]
+
+    def get(self, hashes: np.ndarray, otherwise: int) -> np.ndarray:
+        if not len(self.hashes):
+            return np.full(len(hashes), otherwise)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == hashes, self.values[at], otherwise)
+
+
+class Units:
     """Unit of a word: 0 the end, 1.. the counted words in the order of their hashes, then the endings."""
 
     def __init__(self, hashes: np.ndarray):
-        super().__init__()
-        self.hashes, self.first = hashes, 1 + len(hashes)
+        self.known = Sorted(hashes, np.arange(1, len(hashes) + 1))
+        self.first = 1 + len(hashes)
         self.n = self.first + ENDINGS
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > HELD:
-            self.clear()
-        h = int.from_bytes(hashlib.md5(word, usedforsecurity=False).digest()[:8], "big") >> 4
-        i = int(self.hashes.searchsorted(h))
-        known = i < len(self.hashes) and self.hashes[i] == h
-        got = self[word] = i + 1 if known else self.first + zlib.crc32(word[-2:]) % ENDINGS
+    def of(self, words: list[str], hashes: np.ndarray) -> np.ndarray:
+        got = self.known.get(hashes, -1)
+        if len(rare := np.flatnonzero(got < 0)):
+            got[rare] = self.first + (hashes_of([words[k].encode()[-2:] for k in rare.tolist()]) & (ENDINGS - 1))
         return got
 
-    def __reduce__(self):
-        return Units, (self.hashes,)
-
-
-def unit_of_tail(word: Column, first: int) -> Column:
-    """The unit of a word that isn't counted, as Units gives it."""
-    return F.lit(first) + (F.crc32(F.substring(word.cast("binary"), -2, 2)) % ENDINGS).cast("int")
-
 
 def count_words(docs: DataFrame, text_col: str) -> DataFrame:
     """word, n."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
-        flush = lambda: pa.RecordBatch.from_arrays([pa.array(list(held.keys()), pa.binary()).cast(pa.string()), pa.array(list(held.values()), pa.int64())], ["word", "n"])
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                held.update(words(text))
-                if len(held) > HELD:
-                    yield flush()
-                    held.clear()
-        if held:
-            yield flush()
+            for part in runs(batch.column(0)):
+                names, of, _ = tokens(part)
+                n = np.bincount(of, minlength=len(names))
+                some = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array([names[k] for k in some.tolist()], pa.string()), pa.array(n[some], pa.int64())], ["word", "n"])
 
     return docs.select(F.col(text_col)).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -121,14 +131,17 @@ def _chunks(key: np.ndarray, *columns: np.ndarray) -> Iterator[tuple]:
         yield int(key[x]), *(c[x:y].tobytes() for c in columns)
 
 
-def _joined(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.int64)
+def _joined(column: pa.ChunkedArray | pa.Array, dtype=np.int64) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype)
+
+
+#: A row for each shard: its bigrams as arrays of 32-bit integers in bytes, those that begin with one of its units (0) and those that end with one (1).
+SHARD_ROW = "shard int, own0 binary, other0 binary, n0 binary, own1 binary, other1 binary, n1 binary"
 
 
 def count_bigrams(docs: DataFrame, text_col: str, units: Units) -> DataFrame:
-    """shard, code0, n0, code1, n1: a row for each shard of units, with its bigrams and their counts as bytes of longs.
+    """Bigrams of units, as SHARD_ROW has them: own is the unit's place in the shard, other the other unit, n their count (counts of 2**31 or more are several rows).
 
-    0 are those that begin with a unit of the shard, 1 those that end with one; a code is that unit times their number plus the other.
     Bigrams are summed in parts by a hash first, so that a frequent unit's come together only when each is one row.
     """
     spark = docs.sparkSession
@@ -136,10 +149,11 @@ def count_bigrams(docs: DataFrame, text_col: str, units: Units) -> DataFrame:
     parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, run_ = made.value.__getitem__, []
+        held, n_held = [], 0
 
         def rows() -> pa.RecordBatch:
-            s = np.array(run_, np.int64)
+            s = np.concatenate([np.zeros(1, np.int64), *held])
+            held.clear()
             code, n = np.unique(s[:-1] * size + s[1:], return_counts=True)
             part = (code * 0x9E3779B97F4A7C1 >> 20) % parts  # wraps
             order = np.argsort(part, kind="stable")
@@ -147,14 +161,14 @@ def count_bigrams(docs: DataFrame, text_col: str, units: Units) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(got[0], pa.int32()), pa.array(got[1], pa.binary()), pa.array(got[2], pa.binary())], ["part", "code", "n"])
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                run_ = run_ or [0]
-                run_.extend(map(find, words(text)))
-                run_.append(0)
-                if len(run_) > TOKENS:
+            for some in runs(batch.column(0)):
+                names, of, ends = tokens(some)
+                held.append(np.insert(made.value.of(names, hashes_of(names))[of], ends, 0))
+                n_held += len(held[-1])
+                if n_held > TOKENS:
                     yield rows()
-                    run_ = []
-        if len(run_) > 1:
+                    n_held = 0
+        if held:
             yield rows()
 
     def sides(part: pa.Table) -> pa.Table:
@@ -165,44 +179,30 @@ def count_bigrams(docs: DataFrame, text_col: str, units: Units) -> DataFrame:
         return pa.table([pa.array(c, k) for c, k in zip(zip(*got, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["shard", "side", "code", "n"])
 
     def whole(key: tuple, part: pa.Table) -> pa.Table:
-        got = []
+        got = [key[0].as_py()]
         for side in (0, 1):
-            own = part.filter(pc.equal(part.column("side"), side))
-            got += _summed(_joined(own.column("code")), _joined(own.column("n")))
-        return pa.table([pa.array([key[0].as_py()], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in got)], ["shard", "code0", "n0", "code1", "n1"])
+            rows = part.filter(pc.equal(part.column("side"), side))
+            code, n = _joined(rows.column("code")), _joined(rows.column("n"))
+            most = (1 << 31) - 1
+            times = np.maximum(-(-n // most), 1)
+            again = np.repeat(np.arange(len(n)), times)
+            place = np.arange(len(again)) - np.repeat(np.cumsum(times) - times, times)
+            code, n = code[again], np.minimum(n[again] - place * most, most)
+            got += [x.astype(np.int32).tobytes() for x in (code // size - got[0] * SHARD, code % size, n)]
+        return pa.table([pa.array([x], k) for x, k in zip(got, (pa.int32(), *[pa.binary()] * 6), strict=True)], [x.split()[0] for x in SHARD_ROW.split(", ")])
 
     summed = docs.select(F.col(text_col)).mapInArrow(run, "part int, code binary, n binary").groupBy("part").applyInArrow(sides, "shard int, side int, code binary, n binary")
-    return summed.groupBy("shard").applyInArrow(whole, "shard int, code0 binary, n0 binary, code1 binary, n1 binary")
+    return summed.groupBy("shard").applyInArrow(whole, SHARD_ROW)
 
 
 def _f(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1))
 
 
-def exchange(n: int, first: np.ndarray, second: np.ndarray, count: np.ndarray, classes: int = CLASSES, rounds: int = ROUNDS) -> np.ndarray:
-    """The class of each of n units. Unit 0 stays alone in class 0; units that never occur go to the largest class."""
-    full = np.zeros((n, n), np.float32)
-    full[first, second] = count
-    size = full.sum(0) + full.sum(1)
-    order = np.argsort(-size, kind="stable")
-    order = order[(order > 0) & (size[order] > 0)]
-    classes = max(2, min(classes, len(order) + 1))
-    of = np.full(n, -1)
-    of[0] = 0
-    of[order] = 1 + np.arange(len(order)) % (classes - 1)
-    member = np.zeros((n, classes), np.float32)
-    member[np.flatnonzero(of >= 0), of[of >= 0]] = 1
-    right, left = full.astype(np.float64) @ member, full.T.astype(np.float64) @ member  # of each unit, by class
-    m = member.T.astype(np.float64) @ right
-    sweep(order, full, of, right, left, m, rounds, 1e-6)
-    of[of < 0] = np.bincount(of[of > 0], minlength=2)[1:].argmax() + 1 if (of > 0).any() else min(1, classes - 1)
-    return of
-
-
-def sweep(order: np.ndarray, full: np.ndarray, of: np.ndarray, right: np.ndarray, left: np.ndarray, m: np.ndarray, rounds: int | None, least: float) -> None:
-    """Move the units of order one by one, in place, for so many rounds or until none moves. All but the class bigrams m covers these units only."""
-    for _ in itertools.count() if rounds is None else range(rounds):
-        moved = 0
+def sweep(order: np.ndarray, full: np.ndarray, of: np.ndarray, right: np.ndarray, left: np.ndarray, m: np.ndarray, least: float) -> None:
+    """Move the units of order one by one, in place, until a round gains less than least. full has the bigrams among them; right and left, all of theirs by class."""
+    while True:
+        gained = 0.0
         for u in order:
             a, s = of[u], float(full[u, u])
             r, l = right[u].copy(), left[u].copy()
@@ -218,19 +218,19 @@ def sweep(order: np.ndarray, full: np.ndarray, of: np.ndarray, right: np.ndarray
             gain -= _f(rows + r.sum() + s) - _f(rows) + _f(cols + l.sum() + s) - _f(cols)
             gain[0] = -np.inf
             b = int(gain.argmax())
-            if gain[b] <= gain[a] + least:
+            if gain[b] <= gain[a] + 1e-6:
                 b = a
             m[b] += r
             m[:, b] += l
             m[b, b] += s
             if b != a:
-                moved += 1
+                gained += gain[b] - gain[a]
                 of[u] = b
                 right[:, a] -= full[:, u]
                 right[:, b] += full[:, u]
                 left[:, a] -= full[u]
                 left[:, b] += full[u]
-        if not moved:
+        if gained <= least:
             break
 
 
@@ -239,184 +239,138 @@ def likelihood(m: np.ndarray) -> float:
     return float(_f(m).sum() - _f(m.sum(0)).sum() - _f(m.sum(1)).sum())
 
 
-def best_moves(right: np.ndarray, left: np.ndarray, own: np.ndarray, a: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of units with these bigrams by class, with themselves, and classes a: the class to which each alone would move best, and by how much the likelihood then rises."""
-    k, u = len(m), np.arange(len(a))
-    r, l, s = (np.array(x, float) for x in (right, left, own))
-    r[u, a] -= s
-    l[u, a] -= s
-    by_col, by_row = np.ascontiguousarray(m.T), np.ascontiguousarray(m)  # [c] is m[:, c] and m[c]
-    gain = np.zeros((len(a), k))
-    stay = np.zeros(len(a))
-    for x, by in ((r, by_col), (l, by_row)):
-        at_a = x[u, a]
-        x[u, a] = 0
-        w, c = np.nonzero(x)
-        n = x[w, c]
-        counts = np.arange(1, SMALL)
-        table = (_f(by[:, None] + counts[:, None]) - _f(by)[:, None]) if len(w) > k * SMALL else None
-        for some in range(0, len(w), 16384):
-            ws, cs, ns = w[some : some + 16384], c[some : some + 16384], n[some : some + 16384]
-            more = np.empty((len(ws), k))
-            low = (ns < SMALL) & (table is not None)
-            if low.any():
-                more[low] = table[cs[low], ns[low].astype(np.int64) - 1]
-            more[~low] = _f(by[cs[~low]] + ns[~low, None]) - _f(by[cs[~low]])
-            new = np.flatnonzero(np.r_[True, ws[1:] != ws[:-1]])
-            gain[ws[new]] += np.add.reduceat(more, new, axis=0)
-        # In its own class the unit's share is taken out first.
-        held = by[c, a[w]]
-        stay += np.bincount(w, _f(held) - _f(held - n), len(a))
-        x[u, a] = at_a
-    for x, y, by in ((r, l, by_col), (l, r, by_row)):
-        without = by[a] - y
-        gain += _f(without + x[u, a][:, None]) - _f(without)
-    d = m.diagonal()
-    gain += _f(d + r + l + s[:, None]) + _f(d) - _f(d + r) - _f(d + l)
-    d, ra, la = d[a], r[u, a], l[u, a]
-    stay += _f(d) - _f(d - ra - la - s)
-    for x, total in ((r, m.sum(1)), (l, m.sum(0))):
-        n = x.sum(1) + s
-        gain -= _f(total + n[:, None]) - _f(total)
-        stay -= _f(total[a]) - _f(total[a] - n)
-    gain -= stay[:, None]
-    gain[u, a] = 0
+def best_moves(right: np.ndarray, left: np.ndarray, a: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of units with these bigrams by class, and classes a: the class that suits each best, and by how much more than its own, to the first order."""
+    log = np.log(m + 1)
+    gain = right @ log.T + left @ log
+    gain -= right.sum(1, keepdims=True) * np.log(m.sum(1) + 1) + left.sum(1, keepdims=True) * np.log(m.sum(0) + 1)
+    gain -= gain[np.arange(len(a)), a][:, None]
     gain[:, 0] = -np.inf
     to = gain.argmax(1)
-    return to, gain[u, to]
+    return to, gain[np.arange(len(a)), to]
 
 
-def bigrams_of(units: np.ndarray, first: int, code: bytes, count: bytes, of: np.ndarray, n: int, k: int) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Of a shard's side, the bigrams of these units: by class of the other, and one by one (place among units, other, count)."""
-    code, count = np.frombuffer(code, np.int64), np.frombuffer(count, np.int64)
-    row = np.full(SHARD, -1)
-    row[units - first] = np.arange(len(units))
-    at = row[code // n - first]
-    code, count, at = code[at >= 0], count[at >= 0], at[at >= 0]
-    other = code % n
-    return np.bincount(at * k + of[other], count, len(units) * k).reshape(-1, k), (at, other, count)
+def by_class(own: bytes, other: bytes, n: bytes, of: np.ndarray, k: int) -> np.ndarray:
+    """Of a shard's side, each unit's bigrams by the class of the other."""
+    own, other, n = (np.frombuffer(x, np.int32) for x in (own, other, n))
+    return np.bincount(own.astype(np.int64) * k + of[other], n, SHARD * k).reshape(SHARD, k)
 
 
 class Shards:
-    """The units' bigrams, and what is asked of them: sums by group, and moves."""
+    """The units' bigrams, and what is asked of them."""
 
     def __init__(self, rows: DataFrame, n: int):
         self.rows, self.n = rows, n
 
-    def sums(self, groups: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Codes (first group times k plus second) and counts, at most k squared."""
-        made, n = self.rows.sparkSession.sparkContext.broadcast(groups), self.n
+    def table(self, of: np.ndarray, k: int) -> np.ndarray:
+        """Class bigrams."""
+        made = self.rows.sparkSession.sparkContext.broadcast(of)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            of, held = made.value.astype(np.int64), np.zeros(k * k, np.int64)
+            of, m = made.value, np.zeros((k, k))
             for batch in batches:
-                for code, count in zip(batch.column(0), batch.column(1), strict=True):
-                    code, count = np.frombuffer(code.as_py(), np.int64), np.frombuffer(count.as_py(), np.int64)
-                    by, at = np.unique(of[code // n] * k + of[code % n], return_inverse=True)
-                    held[by] += np.bincount(at, count, len(by)).astype(np.int64)
-            at = np.flatnonzero(held)
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(held[at], pa.int64())], ["code", "n"])
-
-        got = self.rows.select("code0", "n0").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
-        made.unpersist()
-        return got.column("code").to_numpy(), got.column("n").to_numpy()
+                for shard, *side in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    own = of[shard * SHARD : (shard + 1) * SHARD]
+                    np.add.at(m, own, by_class(*side, of, k)[: len(own)])
+            yield pa.RecordBatch.from_arrays([pa.array([m.tobytes()], pa.binary())], ["m"])
 
-    def table(self, of: np.ndarray, k: int) -> np.ndarray:
-        m = np.zeros(k * k)
-        code, n = self.sums(of, k)
-        m[code] = n
-        return m.reshape(k, k)
+        got = self.rows.select("shard", "own0", "other0", "n0").mapInArrow(run, "m binary").collect()  # k * k numbers a task
+        made.unpersist()
+        return sum((np.frombuffer(r.m).reshape(k, k) for r in got), np.zeros((k, k)))
 
-    def moves(self, of: np.ndarray, m: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of the units that are asked for and gain by a move: unit, class, gain."""
-        made, n, k = self.rows.sparkSession.sparkContext.broadcast((of, asked, m)), self.n, len(m)
+    def moves(self, of: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The class that suits each unit best, and its gain."""
+        made, k = self.rows.sparkSession.sparkContext.broadcast((of, m)), len(m)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            of, asked, m = made.value
+            of, m = made.value
             for batch in batches:
                 for shard, *sides in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    first = shard * SHARD
-                    units = first + np.flatnonzero(asked[first : first + SHARD])
-                    (right, (u, v, count)), (left, _) = (bigrams_of(units, first, *x, of, n, k) for x in (sides[:2], sides[2:]))
-                    own = np.bincount(u, np.where(units[u] == v, count, 0), len(units))
-                    seen = np.flatnonzero(right.sum(1) + left.sum(1))
-                    to, gain = best_moves(right[seen], left[seen], own[seen], of[units[seen]].astype(np.int64), m)
-                    up = gain > GAIN
-                    yield pa.RecordBatch.from_arrays([pa.array(units[seen][up], pa.int64()), pa.array(to[up], pa.int32()), pa.array(gain[up])], ["unit", "to", "gain"])
-
-        got = self.rows.mapInArrow(run, "unit long, to int, gain double").toArrow()
+                    own = of[shard * SHARD : (shard + 1) * SHARD].astype(np.int64)
+                    right, left = (by_class(*x, of, k)[: len(own)] for x in (sides[:3], sides[3:]))
+                    to, gain = best_moves(right, left, own, m)
+                    yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (to.astype(np.uint8), gain.astype(np.float32)))], ["shard", "to", "gain"])
+
+        to, gain = of.copy(), np.zeros(self.n, np.float32)
+        for r in self.rows.mapInArrow(run, "shard int, to binary, gain binary").collect():  # five bytes a unit
+            at = r.shard * SHARD
+            to[at : at + len(r.to)], gain[at : at + len(r.to)] = np.frombuffer(r.to, np.uint8), np.frombuffer(r.gain, np.float32)
         made.unpersist()
-        return tuple(got.column(c).to_numpy() for c in ("unit", "to", "gain"))
+        gain[0] = 0
+        return to, gain
 
-    def alone(self, of: np.ndarray, m: np.ndarray, units: np.ndarray) -> None:
-        """Move these few units one by one until none of them gains; of and m change in place."""
-        made, n, k = self.rows.sparkSession.sparkContext.broadcast((of, np.sort(units))), self.n, len(m)
+    def alone(self, of: np.ndarray, m: np.ndarray, units: np.ndarray, least: float) -> None:
+        """Move these few units one by one; of and m change in place."""
+        made, k = self.rows.sparkSession.sparkContext.broadcast((of, np.sort(units))), len(m)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             of, chosen = made.value
             for batch in batches:
                 for shard, *sides in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    first = shard * SHARD
-                    units = chosen[np.searchsorted(chosen, first) : np.searchsorted(chosen, first + SHARD)]
-                    if len(units):
-                        (right, (u, v, count)), (left, _) = (bigrams_of(units, first, *x, of, n, k) for x in (sides[:2], sides[2:]))
-                        at = np.minimum(np.searchsorted(chosen, v), len(chosen) - 1)
-                        both = chosen[at] == v
-                        got = (units, right, left, units[u[both]], v[both], count[both])
-                        yield pa.RecordBatch.from_arrays([pa.array([x.astype(np.int64).tobytes()], pa.binary()) for x in got], ["units", "r", "l", "u", "v", "n"])
-
-        got = self.rows.mapInArrow(run, "units binary, r binary, l binary, u binary, v binary, n binary").toArrow()
+                    own = chosen[np.searchsorted(chosen, shard * SHARD) : np.searchsorted(chosen, (shard + 1) * SHARD)] - shard * SHARD
+                    if len(own):
+                        right, left = (by_class(*x, of, k)[own] for x in (sides[:3], sides[3:]))
+                        u, v, n = (np.frombuffer(x, np.int32) for x in sides[:3])
+                        both = np.isin(u, own) & np.isin(v, chosen)
+                        got = (own.astype(np.int64) + shard * SHARD, right, left, u[both].astype(np.int64) + shard * SHARD, v[both].astype(np.int64), n[both].astype(np.int64))
+                        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in got], ["units", "r", "l", "u", "v", "n"])
+
+        got = self.rows.mapInArrow(run, "units binary, r binary, l binary, u binary, v binary, n binary").toArrow()  # of ALONE units
         made.unpersist()
-        units, right, left, u, v, count = (_joined(c) for c in got.columns)
+        units, u, v, n = (_joined(got.column(c)) for c in ("units", "u", "v", "n"))
         order = np.argsort(units)
         units = units[order]
-        right, left = (x.reshape(-1, k)[order].astype(float) for x in (right, left))
-        full = np.zeros((len(units), len(units)), np.float32)
-        full[np.searchsorted(units, u), np.searchsorted(units, v)] = count
+        right, left = (_joined(got.column(c), np.float64).reshape(-1, k)[order].copy() for c in ("r", "l"))
+        full = np.zeros((len(units), len(units)))
+        np.add.at(full, (np.searchsorted(units, u), np.searchsorted(units, v)), n)
         its = of[units].astype(np.int64)
-        sweep(np.arange(len(units)), full, its, right, left, m, None, GAIN)
+        sweep(np.arange(len(units)), full, its, right, left, m, least)
         of[units] = its
 
-    def exchange(self, of: np.ndarray, k: int) -> np.ndarray:
-        """The classes after all moves that raise the likelihood, from the given ones. Unit 0 stays."""
-        asked = np.ones(self.n, bool)
-        asked[0] = False
+    def exchange(self, of: np.ndarray, k: int, often: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The classes after exchange from the given ones, and their bigrams. Unit 0 stays. often: units that move alone."""
         of, m = of.copy(), self.table(of, k)
+        least, now = LEAST * m.sum(), likelihood(m)
         while True:
-            unit, to, gain = self.moves(of, m, asked)
-            if not len(unit):
-                return of
-            order = np.lexsort((unit, -gain))
-            while len(order) > ALONE:
+            before = now
+            to, gain = self.moves(of, m)
+            order = np.argsort(-gain, kind="stable")[: np.count_nonzero(gain > 0)]
+            while len(order):
                 tried = of.copy()
-                tried[unit[order]] = to[order]
+                tried[order] = to[order]
                 new = self.table(tried, k)
-                # Together they must bring a fair part of what each would bring alone.
-                if likelihood(new) - likelihood(m) > gain[order].sum() / 4:
-                    of, m = tried, new
+                if (then := likelihood(new)) - now > min(float(gain[order].sum()) / 4, least):
+                    of, m, now = tried, new, then
                     break
-                order = order[: len(order) // 2]
-            else:
-                before = likelihood(m)
-                self.alone(of, m, unit[order])
-                if likelihood(m) - before < GAIN / 2:  # below what the sums can tell
-                    return of
+                order = order[: len(order) // 2] if len(order) > 1 else order[:0]
+            self.alone(of, m, often, least / 100)
+            now = likelihood(m)
+            if now - before <= least:
+                return of, m
 
 
 class Model:
-    """What a worker needs to score a text: units, classes, transitions and the most frequent words' counts."""
+    """What a worker needs to score a text: units, classes, transitions, emissions and the most frequent words' counts."""
 
-    def __init__(self, units: Units, of: np.ndarray, step: np.ndarray, total: np.ndarray, kinds: np.ndarray, discount: float, lookup: dict[bytes, int], n: int, v: int, ends: int):
-        self.units, self.of, self.step, self.total, self.kinds, self.discount = units, of.astype(np.uint8).tobytes(), step, total, kinds, discount
-        self.lookup, self.n, self.v, self.ends = lookup, n, v, ends
+    def __init__(self, units: Units, of: np.ndarray, m: np.ndarray, kinds: np.ndarray, words: np.ndarray, discount: float, lookup: Sorted, n: int, v: int):
+        self.units, self.of, self.lookup, self.discount, self.n, self.v = units, of.astype(np.uint8), lookup, discount, n, v
+        k = len(m)
+        self.ends = int(m.sum(0)[0])
+        share = (m.sum(0) + 0.5) / (m.sum() + 0.5 * k)
+        seen = np.maximum((m > 0).sum(1, keepdims=True), 1)
+        self.step = np.log10((m + seen * share) / (m.sum(1, keepdims=True) + seen))
+        #: By class: tokens, and what the discount frees of it over what its words and an unseen one have of the base model.
+        self.total = np.maximum(words, 1e-9)
+        base = (words + 0.5 * kinds + 0.5) / (n + 0.5 * (v + 1))
+        self.freed = np.where(words > 0, discount * kinds / self.total, 1.0) / base
 
-    def base(self, count: float) -> float:
-        return math.log10((count + 0.5) / (self.n + 0.5 * (self.v + 1)))
+    def base(self, count):
+        """P(a word of this count)."""
+        return (count + 0.5) / (self.n + 0.5 * (self.v + 1))
 
-    def unknown(self) -> list[float]:
-        """By class, log10 P(a word that it lacks | class)."""
-        share = self.discount * np.maximum(self.kinds, 1) / np.maximum(self.total, 1)
-        return np.log10(np.minimum(np.maximum(share, 1e-12), 1)).tolist()
+    def emission(self, count, cls):
+        """log10 P(word of this count | its class)."""
+        return np.log10(np.maximum(count - self.discount, 0) / self.total[cls] + self.freed[cls] * self.base(count))
 
 
 def fit(train: DataFrame, text_col: str = "text", classes: int = CLASSES) -> tuple[Model | None, DataFrame]:
@@ -430,96 +384,87 @@ def fit(train: DataFrame, text_col: str = "text", classes: int = CLASSES) -> tup
         if above + kinds > LOOKUP:
             break
         least, above = n, above + kinds
-    top = counts.where(F.col("n") >= least).collect() if least else []  # at most LOOKUP rows
-    lookup = {r.word.encode(): r.n for r in top}
-    own = counts.where(F.col("n") >= COUNTED).select(hash_of(F.col("word")).alias("h"), "n", unit_of_tail(F.col("word"), 0).alias("tail")).toArrow()
-    own = [own.column(c).to_numpy() for c in ("h", "n", "tail")]
-    hashes, at = np.unique(own[0], return_index=True)
-    often, tail = own[1][at], own[2][at]
+    hashed = counts.select(F.xxhash64("word").alias("h"), "n", "word")
+    top = hashed.where(F.col("n") >= least).select("h", "n").toArrow() if least else None  # LOOKUP rows at most
+    lookup = Sorted(top.column("h").to_numpy(), top.column("n").to_numpy()) if least else Sorted(np.empty(0, np.int64), np.empty(0, np.int64))
+    own = hashed.where(F.col("n") >= COUNTED).select("h", "n", unit_of_tail(F.col("word")).alias("tail")).toArrow()
+    hashes, at = np.unique(own.column("h").to_numpy(), return_index=True)
+    often, tail = own.column("n").to_numpy()[at], own.column("tail").to_numpy()[at]
     units = Units(hashes)
-    shards = Shards(common.written(count_bigrams(train, "t", units), "bigrams"), units.n)
-    # First the most frequent words and the endings, here; their number doesn't grow.
-    frequent = np.lexsort((hashes, -often))[:FREQUENT]
-    group = np.r_[0, 1 + len(frequent) + tail, 1 + len(frequent) + np.arange(ENDINGS)].astype(np.int32)
-    group[1 + frequent] = 1 + np.arange(len(frequent))
-    size = 1 + len(frequent) + ENDINGS
-    code, count = shards.sums(group, size)
-    if not len(code):
+    rows = common.written(count_bigrams(train, "t", units), "bigrams")
+    k = max(2, min(classes, 1 + len(hashes) + ENDINGS))
+    of = np.r_[0, start_class(tail, k), start_class(np.arange(ENDINGS), k)].astype(np.uint8)
+    of, m = Shards(rows, units.n).exchange(of, k, 1 + np.lexsort((hashes, -often))[:ALONE])
+    if not m.sum():
         return None, counts
-    of = exchange(size, code // size, code % size, count, classes)
-    k = int(of.max()) + 1
-    of = shards.exchange(of[group].astype(np.uint8), k)
-    m = shards.table(of, k)
-    total = m.sum(0)
-    share = (total + 0.5) / (total.sum() + 0.5 * k)
-    after, kinds = m.sum(1, keepdims=True), np.maximum((m > 0).sum(1, keepdims=True), 1)
-    step = np.log10((m + kinds * share) / (after + kinds))
-    # Words by class: those that are units, and the rest counted by unit.
-    tail = counts.where(F.col("n") < COUNTED)
-    types = np.zeros(units.n)
-    types[1 : units.first] = 1
-    for r in tail.groupBy(unit_of_tail(F.col("word"), units.first).alias("u")).count().collect():
-        types[r.u] = r["count"]
-    by_class = np.bincount(of, types, k)
+    # Words and tokens by class: those that are units, and the rest counted by unit.
+    kinds, words = np.zeros(units.n), np.zeros(units.n)
+    kinds[1 : units.first], words[1 : units.first] = 1, often
+    for r in counts.where(F.col("n") < COUNTED).groupBy(unit_of_tail(F.col("word")).alias("u")).agg(F.count("*").alias("kinds"), F.sum("n").alias("n")).collect():  # ENDINGS rows
+        kinds[units.first + r.u], words[units.first + r.u] = r.kinds, r.n
     once, twice = dict(by_count).get(1, 0), dict(by_count).get(2, 0)
     discount = min(max(once / (once + 2 * twice), 0.1), 0.95) if once else 0.5
-    ends = int(total[0])
-    n = int(total.sum())
-    return Model(units, of, step, total, by_class, discount, lookup, n, sum(x for _, x in by_count) + 1, ends), counts
+    return Model(units, of, m, np.bincount(of, kinds, k), np.bincount(of, words, k), discount, lookup, int(m.sum()), sum(x for _, x in by_count) + 1), counts
 
 
 def score(docs: DataFrame, model: Model | None, counts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_tokens, n_known, train_tokens, base_score, score: log10 probabilities of the whole text by the smoothed unigrams and by the model."""
     if model is None:
-        tokens = F.size(F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")).cast("long") + 1
-        none = docs.select(F.col(id_col).alias("id"), tokens.alias("n_tokens"))
+        tokens_ = F.size(F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")).cast("long") + 1
+        none = docs.select(F.col(id_col).alias("id"), tokens_.alias("n_tokens"))
         return none.select("id", "n_tokens", F.lit(0).cast("long").alias("n_known"), F.lit(0).cast("long").alias("train_tokens"), F.lit(0.0).alias("base_score"), F.lit(0.0).alias("score"))
     made = docs.sparkSession.sparkContext.broadcast(model)
-    schema = "id long, h long, copies long, n_tokens long, n_known long, base double, score double, word string, class int, tf long"
+    kinds = {"id": pa.int64(), "h": pa.int64(), "copies": pa.int64(), "n_tokens": pa.int64(), "n_known": pa.int64(), "base": pa.float64(), "score": pa.float64(), "word": pa.string(), "class": pa.int32(), "tf": pa.int64()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = made.value
-        unit, of, step, lookup = m.units, m.of, m.step, m.lookup
-        base0, total = math.log10(m.n + 0.5 * (m.v + 1)), m.total
-        known: dict[bytes, tuple[float, float] | None] = {}
         for batch in batches:
-            ids, hashes, texts = (batch.column(i).to_pylist() for i in range(3))
-            for at in range(0, len(texts), 256):
-                rows = []
-                for i, h, text in zip(ids[at : at + 256], hashes[at : at + 256], texts[at : at + 256], strict=True):
-                    tokens = words(text)
-                    cls = np.array([0, *[of[u] for u in map(unit.__getitem__, tokens)], 0], np.int32)
-                    score = float(step[cls[:-1], cls[1:]].sum())
-                    base, n_known, tails = m.base(m.ends), 1, []
-                    for w, tf in Counter(tokens).items():
-                        n = lookup.get(w)
-                        if n is None:
-                            tails.append((i, h, 0, 0, 0, 0.0, 0.0, w.decode(), of[unit[w]], tf))
-                        else:
-                            got = known.get(w)
-                            if got is None:
-                                got = known[w] = (math.log10(n + 0.5) - base0, math.log10((n - m.discount) / total[of[unit[w]]]))
-                            base += tf * got[0]
-                            score += tf * got[1]
-                            n_known += tf
+            at = 0
+            for part in runs(batch.column(2)):
+                ids, texts_h = batch.column(0).slice(at, len(part)), batch.column(1).slice(at, len(part))
+                at += len(part)
+                names, of, ends = tokens(part)
+                hashed = hashes_of(names)
+                cls = m.of[m.units.of(names, hashed)].astype(np.int64)
+                count = m.lookup.get(hashed, -1)
+                tail = count < 0
+                base = np.where(tail, 0, np.log10(m.base(np.maximum(count, 0))))
+                emission = np.where(tail, 0, m.emission(np.maximum(count, 0), cls))
+                # Every text's tokens, then its end; the end before stands before its first token.
+                each = np.insert(cls[of], ends, 0)
+                step = m.step[np.r_[0, each[:-1]], each]
+                texts = np.repeat(np.arange(len(part)), np.diff(np.r_[0, ends]))
+                total = lambda x: np.bincount(texts, x[of], len(part))
+                starts = np.r_[0, ends[:-1]] + np.arange(len(part))
+                n = np.diff(np.r_[0, ends]) + 1
+                yield pa.RecordBatch.from_arrays([
+                    ids, texts_h, pa.array(np.ones(len(part), np.int64)), pa.array(n), pa.array(total(~tail).astype(np.int64) + 1), pa.array(total(base) + math.log10(m.base(m.ends))),
+                    pa.array(total(emission) + np.add.reduceat(step, starts)),
                     # a key that no word is, dealt evenly
-                    rows.append((i, h, 1, len(tokens) + 1, n_known, base, score, f" {h & 1023}", None, None))
-                    rows += tails
-                cols = list(zip(*rows, strict=True))
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.string(), pa.int32(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [x.split()[0] for x in schema.split(", ")])
+                    pa.array([f" {h & 1023}" for h in texts_h.to_pylist()], pa.string()), pa.nulls(len(part), pa.int32()), pa.nulls(len(part), pa.int64()),
+                ], list(kinds))
+                if not tail.any():
+                    continue
+                rare = np.flatnonzero(tail[of])
+                code, tf = np.unique(texts[rare] * len(names) + of[rare], return_counts=True)
+                t, w = pa.array(code // len(names)), code % len(names)
+                zero = np.zeros(len(code))
+                yield pa.RecordBatch.from_arrays([
+                    ids.take(t), texts_h.take(t), *[pa.array(zero.astype(np.int64))] * 3, pa.array(zero), pa.array(zero), pa.array([names[x] for x in w.tolist()], pa.string()), pa.array(cls[w].astype(np.int32)), pa.array(tf.astype(np.int64)),
+                ], list(kinds))
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    parts = texts.mapInArrow(run, schema)
+    parts = texts.mapInArrow(run, "id long, h long, copies long, n_tokens long, n_known long, base double, score double, word string, class int, tf long")
     per_class = lambda x: F.array(*[F.lit(float(v)) for v in x])
-    rare = counts.where(F.col("n") < min(model.lookup.values(), default=1 << 62)).withColumnRenamed("n", "c")
+    least = int(model.lookup.values.min()) if len(model.lookup.values) else 1 << 62
+    rare = counts.where(F.col("n") < least).withColumnRenamed("n", "c")
     met = parts.join(rare, "word", "left")
-    c, tf, cls = F.col("c"), F.col("tf"), F.col("class")
-    base = F.log10((F.coalesce(c, F.lit(0)) + 0.5) / F.lit(model.n + 0.5 * (model.v + 1)))
-    emission = F.when(c.isNull(), F.get(per_class(model.unknown()), cls)).otherwise(F.log10(c - model.discount) - F.get(per_class(np.log10(np.maximum(model.total, 1))), cls))
+    c, tf, cls = F.coalesce(F.col("c"), F.lit(0)), F.col("tf"), F.col("class")
+    base = (c + 0.5) / F.lit(model.n + 0.5 * (model.v + 1))
+    emission = F.log10(F.greatest(c - model.discount, F.lit(0.0)) / F.get(per_class(model.total), cls) + F.get(per_class(model.freed), cls) * base)
     sums = met.groupBy("id", "h").agg(
-        F.sum("copies").alias("copies"), F.sum("n_tokens").alias("n_tokens"), F.sum(F.col("n_known") + F.when(c.isNotNull(), tf).otherwise(0)).alias("n_known"),
-        F.sum(F.col("base") + F.when(tf.isNotNull(), tf * base).otherwise(0.0)).alias("base"), F.sum(F.col("score") + F.when(tf.isNotNull(), tf * emission).otherwise(0.0)).alias("score"),
+        F.sum("copies").alias("copies"), F.sum("n_tokens").alias("n_tokens"), F.sum(F.col("n_known") + F.when(F.col("c").isNotNull(), tf).otherwise(0)).alias("n_known"),
+        F.sum(F.col("base") + F.when(tf.isNotNull(), tf * F.log10(base)).otherwise(0.0)).alias("base"), F.sum(F.col("score") + F.when(tf.isNotNull(), tf * emission).otherwise(0.0)).alias("score"),
     )
     whole = lambda x: (F.col(x) / F.col("copies")).cast("long").alias(x)
     each = sums.withColumn("__row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))

@@ -157,25 +157,65 @@ def test_op3_tail_words_as_words_that_are_looked_up(spark, sf_dir, monkeypatch):
 
 
 def test_op3_probabilities_sum_to_one(spark, sf_dir):
-    docs = common.table(spark, sf_dir, "documents", "doc_id", "text")
-    m, counts = class_lm.fit(docs)
+    m, counts = class_lm.fit(common.table(spark, sf_dir, "documents", "doc_id", "text"))
     assert np.allclose((10**m.step).sum(1), 1)
-    mass, unit = np.zeros(len(m.total)), m.units
-    for r in counts.collect():
-        mass[m.of[unit[r.word.encode()]]] += (r.n - m.discount) / m.total[m.of[unit[r.word.encode()]]]
-    mass += 10 ** np.array(m.unknown())
-    assert np.allclose(mass[1:][m.kinds[1:] > 0], 1)
-
-
-def test_op3_exchange_raises_likelihood():
+    rows = counts.collect()
+    names, n = [r.word for r in rows], np.array([r.n for r in rows])
+    cls = m.of[m.units.of(names, class_lm.hashes_of(names))].astype(int)
+    k = len(m.total)
+    mass = np.bincount(cls, 10 ** m.emission(n, cls), k) + 10 ** m.emission(np.zeros(k), np.arange(k))  # and an unseen word in each class
+    assert np.allclose(mass[1:], 1)
+
+
+def test_op3_score_by_the_book(spark):
+    """From the corpus' counts and the words' classes alone."""
+    x = np.random.default_rng(3)
+    train = [" ".join(x.choice(WORDS[: 5 + i % 40], 30)) for i in range(80)]
+    docs = spark.createDataFrame(list(enumerate(train)), "doc_id long, text string")
+    model, counts = class_lm.fit(docs, classes=6)
+    texts = ["the of and", "", None, "THE  never\tseen the", train[3]]
+    got = {r.id: r for r in class_lm.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model, counts).collect()}
+    of = lambda w: int(model.of[model.units.of([w], class_lm.hashes_of([w]))[0]]) if w else 0
+    count, pairs = Counter(w for t in train for w in t.split()), Counter()
+    for t in train:
+        c = [0, *map(of, t.split()), 0]
+        pairs.update(zip(c[:-1], c[1:], strict=True))
+    k, n, v = len(model.step), sum(pairs.values()), len(count) + 1
+    into, out = Counter(), Counter()
+    for (a, b), m in pairs.items():
+        into[b] += m
+        out[a] += m
+    once, twice = (sum(c == i for c in count.values()) for i in (1, 2))
+    d = min(max(once / (once + 2 * twice), 0.1), 0.95) if once else 0.5
+    base = lambda w: (count[w] + 0.5) / (n + 0.5 * (v + 1))
+    for i, t in enumerate(texts):
+        want, before = 0.0, 0
+        for w in [*(t or "").lower().split(), None]:
+            c = of(w)
+            seen = max(sum(a == before for a, _ in pairs), 1)
+            want += math.log10((pairs[before, c] + seen * (into[c] + 0.5) / (n + 0.5 * k)) / (out[before] + seen))
+            if w:
+                own = [y for y in count if of(y) == c]
+                freed = d * len(own) / sum(count[y] for y in own) if own else 1
+                want += math.log10((max(count[w] - d, 0) / sum(count[y] for y in own) if own else 0) + freed * base(w) / (sum(map(base, own)) + 0.5 / (n + 0.5 * (v + 1))))
+            before = c
+        assert abs(got[i].score - want) < 1e-6 * abs(want), t
+
+
+def test_op3_sweep_raises_likelihood():
     x = np.random.default_rng(0)
     seq = [0]
     for _ in range(4000):  # two kinds of words that take turns
         seq.append(int(1 + 2 * x.integers(0, 10) + (len(seq) % 2)))
-    pairs = Counter(zip(seq[:-1], seq[1:], strict=True))
-    a, b, n = (np.array(z) for z in zip(*((i, j, c) for (i, j), c in pairs.items()), strict=True))
-    of = class_lm.exchange(22, a, b, n, classes=3)
+    full = np.zeros((22, 22))
+    np.add.at(full, (seq[:-1], seq[1:]), 1)
+    of = np.r_[0, 1 + (np.arange(21) + (np.arange(21) < 6)) % 2]  # six stand wrong
+    one = np.eye(3)[of]
+    m = one.T @ full @ one
+    before = class_lm.likelihood(m)
+    class_lm.sweep(np.arange(1, 22), full, of, full @ one, full.T @ one, m, 0)
     assert len({of[i] for i in range(1, 21, 2)}) == 1 and len({of[i] for i in range(2, 21, 2)}) == 1 and of[1] != of[2]
+    assert class_lm.likelihood(m) > before and np.allclose(m, np.eye(3)[of].T @ full @ np.eye(3)[of])
 
 
 def op3_by_context(spark):
@@ -189,28 +229,42 @@ def op3_by_context(spark):
 
 def test_op3_rarer_words_have_classes_of_their_own(spark):
     m, _ = class_lm.fit(op3_by_context(spark))
-    of = lambda w: m.of[m.units[w]]
-    assert of(b"onexy") != of(b"twoxy")
-
-
-def test_op3_no_move_is_left(spark, sf_dir):
-    docs = common.table(spark, sf_dir, "documents", "doc_id", "text").limit(150)
-    m, _ = class_lm.fit(docs)
-    of = np.frombuffer(m.of, np.uint8)
-    shards = class_lm.Shards(class_lm.count_bigrams(docs, "text", m.units), m.units.n)
-    unit, _, gain = shards.moves(of, shards.table(of, len(m.total)), np.arange(len(of)) > 0)
-    assert gain.sum() < 0.1
+    a, b = m.of[m.units.of(["onexy", "twoxy"], class_lm.hashes_of(["onexy", "twoxy"]))]
+    assert a != b
+
+
+def test_op3_shards_count_all_bigrams(spark, monkeypatch):
+    monkeypatch.setattr(class_lm, "SHARD", 8)
+    texts = [text(i, 40) for i in range(30)] + ["", None]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    units = class_lm.Units(np.sort(class_lm.hashes_of(WORDS[:20])))
+    unit = lambda w: int(units.of([w], class_lm.hashes_of([w]))[0])
+    full = np.zeros((units.n, units.n))
+    for t in texts:
+        s = [0, *map(unit, (t or "").split()), 0]
+        np.add.at(full, (s[:-1], s[1:]), 1)
+    of = np.r_[0, 1 + np.arange(units.n - 1) % 4].astype(np.uint8)
+    one = np.eye(5)[of]
+    rows = class_lm.Shards(class_lm.count_bigrams(docs, "text", units), units.n)
+    m = rows.table(of, 5)
+    assert np.array_equal(m, one.T @ full @ one)
+    to, gain = rows.moves(of, m)
+    want, up = class_lm.best_moves(full @ one, full.T @ one, of.astype(int), m)
+    used = (full.sum(0) + full.sum(1) > 0) & (np.arange(units.n) > 0)
+    assert np.array_equal(to[used], want[used]) and np.allclose(gain[used], up[used], rtol=1e-5)
 
 
 def test_op3_best_moves_as_by_recounting():
+    """To the first order: a unit of one bigram among many."""
     x = np.random.default_rng(1)
-    full = x.poisson(0.7, (30, 30)) + 70.0 * (x.random((30, 30)) < 0.05)
+    full = x.poisson(40, (30, 30)) + 700.0 * (x.random((30, 30)) < 0.05)
+    full[29] = full[:, 29] = 0
+    full[29, 3], full[5, 29] = 1, 1
     of = np.r_[0, x.integers(1, 6, 29)]
     table = lambda of: np.eye(6)[of].T @ full @ np.eye(6)[of]
-    to, gain = class_lm.best_moves((full @ np.eye(6)[of])[1:], (full.T @ np.eye(6)[of])[1:], full.diagonal()[1:], of[1:], table(of))
-    for u in range(1, 30):
-        moved = [class_lm.likelihood(table(np.where(np.arange(30) == u, b, of))) - class_lm.likelihood(table(of)) for b in range(1, 6)]
-        assert abs(max(moved) - gain[u - 1]) < 1e-6 and abs(moved[to[u - 1] - 1] - gain[u - 1]) < 1e-6
+    to, gain = class_lm.best_moves((full @ np.eye(6)[of])[29:], (full.T @ np.eye(6)[of])[29:], of[29:], table(of))
+    moved = [class_lm.likelihood(table(np.where(np.arange(30) == 29, b, of))) - class_lm.likelihood(table(of)) for b in range(1, 6)]
+    assert abs(max(moved) - gain[0]) < 0.01 and moved[to[0] - 1] == max(moved)
 
 
 def test_op4(spark, sf_dir):
