@@ -46,16 +46,17 @@ ALONE, LEAST = 1000, 1e-4
 
 
 def tokens(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """The distinct words of the texts, the number of each token's word, and where each text's end. Arrow's ASCII functions leave other characters alone."""
-    cut = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("").cast(pa.large_string())))
+    """The distinct words of the texts, the number of each token's word, and where each text's end."""
+    cut = pc.ascii_split_whitespace(texts.fill_null("").cast(pa.large_string()))
     ends = cut.offsets.to_numpy().astype(np.int64)
     coded = cut.values.slice(ends[0], ends[-1] - ends[0]).dictionary_encode()
-    names, of = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
-    ends = ends[1:] - ends[0]
-    if "" in names:  # beside white space at a text's ends
-        kept = of != names.index("")
+    number: dict[str, int] = {}
+    low = [number.setdefault(w.lower() if w.isascii() else w.encode().lower().decode(), len(number)) for w in coded.dictionary.to_numpy(zero_copy_only=False).tolist()]
+    of, ends = np.array(low, np.int64)[coded.indices.to_numpy()], ends[1:] - ends[0]
+    if "" in number:  # beside white space at a text's ends
+        kept = of != number[""]
         ends, of = np.r_[0, np.cumsum(kept)][ends], of[kept]
-    return names, of, ends
+    return list(number), of, ends
 
 
 def hashes_of(words: list[str]) -> np.ndarray:
