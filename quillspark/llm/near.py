@@ -295,7 +295,7 @@ def verify(members: DataFrame, hashes: Hashes, threshold: float, counted: bool)
         "class", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), (F.col("own") <= F.col("other")).alias("left"), F.col("blocks").isNotNull().alias("split"), "id", "weight", "text"
     )
     # A class's pairs of blocks, numbered, go to one task after another.
-    to = F.pmod(F.xxhash64("class") + F.col("q").cast("long") * (F.col("q") + 1) / 2 + F.col("p"), F.lit(tasks)).cast("int")
+    to = F.pmod(F.xxhash64("class") + F.shiftright(F.col("q").cast("long") * (F.col("q") + 1), 1) + F.col("p"), F.lit(tasks).cast("long")).cast("int")
     dealt = met.repartitionById(tasks, to).sortWithinPartitions("class", "p", "q", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
