@@ -8,7 +8,7 @@ their last two bytes (endings carry inflection, punctuation and language). All w
 class of their ending. Exchange goes in rounds: the units' bigrams lie in shards, and of every unit Spark finds the
 class in which it raises the likelihood of the corpus' class bigrams most, all else held (to the first order, which is
 close for all but the most frequent units). Those that gain move together, or, where that brings too little, the half of them with
-the most gain, and so on; then the ALONE most frequent units are exchanged one by one with exact gains. It ends when a round raises the log
+the most gain, and so on while they promise enough; then the ALONE most frequent units are exchanged one by one with exact gains. It ends when a round raises the log
 likelihood by less than LEAST for each token. The driver and the workers hold nine bytes for each unit (the word's hash, its class).
 
 Word counts, too, are of the whole corpus and stay distributed. The LOOKUP most frequent words (all words down to a count that no more
@@ -42,7 +42,7 @@ LOOKUP = 1_000_000
 #: Tokens whose bigrams are summed at once, and units in a shard.
 TOKENS, SHARD = 1_000_000, 4096
 #: Units that are exchanged one by one, and the gain in log likelihood for each token below which a round is the last.
-ALONE, LEAST = 1000, 1e-4
+ALONE, LEAST = 300, 5e-4
 
 
 def tokens(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -336,15 +336,15 @@ class Shards:
             before = now
             to, gain = self.moves(of, m)
             order = np.argsort(-gain, kind="stable")[: np.count_nonzero(gain > 0)]
-            while len(order):
+            while (hoped := float(gain[order].sum())) > least:
                 tried = of.copy()
                 tried[order] = to[order]
                 new = self.table(tried, k)
-                if (then := likelihood(new)) - now > min(float(gain[order].sum()) / 4, least):
+                if (then := likelihood(new)) - now > least / 2 or then - now > hoped / 4:
                     of, m, now = tried, new, then
                     break
-                order = order[: len(order) // 2] if len(order) > 1 else order[:0]
-            self.alone(of, m, often, least / 100)
+                order = order[: len(order) // 2]
+            self.alone(of, m, often, least / 4)
             now = likelihood(m)
             if now - before <= least:
                 return of, m
