@@ -39,17 +39,39 @@ def policy_verdict(source: Column, **more: Column) -> tuple[Column, Column]:
     return F.when(reason.isNotNull(), "keep_origin").otherwise("translate"), reason
 
 
+# A failed job's category, whether it may be retried, and what its error or log says; the first that fits holds.
+FAILURES = (
+    ("dns_resolution_failed", True, ("Failed to resolve", "NameResolutionError", "Temporary failure in name resolution", "socket.gaierror")),
+    ("upstream_timeout", True, ("ReadTimeout", "ConnectTimeout", "timed out")),
+    ("placeholder_unstable", True, ("PlaceholderInventoryError", "UnexpectedPlaceholderError", "placeholder inventory mismatch", "unexpected placeholders in translation", "placeholder instability")),
+    ("source_pdf_missing", False, ("source pdf not found",)),
+    ("auth_failed", False, ("401", "403", "missing or invalid X-API-Key", "Unauthorized")),
+    ("rate_limited", True, ("429", "rate limit", "Too Many Requests")),
+    ("typst_dependency_download_failed", True, ("packages.typst.org", "failed to download package", "downloading @preview/")),
+)
+
+
+def failure_category(log: Column) -> Column:
+    """A failed job's category, from its error and the end of its log."""
+    return first_match([(name, text.has_any(text.empty_for_null(log), parts)) for name, _, parts in FAILURES], "unknown")
+
+
+def failure_retryable(log: Column) -> Column:
+    return ~failure_category(log).isin(*[name for name, again, _ in FAILURES if not again])
+
+
 def error_taxonomy(message: Column, status: Column) -> Column:
     """A failed request's kind, from its HTTP status or else its message."""
     low = F.lower(text.empty_for_null(message))
     has = lambda *p: text.has_any(low, p)
     return first_match(
         [
-            ("rate_limited", (status == 429) | has("429", "rate limit", "too many requests")),
-            ("server_error", (status >= 500) | has("502", "503", "504", "bad gateway")),
-            ("timeout", has("timeout", "timed out")),
-            ("auth", status.isin(401, 403) | has("unauthorized", "forbidden")),
-            ("network", has("connection", "dns", "reset by peer")),
+            ("rate_limit", status == 429),
+            ("transport", status >= 500),
+            ("rate_limit", has("429", "rate limit", "retry-after")),
+            ("transport", has("timeout", "connection", "http", "transport")),
+            ("refusal", has("refusal", "refused", "safety")),
+            ("validation", has("placeholder", "segment", "validation", "inventory")),
         ],
-        "other",
+        "protocol",
     )

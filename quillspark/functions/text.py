@@ -208,3 +208,32 @@ def pair_decision(before: Column, after: Column) -> Column:
     scores = lambda p: F.struct(join_score(p["a"], p["b"], p["more"]).alias("j"), break_score(p["a"], p["b"], p["more"]).alias("k"))
     pair = F.struct(normalized(before).alias("a"), normalized(after).alias("b"), starts_like_continuation(after).alias("more"))
     return let(let(pair, scores), lambda x: decide(x["j"], x["k"]))
+
+
+def unescaped_dollars(x: Column) -> Column:
+    """How many dollar signs no backslash precedes."""
+    return F.regexp_count(empty_for_null(x), F.lit(r"(?<!\\)\$"))
+
+
+def page_numbers(ranges: Column, total: Column) -> Column:
+    """array<int>: the pages of a list like `1-3,7`, sorted, each once; all pages where the list is blank.
+
+    Null for a list with a part that is no page of the document or no range of them, and for one that names no page.
+    """
+    part = lambda x, i: F.regexp_extract(x, r"^\s*(\d{1,9})\s*(?:-\s*(\d{1,9})\s*)?$", i)
+    first = lambda x: part(x, 1).try_cast("int")
+    last = lambda x: F.coalesce(part(x, 2).try_cast("int"), first(x))
+    parts = F.filter(F.split(empty_for_null(ranges), ","), lambda x: F.trim(x) != "")
+    good = F.forall(parts, lambda x: F.coalesce((first(x) >= 1) & (last(x) >= first(x)) & (last(x) <= total), F.lit(False)))
+    pages = F.array_sort(F.array_distinct(F.flatten(F.transform(parts, lambda x: F.sequence(first(x), last(x))))))
+    return F.when(F.trim(empty_for_null(ranges)) == "", F.sequence(F.lit(1), total)).when(good & (F.size(parts) > 0), pages)
+
+
+def tags(x: Column) -> Column:
+    """Tags trimmed, in lower case, sorted, each once, without empty ones."""
+    return F.array_sort(F.array_distinct(F.filter(F.transform(x, lambda v: F.lower(F.trim(v))), lambda v: v != "")))
+
+
+def first_filled(*columns: Column) -> Column:
+    """The first that isn't blank."""
+    return F.coalesce(*[F.when(F.trim(c) != "", c) for c in columns])

@@ -51,30 +51,46 @@ def restore(text: Column, tokens: Column) -> Column:
     return F.aggregate(F.map_entries(tokens), text, lambda s, e: F.replace(s, e["key"], e["value"]))
 
 
-def adaptive_limits(requests: DataFrame, by: str, order: str, first: int = 8, floor: int = 1, cap: int = 32) -> DataFrame:
-    """The limit of requests at once after each request of a run: halved on status 429, a quarter less on 5xx or failure, one more after 12 fast successes (15 s at most).
-
-    Needs by, order, success, status_code and elapsed_ms. The fold needs a run's rows in order; runs are independent.
+#: Statuses and errors that tell of overload.
+OVERLOAD, TIMEOUTS = (408, 429, 500, 502, 503, 504), ("ReadTimeout", "ConnectTimeout", "Timeout", "ConnectionError")
+
+
+def next_limit(state: tuple[int, int, int], least: int, most: int, roomy: bool, success: bool, status: float | None, error: str | None, ms: float) -> tuple[int, int, int]:
+    """The limit, and the runs of fast or ordinary and of slow successes, after a request. roomy: a provider of high capacity."""
+    limit, good, slow = state
+    cut = lambda ratio: max(least, int(limit * ratio))
+    if not success:
+        if status in OVERLOAD:
+            return cut(0.75 if roomy else 0.5), 0, 0
+        if error in TIMEOUTS:
+            return (limit if roomy else cut(0.5)), 0, 0
+        return state
+    if not roomy and ms >= 60_000:
+        return cut(0.5 if ms >= 90_000 else 0.75), 0, 0
+    if not roomy and ms >= 45_000:
+        return (cut(0.85), 0, 0) if slow else (limit, 0, 1)
+    if ms <= 15_000 and good >= 11 and limit < most:
+        return limit + 1, 0, 0
+    return limit, good + 1, 0
+
+
+def adaptive_limits(requests: DataFrame, by: str, order: str, workers: int = 32, roomy: bool = False) -> DataFrame:
+    """by, order and limit: how many requests may run at once after each request of a run, from `workers` on and 8 (or workers) at least.
+
+    Needs by, order, success, status_code, error_class and elapsed_ms. The fold needs a run's rows in order; runs are independent.
     """
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        limit, fast, run = first, 0, None
+        run, state, least = None, (workers, 0, 0), max(1, min(8, workers))
         for pdf in batches:
             out = []
-            for key, success, status, ms in zip(pdf[by], pdf["success"], pdf["status_code"], pdf["elapsed_ms"], strict=True):
+            for key, success, status, error, ms in zip(pdf[by], pdf["success"], pdf["status_code"], pdf["error_class"], pdf["elapsed_ms"], strict=True):
                 if key != run:
-                    limit, fast, run = first, 0, key
-                if not success:
-                    limit, fast = max(floor, int(limit * (0.5 if status == 429 else 0.75))), 0
-                elif ms <= 15_000:
-                    fast += 1
-                    if fast == 12:
-                        limit, fast = min(cap, limit + 1), 0
-                else:
-                    fast = 0
-                out.append(limit)
-            yield pdf[[by, order]].assign(limit=out)
-
-    kinds = dict(requests.dtypes)
-    rows = requests.select(by, order, "success", "status_code", "elapsed_ms").repartition(by).sortWithinPartitions(by, order)
-    return rows.mapInPandas(fold, f"{by} {kinds[by]}, {order} {kinds[order]}, limit long")
+                    run, state = key, (workers, 0, 0)
+                state = next_limit(state, least, workers, roomy, success, status, error, ms)
+                out.append(state[0])
+            yield pd.DataFrame({by: pdf[by], order: pdf[order], "limit": out})
+
+    kinds = {f.name: f.dataType.simpleString() for f in requests.schema}
+    dealt = requests.select(by, order, "success", "status_code", "error_class", "elapsed_ms").repartition(by).sortWithinPartitions(by, order)
+    return dealt.mapInPandas(fold, f"{by} {kinds[by]}, {order} {kinds[order]}, limit int")

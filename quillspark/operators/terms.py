@@ -9,7 +9,9 @@ from quillspark.operators import records
 
 #: Entries that a glossary may have.
 MOST_ENTRIES = 200
-TECHNICAL = r"(?:^|[^A-Za-z0-9_])([A-Z][A-Za-z0-9]*(?:[-_/][A-Za-z0-9]+)+|[A-Z]{2,}[A-Za-z0-9]*)"
+# Fixed value: what a technical term looks like (Kohn-Sham, LCAO-MO, DFTB3 and SCF are such), where no letter, digit or _ touches it.
+TERM = r"[A-Z][a-z]+(?:-[A-Z][A-Za-z0-9]+)+|[A-Z]{2,}(?:[-_/][A-Za-z0-9]+)+|[A-Za-z]+[0-9][A-Za-z0-9]*(?:[-_/][A-Za-z0-9]+)*|[A-Z]{2,}[a-z]*"
+TECHNICAL = rf"(?<![\p{{L}}\p{{N}}_])({TERM})(?![\p{{L}}\p{{N}}_])"
 
 
 def key(source: Column) -> Column:

@@ -386,7 +386,11 @@ def glossary_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return met.withColumn("unapplied", (F.col("source_hits") > 0) & (F.col("target_hits") == 0))
 
 
-@query(f"""WITH f AS (SELECT doc_id, i, regexp_extract_all(text, {q(terms.TECHNICAL)}, 1)[i] AS term FROM (SELECT doc_id, text, unnest(range(1, len(regexp_extract_all(text, {q(terms.TECHNICAL)}, 1)) + 1)) AS i FROM documents))
+# That pattern language knows ASCII words only, so other letters are made two underscores, which no term has.
+SQL_TERMS = "regexp_extract_all(text, '\\b(" + terms.TERM + ")\\b', 1)"
+
+
+@query(f"""WITH d AS (SELECT doc_id, regexp_replace(text, '[À-ÖØ-öø-ÿ]', '__', 'g') AS text FROM documents), f AS (SELECT doc_id, i, {SQL_TERMS}[i] AS term FROM (SELECT doc_id, text, unnest(range(1, len({SQL_TERMS}) + 1)) AS i FROM d))
  SELECT lower(term) AS term_key, arg_min(term, (doc_id, i)) AS term, count(*) AS hits FROM f GROUP BY lower(term) HAVING count(*) >= 2 ORDER BY hits DESC, term_key LIMIT 240""")
 def auto_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return terms.technical_terms(spread(t(spark, sf_dir, "documents").select("doc_id", "text")), "text", "doc_id", 2, 240)

@@ -10,8 +10,6 @@ from quillspark.functions import text
 from quillspark.operators import arrow_ops, ordered, records, terms
 from quillspark.plans.catalog import SQL_LINES, lines, q, query, sql_count, sql_match, sql_norm, t
 
-# What a failed job's message says about it.
-FAILURES = (("rate_limited", "429", True), ("timeout", "timeout", True), ("auth", "unauthorized", False), ("signup", "signup", False), ("error", "error", True))
 SECRET = r"(?i)(sk-|api[_-]?key=|token=|ref=)[A-Za-z0-9_-]+"
 TOC = r"^ *([0-9]+(?:\.[0-9]+)*)[.)]? +(.*?)[ .]+([0-9]+) *$"
 
@@ -76,25 +74,11 @@ def toc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines(spark, sf_dir).where(F.col("line").rlike(TOC)).select("doc_id", "ord", part(1).alias("number"), part(2).alias("title"), part(3).alias("page_label"), level.alias("level"))
 
 
-@query(f"SELECT doc_id, {sql_count('text', '[$]')} % 2 = 0 AS balanced, {sql_count('text', text.PLACEHOLDER)} AS n_placeholders FROM documents")
-def math_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return t(spark, sf_dir, "documents").select("doc_id", (text.count(F.col("text"), "[$]") % 2 == 0).alias("balanced"), text.count(F.col("text"), text.PLACEHOLDER).alias("n_placeholders"))
-
-
 @query(f"SELECT page_id, regexp_replace(url, {q(SECRET)}, '\\1***', 'g') AS url FROM pages")
 def redacted_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t(spark, sf_dir, "pages").select("page_id", F.regexp_replace("url", SECRET, "$1***").alias("url"))
 
 
-@query("SELECT event_id, CASE " + " ".join(f"WHEN contains(lower(event_type || ' ' || props), '{w}') THEN '{k}'" for k, w, _ in FAILURES) + " ELSE 'unknown' END AS category, coalesce(CASE " + " ".join(f"WHEN contains(lower(event_type || ' ' || props), '{w}') THEN {str(r).lower()}" for _, w, r in FAILURES) + " END, false) AS retryable FROM events")
-def failure_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    low = F.lower(F.concat_ws(" ", "event_type", "props"))
-    category, again = F, F
-    for name, part, retry in FAILURES:
-        category, again = category.when(F.contains(low, F.lit(part)), name), again.when(F.contains(low, F.lit(part)), F.lit(retry))
-    return t(spark, sf_dir, "events").select("event_id", category.otherwise("unknown").alias("category"), again.otherwise(F.lit(False)).alias("retryable"))
-
-
 @query("SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn <= 5")
 def log_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last five of each user. The limit on the row number is pushed before the shuffle."""
@@ -122,14 +106,6 @@ def page_widths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.min("l_extendedprice").alias("x0"), F.max("l_extendedprice").alias("x1"), F.round(F.percentile("l_extendedprice", 0.5), 4).alias("median_width"), upper.alias("upper_median"))
 
 
-@query("""WITH r AS (SELECT s_suppkey, CAST(s_nationkey AS BIGINT) AS a, CAST(s_nationkey + s_suppkey % 4 AS BIGINT) AS b FROM supplier), e AS (SELECT unnest(range(a, b + 1)) AS page_no FROM r)
- SELECT page_no, count(*) AS n_ranges FROM e GROUP BY page_no""")
-def page_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Page numbers of ranges like 3-5, and how many ranges have each."""
-    a = F.col("s_nationkey").cast("long")
-    return t(spark, sf_dir, "supplier").select(F.explode(F.sequence(a, a + F.col("s_suppkey") % 4)).alias("page_no")).groupBy("page_no").agg(F.count(F.lit(1)).alias("n_ranges"))
-
-
 @query("""WITH s AS (SELECT doc_id, ord, line, CASE WHEN length(line) < 120 THEN 1 ELSE 0 END AS short FROM """ + SQL_LINES + """), m AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ord) - row_number() OVER (PARTITION BY doc_id, short ORDER BY ord) AS g FROM s)
  SELECT doc_id, CAST(min(ord) AS INT) AS first_ord, count(*) AS n_lines FROM m WHERE short = 1 GROUP BY doc_id, g HAVING count(*) >= 6""")
 def index_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -179,12 +155,3 @@ def protected_formulas(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many formulas each text has, and whether putting them back gives the text."""
     p = t(spark, sf_dir, "documents").select("doc_id", "text", arrow_ops.protect(F.col("text")).alias("p"))
     return p.select("doc_id", F.size("p.tokens").alias("n_formulas"), (arrow_ops.restore(F.col("p.text"), F.col("p.tokens")) == F.coalesce("text", F.lit(""))).alias("same_text"))
-
-
-@query()
-def adaptive_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The limit of requests after each event of a user, errors being refusals and `value` seconds the time each took."""
-    e = t(spark, sf_dir, "events")
-    requests = e.select("user_id", F.struct("ts", "event_id").alias("at"), (F.col("event_type") != "error").alias("success"), F.when(F.col("event_type") == "error", 429).otherwise(200).alias("status_code"), (F.col("value") * 1000).alias("elapsed_ms"))
-    numbered = ordered.resequence(requests, ["user_id"], ["at"], "request_no")
-    return arrow_ops.adaptive_limits(numbered, "user_id", "request_no")

@@ -104,7 +104,7 @@ LAYOUT_TREE = {
     "table_footnote": ("text", "footnote"), "text": ("text", "body"), "list": ("text", "body"),
 }
 LAYOUT_LABELS = {
-    "doc_title": ("text", "title"), "abstract": ("text", "abstract"), "text": ("text", "body"), "paragraph_title": ("text", "heading"), "content": ("text", "table_of_contents"), "reference_content": ("text", "reference_entry"),
+    "doc_title": ("text", "title"), "abstract": ("text", "body"), "text": ("text", "body"), "paragraph_title": ("text", "heading"), "content": ("text", "table_of_contents"), "reference_content": ("text", "reference_entry"),
     "formula_number": ("text", "formula_number"), "header": ("text", "header"), "footer": ("text", "footer"), "footnote": ("text", "footnote"), "aside_text": ("text", "metadata"), "number": ("text", "page_number"),
     "figure_title": ("text", "figure_caption"), "table": ("table", "table_html"), "chart": ("image", "image_body"), "header_image": ("image", "image_body"), "footer_image": ("image", "image_body"), "image": ("image", "image_body"),
     "algorithm": ("code", "code_block"), "display_formula": ("formula", "display_formula"), "formula": ("formula", "display_formula"), "vision_footnote": ("text", "footnote"),

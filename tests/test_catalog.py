@@ -1,7 +1,7 @@
 import pytest
 from oracle import both
 
-from quillspark.plans import catalog, more  # noqa: F401
+from quillspark.plans import catalog, jobs, more  # noqa: F401
 
 
 @pytest.mark.parametrize("name", catalog.ORACLES)
@@ -19,4 +19,4 @@ def test_queries_without_sql(spark, sf_dir):
     assert all(r.same_text for r in rows["protected_formulas"])
     assert all(0 <= r.ratio <= 1 and r.copied == (r.ratio >= 0.82) for r in rows["copied_turns"])
     limits = rows["adaptive_limits"]
-    assert len(limits) == spark.read.parquet(f"{sf_dir}/events.parquet").count() and all(1 <= r.limit <= 32 for r in limits)
+    assert len(limits) == spark.read.parquet(f"{sf_dir}/events.parquet").count() and all(8 <= r.limit <= 32 for r in limits)

@@ -43,7 +43,7 @@ def test_text_predicates(spark):
 
 def test_error_taxonomy(spark):
     df = spark.createDataFrame([("429 and 503", None), ("x", 503), ("Timed out", None), ("", 401), ("connection lost", None), (None, None)], "m string, s int")
-    assert [r.x for r in df.select(rules.error_taxonomy(F.col("m"), F.col("s")).alias("x")).collect()] == ["rate_limited", "server_error", "timeout", "auth", "network", "other"]
+    assert [r.x for r in df.select(rules.error_taxonomy(F.col("m"), F.col("s")).alias("x")).collect()] == ["rate_limit", "transport", "protocol", "protocol", "transport", "protocol"]
 
 
 def test_flat_ocr(spark, tmp_path):
@@ -73,7 +73,7 @@ def test_adapters(spark, tmp_path):
     rows = [(r.document_id, r.provider, r.block_id, r.kind, r.sub_type, r.text, r.policy_reason) for r in got]
     assert rows == [
         ("flat", "generic_flat_ocr", "p001-b0000", "text", "body", "a", "provider_body_whitelist:body"),
-        ("labels", "layout_labels", "p001-b0000", "text", "title", "T", "semantic_role=unknown"), ("labels", "layout_labels", "p001-b0001", "text", "abstract", "A", "semantic_role=abstract"),
+        ("labels", "layout_labels", "p001-b0000", "text", "title", "T", "semantic_role=unknown"), ("labels", "layout_labels", "p001-b0001", "text", "body", "A", "semantic_role=abstract"),
         ("labels", "layout_labels", "p001-b0002", "text", "page_number", "3", "layout_role=page_number"),
         ("list", "content_list", "p001-b0000", "text", "title", "T", "semantic_role=unknown"), ("list", "content_list", "p001-b0001", "text", "body", "i j", "main_text"), ("list", "content_list", "p002-b0000", "image", "figure", "", "non_text"),
         ("tree", "layout_tree", "p001-b0000", "text", "body", "x y z", "main_text"), ("tree", "layout_tree", "p001-b0001", "image", "figure", "", "non_text"), ("tree", "layout_tree", "p001-b0002", "image", "figure", "", "non_text"),
@@ -148,9 +148,35 @@ def test_arrow_operators(spark):
     df = spark.createDataFrame([(r"x $a+b$ y \(c\) z",)], "t string").withColumn("p", arrow_ops.protect(F.col("t")))
     r = df.select("t", "p.text", arrow_ops.restore(F.col("p.text"), F.col("p.tokens")).alias("back")).first()
     assert "$" not in r.text and r.back == r.t
-    runs = [("r", i, True, 200, 10) for i in range(12)] + [("r", 12, False, 429, 10), ("r", 13, False, 500, 10), ("q", 0, False, 429, 1)]
-    got = {(r.run, r.i): r.limit for r in arrow_ops.adaptive_limits(spark.createDataFrame(runs, "run string, i int, success boolean, status_code int, elapsed_ms int"), "run", "i").collect()}
-    assert (got["r", 10], got["r", 11], got["r", 12], got["r", 13], got["q", 0]) == (8, 9, 4, 3, 4)
+
+
+def test_adaptive_limits(spark):
+    """Cases of each rule, from 16 workers: (success, status, error, ms) and the limit after it."""
+    cases = {
+        "overload": [((False, 429, None, 1), 8), ((False, 503, None, 1), 8)], "other failures": [((False, 404, None, 1), 16), ((False, None, "ValueError", 1), 16), ((False, None, "ReadTimeout", 1), 8)],
+        "slow": [((True, 200, None, 45_000), 16), ((True, 200, None, 50_000), 13), ((True, 200, None, 60_000), 9), ((True, 200, None, 90_000), 8)],
+        "growth": [((False, 500, None, 1), 8), *[((True, 200, None, 16_000 if i == 3 else 10), 8) for i in range(11)], ((True, 200, None, 15_000), 9), ((True, 200, None, 10), 9)],
+        "full": [((True, 200, None, 10), 16)] * 14,
+    }
+    rows = [(run, i, *request) for run, steps in cases.items() for i, (request, _) in enumerate(steps)]
+    df = spark.createDataFrame(rows, "run string, i int, success boolean, status_code int, error_class string, elapsed_ms int")
+    got = {(r.run, r.i): r.limit for r in arrow_ops.adaptive_limits(df, "run", "i", workers=16).collect()}
+    assert got == {(run, i): limit for run, steps in cases.items() for i, (_, limit) in enumerate(steps)}
+    assert {r.limit for r in arrow_ops.adaptive_limits(df.where("run = 'overload' and i = 0"), "run", "i", workers=16, roomy=True).collect()} == {12}
+
+
+def test_page_numbers_and_dollars(spark):
+    x = lambda c: [r.x for r in c]
+    df = spark.createDataFrame([("1-3,7",), (" 7, 2 - 3 ,2",), ("3-1",), ("x,5",), ("",), (None,), ("0-1",), ("2-9",), (" , ",)], "p string")
+    assert x(df.select(text.page_numbers(F.col("p"), F.lit(8)).alias("x")).collect()) == [[1, 2, 3, 7], [2, 3, 7], None, None, [*range(1, 9)], [*range(1, 9)], None, None, None]
+    df = spark.createDataFrame([(r"$a$ \$5",), (r"\$",), (None,)], "p string")
+    assert x(df.select(text.unescaped_dollars(F.col("p")).alias("x")).collect()) == [2, 0, 0]
+
+
+def test_failure_category(spark):
+    df = spark.createDataFrame([("socket.gaierror; timed out",), ("403",), ("source pdf not found 429",), (None,), ("downloading @preview/x",)], "m string")
+    got = df.select(rules.failure_category(F.col("m")).alias("c"), rules.failure_retryable(F.col("m")).alias("r")).collect()
+    assert [tuple(r) for r in got] == [("dns_resolution_failed", True), ("auth_failed", False), ("source_pdf_missing", False), ("unknown", True), ("typst_dependency_download_failed", True)]
 
 
 def test_islands_with_gaps(spark):
