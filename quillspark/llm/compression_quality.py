@@ -6,10 +6,11 @@ sum. A second feature, the smaller size divided by the text's own bytes, tells t
 dictionary does. A logistic curve over both, fitted on labelled documents that are in neither dictionary and
 corrected for the labels' shares, gives the score.
 
-Dictionaries and curve come from a bounded sample: `per_label` documents of each label, picked by a hash of the id, and
-at most BLOCKS blocks of each, picked by a hash from the whole text. Scores are of whole texts.
+Dictionaries and curve come from a bounded sample: the whole texts of `per_label` documents of each label, picked by a hash of the id.
+Scores are of whole texts.
 
-Null texts count as empty. An empty text compresses to nothing; its score is the curve's at a difference and a size of 0.
+Null texts count as empty. Repeated documents score alike, each with a row; of a sampled id all its texts count. Columns of the documents are carried along,
+save that the caller names the score's own. An empty text compresses to nothing; its score is the curve's at a difference and a size of 0.
 If a label has no text, every score is the share of good labels (0.5 without labels).
 """
 
@@ -25,7 +26,7 @@ from pyspark.sql import types as T
 from quillspark.llm import common
 from quillspark.llm.ppm_language import flat_bytes
 
-PER_LABEL, BLOCKS, BLOCK = 1500, 4, 4096
+PER_LABEL, BLOCK = 1500, 4096
 DICTIONARY, LEVEL = 112_640, 3
 
 
@@ -76,11 +77,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     named = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__label"))
     counts = {r[0]: r[1] for r in named.groupBy("__label").count().collect()}
     picked = common.bounded_sample(named, "__label", per_label, "__id").groupBy("__id").agg(F.max("__label").alias("__label"))
-    # at most 2 * 2 * per_label ids
+    # about 2 * per_label ids
     rows = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).join(F.broadcast(picked), "__id")
-    blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.length("t") - 1) / BLOCK), F.lit(0)).cast("int")), lambda i: F.substring("t", i * BLOCK + 1, F.lit(BLOCK)))
-    some = F.slice(F.array_sort(F.transform(blocks, lambda b: F.struct(F.xxhash64(b).alias("h"), b.alias("b")))), 1, BLOCKS).getField("b")
-    got = sorted((r.h, r.l, [b.encode() for b in r.b]) for r in rows.select(F.xxhash64("t").alias("h"), F.col("__label").alias("l"), some.alias("b")).limit(4 * per_label).collect())
+    got = sorted((r.h, r.l, [r.t.encode()]) for r in rows.select(F.xxhash64("t").alias("h"), F.col("__label").alias("l"), "t").distinct().collect())
     share = (counts.get(1, 0) + 1) / (sum(counts.values()) + 2)
     by = {k: [b for h, label, b in got if label == k] for k in (1, 0)}
     if not all(any(map(any, x)) for x in by.values()):

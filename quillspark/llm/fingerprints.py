@@ -9,7 +9,7 @@ packed, eight to a long. Two bins agree by chance with probability 1/256, which
 To lay out all bins, one largest value for each is sorted in with the hashes; where it is the first of its bin,
 the bin is empty. So nothing is exploded and no row leaves its partition.
 
-A null text counts as empty. Texts without a word have an empty fingerprint, like 1 to each other and 0 to all else.
+A null text counts as empty; repeated rows have equal fingerprints; null ids come before all others. Of no documents there are no rows. Texts without a word have an empty fingerprint, like 1 to each other and 0 to all else.
 """
 
 from __future__ import annotations

@@ -10,7 +10,9 @@ in the training rows added) is predicted.
 Contexts have three bytes at most, so all probabilities fit into one table from (context, byte) to code lengths and a text
 is scored by one lookup a byte; contexts of three bytes that no sample holds take the row of their last two bytes.
 
-Rows without text, or whose text has no letter (\\p{L}), are `und` with score 0. Without any labelled text, all are.
+The sample is about `per_language` whole texts of each language, picked by a hash.
+
+Repeated rows are predicted alike. Of no documents there are no rows. Rows without text, or whose text has no letter (\\p{L}), are `und` with score 0. Without any labelled text, all are.
 Ties of code lengths go to the language that sorts first. Texts are scored whole, in runs of bounded size.
 """
 
@@ -24,8 +26,8 @@ from pyspark.sql import types as T
 
 from quillspark.llm import common
 
-#: Of each language: sampled documents, and of each of these the sampled blocks and their length in characters.
-PER_LANGUAGE, BLOCKS, BLOCK = 300, 4, 2000
+#: Of each language: sampled documents.
+PER_LANGUAGE = 300
 #: Bytes scored at once.
 RUN = 1 << 21
 
@@ -130,11 +132,9 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", ke
     rows = labelled.select(F.col(text_col).alias("t"), F.col(label_col).alias("k"), (F.col(key) if key else F.lit(0)).alias("id"))
     counts = {r[0]: r[1] for r in rows.where("k is not null").groupBy("k").count().collect()}
     take = common.bounded_sample(rows, "k", per_language, "t", "id")
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.length("t") - 1) / BLOCK).cast("int")), lambda i: F.substring("t", i * BLOCK + 1, F.lit(BLOCK)))
-    picked = take.where(F.length("t") > 0).select("k", F.slice(F.array_sort(F.transform(blocks, lambda b: F.struct(F.xxhash64(b).alias("h"), b.alias("b")))), 1, BLOCKS).getField("b").alias("b"))
     samples: dict[str, list[bytes]] = {}
-    for k, b in picked.collect():
-        samples.setdefault(k, []).extend(x.encode() for x in b)
+    for k, text in take.where(F.length("t") > 0).select("k", "t").collect():
+        samples.setdefault(k, []).append(text.encode())
     n = sum(counts[k] for k in samples)
     return Ppm({k: sorted(v) for k, v in samples.items()}, {k: counts[k] / n for k in samples}) if samples else None
 

@@ -339,6 +339,45 @@ def test_op5_model_tells_hosts_apart():
     assert judge.score("good999.example.org/fr/7") > 0.5 > judge.score("casino777.bad.net/x/3")
 
 
+def test_op5_samples_distinct_urls(spark):
+    """One URL that fills the table doesn't crowd out the others."""
+    rows = [("http://hot.net/x",)] * 3000 + [(f"http://bad{i}.net/casino",) for i in range(40)] + [(f"http://good{i}.org/fr/news",) for i in range(30)]
+    got = common.bounded_sample(spark.createDataFrame(rows, "u string").withColumn("k", F.when(F.contains("u", F.lit(".net")), "block").otherwise("allow")), "k", 25, "u").collect()
+    n = Counter(r.k for r in got)
+    assert len({r.u for r in got}) == len(got) and 10 <= n["allow"] <= 30 and 10 <= n["block"] <= 41
+
+
+def test_op2_features_by_hand():
+    """Sizes by compressing each block with either dictionary, one frame at a time."""
+    import zstandard
+
+    good, bad = b"the of and to in is that for it was " * 40, b"buy now casino win free click here best " * 40
+    model = cq.Classifier(good, bad)
+    for t in (b"", b"the of and to", b"casino free click " * 700):
+        sizes = []
+        for d in (good, bad):
+            c = zstandard.ZstdCompressor(level=cq.LEVEL, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_checksum=False, write_dict_id=False)
+            sizes.append(sum(max(len(c.compress(t[a : a + cq.BLOCK])) - len(c.compress(b"")), 1) for a in range(0, len(t), cq.BLOCK)))
+        x = (10 * (sizes[1] - sizes[0]) / sum(sizes), min(sizes) / len(t)) if t else (0.0, 0.0)
+        assert np.allclose(model.features(t), x, rtol=0.02)
+    assert model.features(b"the of and to in is")[0] > 0 > model.features(b"casino win free click here")[0]
+
+
+def test_op5_markov_by_the_book():
+    texts, d = ["abab", "abc", "b"], url_filter.DISCOUNT
+    model = url_filter.Markov(texts, order=2)
+
+    def p(context, c):
+        below = p(context[1:], c) if context else 1 / url_filter.CHARACTERS
+        after = Counter(s[i] for t in texts for s in [t + "\n"] for i in range(len(context), len(s)) if s[i - len(context) : i] == context)
+        n = sum(after.values())
+        return (max(after[c] - d, 0) + d * len(after) * below) / n if n else below
+
+    for t in ("ab", "cab", "zz", ""):
+        s = t + "\n"
+        assert abs(model.log_likelihood(t) - sum(math.log(p(s[max(0, i - 2) : i], s[i])) for i in range(len(s)))) < 1e-9
+
+
 def test_op5_judges_the_whole_url(spark):
     urls = [f"http://{h}/{p}/{i}?ref={q}{i}#top" for h, p, q in (("good.org", "fr", "news"), ("bad.net", "x", "casino")) for i in range(60)]
     urls += ["http://other.io/a?ref=news7", "http://other.io/a?ref=casino7", "other.io/ref=news7", "other.io/ref=casino7"]
