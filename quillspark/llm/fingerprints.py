@@ -3,7 +3,7 @@
 Shingles are runs of five words (between white space; a shorter text is one shingle), each hashed once by xxHash64. The top byte of a hash
 is its bin, the rest its value; a bin keeps its least value. An empty bin takes the value of another: bins are
 probed in an order that a 2-universal hash of (bin, attempt) gives until one with a value is found (optimal
-densification); after PROBES attempts the least value of all bins is taken. The low 8 bits of the 256 bins' values are
+densification); after PROBES attempts, as short texts need them, the filled bin is taken that comes first in an order of all bins hashed for the empty one. The low 8 bits of the 256 bins' values are
 packed, eight to a long. Two bins agree by chance with probability 1/256, which the likeness is corrected for.
 
 To lay out all bins, one largest value for each is sorted in with the hashes; where it is the first of its bin,
@@ -55,8 +55,13 @@ def densified(values: Column) -> Column:
         a, b = (0x9E3779B1 * (2 * t + 1)) % PRIME, (0x85EBCA6B * (t + 1)) % PRIME
         return (((j.cast("long") * a + b) % PRIME) % BINS).cast("int")
 
-    fill = lambda v, least: F.transform(v, lambda x, j: F.coalesce(x, *[F.get(v, probe(j, t)) for t in range(PROBES)], least))
-    return bind(values, lambda v: bind(F.array_min(v), lambda least: F.when(least.isNotNull(), fill(v, least))))
+    def rest(filled: Column, j: Column) -> Column:
+        """The value of the filled bin that comes first in the bin's own order of all bins."""
+        return F.array_min(F.transform(filled, lambda f: F.struct(F.xxhash64(f["bin"], j).alias("at"), f["value"].alias("value"))))["value"]
+
+    bins_of = lambda v: F.filter(F.transform(v, lambda x, j: F.struct(j.alias("bin"), x.alias("value"))), lambda f: f["value"].isNotNull())
+    fill = lambda v, filled: F.transform(v, lambda x, j: F.coalesce(x, *[F.get(v, probe(j, t)) for t in range(PROBES)], rest(filled, j)))
+    return bind(values, lambda v: bind(bins_of(v), lambda filled: F.when(F.size(filled) > 0, fill(v, filled))))
 
 
 def packed(values: Column) -> Column:

@@ -117,6 +117,17 @@ def test_op1_order_over_ties_and_ranges(spark):
     assert len(got) == len(rows) and all(r.next == after[r.text] for r in got)
 
 
+def test_op1_short_texts(spark):
+    """Of texts of a few shingles the likeness is near the Jaccard similarity, since each empty bin picks for itself."""
+    pairs = []
+    for i in range(60):
+        a, b, c = (text(3000 + 7 * i + k, 6).split() for k in range(3))
+        pairs.append((" ".join(a + b), " ".join(a + c)))
+    got = spark.createDataFrame(pairs, "a string, b string").select(fingerprints.likeness(fingerprints.fingerprint(F.col("a")), fingerprints.fingerprint(F.col("b"))).alias("x")).collect()
+    off = np.array([r.x - jaccard(shingles(a), shingles(b)) for r, (a, b) in zip(got, pairs, strict=True)])
+    assert np.sqrt((off**2).mean()) < 0.06
+
+
 def test_op1_empty_fingerprints(spark):
     df = spark.createDataFrame([("", " \n"), ("", "a b"), ("a b", "a  b")], "a string, b string")
     got = df.select(fingerprints.likeness(fingerprints.fingerprint(F.col("a")), fingerprints.fingerprint(F.col("b"))).alias("x")).collect()
