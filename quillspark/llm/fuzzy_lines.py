@@ -22,12 +22,16 @@ SPACE = " \t\r\x0b\f"
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """__id and __h of a row, place, line and line_hash of each of its lines that isn't blank."""
-    cut = F.posexplode(F.split(F.col(text_col), "\n")).alias("place", "raw")
+    cut = F.posexplode(F.split(F.lower(text_col), "\n")).alias("place", "raw")
     rows = docs.where(F.col(text_col).isNotNull()).select(key(id_col).alias("__id"), F.xxhash64(text_col).alias("__h"), cut)
-    named = rows.select("__id", "__h", "place", F.lower(F.btrim(F.col("raw"), F.lit(SPACE))).alias("line")).where("line != ''")
+    named = rows.where(~blank(F.col("raw"))).select("__id", "__h", "place", F.btrim(F.col("raw"), F.lit(SPACE)).alias("line"))
     return named.withColumn("line_hash", F.xxhash64("line"))
 
 
+def blank(line: Column) -> Column:
+    return F.ltrim(line, F.lit(SPACE)) == ""
+
+
 def key(id_col: str) -> Column:
     return F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
 
@@ -45,10 +49,10 @@ def dedupe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", char
     keyed = common.one_of_each(docs.drop("n_lines", "n_kept").withColumn("__id", key(id_col)).withColumn("__h", F.xxhash64(text_col)), "__id", "__h")
     met = keyed.join(stay.hint("shuffle_hash"), (F.col("__id") == F.col("__kid")) & (F.col("__h") == F.col("__kh")), "left").drop("__kid", "__kh")
     none = F.array().cast("array<int>")
-    cut = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")
-    blank = lambda line: F.btrim(line, F.lit(SPACE)) == ""
-    blanks = F.filter(F.transform(cut, lambda x, i: F.when(blank(x), i)), lambda i: i.isNotNull())
-    kept = met.withColumn("__stay", F.when(F.col("__first"), F.coalesce("__stay", none)).otherwise(none)).withColumn("n_kept", F.size("__stay").cast("long"))
-    text = common.bind(cut, lambda c: F.array_join(F.transform(F.sort_array(F.concat("__stay", blanks)), lambda i: F.get(c, i)), "\n"))
-    counted = kept.withColumn("n_lines", F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.size(cut) - F.size(blanks)).cast("long"))
-    return counted.withColumn(text_col, F.when(F.col(text_col).isNotNull(), text)).drop("__stay", "__id", "__h", "__first")
+    # The lines and the places of the blank ones are columns, as each is used more than once.
+    cut = met.withColumn("__cut", F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"))
+    blanks = cut.withColumn("__blanks", F.filter(F.transform("__cut", lambda x, i: F.when(blank(x), i)), lambda i: i.isNotNull()))
+    kept = blanks.withColumn("__stay", F.when(F.col("__first"), F.coalesce("__stay", none)).otherwise(none)).withColumn("n_kept", F.size("__stay").cast("long"))
+    text = F.array_join(F.transform(F.sort_array(F.concat("__stay", "__blanks")), lambda i: F.get("__cut", i)), "\n")
+    counted = kept.withColumn("n_lines", F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.size("__cut") - F.size("__blanks")).cast("long"))
+    return counted.withColumn(text_col, F.when(F.col(text_col).isNotNull(), text)).drop("__stay", "__cut", "__blanks", "__id", "__h", "__first")

@@ -3,7 +3,7 @@
 1. Every text gets a MinHash signature of its shingle set, cut into bands. `choose_bands` takes the fewest bands that
    reach the recall wanted at the threshold.
 2. Texts that share a band are candidates. Within an Arrow batch, texts with a common band are linked to the least id at
-   once and only that one goes on to the shuffle on the band, so a band of very many texts arrives as a row for each batch.
+   once and only that one goes on to the shuffle on the band, so a band of very many texts arrives once for each batch.
 3. Candidates are joined into candidate classes by distributed union-find.
 4. Each class's texts meet once and are compared on their full sets. A large class is split into blocks
    of BLOCK texts or fewer, and each pair of blocks is a group of its own, dealt evenly; within a group, sets are compared by
@@ -16,13 +16,12 @@ Ids are 64-bit hashes of the texts, so equal texts are one. Texts without a shin
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from itertools import pairwise
+from itertools import combinations, pairwise, product
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from quillspark.llm import common
 from quillspark.llm.components import Forest, components
@@ -33,6 +32,10 @@ BLOCK, LEAST, SPREAD = 2048, 256, 24
 #: Groups up to so many texts are compared set by set.
 SMALL = 32
 COLUMNS = 4096
+#: Texts compared with all others of a group at once, and after how many texts that reach few others all that is left is compared so.
+SLICE, TRIES = 512, 8
+#: Bands of texts in a bucket, about.
+IN_BUCKET = 2_000_000
 #: Characters of groups whose sets are made together.
 TOGETHER = 200_000
 
@@ -137,8 +140,19 @@ def band_hashes(hashes: np.ndarray, ends: np.ndarray, bands: int, rows: int) ->
     return out
 
 
+def pack(bucket: np.ndarray, left: list[np.ndarray], right: list[np.ndarray], linked: bool) -> pa.RecordBatch:
+    """A row for each bucket, with the numbers of either side as bytes."""
+    sides = [pa.array([x.tobytes() for x in side], pa.binary()) for side in (left, right)]
+    return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), *sides, pa.array([linked] * len(bucket))], ["bucket", "left", "right", "linked"])
+
+
 def candidates(texts: DataFrame, hashes: Hashes, bands: int, rows: int, name: str) -> DataFrame:
-    """a, b: links between the ids of texts (id, text) that share a band; each id's with the least of its batch or of its band."""
+    """a, b: links between the ids of texts (id, text) that share a band; each id's with the least of its batch or of its band.
+
+    Bands are dealt to buckets by their upper bits, packed: a batch sends each bucket one row. There are as many buckets as keep one's bands near IN_BUCKET.
+    """
+    spark = texts.sparkSession
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-texts.count() * bands // IN_BUCKET))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -151,23 +165,41 @@ def candidates(texts: DataFrame, hashes: Hashes, bands: int, rows: int, name: st
                     of.append(ids[a:b][np.diff(ends) > 0])
             if not key:
                 continue
-            key, of = np.concatenate(key), np.concatenate(of)
-            flat, who = key.ravel().view(np.int64), np.repeat(of, bands)
-            order = np.lexsort((who, flat))
+            flat, who = np.concatenate(key).ravel(), np.repeat(np.concatenate(of), bands)
+            # Ids ascend, so that of equal bands the first is the least id's.
+            order = np.argsort(flat, kind="stable")
             flat, who = flat[order], who[order]
             new = np.r_[True, flat[1:] != flat[:-1]]
             root = who[np.flatnonzero(new)][np.cumsum(new) - 1]
             rest = ~new & (who != root)
-            links = np.unique(np.stack([who[rest], root[rest]], 1), axis=0)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.r_[flat[new], np.zeros(len(links), np.int64)], mask=np.r_[np.zeros(new.sum(), bool), np.ones(len(links), bool)]), pa.array(np.r_[who[new], links[:, 0]]), pa.array(np.r_[root[new], links[:, 1]])], ["band", "a", "b"]
-            )
+            if rest.any():
+                links = np.unique(np.stack([who[rest], root[rest]], 1), axis=0)
+                yield pack(links[:1, 0] % buckets, [links[:, 0].copy()], [links[:, 1].copy()], True)
+            flat, who = flat[new], who[new]
+            to = ((flat >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+            start = np.flatnonzero(np.r_[True, to[1:] != to[:-1]])
+            yield pack(to[start], np.split(flat, start[1:]), np.split(who, start[1:]), False)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        links = lambda a, b: pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+        flat, who = [], []
+        for batch in batches:
+            for left, right, linked in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
+                if linked:
+                    yield links(np.frombuffer(left, np.int64), np.frombuffer(right, np.int64))
+                else:
+                    flat.append(np.frombuffer(left, np.uint64))
+                    who.append(np.frombuffer(right, np.int64))
+        if flat:
+            flat, who = np.concatenate(flat), np.concatenate(who)
+            order = np.argsort(flat)
+            flat, who = flat[order], who[order]
+            new = np.r_[True, flat[1:] != flat[:-1]]
+            least = np.minimum.reduceat(who, np.flatnonzero(new))[np.cumsum(new) - 1]
+            yield links(who[who != least], least[who != least])
 
-    # One row for each band and batch, or a link (without a band). An id's hash deals the links evenly.
-    found = texts.select("id", "text").mapInArrow(run, "band long, a long, b long")
-    dealt = found.select(F.coalesce("band", F.xxhash64("a", "b")).alias("band"), "a", F.when(F.col("band").isNull(), F.col("b")).alias("link"))
-    least = F.min(F.when(F.col("link").isNull(), F.col("a"))).over(Window.partitionBy("band"))
-    return dealt.select("a", F.coalesce(F.col("link"), least).alias("b")).where("a != b")
+    found = texts.select("id", "text").mapInArrow(run, "bucket int, left binary, right binary, linked boolean")
+    return found.repartitionById(buckets, F.col("bucket")).mapInArrow(meet, "a long, b long")
 
 
 class Compare:
@@ -189,8 +221,13 @@ class Compare:
     def links(self, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, counted: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Places of linked texts, of left and of right, in parts. left is right: every pair, in both orders. Not counted: links enough to connect them."""
         if len(sets) <= SMALL:
-            known = [frozenset(s.tolist()) for s in sets]
-            found = [(i, j) for i in left.tolist() for j in right.tolist() if i != j and known[i] and self.pair(known[i], known[j])]
+            known, label, found = [frozenset(s.tolist()) for s in sets], list(range(len(sets))), []
+            for i, j in combinations(left.tolist(), 2) if left is right else product(left.tolist(), right.tolist()):
+                if (counted or label[i] != label[j]) and known[i] and self.pair(known[i], known[j]):
+                    found += [(i, j), (j, i)] if counted and left is right else [(i, j)]
+                    if not counted:
+                        was = label[j]
+                        label = [label[i] if x == was else x for x in label]
             yield (np.array([x[0] for x in found], np.int64), np.array([x[1] for x in found], np.int64))
             return
         size = np.array([len(s) for s in sets])
@@ -221,29 +258,36 @@ class Compare:
             return i[i != j], j[i != j]
 
         if counted:
-            for at in range(0, len(left), 512):
-                yield linked(left[at : at + 512], right)
+            for at in range(0, len(left), SLICE):
+                yield linked(left[at : at + SLICE], right)
             return
-        # From one text to all that it is linked to and that no link has reached, and on from these; then from the next.
         sides = (np.isin(np.arange(len(sets)), left), np.isin(np.arange(len(sets)), right))
-        fresh = np.ones(len(sets), bool)
-        for first in range(len(sets)):
-            reached = np.array([first]) if fresh[first] else np.empty(0, np.int64)
+        fresh, small = np.ones(len(sets), bool), 0
+        # From one text to all that it is linked to and that no link has reached, and on from these; then from the next, until this reaches few.
+        while len(sets) > SLICE and small < TRIES and fresh.any():
+            reached, before = np.flatnonzero(fresh)[:1], fresh.sum()
             fresh[reached] = False
             while len(reached):
                 new = []
                 for mine, theirs in (sides, sides[::-1]):
                     some = reached[mine[reached]]
-                    for at in range(0, len(some), 512):
+                    for at in range(0, len(some), SLICE):
                         if len(others := np.flatnonzero(fresh & theirs)):
-                            i, j = linked(some[at : at + 512], others)
+                            i, j = linked(some[at : at + SLICE], others)
                             j, k = np.unique(j, return_index=True)
                             yield i[k], j
                             fresh[j] = False
                             new.append(j)
                 reached = np.concatenate(new) if new else np.empty(0, np.int64)
+            small += (before - fresh.sum()) * 16 < before
+        # What is left has no link to the texts reached, and meets in slices.
+        some, others = np.flatnonzero(fresh & sides[0]), np.flatnonzero(fresh & sides[1])
+        for at in range(0, len(some), SLICE):
+            yield linked(some[at : at + SLICE], others[at:] if left is right else others)
 
     def pair(self, x: frozenset, y: frozenset) -> bool:
+        if min(len(x), len(y)) < self.threshold * max(len(x), len(y)) - 1e-9:
+            return False
         n = len(x & y)
         return n > 0 and n >= self.threshold * (len(x) + len(y) - n) - 1e-9
 

@@ -539,3 +539,27 @@ def test_bands():
     assert near.choose_bands(0.8, 0.999, 5) == 18
     h, ends = near.char_shingles(3)(["abcd", "", "ab", "xabcd"])
     assert ends.tolist() == [0, 2, 2, 3, 6] and h[0] == h[4] and h[1] == h[5]
+
+
+@pytest.mark.parametrize(("n", "least"), [(20, 32), (60, 32), (60, 8)])
+def test_links_connect_what_all_pairs_connect(monkeypatch, n, least):
+    monkeypatch.setattr(near, "SMALL", least)
+    monkeypatch.setattr(near, "SLICE", 16)
+    monkeypatch.setattr(near, "TRIES", 2)
+    rng = np.random.default_rng(n)
+    sets = [np.unique(np.r_[np.arange(20) + 1000 * (k // 3), rng.integers(0, 9, k % 4) + 5000]).astype(np.uint64) for k in rng.permutation(n)] + [np.empty(0, np.uint64)]
+    compare, everyone = near.Compare(near.char_shingles(3), 0.8), np.arange(n + 1)
+    like = lambda x, y: len(x) and len(np.intersect1d(x, y)) / len(np.union1d(x, y)) >= 0.8
+
+    def forest(pairs):
+        out = near.Forest()
+        for i, j in pairs:
+            out.union(int(i), int(j))
+        return [out.find(k) for k in range(n + 1)]
+
+    for left, right in ((everyone, everyone), (everyone[: n // 2], everyone[n // 2 :])):
+        pairs = {(i, j) for i in left.tolist() for j in right.tolist() if i != j and like(sets[i], sets[j])}
+        found = {p: [(int(i), int(j)) for a, b in compare.links(sets, left, right, p) for i, j in zip(a, b, strict=True)] for p in (True, False)}
+        assert sorted(found[True]) == sorted(pairs)
+        assert set(found[False]) <= pairs | {(j, i) for i, j in pairs}
+        assert forest(found[False]) == forest(pairs)
