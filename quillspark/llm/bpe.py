@@ -184,8 +184,12 @@ class Pieces:
             self.merge(new)
         for name, (line, word, marks) in parts.items():
             self.add(known, name, words[line] + words[word] + words[marks])
-        for name, made in zip(rest, self.tokenizer.encode_batch_fast(list(rest.values()), add_special_tokens=False) if rest else (), strict=True):
-            self.add(known, name, array(self.dtype.char, made.ids).tobytes())
+        for name, ids in zip(rest, self.whole(list(rest.values())) if rest else (), strict=True):
+            self.add(known, name, ids)
+
+    def whole(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of texts that the library cuts itself."""
+        return (array(self.dtype.char, made.ids).tobytes() for made in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False))
 
     def number(self, pieces: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of all pieces, and where each text's end. Where one ends in white space, it and the next are one piece."""

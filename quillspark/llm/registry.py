@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import bpe, class_lm, common, compression_quality, fingerprints, fuzzy_lines, ngram_join, ppm_language, qgram_decontamination, token_files, url_filter
+from quillspark.llm import ball_kmeans, bpe, class_lm, common, compression_quality, divergence, fingerprints, fuzzy_lines, ngram_join, ppm_language, qgram_decontamination, stream_bpe, token_files, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -93,6 +94,31 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) ->
     )
 
 
+def op11_stream_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256."""
+    path = path or public_tokenizers.path("byte_bpe_50k.json")
+    docs = common.table(spark, sf_dir, "documents", "doc_id", "text")
+    coded = docs.select("doc_id", stream_bpe.encode_bytes(F.col("text"), path).alias("ids")).withColumn("decoded", stream_bpe.decode(F.col("ids"), path))
+    return coded.select("doc_id", F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lang, source, part, item, value, rank."""
+    return divergence.audit(common.table(spark, sf_dir, "documents", "text", "lang", "source"))
+
+
+def op13_ball_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id, cluster, distance, cluster_inertia, inertia, centroid_sha256."""
+    members, centroids = ball_kmeans.cluster(common.table(spark, sf_dir, "embeddings", "vec_id", "embedding"), "vec_id", "embedding", 64)
+    kept = members.select(F.col("id").alias("vec_id"), "cluster", "distance")
+    sums = {r.cluster: r.s for r in kept.groupBy("cluster").agg(F.sum("distance").alias("s")).collect()}  # a row for each cluster
+    of = lambda values, kind: F.element_at(F.array(*[F.lit(x).cast(kind) for x in values]), F.col("cluster") + 1) if len(values) else F.lit(None).cast(kind)
+    return kept.select(
+        "*", of([sums.get(i, 0) for i in range(len(centroids))], "long").alias("cluster_inertia"), F.lit(sum(sums.values())).cast("long").alias("inertia"),
+        of([hashlib.sha256(",".join(map(str, c)).encode()).hexdigest() for c in centroids.tolist()], "string").alias("centroid_sha256"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_compression_quality": op2_compression_quality,
@@ -104,5 +130,8 @@ QUERIES: dict[str, Query] = {
     "op8_qgram_decontamination": op8_qgram_decontamination,
     "op9_ngram_join": op9_ngram_join,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_stream_bpe": op11_stream_bpe,
+    "op12_source_divergence": op12_source_divergence,
+    "op13_ball_kmeans": op13_ball_kmeans,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op12_source_divergence": divergence.SQL, "op13_ball_kmeans": ball_kmeans.SQL}
