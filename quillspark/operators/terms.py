@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.operators import records
+from quillspark.operators import records, term_index
+from quillspark.package import ship
 
-#: Entries that a glossary may have.
-MOST_ENTRIES = 200
+MOST_ENTRIES = term_index.MOST_ENTRIES
 # Fixed value: what a technical term looks like (Kohn-Sham, LCAO-MO, DFTB3 and SCF are such), where no letter, digit or _ touches it.
 TERM = r"[A-Z][a-z]+(?:-[A-Z][A-Za-z0-9]+)+|[A-Z]{2,}(?:[-_/][A-Za-z0-9]+)+|[A-Za-z]+[0-9][A-Za-z0-9]*(?:[-_/][A-Za-z0-9]+)*|[A-Z]{2,}[a-z]*"
 TECHNICAL = rf"(?<![\p{{L}}\p{{N}}_])({TERM})(?![\p{{L}}\p{{N}}_])"
@@ -25,19 +25,14 @@ def merge(base: DataFrame, overlay: DataFrame) -> DataFrame:
     return records.last_write_wins(both, ["term_key"], ["side", "pos"], ["source", "target", "side"])
 
 
-def bounded(term: Column) -> Column:
-    """A pattern that finds the term where no letter, digit or _ touches it."""
-    return F.concat(F.lit("(^|[^A-Za-z0-9_])"), F.regexp_replace(term, r"([\\.\[\]{}()*+?^$|/-])", r"\\$1"), F.lit("([^A-Za-z0-9_]|$)"))
-
-
 def matches(texts: DataFrame, glossary: DataFrame, text_col: str, term_col: str) -> DataFrame:
-    """Texts with each glossary term in them. The glossary is broadcast; its size is checked against MOST_ENTRIES."""
-    n = glossary.limit(MOST_ENTRIES + 1).count()
-    if n > MOST_ENTRIES:
-        raise ValueError(f"a glossary has at most {MOST_ENTRIES} entries")
-    low = texts.withColumn("__low", F.lower(text_col))
-    known = glossary.withColumn("__term", F.lower(term_col)).withColumn("__pattern", bounded(F.lower(term_col)))
-    return low.join(F.broadcast(known), F.contains("__low", F.col("__term")) & F.regexp_like("__low", F.col("__pattern"))).drop("__low", "__term", "__pattern")
+    """Texts with each glossary term in them, in any case, where no letter, digit or _ touches it. A glossary of more than MOST_ENTRIES is an error."""
+    known = glossary.withColumn("__term", F.lower(term_col))
+    terms = sorted({r[0] for r in term_index.few(known.select("__term"), MOST_ENTRIES, "glossaries") if r[0]})
+    ship(texts.sparkSession)
+    hits = texts.withColumn("__hits", term_index.present_terms(F.lower(text_col), terms)).where("size(__hits) > 0").select(*texts.columns, F.explode("__hits").alias("__i"))
+    named = texts.sparkSession.createDataFrame(list(enumerate(terms)), "__i int, __term string")
+    return hits.join(F.broadcast(named), "__i").join(F.broadcast(known), "__term").drop("__term", "__i")
 
 
 def technical_terms(texts: DataFrame, text_col: str, order: str, least: int, most: int) -> DataFrame:
