@@ -69,13 +69,17 @@ class Automaton:
                     yield i, last + 1 - n, last + 1
 
 
-def is_word(c: str, underscore: bool) -> bool:
-    return c.isascii() and (c.isalnum() or underscore and c == "_")
+#: Letters that equal one of A-Z where case is ignored.
+NO_CASE = "İıſ\u212a"
 
 
-def bounded(text: str, a: int, b: int, underscore: bool = True) -> bool:
+def is_word(c: str, any_case: bool, underscore: bool) -> bool:
+    return c.isalnum() if c.isascii() and c != "_" else underscore if c == "_" else any_case and c in NO_CASE
+
+
+def bounded(text: str, a: int, b: int, any_case: bool, underscore: bool = True) -> bool:
     """No letter, digit or (if wanted) underscore of ASCII touches text[a:b]."""
-    return not (a and is_word(text[a - 1], underscore) or b < len(text) and is_word(text[b], underscore))
+    return not (a and is_word(text[a - 1], any_case, underscore) or b < len(text) and is_word(text[b], any_case, underscore))
 
 
 class Glossary:
@@ -109,7 +113,7 @@ class Glossary:
             if i in hit or a < end.get(i, 0):
                 continue
             same = text[a:b] == source if mode == "exact" else self.literal[i].match(text, a)
-            if same and bounded(text, a, b):
+            if same and bounded(text, a, b, mode != "exact"):
                 end[i] = b  # matches of one entry don't overlap
                 if self.near(text, context, a, b):
                     hit.add(i)
@@ -228,7 +232,7 @@ class Memory:
         low = source.lower()
         got = {i for i in self.odd if self.terms[i][1].lower() in low}
         for k, a, b in self.automaton.places(source):
-            if self.plain[k] not in got and bounded(source, a, b, False) and self.literal[k].match(source, a):
+            if self.plain[k] not in got and bounded(source, a, b, True, False) and self.literal[k].match(source, a):
                 got.add(self.plain[k])
         hints = {self.numbers[k] for k, _, _ in self.hint_automaton.places(low) if self.hint[self.numbers[k]] in low}
         hints |= {i for i, h in enumerate(self.hint) if h and len(h) >= len(low) and low in h}

@@ -479,9 +479,9 @@ def defaults_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 _RECT = "l_orderkey, l_linenumber, CAST(l_linenumber * 10 AS DOUBLE) AS x0, floor(l_discount * 1000) AS y0, CAST(l_linenumber * 10 AS DOUBLE) + l_quantity AS x1, floor(l_discount * 1000) + 1 + floor(l_tax * 500) AS y1"
 
 
-def rects(spark: SparkSession, sf_dir: str) -> DataFrame:
+def rects(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
     x0, y0 = (F.col("l_linenumber") * 10).cast("double"), F.floor(F.col("l_discount") * 1000).cast("double")
-    return t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", x0.alias("x0"), y0.alias("y0"), (x0 + F.col("l_quantity")).alias("x1"), (y0 + 1 + F.floor(F.col("l_tax") * 500)).cast("double").alias("y1"))
+    return t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *more, x0.alias("x0"), y0.alias("y0"), (x0 + F.col("l_quantity")).alias("x1"), (y0 + 1 + F.floor(F.col("l_tax") * 500)).cast("double").alias("y1"))
 
 
 _PAIRS = f"""WITH r AS (SELECT {_RECT} FROM lineitem), p AS (SELECT a.l_orderkey, a.l_linenumber AS left_no, b.l_linenumber AS right_no, a.x0, a.y0, a.x1, a.y1, b.x0 AS u0, b.y0 AS v0, b.x1 AS u1, b.y1 AS v1,
