@@ -19,7 +19,9 @@ from pyspark.sql.window import Window
 
 from quillspark.llm import common
 
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: Characters between terms; a term is a run of others.
+BETWEEN = r"\x00-\x40\x5B-\x60\x7B-\x7F"
+TERM = f"[^{BETWEEN}]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SCALE = 1_000_000_000
 #: Bytes of a group's row when broadcast, names included.
@@ -33,9 +35,10 @@ def ascii_lower(text: Column) -> Column:
 
 def term_counts(docs: DataFrame) -> DataFrame:
     """lang, source, term, n (occurrences), n_docs (documents with the term)."""
-    # sorted, so that a document's first of equal terms is the one that differs from the one before
-    flagged = common.bind(F.array_sort(F.regexp_extract_all(ascii_lower(F.col("text")), F.lit(TERM), 0)), lambda a: F.transform(a, lambda x, i: F.struct(x.alias("term"), ((i == 0) | (x != F.get(a, i - 1))).cast("long").alias("first"))))
-    return docs.select("lang", "source", F.explode(flagged).alias("t")).groupBy("lang", "source", "t.term").agg(F.count(F.lit(1)).alias("n"), F.sum("t.first").alias("n_docs"))
+    # The matches of TERM are what lies between matches of its complement, which costs a fifth of extracting them. Sorted, so that a document's first of
+    # equal terms is the one that differs from the one before.
+    flagged = common.bind(F.array_sort(F.split(ascii_lower(F.col("text")), f"[{BETWEEN}]+")), lambda a: F.transform(a, lambda x, i: F.struct(x.alias("term"), ((i == 0) | (x != F.get(a, i - 1))).cast("long").alias("first"))))
+    return docs.select("lang", "source", F.explode(flagged).alias("t")).where("t.term != ''").groupBy("lang", "source", "t.term").agg(F.count(F.lit(1)).alias("n"), F.sum("t.first").alias("n_docs"))
 
 
 def share(n: Column, of: Column) -> Column:
