@@ -1,7 +1,7 @@
 import pytest
 from oracle import both
 
-from quillspark.plans import catalog, jobs, layout, memory, more  # noqa: F401
+from quillspark.plans import catalog, jobs, layout, memory, more, trees  # noqa: F401
 
 
 @pytest.mark.parametrize("name", catalog.ORACLES)
