@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.operators import columns, rectangles
+from quillspark.operators import columns, fit, rectangles
+from quillspark.package import ship
 from quillspark.plans.catalog import query, rects, t
 
 
@@ -77,3 +78,24 @@ def column_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 def column_repairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts given back to the empty slots of two-column pages."""
     return columns.repaired(column_blocks(spark, sf_dir), ["conv_id"])
+
+
+@query()
+def fitted_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The largest font size at which each block's text fits its box."""
+    ship(spark)
+    b = column_blocks(spark, sf_dir)
+    got = fit.fitted(F.col("text"), F.create_map().cast("map<string,string>"), F.col("x1") - F.col("x0"), (F.col("y1") - F.col("y0")) * 3, F.lit(0.3), F.lit(8.0), F.lit(14.0))
+    return b.select("conv_id", "ord", got.alias("r")).select("conv_id", "ord", "r.*")
+
+
+_EM = """CAST(list_sum(list_transform(regexp_extract_all(text, '(\\s+|[A-Za-z0-9]+(?:[-''][A-Za-z0-9]+)*|[一-鿿]|.)', 1), lambda x: CASE WHEN regexp_full_match(x, '\\s+') THEN greatest(0.2, length(x) * 0.25) WHEN regexp_full_match(x, '[一-鿿]') THEN 1.0 WHEN regexp_matches(x, '^[A-Za-z0-9]') THEN greatest(1.0, length(x) * 0.55) ELSE 0.45 END)) AS DOUBLE)"""
+
+
+@query(f"""WITH b AS (SELECT conv_id, ord, (y1 - y0) * 3 AS h, coalesce({_EM}, 0) AS demand, greatest(4.0::DOUBLE, (x1 - x0) / (10.0::DOUBLE * 0.92::DOUBLE)) AS chars FROM ({_BLOCKS}))
+ SELECT conv_id, ord, round(demand, 4) AS demand, round(greatest(1, floor(h / 13.0::DOUBLE)) * chars * 0.98::DOUBLE, 4) AS capacity, CAST(greatest(1, ceil(round(demand, 9) / (chars * 0.98::DOUBLE))) AS BIGINT) AS required FROM b""")
+def text_demands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each block's text takes against what its box holds, at ten points."""
+    w, h, size = F.col("x1") - F.col("x0"), (F.col("y1") - F.col("y0")) * 3, F.lit(10.0)
+    b = column_blocks(spark, sf_dir).withColumn("demand", fit.demand(F.col("text")))
+    return b.select("conv_id", "ord", F.round("demand", 4).alias("demand"), F.round(fit.capacity(w, h, size, F.lit(0.3)), 4).alias("capacity"), fit.required_lines(w, size, F.round("demand", 9)).cast("long").alias("required"))

@@ -15,7 +15,7 @@ def test_same_rows_as_sql(spark, sf_dir, name):
 
 def test_queries_without_sql(spark, sf_dir):
     rows = {name: catalog.QUERIES[name](spark, sf_dir).collect() for name in catalog.QUERIES if name not in catalog.ORACLES}
-    assert set(rows) == {"copied_turns", "protected_formulas", "adaptive_limits", "merged_rects", "column_repairs", "group_splits"}
+    assert set(rows) == {"copied_turns", "protected_formulas", "adaptive_limits", "merged_rects", "column_repairs", "group_splits", "fitted_texts"}
     assert all(r.same_text for r in rows["protected_formulas"])
     assert all(0 <= r.ratio <= 1 and r.copied == (r.ratio >= 0.82) for r in rows["copied_turns"])
     limits = rows["adaptive_limits"]

@@ -1,13 +1,14 @@
 """Chains beside walking them, border pairs and splits: cases by hand and brute force."""
 
 import random
+from collections import defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
 from quillspark import rounds
 from quillspark.operators import chains, splits
-from quillspark.plans import catalog
+from quillspark.plans import catalog, continuations  # noqa: F401
 
 ITEM = "item_id string, page_idx int, text string, bodylike boolean, zone string, role string, repaired boolean, x0 double, y0 double, x1 double, y1 double"
 
@@ -114,7 +115,7 @@ def test_shared_out_as_by_trying():
 def test_group_splits_of_the_table(spark, sf_dir):
     said = {}
     for r in spark.read.parquet(f"{sf_dir}/conversations.parquet").orderBy("conv_id", "turn").collect():
-        said.setdefault(r.conv_id, {"user": [], "assistant": [], "system": []})[r.role].append(r.text)
+        said.setdefault(r.conv_id, defaultdict(list))[r.role].append(r.text)
     got = {}
     for r in catalog.QUERIES["group_splits"](spark, sf_dir).orderBy("conv_id", "member").collect():
         got.setdefault(r.conv_id, []).append(r.part)
