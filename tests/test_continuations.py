@@ -124,9 +124,9 @@ def test_group_splits_of_the_table(spark, sf_dir):
 
 def test_leaks(spark):
     rows = [
-        ("能量为 $E$，在 $x_1$ 处取得", "the energy $E$ and", "at $x_1$", "能量为 $E$", ["$x_1$"]),
+        ("能量大小为 $E$，在 $x_1$ 处取得", "the energy $E$ and", "at $x_1$", "能量大小为 $E$", ["$x_1$"]),
         ("能量为零的结果。对于 $y$ 与 $z$", "no formula and", "$y$ or $z$", "能量为零的结果。", ["$y$", "$z$"]),
-        ("能量为 $E$，在 $x_1$", "the energy $E$.", "at $x_1$", "能量为 $E$，在 $x_1$", None),  # the source has ended
+        ("能量大小为 $E$，在 $x_1$", "the energy $E$.", "at $x_1$", "能量大小为 $E$，在 $x_1$", None),  # the source has ended
         ("短 $x_1$", "open and", "at $x_1$", "短 $x_1$", None),  # too little would stay
         ("第一句话到此结束了。在 $x_1$", "open and", "at $x_1$", "第一句话到此结束了。", ["$x_1$"]),
         ("same $x_1$ in both of them", "has $x_1$ and", "at $x_1$", "same $x_1$ in both of them", None),
