@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions import text
@@ -18,27 +18,48 @@ def first_match(rules: Rules, otherwise: str | None = None) -> Column:
     return out.otherwise(F.lit(otherwise).cast("string")) if rules else F.lit(otherwise).cast("string")
 
 
-def keep_origin_rules(source: Column, is_caption: Column | None = None, skip: Column | None = None) -> Rules:
-    """Why a block is kept as it is."""
-    no = F.lit(False)
-    compact = text.normalized(text.without_placeholders(source))
-    short = (F.length(compact) <= 4) & F.regexp_replace(compact, " ", "").rlike(r"^[\p{L}\p{N}]+$")
+# Labels and kinds of blocks that no model is asked about.
+SKIP_LABELS, NOT_TEXT, ASIDE = ("code", "keep_origin", "no_trans", "skip_model_keep_origin"), ("display_formula", "formula", "image", "table", "chart"), "non_flow"
+SHORT = 4
+
+
+def keep_origin_rules(source: Column, normal: Column, compact: Column, is_caption: Column | None = None, skip: Column | None = None, labels: Column | None = None, raw_type: Column | None = None, zone: Column | None = None) -> Rules:
+    """Why a block is kept as it is. normal: its text with white space collapsed; compact: that without placeholders; skip: false where its policy says translate.
+
+    Lengths and single characters are tested before patterns: most text is long prose, which no rule fits.
+    """
+    holds = lambda c: F.coalesce(c, F.lit(False)) if c is not None else F.lit(False)
+    low = lambda c: F.lower(F.trim(c)) if c is not None else None
+    short = (F.length(compact) <= SHORT) & F.regexp_replace(compact, " ", "").rlike(r"^[\p{L}\p{N}]+$")
+    metadata = (~F.contains(normal, F.lit(" ")) & text.is_url(source)) | text.is_email(source) | text.note_of_rights(normal)
     return [
-        ("empty_source_text", text.normalized(source) == ""),
+        ("empty_source_text", normal == ""),
         ("placeholder_only", compact == ""),
-        ("policy_skip", F.coalesce(skip, no) if skip is not None else no),
-        ("hard_metadata_fragment", text.is_hard_nontranslatable(source)),
-        ("protocol_hex_dump", text.is_hex_dump(source)),
-        ("short_non_body_label", short & (is_caption if is_caption is not None else no)),
+        ("policy_skip", holds(skip)),
+        ("skip_model_keep_origin", holds(F.arrays_overlap(F.transform(labels, lambda x: F.trim(x)), F.array(*map(F.lit, SKIP_LABELS))) if labels is not None else None)),
+        ("non_textual_raw_block", holds(low(raw_type).isin(*NOT_TEXT) if raw_type is not None else None)),
+        ("hard_metadata_fragment", metadata),
+        ("protocol_hex_dump", text.hex_dump(normal)),
+        ("short_non_body_label", short & holds(is_caption)),
+        ("short_non_body_label", short & holds((low(zone) == ASIDE) & (F.coalesce(skip, F.lit(True)) if skip is not None else F.lit(True)) if zone is not None else None)),
     ]
 
 
 def policy_verdict(source: Column, **more: Column) -> tuple[Column, Column]:
     """action (keep_origin or translate) and reason."""
-    reason = first_match(keep_origin_rules(source, **more))
+    reason = first_match(keep_origin_rules(source, text.normalized(source), text.normalized(text.without_placeholders(source)), **more))
     return F.when(reason.isNotNull(), "keep_origin").otherwise("translate"), reason
 
 
+def with_verdict(df: DataFrame, source: str, **more: Column) -> DataFrame:
+    """The rows with action and reason. What the rules share is projected once; only texts with odd spaces or a placeholder meet a pattern there."""
+    of = F.col(source)
+    normal = df.withColumn("__normal", F.when(text.has_any(of, text.ODD_SPACES), text.normalized(of)).otherwise(F.trim(text.empty_for_null(of))))
+    compact = normal.withColumn("__compact", F.when(F.contains("__normal", F.lit("<")), text.normalized(text.without_placeholders(of))).otherwise(F.col("__normal")))
+    named = compact.withColumn("reason", first_match(keep_origin_rules(of, F.col("__normal"), F.col("__compact"), **more)))
+    return named.withColumn("action", F.when(F.col("reason").isNotNull(), "keep_origin").otherwise("translate")).drop("__normal", "__compact")
+
+
 # A failed job's category, whether it may be retried, and what its error or log says; the first that fits holds.
 FAILURES = (
     ("dns_resolution_failed", True, ("Failed to resolve", "NameResolutionError", "Temporary failure in name resolution", "socket.gaierror")),

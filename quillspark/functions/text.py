@@ -41,6 +41,10 @@ HEX_BYTE = r"^[0-9A-Fa-f]{2}$"
 HEX_TOKEN = r"(?<![^ ])[0-9A-Fa-f]{2}(?![^ ])"
 ODD = r"[^\p{L}\p{N} \t\r\n.,;:!?()\[\]{}'\"_/+*&%$#=@-]"
 CJK = r"[\x{4e00}-\x{9fff}]"
+#: What makes a text's white space more than single spaces between words.
+ODD_SPACES = ("  ", "\t", "\r", "\n", "\f", "\x0b")
+# The longest note of rights, and the fewest bytes of a dump.
+NOTE_LENGTH, HEX_LEAST = 220, 32
 TERMINAL, SOFT = r"[.!?:;]$", r",$"
 CONTINUES = ("and", "or", "but", "with", "without", "whereas", "while", "which", "that", "than", "then", "thus", "therefore", "however", "nevertheless", "moreover", "furthermore", "second")
 ENDS_OPEN = ("the", "a", "an", "of", "to", "for", "with", "and", "or", "but", "that", "these", "those", "this", "two", "three", "four", "five", "several", "many", "more", "less")
@@ -97,11 +101,14 @@ def is_email(text: Column) -> Column:
     return F.contains(empty_for_null(text), F.lit("@")) & stripped(text).rlike(EMAIL)
 
 
+def note_of_rights(t: Column) -> Column:
+    """Of a normalized text: a short note of rights, at most NOTE_LENGTH characters and 32 words, and no disclaimer. Length and signals are tested first."""
+    low = F.lower(t)
+    return F.when((F.length(t) <= NOTE_LENGTH) & has_any(low, COPYRIGHT_SIGNALS), t.rlike(COPYRIGHT) & (count(t, WORD) <= 32) & ~has_any(low, DISCLAIMERS)).otherwise(F.lit(False))
+
+
 def is_copyright_tail(text: Column) -> Column:
-    """A short note of rights: at most 220 characters and 32 words, and no disclaimer. Most text has none of the signals, which is tested first."""
-    signal = has_any(F.lower(normalized(text)), COPYRIGHT_SIGNALS)
-    note = let(normalized(text), lambda t: (F.length(t) <= 220) & t.rlike(COPYRIGHT) & (count(t, WORD) <= 32) & ~has_any(F.lower(t), DISCLAIMERS))
-    return F.when(signal, note).otherwise(F.lit(False))
+    return let(normalized(text), note_of_rights)
 
 
 def is_hard_nontranslatable(text: Column) -> Column:
@@ -139,14 +146,14 @@ def is_reference_entry(text: Column) -> Column:
     return let(normalized(text), judged)
 
 
-def is_hex_dump(text: Column) -> Column:
-    """24 tokens or more, of which many are two hexadecimal digits."""
+def hex_dump(t: Column) -> Column:
+    """Of a normalized text: 24 tokens or more, of which many (HEX_LEAST at least) are two hexadecimal digits."""
+    n, b = F.length(t) - F.length(F.replace(t, F.lit(" "), F.lit(""))) + 1, count(t, HEX_TOKEN)
+    return F.when(n >= HEX_LEAST, ((b >= HEX_LEAST) & (b >= 0.55 * n)) | ((b >= 128) & (b >= 0.35 * n))).otherwise(F.lit(False))
 
-    def judged(t: Column) -> Column:
-        n, b = F.length(t) - F.length(F.replace(t, F.lit(" "), F.lit(""))) + 1, count(t, HEX_TOKEN)
-        return (n >= 24) & (((b >= 32) & (b >= 0.55 * n)) | ((b >= 128) & (b >= 0.35 * n)))
 
-    return let(normalized(text), judged)
+def is_hex_dump(text: Column) -> Column:
+    return let(normalized(text), hex_dump)
 
 
 def without_placeholders(text: Column) -> Column:

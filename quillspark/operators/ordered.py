@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
+from quillspark import rounds
+
 Names = list[str]
 
 
@@ -71,14 +73,20 @@ def latest(df: DataFrame, by: Names, rank: Names, keep: Names) -> DataFrame:
     return df.groupBy(*by).agg(best.alias("__best")).select(*by, "__best.*")
 
 
-def peak_open(df: DataFrame, by: Names, start: Column, end: Column) -> DataFrame:
-    """The most intervals open at once in each group; one that ends as another begins is closed first."""
+def peak_open(df: DataFrame, by: Names, start: Column, end: Column, cell: int = 3_600_000_000) -> DataFrame:
+    """The most intervals open at once in each group; one that ends as another begins is closed first.
+
+    Time is cut into cells. What is open at a cell's beginning comes from the sums of the cells before it; within a cell its own edges are added in order. So a window
+    sees a group's cells, or one cell's edges, but never all edges of a group.
+    """
     edges = df.select(*by, F.explode(F.array(F.struct(start.alias("at"), F.lit(1).alias("step")), F.struct(end.alias("at"), F.lit(-1).alias("step")))).alias("e")).select(*by, "e.*")
-    steps = edges.groupBy(*by, "at", "step").agg(F.sum("step").alias("d"))
-    running = F.sum("d").over(over(by, [F.col("at"), F.col("step")]).rowsBetween(Window.unboundedPreceding, 0))
-    return steps.withColumn("open", running).groupBy(*by).agg(F.max("open").cast("long").alias("peak"))
+    steps = edges.groupBy(*by, F.floor(F.col("at") / cell).alias("cell"), "at", "step").agg(F.sum("step").alias("d"))
+    inside = steps.withColumn("open", F.sum("d").over(over([*by, "cell"], [F.col("at"), F.col("step")]).rowsBetween(Window.unboundedPreceding, 0)))
+    cells = inside.groupBy(*by, "cell").agg(F.sum("d").alias("d"), F.max("open").alias("open"))
+    before = F.coalesce(F.sum("d").over(over(by, [F.col("cell")]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return cells.withColumn("open", F.col("open") + before).groupBy(*by).agg(F.max("open").cast("long").alias("peak"))
 
 
-def batches(df: DataFrame, by: Names, order: list, size: int) -> DataFrame:
-    """Batches of a fixed size in order: batch_no from 0."""
-    return df.withColumn("batch_no", F.floor((F.row_number().over(over(by, order)) - 1) / size).cast("long"))
+def batches(df: DataFrame, by: Names, order: Names, size: int) -> DataFrame:
+    """Batches of a fixed size in order: batch_no from 0. Ranges number their own rows, so a large group is in many tasks."""
+    return rounds.numbered(df, order, "__n", by).withColumn("batch_no", F.floor((F.col("__n") - 1) / size).cast("long")).drop("__n")

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from quillspark.operators import ranked
 
 Names = list[str]
 
@@ -66,12 +67,12 @@ def key_fallback(left: DataFrame, right: DataFrame, key: str, fallback: Column,
     return met.withColumn(value, F.coalesce("__e", "__l")).withColumn("matched_by", F.when(F.col("__e").isNotNull(), "exact").when(F.col("__l").isNotNull(), "fallback")).drop("__k", "__e", "__f", "__l")
 
 
-def latency_summary(df: DataFrame, by: Names, value: Column) -> DataFrame:
-    """min, p50, p90, p95, max (interpolated, rounded half to even) and mean."""
-    p = F.percentile(value, F.array(F.lit(0.5), F.lit(0.9), F.lit(0.95)))
+def latency_summary(df: DataFrame, by: Names, value: str) -> DataFrame:
+    """n, min, p50, p90, p95, max (interpolated, rounded half to even) and mean. Groups may be of any size."""
     whole = lambda c: F.bround(c).cast("long")
-    out = df.groupBy(*by).agg(F.count(value).alias("n"), F.min(value).alias("lo"), p.alias("p"), F.max(value).alias("hi"), F.avg(value).alias("m"))
-    return out.select(*by, "n", whole("lo").alias("min_ms"), whole(F.get("p", F.lit(0))).alias("p50_ms"), whole(F.get("p", F.lit(1))).alias("p90_ms"), whole(F.get("p", F.lit(2))).alias("p95_ms"), whole("hi").alias("max_ms"), F.round("m", 2).alias("mean_ms"))
+    plain = df.groupBy(*[F.col(c).alias(f"__{c}") for c in by]).agg(F.min(value).alias("lo"), F.max(value).alias("hi"), F.avg(value).alias("m"))
+    out = ranked.quantiles(df, by, value, {"p50": 0.5, "p90": 0.9, "p95": 0.95}).join(plain, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by])
+    return out.select(*by, "n", whole("lo").alias("min_ms"), *[whole(p).alias(f"{p}_ms") for p in ("p50", "p90", "p95")], whole("hi").alias("max_ms"), F.round("m", 2).alias("mean_ms"))
 
 
 def slow_items(df: DataFrame, value: str, key: str, floor: float, limit: int = 20) -> DataFrame:
@@ -85,9 +86,9 @@ def gated_stats(df: DataFrame, by: Names, value: str, least: int, most_std: floa
     return df.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std")).where((F.col("n") >= least) & (F.col("std") <= most_std))
 
 
-def floor_quantile(value: str, q: float) -> Column:
-    """The value at floor((n - 1) * q) of the sorted values, as an aggregate."""
-    return F.element_at(F.array_sort(F.collect_list(value)), (F.floor((F.count(value) - 1) * q) + 1).cast("int"))
+def floor_quantile(df: DataFrame, by: Names, value: str, q: float, name: str) -> DataFrame:
+    """by and the value at floor((n - 1) * q) of the sorted values."""
+    return ranked.at_ranks(df, by, value, {name: F.floor((F.col("n") - 1) * F.lit(q))}).select(*by, name)
 
 
 def null_report(df: DataFrame, columns: Names) -> DataFrame:
@@ -98,9 +99,8 @@ def null_report(df: DataFrame, columns: Names) -> DataFrame:
 
 def largest_gap(df: DataFrame, by: Names, value: str, least_ratio: float, least_each: int) -> DataFrame:
     """Whether a group's values fall into two columns: the widest gap between sorted values, its share of the range, and how many stand on either side."""
-    w = Window.partitionBy(*by).orderBy(value)
-    gaps = df.withColumn("__was", F.lag(value).over(w)).withColumn("gap", F.col(value) - F.col("__was"))
-    best = gaps.groupBy(*by).agg(F.max_by(F.struct(((F.col(value) + F.col("__was")) / 2).alias("split_x"), "gap"), F.struct(F.coalesce("gap", F.lit(0.0)), value)).alias("b"), F.min(value).alias("lo"), F.max(value).alias("hi"))
+    near = ranked.gaps(df, by, value).withColumn("gap", F.col("value") - F.col("was"))
+    best = near.groupBy(*by).agg(F.max_by(F.struct(((F.col("value") + F.col("was")) / 2).alias("split_x"), "gap"), F.struct(F.coalesce("gap", F.lit(0.0)), "value")).alias("b"), F.min("value").alias("lo"), F.max("value").alias("hi"))
     sides = df.join(best, by).groupBy(*by).agg(F.first("b.split_x").alias("split_x"), F.first("b.gap").alias("gap"), F.first(F.col("hi") - F.col("lo")).alias("width"), F.count_if(F.col(value) < F.col("b.split_x")).alias("n_left"), F.count_if(F.col(value) >= F.col("b.split_x")).alias("n_right"))
     double = (F.col("gap") >= least_ratio * F.col("width")) & (F.col("n_left") >= least_each) & (F.col("n_right") >= least_each)
     return sides.withColumn("layout", F.when(double, "double").otherwise("single"))

@@ -1,8 +1,8 @@
 """Glossaries and term memories against texts: one automaton over all terms, in one pass over each text.
 
-The terms' literals go into an Aho-Corasick automaton over characters without case. Each place where one ends is then decided as the entry says: exactly
-or in any case, with no word character next to it, and with the entry's context near it. A task builds the automaton once; entries are
-few (`most`), so they travel with the task, and a row of the result is a text with one entry.
+Terms that are one word are looked up among a text's distinct words. The others' literals go into an Aho-Corasick automaton over characters without case, and each
+place where one ends is decided as the entry says: exactly or in any case, with no word character next to it, and with the entry's context near it. A
+task builds both once; entries are few (`most`), so they travel with the task, and a row of the result is a text with one entry.
 
 Null and empty texts match nothing. Equal entries count once; of texts that repeat each has its rows.
 """
@@ -82,22 +82,32 @@ def bounded(text: str, a: int, b: int, any_case: bool, underscore: bool = True)
     return not (a and is_word(text[a - 1], any_case, underscore) or b < len(text) and is_word(text[b], any_case, underscore))
 
 
+#: Runs of word characters, with and without the underscore. A term that is such a run is in a text, bounded, if it is one of the text's runs.
+RUN, PLAIN_RUN = re.compile("[A-Za-z0-9_]+"), re.compile("[A-Za-z0-9]+")
+
+
 class Glossary:
     """Entries (source, target, level, mode, context) in the order in which they apply: longest first."""
 
     def __init__(self, entries: list[tuple[str, str, str, str, str | None]]):
         self.entries = entries
-        self.plain = [i for i, e in enumerate(entries) if e[3] != "regex"]
-        self.automaton = Automaton([entries[i][0] for i in self.plain])
-        self.patterns = {}
-        for i, e in enumerate(entries):
-            if e[3] == "regex":
+        self.words: dict[str, dict[str, list[int]]] = {"exact": {}, "case_insensitive": {}}
+        self.patterns, self.others = {}, []
+        for i, (source, _, _, mode, context) in enumerate(entries):
+            if mode == "regex":
                 try:
-                    self.patterns[i] = re.compile(e[0])
+                    self.patterns[i] = re.compile(source)
                 except re.error:  # matches nothing
                     continue
+            elif RUN.fullmatch(source):
+                self.words[mode].setdefault(source if mode == "exact" else source.lower(), []).append(i)
+                if context:
+                    self.patterns[i] = re.compile(f"(?<![A-Za-z0-9_]){source}(?![A-Za-z0-9_])", re.IGNORECASE if mode != "exact" else 0)
+            else:
+                self.others.append(i)
+        self.automaton = Automaton([entries[i][0] for i in self.others])
         # in any case: the literal as the pattern engine compares it
-        self.literal = {i: re.compile(re.escape(entries[i][0]), re.IGNORECASE) for i in self.plain if entries[i][3] == "case_insensitive"}
+        self.literal = {i: re.compile(re.escape(entries[i][0]), re.IGNORECASE) for i in self.others if entries[i][3] == "case_insensitive"}
 
     def near(self, text: str, context: str | None, a: int, b: int) -> bool:
         return not context or context.casefold() in text[max(0, a - CONTEXT) : b + CONTEXT].casefold()
@@ -107,8 +117,18 @@ class Glossary:
         if not text:
             return []
         hit, end = set(), {}
+        for mode, words in self.words.items():
+            if words:
+                for word in words.keys() & set(RUN.findall(text if mode == "exact" else bare(text))):
+                    hit.update(words[word])
+        for i, pattern in self.patterns.items():
+            mode, context = self.entries[i][3:]
+            if mode != "regex" and i not in hit:
+                continue
+            near = any(self.near(text, context, m.start(), m.end()) for m in pattern.finditer(text))
+            (hit.add if near else hit.discard)(i)
         for k, a, b in self.automaton.places(text):
-            i = self.plain[k]
+            i = self.others[k]
             source, _, _, mode, context = self.entries[i]
             if i in hit or a < end.get(i, 0):
                 continue
@@ -117,9 +137,6 @@ class Glossary:
                 end[i] = b  # matches of one entry don't overlap
                 if self.near(text, context, a, b):
                     hit.add(i)
-        for i, pattern in self.patterns.items():
-            if any(self.near(text, self.entries[i][4], m.start(), m.end()) for m in pattern.finditer(text)):
-                hit.add(i)
         return sorted(hit)
 
 
@@ -129,7 +146,8 @@ def _glossary(entries: tuple) -> Glossary:
 
 
 def over_texts(text: Column, find: Callable[[str | None], object], kind: T.DataType, arrow: pa.DataType) -> Column:
-    return F.arrow_udf(lambda batch: pa.array([find(x.as_py()) for x in batch], arrow), kind)(text)
+    """find of each text, computed once: a function said to be deterministic would be run again for the filter that exploding its result implies."""
+    return F.arrow_udf(lambda batch: pa.array([find(x.as_py()) for x in batch], arrow), kind).asNondeterministic()(text)
 
 
 def few(df: DataFrame, most: int, what: str) -> list:
@@ -172,18 +190,14 @@ def matched_entries(texts: DataFrame, glossary: DataFrame, text_col: str, levels
         return list(once.values())
 
     named = spark.createDataFrame([(i, e[0], e[1], e[2], e[4]) for i, e in enumerate(entries)], "__entry int, source string, target string, level string, context string")
-    hits = texts.withColumn("__hits", over_texts(F.col(text_col), find, T.ArrayType(T.IntegerType()), pa.list_(pa.int32()))).where("size(__hits) > 0")
+    hits = texts.withColumn("__hits", over_texts(F.col(text_col), find, T.ArrayType(T.IntegerType()), pa.list_(pa.int32())))
     return hits.select(*texts.columns, F.posexplode("__hits").alias("__at", "__entry")).join(F.broadcast(named), "__entry").select(*texts.columns, "source", "target", "level", "context", (F.col("__at") + 1).alias("place"))
 
 
 def present_terms(text: Column, terms: list[str]) -> Column:
-    """array<int>: numbers of the terms that are in a text with no word character next to them; compared as they are."""
-    numbered = tuple(terms)
-
-    def find(x: str | None) -> list[int]:
-        return _glossary(tuple((t, t, "preferred", "exact", None) for t in numbered)).found(x)
-
-    return over_texts(text, find, T.ArrayType(T.IntegerType()), pa.list_(pa.int32()))
+    """array<string>: the terms that are in a text with no word character next to them; compared as they are."""
+    entries = tuple((t, t, "preferred", "exact", None) for t in terms)
+    return over_texts(text, lambda x: [entries[i][0] for i in _glossary(entries).found(x)], T.ArrayType(T.StringType()), pa.list_(pa.string()))
 
 
 def squeezed(text: str | None) -> str:
@@ -213,6 +227,11 @@ class Memory:
         self.hints = sorted(((k or "", h or 0) for k, h in hints), key=lambda x: (-x[1], x[0]))
         self.plain = [i for i, x in enumerate(self.terms) if re.search("[A-Za-z0-9]", x[1])]
         self.odd = [i for i, x in enumerate(self.terms) if not re.search("[A-Za-z0-9]", x[1])]
+        self.words: dict[str, list[int]] = {}
+        for i in self.plain:
+            if PLAIN_RUN.fullmatch(self.terms[i][1]):
+                self.words.setdefault(self.terms[i][1].lower(), []).append(i)
+        self.plain = [i for i in self.plain if not PLAIN_RUN.fullmatch(self.terms[i][1])]
         self.automaton = Automaton([self.terms[i][1] for i in self.plain])
         self.literal = [re.compile(re.escape(self.terms[i][1]), re.IGNORECASE) for i in self.plain]
         self.hint = [squeezed(k).lower() for k, _ in self.hints]
@@ -231,6 +250,8 @@ class Memory:
             return [], []
         low = source.lower()
         got = {i for i in self.odd if self.terms[i][1].lower() in low}
+        for word in self.words.keys() & set(PLAIN_RUN.findall(bare(source))) if self.words else ():
+            got.update(self.words[word])
         for k, a, b in self.automaton.places(source):
             if self.plain[k] not in got and bounded(source, a, b, True, False) and self.literal[k].match(source, a):
                 got.add(self.plain[k])

@@ -26,13 +26,22 @@ def merge(base: DataFrame, overlay: DataFrame) -> DataFrame:
 
 
 def matches(texts: DataFrame, glossary: DataFrame, text_col: str, term_col: str) -> DataFrame:
-    """Texts with each glossary term in them, in any case, where no letter, digit or _ touches it. A glossary of more than MOST_ENTRIES is an error."""
+    """Texts with each glossary term in them, in any case, where no letter, digit or _ touches it. A glossary of more than MOST_ENTRIES is an error.
+
+    Terms that are one word are met with a text's words by built-in functions; only a glossary with others needs Python.
+    """
     known = glossary.withColumn("__term", F.lower(term_col))
     terms = sorted({r[0] for r in term_index.few(known.select("__term"), MOST_ENTRIES, "glossaries") if r[0]})
-    ship(texts.sparkSession)
-    hits = texts.withColumn("__hits", term_index.present_terms(F.lower(text_col), terms)).where("size(__hits) > 0").select(*texts.columns, F.explode("__hits").alias("__i"))
-    named = texts.sparkSession.createDataFrame(list(enumerate(terms)), "__i int, __term string")
-    return hits.join(F.broadcast(named), "__i").join(F.broadcast(known), "__term").drop("__term", "__i")
+    words, others = ([x for x in terms if bool(term_index.RUN.fullmatch(x)) == one] for one in (True, False))
+    low, found = F.lower(text_col), []
+    if words:
+        found.append(F.array_intersect(F.split(low, "[^A-Za-z0-9_]+"), F.array(*map(F.lit, words))))
+    if others:
+        ship(texts.sparkSession)
+        found.append(term_index.present_terms(low, others))
+    if not found:
+        return texts.limit(0).join(glossary.limit(0))
+    return texts.select(*texts.columns, F.explode(F.concat(*found)).alias("__term")).join(F.broadcast(known), "__term").drop("__term")
 
 
 def technical_terms(texts: DataFrame, text_col: str, order: str, least: int, most: int) -> DataFrame:

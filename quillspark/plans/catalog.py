@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillspark.functions import rules, text
-from quillspark.operators import geometry, ordered, records, terms
+from quillspark.operators import geometry, ordered, ranked, records, terms
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -110,8 +110,7 @@ SQL_REASON = f"""CASE WHEN {sql_norm("line")} = '' THEN 'empty_source_text'
 
 @query(f"SELECT doc_id, ord, CASE WHEN reason IS NULL THEN 'translate' ELSE 'keep_origin' END AS action, reason FROM (SELECT doc_id, ord, {SQL_REASON} AS reason FROM {SQL_LINES})")
 def policy_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    action, reason = rules.policy_verdict(F.col("line"))
-    return lines(spark, sf_dir).select("doc_id", "ord", action.alias("action"), reason.alias("reason"))
+    return rules.with_verdict(lines(spark, sf_dir).select("doc_id", "ord", "line"), "line").select("doc_id", "ord", "action", "reason")
 
 
 @query(f"""WITH b AS (SELECT doc_id, lang, ord, line, {SQL_REASON} AS reason FROM {SQL_LINES}),
@@ -121,8 +120,7 @@ def policy_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
  CAST(sum({sql_count("line", text.WORD)}) AS BIGINT) AS english_words FROM d GROUP BY lang""")
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks of documents by language: verdicts, duplicates, words. Duplicates are counted by an aggregate on the signature, not by sorting its rows."""
-    _, reason = rules.policy_verdict(F.col("line"))
-    marked = lines(spark, sf_dir).select("lang", "line", reason.alias("reason"))
+    marked = rules.with_verdict(lines(spark, sf_dir).select("lang", "line"), "line")
     one = marked.groupBy("lang", F.trim("line").alias("sig")).agg(
         F.count(F.lit(1)).alias("n"), F.count("reason").alias("kept"), F.count_if(F.col("reason") == "empty_source_text").alias("empty"),
         F.count_if(F.col("reason") == "hard_metadata_fragment").alias("meta"), F.sum(text.english_words(F.col("line"))).alias("words"),
@@ -329,7 +327,7 @@ def peak_inflight(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT event_type, count(value) AS n, CAST(round_even(min(value), 0) AS BIGINT) AS min_ms, CAST(round_even(quantile_cont(value, 0.5), 0) AS BIGINT) AS p50_ms, CAST(round_even(quantile_cont(value, 0.9), 0) AS BIGINT) AS p90_ms,
  CAST(round_even(quantile_cont(value, 0.95), 0) AS BIGINT) AS p95_ms, CAST(round_even(max(value), 0) AS BIGINT) AS max_ms, round(avg(value), 2) AS mean_ms FROM events GROUP BY event_type""")
 def latency_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return records.latency_summary(t(spark, sf_dir, "events"), ["event_type"], F.col("value"))
+    return records.latency_summary(t(spark, sf_dir, "events").select("event_type", "value"), ["event_type"], "value")
 
 
 @query("SELECT event_id, round(value, 6) AS value FROM events, (SELECT greatest(30.0, avg(value) + 2 * stddev_pop(value)) AS bound FROM events) WHERE value > bound ORDER BY events.value DESC, event_id LIMIT 20")
@@ -399,9 +397,10 @@ def auto_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH k AS (SELECT p_type AS key, count(*) AS hits, array_to_string(list_reverse(list_slice(list(p_brand ORDER BY p_partkey DESC), 1, 8)), '|') AS sources FROM part GROUP BY p_type)
  SELECT key, hits, sources FROM k ORDER BY hits DESC, key DESC LIMIT 160""")
 def term_memory_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    last = F.slice(F.reverse(F.array_sort(F.collect_list(F.struct("p_partkey", "p_brand")))), 1, 8)
-    g = t(spark, sf_dir, "part").groupBy(F.col("p_type").alias("key")).agg(F.count(F.lit(1)).alias("hits"), F.array_join(F.reverse(last).getField("p_brand"), "|").alias("sources"))
-    return g.orderBy(F.desc("hits"), F.desc("key")).limit(160)
+    p = t(spark, sf_dir, "part").withColumnRenamed("p_type", "key")
+    top = p.groupBy("key").agg(F.count(F.lit(1)).alias("hits")).orderBy(F.desc("hits"), F.desc("key")).limit(160)
+    last = ranked.last_few(p, ["key"], ["p_partkey", "p_brand"], "p_brand", 8)
+    return top.join(last, "key").select("key", "hits", F.array_join("last", "|").alias("sources"))
 
 
 @query("SELECT doc_id, 'missing_result' AS issue FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT doc_id, 'unexpected_result' FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)")
@@ -516,7 +515,7 @@ def column_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT p_brand, list_sort(list(p_retailprice))[1 + CAST(floor((count(*) - 1) * 0.3) AS INT)] AS low_q FROM part GROUP BY p_brand")
 def floor_quantile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return t(spark, sf_dir, "part").groupBy("p_brand").agg(records.floor_quantile("p_retailprice", 0.3).alias("low_q"))
+    return records.floor_quantile(t(spark, sf_dir, "part"), ["p_brand"], "p_retailprice", 0.3, "low_q")
 
 
 @query("SELECT count(*) FILTER (o_orderstatus = 'F') AS n_finished, count(*) FILTER (o_orderstatus <> 'F') AS n_open, coalesce(max(o_orderkey), 0) + 1 AS next_key FROM orders")

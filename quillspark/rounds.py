@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from itertools import accumulate
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,11 +34,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def numbered(df: DataFrame, order: list, name: str = "n") -> DataFrame:
-    """Rows numbered 1.. in order: each range numbers its own, and starts after the rows of the ranges before it. A row for each range goes to the driver."""
-    ranged = written(df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()), "numbered")
-    counts = sorted((r[0], r[1]) for r in ranged.groupBy("__range").count().collect())
-    before = dict(zip([k for k, _ in counts], [0, *accumulate(n for _, n in counts)], strict=False))
-    starts = df.sparkSession.createDataFrame(list(before.items()) or [(0, 0)], "__range int, __before long")
-    own = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
-    return ranged.join(F.broadcast(starts), "__range").withColumn(name, F.col("__before") + own).drop("__range", "__before")
+def numbered(df: DataFrame, order: list[str], name: str = "n", by: list[str] = ()) -> DataFrame:
+    """Rows numbered 1.. in order, in each group if by names any: a range numbers its own rows, and starts after those of the ranges before it.
+
+    Ranges are by (by, order), so a large group lies in many. Rows with equal order and group lie in one range, in any order.
+    """
+    ranged = written(df.repartitionByRange(*by, *order).withColumn("__range", F.spark_partition_id()), "numbered")
+    counts = ranged.groupBy(*by, "__range").agg(F.count(F.lit(1)).alias("__c"))
+    before = F.sum("__c").over(Window.partitionBy(*(by or [F.lit(0)])).orderBy("__range")) - F.col("__c")  # a row for each range of a group
+    starts = counts.select(*[F.col(c).alias(f"__of_{c}") for c in by], F.col("__range").alias("__at"), before.alias("__before"))
+    own = F.row_number().over(Window.partitionBy(*by, "__range").orderBy(*order))
+    met = ranged.withColumn(name, own).join(starts, [F.col("__range") == F.col("__at"), *[F.col(c).eqNullSafe(F.col(f"__of_{c}")) for c in by]])
+    return met.withColumn(name, F.col(name) + F.col("__before")).select(*df.columns, name)
