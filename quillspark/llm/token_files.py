@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from quillspark.llm import bpe
 
 SUMMARY = "part int, shard string, n_docs long, n_ids long"
-#: Ids that are read at once.
-BLOCK = 4_000_000
+#: Ids that are read at once, and characters of a text that ranges are told apart by.
+BLOCK, BEGINNING = 4_000_000, 16
 
 
 def store(folder: str) -> tuple[pafs.FileSystem, str]:
@@ -42,7 +42,9 @@ def write(docs: DataFrame, folder: str, path: str, id_col: str = "doc_id", text_
     """Encode the texts with the tokenizer at path, end each with end_id, and write them in ascending order of ids; the manifest."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     by = [F.col("id").asc_nulls_first()]
-    rows = (rows.repartitionByRange(partitions, *by) if partitions else rows.repartitionByRange(*by)).sortWithinPartitions(*by, F.col("text").asc_nulls_first())
+    # Rows of one id, as of null ids, are split by how their texts begin: ranges keep the order of (id, text), and their borders stay short.
+    ranges = [*by, F.substring("text", 1, BEGINNING).asc_nulls_first()]
+    rows = (rows.repartitionByRange(partitions, *ranges) if partitions else rows.repartitionByRange(*ranges)).sortWithinPartitions(*by, F.col("text").asc_nulls_first())
     largest = max(end_id or 0, *bpe.load_tokenizer(path).get_vocab(with_added_tokens=True).values())
     dtype = "<u2" if largest < 1 << 16 else "<u4"
     where, root = store(folder)

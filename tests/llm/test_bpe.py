@@ -75,6 +75,19 @@ def test_token_files_of_nothing_and_of_ties(spark, tmp_path):
     assert [(r.id, r.start, r.n_tokens) for r in got] == [(None, 0, 2), (7, 2, 1), (7, 3, 2), (7, 5, 2)]
 
 
+def test_one_id_in_many_files(spark, tmp_path):
+    """Very many rows of one id, or of null ids, are dealt to many tasks, and stay in order."""
+    rows = [(None, f"{i * 7919 % 3000:04d} text") for i in range(3000)] + [(5, f"{i * 31 % 500:04d}") for i in range(500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    manifest = token_files.write(df, f"{tmp_path}/hot", P.path("byte_bpe_50k.json"), partitions=8)
+    assert len(manifest["shards"]) == 8 and max(s["n_docs"] for s in manifest["shards"]) < 1200
+    t, start, want = bpe.load_tokenizer(P.path("byte_bpe_50k.json")), 0, []
+    for i, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1])):
+        want.append((i, start, n := len(t.encode(text, add_special_tokens=False).ids) + 1))
+        start += n
+    assert [tuple(r) for r in token_files.read(spark, f"{tmp_path}/hot").select("id", "start", "n_tokens").orderBy("start").collect()] == want
+
+
 def test_rank_file_line(tmp_path):
     (tmp_path / "r").write_bytes(base64.b64encode(b"ab") + b" 3\n")
     assert bpe.read_ranks(str(tmp_path / "r")) == {b"ab": 3}
