@@ -55,7 +55,7 @@ def with_verdict(df: DataFrame, source: str, **more: Column) -> DataFrame:
     """The rows with action and reason. What the rules share is projected once; only texts with odd spaces or a placeholder meet a pattern there."""
     of = F.col(source)
     normal = df.withColumn("__normal", F.when(text.has_any(of, text.ODD_SPACES), text.normalized(of)).otherwise(F.trim(text.empty_for_null(of))))
-    compact = normal.withColumn("__compact", F.when(F.contains("__normal", F.lit("<")), text.normalized(text.without_placeholders(of))).otherwise(F.col("__normal")))
+    compact = normal.withColumn("__compact", F.when(text.has_any(F.col("__normal"), text.PLACEHOLDER_SIGNS), text.normalized(text.without_placeholders(of))).otherwise(F.col("__normal")))
     named = compact.withColumn("reason", first_match(keep_origin_rules(of, F.col("__normal"), F.col("__compact"), **more)))
     return named.withColumn("action", F.when(F.col("reason").isNotNull(), "keep_origin").otherwise("translate")).drop("__normal", "__compact")
 

@@ -36,7 +36,7 @@ JOURNAL = r"(?i)(^|[^\p{L}\p{N}_])(?:j\.|journal|chem|phys|soc|rev\.?|lett\.?|co
 PAGES = r"(^|[^\p{L}\p{N}_])[0-9]{1,4} *[-–] *[0-9]{1,5}([^\p{L}\p{N}_]|$)"
 INDEXED = r"^\(?\[?[0-9]{1,3}\]?\)?[.)]? "
 AUTHOR = r"^(?:\(?\[?[0-9]{1,3}\]?\)?[.)]? +)?(?:[A-Z][A-Za-z'`.-]+(?: +[A-Z][A-Za-z'`.-]+){0,2} *, *(?:[A-Z]\. *)+)"
-PLACEHOLDER = r"<[ft][0-9]+-[0-9a-z]{3}/>"
+PLACEHOLDER, PLACEHOLDER_SIGNS = r"<[futnvc][0-9]+-[0-9a-z]{3}/>|\[\[FORMULA_[0-9]+\]\]|@@[FP][0-9]+@@", ("<", "[[", "@@")
 HEX_BYTE = r"^[0-9A-Fa-f]{2}$"
 HEX_TOKEN = r"(?<![^ ])[0-9A-Fa-f]{2}(?![^ ])"
 ODD = r"[^\p{L}\p{N} \t\r\n.,;:!?()\[\]{}'\"_/+*&%$#=@-]"

@@ -1,7 +1,7 @@
 import pytest
 from oracle import both
 
-from quillspark.plans import catalog, continuations, jobs, layout, memory, more, pipelines, trees  # noqa: F401
+from quillspark.plans import catalog, continuations, jobs, layout, memory, more, pipelines, reviews, trees  # noqa: F401
 
 
 @pytest.mark.parametrize("name", catalog.ORACLES)
