@@ -117,3 +117,64 @@ def cut_out(rects: DataFrame, protected: DataFrame, page: list[str], key: list[s
     whole = F.array(F.struct(*SIDES))
     folded = F.when(F.col("__cuts").isNull(), whole).otherwise(F.aggregate("__cuts", whole, lambda parts, cut: F.flatten(F.transform(parts, lambda p: pieces(p, cut)))))
     return on.select(*page, *key, F.posexplode(folded).alias("__at", "__p")).select(*page, *key, (F.col("__at") + 1).alias("piece"), "__p.*")
+
+
+def overlapping(rects: DataFrame, others: DataFrame, page: list[str], key: list[str], least: float = 0.0, keep: bool = True, band: float = 48.0) -> DataFrame:
+    """The rectangles that share more than an area with some other of their page; those that don't with keep=False. page and key tell rectangles apart."""
+    left, right = (d.select(*page, *more, *[F.col(c).cast("double").alias(c) for c in SIDES]) for d, more in ((rects, key), (others, [])))
+    hits = geometry.overlap_join(left, right, page, band).where(F.col("area") > least).select(*[F.col(f"l.{c}").alias(f"__of_{c}") for c in (*page, *key)]).distinct()
+    return rects.join(hits, [F.col(c).eqNullSafe(F.col(f"__of_{c}")) for c in (*page, *key)], "left_semi" if keep else "left_anti")
+
+
+def flipped(height: str) -> tuple[Column, ...]:
+    """A rectangle's sides with y counted from the page's other end."""
+    return F.col("x0"), F.col(height) - F.col("y1"), F.col("x1"), F.col(height) - F.col("y0")
+
+
+def coordinate_system(boxes: DataFrame, texts: DataFrame, page: list[str], systems: dict[str, tuple[Column, ...]], band: float = 48.0) -> DataFrame:
+    """page, system, n, area: the coordinate system in which a page's boxes meet most of its text rectangles, by number, then by shared area, then by the systems' order.
+
+    systems: of each the sides that a box has in it. Pages whose boxes meet no text get the first. Boxes without an area don't count.
+    """
+    real = boxes.where("x1 > x0 and y1 > y0")
+    named = None
+    for name, sides in systems.items():
+        one = real.select(*page, F.lit(name).alias("system"), *[s.cast("double").alias(c) for s, c in zip(sides, SIDES, strict=True)])
+        named = one if named is None else named.unionByName(one)
+    met = geometry.overlap_join(named, texts.select(*page, *[F.col(c).cast("double").alias(c) for c in SIDES]), page, band)
+    scores = met.groupBy(*[F.col(f"l.{c}").alias(c) for c in page], F.col("l.system").alias("system")).agg(F.count(F.lit(1)).alias("n"), F.sum("area").alias("area"))
+    first = boxes.select(*page).distinct().select(*page, F.lit(next(iter(systems))).alias("system"), F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("area"))
+    rank = F.coalesce(*[F.when(F.col("system") == s, -i) for i, s in enumerate(systems)])
+    best = scores.unionByName(first).groupBy(*page).agg(F.max_by(F.struct("system", "n", "area"), F.struct("n", "area", rank)).alias("b"))
+    return best.select(*page, "b.*")
+
+
+# When a block's text may run into the next one's, and how much lower it is then made.
+NARROW_SHARE, GAP_SEEN, GAP_TIGHT, GAP_KEPT, FILLED, USED = 0.6, 3.0, 0.5, 0.9, 0.98, 0.94
+PAD, PAD_TIGHT, PAD_FORMULA, PAD_EM, PAD_MOST, LOWEST, FONT_LEAST, FONT_LESS, LEADING_LEAST, LEADING_LESS = 2.0, 3.4, 7.4, 0.6, 6.0, 8.0, 7.8, 1.1, 0.44, 0.12
+
+
+def collisions(blocks: DataFrame, page: list[str], tie: list[str]) -> DataFrame:
+    """The blocks whose text may run into the next block's in order of y0, x0, with max_height, min_font_size and min_leading to fit it in.
+
+    blocks: sides, cover_x0 to cover_y1 (what is painted under a block), font_size, leading, estimated (the height that its text takes), fit_to_box and formulas (whether it has any).
+    Neighbours overlap in width and lie close; a text that needs the room up to the next block, or a gap of almost nothing, is a risk. Only a page's blocks meet in a window.
+    """
+    w = Window.partitionBy(*page).orderBy("y0", "x0", *tie)
+    names = ("x0", "y0", "x1", "cover_x0", "cover_y0", "cover_x1")
+    b = blocks.withColumn("__n", F.lead(F.struct(*names)).over(w)).where("__n is not null")
+    n = lambda c: F.col(f"__n.{c}")
+
+    def share(p: str) -> Column:
+        shared = F.least(F.col(f"{p}x1"), n(f"{p}x1")) - F.greatest(F.col(f"{p}x0"), n(f"{p}x0"))
+        return F.greatest(F.lit(0.0), shared) / F.greatest(F.lit(1.0), F.least(F.col(f"{p}x1") - F.col(f"{p}x0"), n(f"{p}x1") - n(f"{p}x0")))
+
+    gap, room, high = n("cover_y0") - F.col("cover_y1"), n("y0") - F.col("y0") - GAP_KEPT, F.greatest(F.lit(1.0), F.col("y1") - F.col("y0"))
+    tight = gap <= GAP_TIGHT
+    needs = tight | (F.col("estimated") > room * FILLED) | (F.col("fit_to_box") & (high / F.greatest(F.lit(1.0), room) >= USED))
+    pad = F.greatest(F.lit(PAD), F.least(F.col("font_size") * PAD_EM, F.lit(PAD_MOST)))
+    pad = F.when(tight, F.greatest(pad, F.when(F.col("formulas"), PAD_FORMULA).otherwise(PAD_TIGHT))).otherwise(pad)
+    lower = F.least(room, F.greatest(F.lit(LOWEST), high - pad))
+    at_risk = b.where((F.greatest(share(""), share("cover_")) >= NARROW_SHARE) & (gap <= GAP_SEEN) & (room > 0) & needs)
+    sizes = {"max_height": F.least(F.greatest(F.lit(LOWEST), lower), lower), "min_font_size": F.least(F.col("font_size"), F.greatest(F.lit(FONT_LEAST), F.col("font_size") - FONT_LESS)), "min_leading": F.least(F.col("leading"), F.greatest(F.lit(LEADING_LEAST), F.col("leading") - LEADING_LESS))}
+    return at_risk.withColumns(sizes).drop("__n")

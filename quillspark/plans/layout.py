@@ -99,3 +99,47 @@ def text_demands(spark: SparkSession, sf_dir: str) -> DataFrame:
     w, h, size = F.col("x1") - F.col("x0"), (F.col("y1") - F.col("y0")) * 3, F.lit(10.0)
     b = column_blocks(spark, sf_dir).withColumn("demand", fit.demand(F.col("text")))
     return b.select("conv_id", "ord", F.round("demand", 4).alias("demand"), F.round(fit.capacity(w, h, size, F.lit(0.3)), 4).alias("capacity"), fit.required_lines(w, size, F.round("demand", 9)).cast("long").alias("required"))
+
+
+_DISTINCT = f"SELECT DISTINCT page, l_returnflag = 'R' AS flagged, x0, y0, x1, y1 FROM ({_PAGE})"
+_SHARED = "greatest(least(a.x1, b.x1) - greatest(a.x0, b.x0), 0) * greatest(least(a.y1, b.y1) - greatest(a.y0, b.y0), 0)"
+
+
+def flagged_rects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_rects(spark, sf_dir).select("page", (F.col("l_returnflag") == "R").alias("flagged"), *rectangles.SIDES).distinct()
+
+
+@query(f"WITH d AS ({_DISTINCT}) SELECT page, x0, y0, x1, y1 FROM d a WHERE NOT flagged AND EXISTS (SELECT 1 FROM d b WHERE b.flagged AND b.page = a.page AND {_SHARED} > 0.5)")
+def covered_rects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rectangles that a returned line's covers by more than half a point."""
+    d, sides = flagged_rects(spark, sf_dir), list(rectangles.SIDES)
+    key = [f"of_{c}" for c in sides]
+    plain = d.where("not flagged").select("page", *sides, *[F.col(c).alias(f"of_{c}") for c in sides])
+    return rectangles.overlapping(plain, d.where("flagged"), ["page"], key, 0.5).select("page", *sides)
+
+
+@query(f"""WITH d AS ({_DISTINCT}), t AS (SELECT page, x0, y0, x1, y1 FROM d WHERE NOT flagged), x AS (SELECT page, x0, CASE WHEN page % 2 = 0 THEN y0 ELSE 150 - y1 END AS y0, x1, CASE WHEN page % 2 = 0 THEN y1 ELSE 150 - y0 END AS y1 FROM d WHERE flagged),
+ a AS (SELECT 'pdf_matrix' AS system, 0 AS r, page, x0, 150 - y1 AS y0, x1, 150 - y0 AS y1 FROM x UNION ALL SELECT 'raw_top_left', -1, * FROM x), s AS (SELECT a.page, a.system, a.r, count(*) AS n, sum({_SHARED}) AS area FROM a JOIN t b ON a.page = b.page AND {_SHARED} > 0 GROUP BY ALL),
+ u AS (SELECT * FROM s UNION ALL SELECT DISTINCT page, 'pdf_matrix', 0, 0, 0 FROM x) SELECT page, arg_max(system, (n, area, r)) AS system, arg_max(n, (n, area, r)) AS n, round(arg_max(area, (n, area, r)), 3) AS area FROM u GROUP BY page""")
+def coordinate_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each page's boxes count y from the top or from the bottom, by the text that they meet. Odd pages' are turned over first."""
+    d = flagged_rects(spark, sf_dir).withColumn("height", F.lit(150.0))
+    turned = F.col("page") % 2 != 0
+    x0, y0, x1, y1 = rectangles.flipped("height")
+    boxes = d.where("flagged").select("page", "height", "x0", F.when(turned, y0).otherwise(F.col("y0")).alias("y0"), "x1", F.when(turned, y1).otherwise(F.col("y1")).alias("y1"))
+    got = rectangles.coordinate_system(boxes, d.where("not flagged"), ["page"], {"pdf_matrix": rectangles.flipped("height"), "raw_top_left": tuple(F.col(c) for c in rectangles.SIDES)})
+    return got.select("page", "system", "n", F.round("area", 3).alias("area"))
+
+
+@query(f"""WITH b AS (SELECT conv_id, ord, x0, y0, x1, y1, x0 - 2 AS c0, x1 + 2 AS c1, y1 - 1 AS cb, y0 + 1 AS ct, length(text) % 5 = 0 AS fit, length(text) % 3 = 0 AS math, length(text) / 10.0::DOUBLE AS est FROM (SELECT conv_id, ord, text, 50.0::DOUBLE + ord % 2 * 20 AS x0, y0 / 3 AS y0, 250.0::DOUBLE + ord % 2 * 20 AS x1, y1 / 3 AS y1 FROM ({_BLOCKS}))),
+ n AS (SELECT *, lead({{'x0': x0, 'y0': y0, 'x1': x1, 'c0': c0, 'c1': c1, 'ct': ct}}) OVER (PARTITION BY conv_id ORDER BY y0, x0, ord) AS nx FROM b),
+ r AS (SELECT *, nx.ct - cb AS gap, nx.y0 - y0 - 0.9::DOUBLE AS room, greatest(1.0::DOUBLE, y1 - y0) AS high, greatest(greatest(0, least(x1, nx.x1) - greatest(x0, nx.x0)) / greatest(1, least(x1 - x0, nx.x1 - nx.x0)), greatest(0, least(c1, nx.c1) - greatest(c0, nx.c0)) / greatest(1, least(c1 - c0, nx.c1 - nx.c0))) AS share FROM n WHERE nx.x0 IS NOT NULL),
+ l AS (SELECT *, least(room, greatest(8.0::DOUBLE, high - CASE WHEN gap <= 0.5 THEN CASE WHEN math THEN 7.4::DOUBLE ELSE 6.0::DOUBLE END ELSE 6.0::DOUBLE END)) AS lower FROM r WHERE share >= 0.6 AND gap <= 3 AND room > 0 AND (gap <= 0.5 OR est > room * 0.98::DOUBLE OR fit AND high / greatest(1, room) >= 0.94))
+ SELECT conv_id, ord, round(least(greatest(8.0::DOUBLE, lower), lower), 4) AS max_height, 8.9::DOUBLE AS min_font_size, 0.44::DOUBLE AS min_leading FROM l""")
+def collision_risks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks whose text may run into the next block's."""
+    n, shift = F.length("text"), F.col("ord") % 2 * 20
+    placed = column_blocks(spark, sf_dir).withColumns({"y0": F.col("y0") / 3, "y1": F.col("y1") / 3, "x0": 50.0 + shift, "x1": 250.0 + shift})
+    own = {"cover_x0": F.col("x0") - 2, "cover_y0": F.col("y0") + 1, "cover_x1": F.col("x1") + 2, "cover_y1": F.col("y1") - 1, "font_size": F.lit(10.0), "leading": F.lit(0.5), "estimated": n / 10.0, "fit_to_box": n % 5 == 0, "formulas": n % 3 == 0}
+    got = rectangles.collisions(placed.withColumns(own), ["conv_id"], ["ord"])
+    return got.select("conv_id", "ord", F.round("max_height", 4).alias("max_height"), F.round("min_font_size", 4).alias("min_font_size"), F.round("min_leading", 4).alias("min_leading"))

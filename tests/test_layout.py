@@ -162,3 +162,31 @@ def test_repairs_of_the_table(spark, sf_dir):
         if r.applied and r.role == "absorber":
             peer = rows[page, r.peer]
             assert peer.peer == r.ord and of[page, r.peer].text == "" and f"{r.text} {peer.text}".split() == of[page, r.ord].text.split()
+
+
+def test_overlaps_kept_and_left_out(spark):
+    kind = "page int, k int, x0 double, y0 double, x1 double, y1 double"
+    df = spark.createDataFrame([(1, 1, 0.0, 0.0, 10.0, 100.0), (1, 2, 20.0, 0.0, 30.0, 10.0), (2, 3, 0.0, 0.0, 10.0, 10.0), (1, 4, 0.0, 200.0, 1.0, 201.0)], kind)
+    other = spark.createDataFrame([(1, 9, 9.0, 50.0, 12.0, 52.0), (1, 9, 5.0, 60.0, 6.0, 160.0), (1, 8, 0.5, 200.0, 1.0, 201.0)], kind)
+    ids = lambda **kw: sorted(r.k for r in rectangles.overlapping(df, other, ["page"], ["k"], **kw).collect())
+    assert ids() == [1, 4] and ids(least=0.5) == [1] and ids(keep=False) == [2, 3]
+
+
+def test_coordinate_systems(spark):
+    box = "page int, height double, x0 double, y0 double, x1 double, y1 double"
+    texts = spark.createDataFrame([(1, 100.0, 0.0, 0.0, 10.0, 10.0), (2, 100.0, 0.0, 90.0, 10.0, 100.0), (3, 100.0, 0.0, 45.0, 10.0, 55.0)], box)
+    boxes = spark.createDataFrame([(p, 100.0, 0.0, *y) for p, y in ((1, (0.0, 5.0, 9.0)), (2, (0.0, 5.0, 9.0)), (3, (46.0, 5.0, 54.0)), (4, (0.0, 1.0, 1.0)), (1, (5.0, 0.0, 5.0)))], box)
+    systems = {"flipped": rectangles.flipped("height"), "as_is": tuple(F.col(c) for c in rectangles.SIDES)}
+    got = {r.page: (r.system, r.n, r.area) for r in rectangles.coordinate_system(boxes, texts, ["page"], systems).collect()}
+    assert got == {1: ("as_is", 1, 45.0), 2: ("flipped", 1, 45.0), 3: ("flipped", 1, 40.0), 4: ("flipped", 0, 0.0)}
+
+
+def test_collisions(spark):
+    kind = "page int, i int, x0 double, y0 double, x1 double, y1 double, cover_x0 double, cover_y0 double, cover_x1 double, cover_y1 double, font_size double, leading double, estimated double, fit_to_box boolean, formulas boolean"
+    block = lambda p, i, y0, y1, est=1.0, fit=False, math=False, x0=0.0: (p, i, x0, y0, x0 + 100, y1, x0, y0, x0 + 100, y1, 10.0, 0.5, est, fit, math)
+    rows = [
+        block(1, 0, 0.0, 50.0), block(1, 1, 50.2, 90.0), block(2, 0, 0.0, 50.0), block(2, 1, 52.0, 90.0), block(3, 0, 0.0, 50.0, est=52.0), block(3, 1, 52.0, 90.0), block(4, 0, 0.0, 50.0, fit=True), block(4, 1, 52.0, 90.0),
+        block(5, 0, 0.0, 50.0, math=True), block(5, 1, 50.0, 90.0), block(6, 0, 0.0, 50.0), block(6, 1, 50.0, 90.0, x0=60.0), block(7, 0, 0.0, 50.0, est=99.0), block(7, 1, 54.0, 90.0), block(8, 0, 0.0, 0.5), block(8, 1, 0.5, 90.0),
+    ]
+    got = {r.page: (r.i, round(r.max_height, 6), round(r.min_font_size, 6), r.min_leading) for r in rectangles.collisions(spark.createDataFrame(rows, kind), ["page"], ["i"]).collect()}
+    assert got == {1: (0, 44.0, 8.9, 0.44), 3: (0, 44.0, 8.9, 0.44), 4: (0, 44.0, 8.9, 0.44), 5: (0, 42.6, 8.9, 0.44)}
