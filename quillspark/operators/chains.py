@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quillspark import rounds
 from quillspark.functions import text
@@ -109,3 +110,37 @@ def approved(items: DataFrame, pairs: DataFrame) -> DataFrame:
     again = (F.col("__nn") == F.col("n")) & (F.col("__np") <= F.col("pos"))  # a chain that comes back to itself ends
     name = F.format_string("cg-review-%04d", F.col("n") + FIRST_GROUP)
     return met.select("item_id", name.alias("continuation_group"), "pos", F.coalesce("prev_text", F.lit("")).alias("prev_text"), F.when(again, "").otherwise(F.coalesce("__nt", F.lit(""))).alias("next_text"))
+
+# Zones that text flows through, and characters that either side of a page border has, and both together.
+FLOW, ONE_COLUMN, SIDE_TEXT, BOTH_TEXTS = ("single_column", "left_column", "right_column", "full_width"), ("single_column", "full_width"), 8, 32
+
+
+def provider_groups(items: DataFrame) -> DataFrame:
+    """item_id, continuation_group, pos (from 0), prev_text, next_text: the items of groups that a provider named and that hold together.
+
+    items: item_id, page_idx, block_idx, text, bodylike, zone, mode, role, source, scope, group_id and reading_order. A group of one scope has two items at least, with reading orders that differ and aren't
+    negative. One within a page stays on it. One over pages lies on two pages, one after the other, and crosses over once, from a last block of the last column to a first one
+    of the first, with enough text on both sides. An item in a group of either scope that holds keeps the one over pages.
+    """
+    low = lambda c: F.lower(F.trim(F.coalesce(F.col(c), F.lit(""))))
+    named = items.alias("i").where(eligible("i")).select("i.*").withColumn("__g", F.trim(F.coalesce("group_id", F.lit("")))).where("source = 'provider' and scope in ('intra_page', 'cross_page') and __g != ''")
+    named = named.withColumn("__t", text.normalized(F.col("text"))).withColumn("__chars", F.length(F.replace("__t", F.lit(" "), F.lit("")))).withColumn("__zone", low("zone")).withColumn("__mode", low("mode")).withColumn("__role", low("role"))
+    by = ["scope", "__g"]
+    w = Window.partitionBy(*by).orderBy("reading_order", "page_idx", "block_idx")
+    after = F.lead(F.struct("page_idx", "__chars", "__zone", "__mode", "__role")).over(w)
+    seen = named.withColumn("__n", after).withColumn("pos", (F.row_number().over(w) - 1).cast("int")).withColumn("prev_text", F.coalesce(F.lag("__t").over(w), F.lit(""))).withColumn("next_text", F.coalesce(F.lead("__t").over(w), F.lit("")))
+    n = lambda c: F.col(f"__n.{c}")
+    step = n("page_idx") - F.col("page_idx")
+    zones = F.col("__zone").isin(*FLOW) & n("__zone").isin(*FLOW) & F.when(F.col("__mode") == "double", F.col("__zone") == "right_column").otherwise(F.col("__zone").isin(*ONE_COLUMN))
+    zones = zones & F.when(n("__mode") == "double", n("__zone") == "left_column").otherwise(n("__zone").isin(*ONE_COLUMN))
+    texts = (F.col("__chars") >= SIDE_TEXT) & (n("__chars") >= SIDE_TEXT) & (F.col("__chars") + n("__chars") >= BOTH_TEXTS)
+    crosses = F.col("__role").isin(*ENDS) & n("__role").isin(*BEGINS) & zones & texts
+    legal = F.when(F.col("__n").isNull() | (step == 0), True).otherwise((step == 1) & crosses)
+    order = F.col("reading_order")
+    whole = seen.groupBy(*by).agg(
+        ((F.count(F.lit(1)) >= 2) & (F.count_if(order >= 0) == F.count(F.lit(1))) & (F.count_distinct(order) == F.count(F.lit(1)))).alias("__ordered"), (F.max("page_idx") - F.min("page_idx")).alias("__span"),
+        F.bool_and(F.coalesce(legal, F.lit(False))).alias("__legal"), F.count_if(step > 0).alias("__crossings"),
+    )
+    good = whole.where(F.col("__ordered") & F.when(F.col("scope") == "intra_page", F.col("__span") == 0).otherwise((F.col("__span") == 1) & F.col("__legal") & (F.col("__crossings") == 1))).select(*by)
+    found = seen.join(good, by, "left_semi").groupBy("item_id").agg(F.min_by(F.struct(F.col("__g").alias("continuation_group"), "pos", "prev_text", "next_text"), "scope").alias("c"))
+    return found.select("item_id", "c.*")

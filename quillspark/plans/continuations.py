@@ -71,3 +71,26 @@ def leaks_trimmed(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = t(spark, sf_dir, "conversations").select("conv_id", "turn", source.alias("source"), translated.alias("translated"))
     c = c.withColumn("its", F.lead("source").over(ordered.over(["conv_id"], ["turn"])))
     return c.withColumn("r", splits.without_leak(F.col("translated"), F.col("source"), F.col("its"))).select("conv_id", "turn", "r.text", F.col("r.trimmed").isNotNull().alias("trimmed"))
+
+
+# Conversations as groups that a provider named: odd ones go over from page 0 to page 1, even ones stay on a page.
+_NAMED = """SELECT conv_id || '-' || turn AS item_id, 'g' || conv_id AS g, conv_id % 2 = 1 AS crosses, CASE WHEN conv_id % 2 = 1 AND turn >= 2 THEN 1 WHEN conv_id % 10 = 4 THEN turn % 2 ELSE 0 END AS page, turn, CASE WHEN conv_id % 12 = 6 THEN 0 ELSE turn END AS ro,
+ trim(regexp_replace(text, '\\s+', ' ', 'g')) AS tx, CASE WHEN turn = 1 THEN CASE WHEN conv_id % 3 = 0 THEN 'left_column' ELSE 'right_column' END ELSE 'left_column' END AS zone, CASE turn WHEN 1 THEN 'tail' WHEN 2 THEN 'head' ELSE 'middle' END AS role FROM conversations"""
+
+
+@query(f"""WITH i AS ({_NAMED}), n AS (SELECT *, length(replace(tx, ' ', '')) AS chars, row_number() OVER v - 1 AS pos, lag(tx) OVER v AS pt, lead(tx) OVER v AS nt, lead(page) OVER v AS np, lead(zone) OVER v AS nz, lead(role) OVER v AS nr, lead(length(replace(tx, ' ', ''))) OVER v AS nc FROM i WINDOW v AS (PARTITION BY g ORDER BY ro, page, turn)),
+ o AS (SELECT g FROM n GROUP BY g, crosses HAVING count(*) >= 2 AND count(DISTINCT ro) = count(*) AND CASE WHEN crosses THEN min(page) = 0 AND max(page) = 1 AND count(*) FILTER (np > page) = 1 AND bool_and(np IS NULL OR np = page OR np = page + 1 AND role IN ('tail', 'single') AND nr IN ('head', 'single') AND zone = 'right_column' AND nz = 'left_column' AND chars >= 8 AND nc >= 8 AND chars + nc >= 32) ELSE min(page) = max(page) END)
+ SELECT item_id, g AS continuation_group, CAST(pos AS INT) AS pos, sha256(coalesce(pt, '')) AS prev_sha256, sha256(coalesce(nt, '')) AS next_sha256 FROM n WHERE g IN (SELECT g FROM o)""")
+def named_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The members of groups that a provider named and that hold together."""
+    c, conv, turn = t(spark, sf_dir, "conversations"), F.col("conv_id"), F.col("turn")
+    odd = conv % 2 == 1
+    page = F.when(odd & (turn >= 2), 1).when(conv % 10 == 4, turn % 2).otherwise(0)
+    zone = F.when(turn == 1, F.when(conv % 3 == 0, "left_column").otherwise("right_column")).otherwise("left_column")
+    items = c.select(
+        F.concat_ws("-", "conv_id", "turn").alias("item_id"), page.cast("int").alias("page_idx"), turn.alias("block_idx"), "text", F.lit(True).alias("bodylike"), zone.alias("zone"), F.lit("Double").alias("mode"),
+        F.when(turn == 1, "tail").when(turn == 2, "head").otherwise("middle").alias("role"), F.lit("provider").alias("source"), F.when(odd, "cross_page").otherwise("intra_page").alias("scope"),
+        F.concat(F.lit(" g"), conv.cast("string")).alias("group_id"), F.when(conv % 12 == 6, 0).otherwise(turn).cast("int").alias("reading_order"),
+    )
+    got = chains.provider_groups(items)
+    return got.select("item_id", "continuation_group", "pos", F.sha2("prev_text", 256).alias("prev_sha256"), F.sha2("next_text", 256).alias("next_sha256"))

@@ -135,3 +135,23 @@ def test_leaks(spark):
     df = spark.createDataFrame([(i, *r[:3]) for i, r in enumerate(rows)], "i int, t string, s string, n string")
     got = df.orderBy("i").select(splits.without_leak(F.col("t"), F.col("s"), F.col("n")).alias("r")).collect()
     assert [(r.r.text, r.r.trimmed) for r in got] == [r[3:] for r in rows]
+
+
+def test_provider_groups(spark):
+    kind = "item_id string, page_idx int, block_idx int, text string, bodylike boolean, zone string, mode string, role string, source string, scope string, group_id string, reading_order int"
+    long = "a text of some length here"
+
+    def item(g, i, page, order, scope="cross_page", zone="single_column", mode="single", role="middle", text=long, source="provider"):
+        return (f"{g}{i}", page, i, text, True, zone, mode, role, source, scope, f" {g} ", order)
+
+    two = lambda g, **kw: [item(g, 0, 3, 0, role="tail", **kw), item(g, 1, 4, 1, role="head", **kw)]
+    rows = [
+        *two("ok"), *two("short", text="tiny one"), *two("odd", zone="margin"), item("same", 0, 1, 5, "intra_page"), item("same", 1, 1, 2, "intra_page"), item("tie", 0, 1, 2, "intra_page"), item("tie", 1, 1, 2, "intra_page"), item("lone", 0, 1, 0, "intra_page"),
+        item("neg", 0, 1, -1, "intra_page"), item("neg", 1, 1, 2, "intra_page"), item("apart", 0, 1, 0, "intra_page"), item("apart", 1, 2, 1, "intra_page"), item("far", 0, 1, 0, role="tail"), item("far", 1, 3, 1, role="head"),
+        item("dbl", 0, 1, 0, zone="right_column", mode="Double", role="single"), item("dbl", 1, 2, 1, zone="left_column", mode="double", role="Single"), item("wrong", 0, 1, 0, zone="left_column", mode="double", role="tail"), item("wrong", 1, 2, 1, zone="left_column", mode="double", role="head"),
+        *two("model", source="model"), item("back", 0, 2, 0, role="tail"), item("back", 1, 1, 1, role="head"), *two("math", text="a $ alone and more words"),
+    ]
+    got = {r.item_id: (r.continuation_group, r.pos, r.prev_text, r.next_text) for r in chains.provider_groups(spark.createDataFrame(rows, kind)).collect()}
+    assert got == {
+        "ok0": ("ok", 0, "", long), "ok1": ("ok", 1, long, ""), "same1": ("same", 0, "", long), "same0": ("same", 1, long, ""), "dbl0": ("dbl", 0, "", long), "dbl1": ("dbl", 1, long, ""),
+    }
