@@ -34,6 +34,31 @@ def placeholders(x: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(x, F.lit("")), F.lit(PLACEHOLDER), 1)
 
 
+def without_repeated_placeholders(source: Column, translated: Column) -> Column:
+    """A translation without the placeholders that it repeats, where that is safe; else null.
+
+    It has more placeholders than the source and no others, and those of the source are among them in order: of each the first that comes in its turn stays. Spaces
+    that a dropped one leaves double, or before a mark, go.
+    """
+    t = F.coalesce(translated, F.lit(""))
+    row = F.struct(placeholders(source).alias("mine"), placeholders(t).alias("its"), F.split(t, PLACEHOLDER).alias("parts"))
+
+    def kept(v: Column) -> Column:
+        def step(s: Column, i: Column) -> Column:
+            token = F.get(v["its"], i)
+            due = F.coalesce(token == F.get(v["mine"], s["k"]), F.lit(False))
+            return F.struct((s["k"] + due.cast("int")).alias("k"), F.concat(s["text"], F.when(due, token).otherwise(""), F.get(v["parts"], i + 1)).alias("text"))
+
+        begin = F.struct(F.lit(0).alias("k"), F.get(v["parts"], F.lit(0)).alias("text"))
+        walked = F.aggregate(F.sequence(F.lit(0), F.size(v["its"]) - 1), begin, step)
+        tidy = lambda s: F.btrim(F.regexp_replace(F.regexp_replace(s["text"], r"[ \t]{2,}", " "), r"\s+([,.;:!?])", "$1"), F.lit(" \t\r\n"))
+        whole = text.let(walked, lambda s: F.when(s["k"] == F.size(v["mine"]), tidy(s)))
+        more = (F.size(v["mine"]) > 0) & (F.size(v["its"]) > F.size(v["mine"])) & (F.size(F.array_except(v["its"], v["mine"])) == 0)
+        return F.when(more, text.let(whole, lambda x: F.when(placeholders(x) == v["mine"], x)))
+
+    return text.let(row, kept)
+
+
 def issue(when: Column, kind: str, details: Column | None = None) -> Column:
     return F.when(F.coalesce(when, F.lit(False)), F.struct(F.lit(kind).alias("kind"), (details if details is not None else F.array()).cast("array<string>").alias("details")))
 

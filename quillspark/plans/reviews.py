@@ -40,3 +40,14 @@ def review_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
 def issue_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Issues by kind, with zeros."""
     return quality.summary(reviewed(spark, sf_dir))
+
+
+@query("""SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN left(replace(text, chr(10), ' '), 9) || '| <f1-0aa/> b, <f2-0bb/>' WHEN 1 THEN left(replace(text, chr(10), ' '), 9) || '|<f1-0aa/><f2-0bb/> end.' END AS repaired FROM conversations""")
+def repaired_placeholders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Translations that repeat placeholders, without what is repeated where that is safe."""
+    n, head = F.col("turn") % 4, F.concat(F.substring(F.replace("text", F.lit("\n"), F.lit(" ")), 1, 9), F.lit("|"))
+    made = (
+        F.when(n == 0, F.concat(head, F.lit(" <f1-0aa/>  <f1-0aa/> b , <f2-0bb/>"))).when(n == 1, F.concat(head, F.lit("<f1-0aa/><f2-0bb/><f1-0aa/> end .")))
+        .when(n == 2, F.concat(head, F.lit("<f2-0bb/><f2-0bb/><f1-0aa/>"))).otherwise(F.concat(head, F.lit("<f1-0aa/><f2-0bb/><f3-0cc/>")))
+    )
+    return t(spark, sf_dir, "conversations").select("conv_id", "turn", quality.without_repeated_placeholders(F.lit("see <f1-0aa/> and <f2-0bb/>"), made).alias("repaired"))

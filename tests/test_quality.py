@@ -1,5 +1,7 @@
 """Reviews of translations: cases by hand."""
 
+from pyspark.sql import functions as F
+
 from quillspark.operators import quality
 
 ITEM, RESULT = "item_id string, source string, direct_math boolean, after string", "item_id string, decision string, translated string"
@@ -40,3 +42,13 @@ def test_summary(spark):
     issues = quality.review(spark.createDataFrame([("a", "x", None, None)], ITEM), spark.createDataFrame([], RESULT))
     got = {r.kind: (r.severity, r.n, r.has_errors) for r in quality.summary(issues).collect()}
     assert got["missing_result"] == ("error", 1, True) and got["placeholder_order_changed"] == ("warning", 0, True) and len(got) == len(quality.KINDS)
+
+
+def test_repeated_placeholders(spark):
+    a, b, c = "<f1-0aa/>", "<t2-0bb/>", "[[FORMULA_3]]"
+    cases = [
+        (f"{a} {b}", f"x {a} y  {a} , {b} {b}!", f"x {a} y, {b}!"), (f"{a} {b} {a}", f"{a}{b}{b}{a}", f"{a}{b}{a}"), (f"{a} {b}", f"{a} {b}", None), (f"{a} {b}", f"{b} {a} {a}", None), (f"{a}", f"{a} {b}", None), (f"{a} {b}", f"{a} {a} {a}", None),
+        ("none", f"{a}", None), (f"{a}", None, None), (None, f"{a}", None), (f"{c}", f" {c} {c} ", f"{c}"), (f"{b} {a}", f"{a} {b} {a}", f"{b} {a}"),
+    ]
+    df = spark.createDataFrame([(i, *x[:2]) for i, x in enumerate(cases)], "i int, s string, t string")
+    assert [r.r for r in df.orderBy("i").select(quality.without_repeated_placeholders(F.col("s"), F.col("t")).alias("r")).collect()] == [x[2] for x in cases]
