@@ -25,27 +25,27 @@ def same(by: list[str], a: str, b: str) -> list[Column]:
 
 
 def at_ranks(df: DataFrame, by: list[str], value: str, ranks: dict[str, Column]) -> DataFrame:
-    """by, n and, under each name, the value at a rank (from 0, an expression of n) among the group's sorted values. Nulls don't count; a rank outside gives null."""
+    """by, n, mean and, under each name, the value at a rank (from 0, an expression of n) among the group's sorted values. Nulls don't count; a rank outside gives null."""
     rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("__v")).withColumn("__cell", cell(F.col("__v")))
     w = Window.partitionBy(*by)
-    counts = rows.groupBy(*by, "__cell").agg(F.count(F.lit(1)).alias("c"))
-    placed = counts.withColumn("before", F.sum("c").over(w.orderBy("__cell")) - F.col("c")).withColumn("n", F.sum("c").over(w))
+    counts = rows.groupBy(*by, "__cell").agg(F.count(F.lit(1)).alias("c"), F.sum("__v").alias("s"))
+    placed = counts.withColumn("before", F.sum("c").over(w.orderBy("__cell")) - F.col("c")).withColumn("n", F.sum("c").over(w)).withColumn("mean", F.sum("s").over(w) / F.col("n"))
     wanted = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), r.cast("long").alias("rank")) for name, r in ranks.items()]))
-    targets = placed.select("*", wanted.alias("t")).where("t.rank >= before and t.rank < before + c").select(*by, "__cell", "n", "t.name", (F.col("t.rank") - F.col("before")).alias("at"))
+    targets = placed.select("*", wanted.alias("t")).where("t.rank >= before and t.rank < before + c").select(*by, "__cell", "n", "mean", "t.name", (F.col("t.rank") - F.col("before")).alias("at"))
     met = rows.alias("r").join(targets.alias("t"), [*same(by, "r", "t"), F.col("r.__cell") == F.col("t.__cell")])
-    near = met.groupBy(*[F.col(f"t.{c}").alias(c) for c in by], "t.n", "t.name", "t.at", "r.__v").agg(F.count(F.lit(1)).alias("c"))
+    near = met.groupBy(*[F.col(f"t.{c}").alias(c) for c in by], "t.n", "t.mean", "t.name", "t.at", "r.__v").agg(F.count(F.lit(1)).alias("c"))
     run = F.sum("c").over(Window.partitionBy(*by, "name").orderBy("__v"))
     found = near.withColumn("run", run).where("at >= run - c and at < run")
-    return found.groupBy(*by).agg(F.max("n").alias("n"), *[F.max(F.when(F.col("name") == name, F.col("__v"))).alias(name) for name in ranks])
+    return found.groupBy(*by).agg(F.max("n").alias("n"), F.max("mean").alias("mean"), *[F.max(F.when(F.col("name") == name, F.col("__v"))).alias(name) for name in ranks])
 
 
 def quantiles(df: DataFrame, by: list[str], value: str, probabilities: dict[str, float]) -> DataFrame:
-    """by, n and the interpolated quantile under each name."""
+    """by, n, mean, least, most and the interpolated quantile under each name."""
     at = lambda p: (F.col("n") - 1) * F.lit(p)
-    ranks = {f"__{side}_{name}": f(at(p)) for name, p in probabilities.items() for side, f in (("low", F.floor), ("high", F.ceil))}
+    ranks = {f"__{side}_{name}": f(at(p)) for name, p in probabilities.items() for side, f in (("low", F.floor), ("high", F.ceil))} | {"least": F.lit(0), "most": F.col("n") - 1}
     low, high = (lambda name: F.col(f"__low_{name}")), (lambda name: F.col(f"__high_{name}"))
     got = at_ranks(df, by, value, ranks)
-    return got.select(*by, "n", *[(low(name) + (high(name) - low(name)) * (at(p) - F.floor(at(p)))).alias(name) for name, p in probabilities.items()])
+    return got.select(*by, "n", "mean", "least", "most", *[(low(name) + (high(name) - low(name)) * (at(p) - F.floor(at(p)))).alias(name) for name, p in probabilities.items()])
 
 
 def gaps(df: DataFrame, by: list[str], value: str) -> DataFrame:

@@ -70,9 +70,8 @@ def key_fallback(left: DataFrame, right: DataFrame, key: str, fallback: Column,
 def latency_summary(df: DataFrame, by: Names, value: str) -> DataFrame:
     """n, min, p50, p90, p95, max (interpolated, rounded half to even) and mean. Groups may be of any size."""
     whole = lambda c: F.bround(c).cast("long")
-    plain = df.groupBy(*[F.col(c).alias(f"__{c}") for c in by]).agg(F.min(value).alias("lo"), F.max(value).alias("hi"), F.avg(value).alias("m"))
-    out = ranked.quantiles(df, by, value, {"p50": 0.5, "p90": 0.9, "p95": 0.95}).join(plain, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by])
-    return out.select(*by, "n", whole("lo").alias("min_ms"), *[whole(p).alias(f"{p}_ms") for p in ("p50", "p90", "p95")], whole("hi").alias("max_ms"), F.round("m", 2).alias("mean_ms"))
+    q = ranked.quantiles(df, by, value, {"p50": 0.5, "p90": 0.9, "p95": 0.95})
+    return q.select(*by, "n", whole("least").alias("min_ms"), *[whole(p).alias(f"{p}_ms") for p in ("p50", "p90", "p95")], whole("most").alias("max_ms"), F.round("mean", 2).alias("mean_ms"))
 
 
 def slow_items(df: DataFrame, value: str, key: str, floor: float, limit: int = 20) -> DataFrame:
