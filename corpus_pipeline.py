@@ -65,9 +65,8 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts have no ids. Of no documents there are no rows.
     """
     common.ship(spark)
-    path = public_tokenizers.path(TOKENIZER)
-    coded = docs.withColumn("__ids", bpe.encode(F.col("text"), path))
-    return coded.select("doc_id", "lang", "source", F.size("__ids").cast("long").alias("n_tokens"), F.col("__ids").alias("ids"), (bpe.decode_bytes(F.col("__ids"), path) == F.coalesce("text", F.lit("")).cast("binary")).alias("same_text"))
+    coded = docs.withColumn("__c", bpe.encode_checked(F.col("text"), public_tokenizers.path(TOKENIZER)))
+    return coded.select("doc_id", "lang", "source", F.size("__c.ids").cast("long").alias("n_tokens"), F.col("__c.ids").alias("ids"), F.col("__c.same_text").alias("same_text"))
 
 
 STAGES = [("quality", quality), ("line_dedup", line_dedup), ("near_duplicates", near_duplicates), ("decontaminate", decontaminate), ("tokens", tokens)]

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import codecs
+import ctypes
 import os
 import re
 from array import array
@@ -34,6 +35,8 @@ LETTERS, MARKS = re.compile(r"[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+")
 KEPT_PIECES, KEPT_CHARACTERS = 600_000, 40_000_000
 #: Bytes of text that are cut at once, and ids or pieces that are gathered at once.
 AT_ONCE, GATHERED = 4_000_000, 500_000
+#: KEPT_PIECES and AT_ONCE where a worker shares its executor with much else: a third of the memory for a tenth more time.
+FEW_PIECES, LITTLE = 250_000, 1_500_000
 
 
 def byte_table() -> list[str]:
@@ -124,10 +127,10 @@ class Joined:
 class Pieces:
     """Ids of texts as little-endian unsigned integers, through a bounded store of pieces."""
 
-    def __init__(self, tokenizer, dtype: str = "<u4"):
+    def __init__(self, tokenizer, dtype: str = "<u4", kept: int | None = None):
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer, self.dtype = tokenizer, np.dtype(dtype)
+        self.tokenizer, self.dtype, self.kept = tokenizer, np.dtype(dtype), kept
         #: For matches in characters that stand for bytes, with spaces between them.
         self.merger = Tokenizer(tokenizer.model)
         self.merger.pre_tokenizer = pre_tokenizers.Split(" ", "removed")
@@ -218,7 +221,7 @@ class Pieces:
         """The ids of all texts, and where each text's end."""
         if not len(texts):
             return np.empty(0, self.dtype), np.zeros(1, np.int64)
-        if len(self.open) > KEPT_PIECES or self.characters > KEPT_CHARACTERS:
+        if len(self.open) > (self.kept or KEPT_PIECES) or self.characters > KEPT_CHARACTERS:
             self.forget()
         texts = texts.fill_null("").cast(pa.large_string())
         number, ends = self.number(pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " "))
@@ -237,16 +240,24 @@ def once(key: tuple, make: Callable):
     return _made[key]
 
 
-def pieces(path: str, dtype: str = "<u4") -> Pieces:
-    return once(("pieces", path, dtype), lambda: Pieces(once(("tokenizer", path), lambda: load_tokenizer(path)), dtype))
+def pieces(path: str, dtype: str = "<u4", kept: int | None = None) -> Pieces:
+    return once(("pieces", path, dtype, kept), lambda: Pieces(once(("tokenizer", path), lambda: load_tokenizer(path)), dtype, kept))
 
 
-def runs(texts: pa.Array) -> Iterator[pa.Array]:
+def give_back() -> None:
+    """Return memory that is free to the system, where the allocators can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def runs(texts: pa.Array, at_once: int | None = None) -> Iterator[pa.Array]:
     """The texts in runs of AT_ONCE bytes or little more; a longer text is a run of its own."""
     size = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
     a = 0
     while a < len(texts):
-        b = max(a + 1, int(np.searchsorted(size, (size[a - 1] if a else 0) + AT_ONCE, "right")))
+        b = max(a + 1, int(np.searchsorted(size, (size[a - 1] if a else 0) + (at_once or AT_ONCE), "right")))
         yield texts.slice(a, b - a)
         a = b
 
@@ -265,6 +276,27 @@ def encode(text: Column, path: str) -> Column:
     return F.arrow_udf(run, T.ArrayType(T.IntegerType(), False))(text)
 
 
+def encode_checked(text: Column, path: str) -> Column:
+    """struct<ids, same_text>: the ids of a text, and whether their bytes are the text's.
+
+    Ids are made once (decode_bytes(encode(text)) beside encode(text) makes them twice) and decoded run by run, and no decoded bytes leave the worker.
+    Of a task's pieces nothing is kept: an executor can have more workers than cores, of which each would hold a store of its own while it is idle.
+    """
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        try:
+            for batch in batches:
+                for part in runs(batch, LITTLE):
+                    ids, ends = pieces(path, kept=FEW_PIECES).encode(part)
+                    same = pc.equal(_bytes_of(ids, ends, path), part.fill_null("").cast(pa.large_string()).cast(pa.large_binary()))
+                    yield pa.StructArray.from_arrays([pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids.view("<i4"))), same], ["ids", "same_text"])
+        finally:
+            pieces(path, kept=FEW_PIECES).forget()
+            give_back()
+
+    return F.arrow_udf(run, T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType(), False)), T.StructField("same_text", T.BooleanType())]))(text)
+
+
 def offsets(ids: Column, path: str) -> Column:
     """array<struct<start, end>>: for each id the characters of the text that its bytes belong to.
 
@@ -287,24 +319,27 @@ def offsets(ids: Column, path: str) -> Column:
     return F.arrow_udf(run, kind)(ids)
 
 
-def decode_bytes(ids: Column, path: str) -> Column:
-    """binary: the bytes of the ids; null for null. An id outside the vocabulary is an error."""
+def _bytes_of(ids: np.ndarray, ends: np.ndarray, path: str, valid: pa.Array | None = None) -> pa.Array:
+    """large_binary: the bytes of the ids, in rows that end at ends (the first of these is 0)."""
 
     def known() -> Joined:
         made = Joined(token_bytes(once(("tokenizer", path), lambda: load_tokenizer(path))))
         made.freeze("u1")
         return made
 
+    table = once(("joined", path), known)
+    total = np.r_[0, np.cumsum(table.lengths(ids))]
+    to = pa.array(total[ends].astype(np.int64), pa.int64())
+    return pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [valid.buffers()[1] if valid is not None else None, to.buffers()[1], pa.py_buffer(table.gather(ids))])
+
+
+def decode_bytes(ids: Column, path: str) -> Column:
+    """binary: the bytes of the ids; null for null. An id outside the vocabulary is an error."""
+
     def run(batch: pa.Array) -> pa.Array:
-        table = once(("joined", path), known)
         ends = batch.offsets.to_numpy()
         values = batch.values.slice(int(ends[0]), int(ends[-1] - ends[0])).to_numpy(zero_copy_only=False)
-        total = np.r_[0, np.cumsum(table.lengths(values))]
-        to = pa.array(total[ends - ends[0]].astype(np.int64), pa.int64())
-        gone = batch.is_null()
-        valid = pc.invert(gone) if batch.null_count else None
-        made = pa.Array.from_buffers(pa.large_binary(), len(batch), [valid.buffers()[1] if valid is not None else None, to.buffers()[1], pa.py_buffer(table.gather(values))])
-        return made.cast(pa.binary())
+        return _bytes_of(values, ends - ends[0], path, pc.invert(batch.is_null()) if batch.null_count else None).cast(pa.binary())
 
     return F.arrow_udf(run, T.BinaryType())(ids)
 

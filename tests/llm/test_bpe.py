@@ -1,13 +1,16 @@
 import base64
 import hashlib
+import re
 import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from quillspark.llm import bpe, registry, token_files
 
 HARD = [
@@ -42,6 +45,49 @@ def test_whole_table_as_by_ranks(spark, sf_dir, reference):
         assert r.ids_sha256 == hashlib.sha256(",".join(map(str, reference.encode_ordinary(texts[r.doc_id]))).encode()).hexdigest()
 
 
+def test_encoding_with_check_encodes_once(spark, reference):
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    texts = spark.createDataFrame(rows(HARD), "id long, text string, lang string, source string, n long").coalesce(1)
+    coded = texts.withColumn("c", bpe.encode_checked(F.col("text"), path)).select("text", "c.ids", "c.same_text", F.size("c.ids").alias("n"))
+    plan = coded._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"run\(text#\d+\)", re.search(r"ArrowEvalPython \[(.*)\], \[", plan)[1])) == 1
+    got = coded.collect()
+    assert len(got) == len(HARD)
+    assert all(r.same_text and r.n == len(r.ids) and r.ids == reference.encode_ordinary(r.text or "") for r in got)
+
+
+def test_pipeline_encodes_once(spark):
+    docs = spark.createDataFrame(rows(HARD), "doc_id long, text string, lang string, source string, n_chars long")
+    plan = corpus_pipeline.tokens(spark, docs, "")._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"run\(text#\d+\)", re.search(r"ArrowEvalPython \[(.*)\], \[", plan)[1])) == 1
+
+
+def test_bytes_that_differ_are_told(monkeypatch):
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    ids, ends = bpe.pieces(path).encode(pa.array(["one two", None, "ñ"]))
+    assert bpe._bytes_of(ids, ends, path).to_pylist() == [b"one two", b"", "ñ".encode()]
+    run = []
+    monkeypatch.setattr(F, "arrow_udf", lambda f, kind: run.append(f) or (lambda c: c))
+    bpe.encode_checked(None, path)
+    monkeypatch.setattr(bpe.Pieces, "encode", lambda self, texts: (ids, ends))
+    assert [r["same_text"] for made in run[0](iter([pa.array(["one twO", "", "ñ"])])) for r in made.to_pylist()] == [False, True, True]
+    assert list(run[0](iter([pa.array([], pa.string())]))) == []
+
+
+def test_workers_keep_no_pieces_of_a_task(monkeypatch):
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    run = []
+    monkeypatch.setattr(F, "arrow_udf", lambda f, kind: run.append(f) or (lambda c: c))
+    monkeypatch.setattr(bpe, "LITTLE", 20)
+    bpe.encode_checked(None, path)
+    made = run[0](iter([pa.array(HARD[:-6]), pa.array(HARD[-6:])]))
+    next(made)
+    sizes = [len(x) for x in made]
+    assert len(sizes) > 5 and 0 < sum(sizes) < len(HARD)
+    kept = bpe.pieces(path, kept=bpe.FEW_PIECES)
+    assert not kept.open and not kept.words.keys() - {""}
+
+
 def test_offsets_and_text(spark):
     path = P.path("byte_bpe_50k.json")
     df = spark.createDataFrame([("ñandú 🎉 x",)], "text string").withColumn("ids", bpe.encode(F.col("text"), path))
