@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +40,8 @@ from quillspark.llm.bpe import runs
 
 COUNTED, ENDINGS, CLASSES = 10, 1024, 48
 LOOKUP = 1_000_000
-#: Tokens whose bigrams are summed at once, and units in a shard.
-TOKENS, SHARD = 1_000_000, 4096
+#: Tokens whose bigrams are summed at once; counted words, and endings, in a shard; and bigrams in a row of more than one unit.
+TOKENS, SHARD, SHARD_ENDINGS, ROW = 1_000_000, 4096, 32, 200_000
 #: Units that are exchanged one by one, and the gain in log likelihood for each token below which a round is the last.
 ALONE, LEAST = 300, 5e-4
 
@@ -136,17 +137,18 @@ def _joined(column: pa.ChunkedArray | pa.Array, dtype=np.int64) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype)
 
 
-#: A row for each shard: its bigrams as arrays of 32-bit integers in bytes, those that begin with one of its units (0) and those that end with one (1).
-SHARD_ROW = "shard int, own0 binary, other0 binary, n0 binary, own1 binary, other1 binary, n1 binary"
+#: Rows of neighbouring units from start on: their bigrams as arrays of 32-bit integers in bytes, those that begin with one of the units (0) and those that end with one (1).
+SHARD_ROW = "start int, units int, own0 binary, other0 binary, n0 binary, own1 binary, other1 binary, n1 binary"
 
 
 def count_bigrams(docs: DataFrame, text_col: str, units: Units) -> DataFrame:
-    """Bigrams of units, as SHARD_ROW has them: own is the unit's place in the shard, other the other unit, n their count (counts of 2**31 or more are several rows).
+    """Bigrams of units, as SHARD_ROW has them: own is the unit's place in the row, other the other unit, n their count (counts of 2**31 or more are several).
 
-    Bigrams are summed in parts by a hash first, so that a frequent unit's come together only when each is one row.
+    Bigrams are summed in parts by a hash first, so that a frequent unit's come together only when each is one number. Endings, which have far more
+    bigrams than words, lie in smaller shards, and a row ends at ROW bigrams unless it is of one unit: what a task reads at once is bounded.
     """
     spark = docs.sparkSession
-    made, size = spark.sparkContext.broadcast(units), units.n
+    made, size, first = spark.sparkContext.broadcast(units), units.n, units.first
     parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,25 +174,41 @@ def count_bigrams(docs: DataFrame, text_col: str, units: Units) -> DataFrame:
         if held:
             yield rows()
 
+    def shard_of(u: np.ndarray) -> np.ndarray:
+        return np.where(u < first, u // SHARD, first // SHARD + 1 + (u - first) // SHARD_ENDINGS)
+
     def sides(part: pa.Table) -> pa.Table:
         code, n = _summed(_joined(part.column("code")), _joined(part.column("n")))
         turned = code % size * size + code // size
         order = np.argsort(turned, kind="stable")
-        got = [(shard, side, c, k) for side, x, y in ((0, code, n), (1, turned[order], n[order])) for shard, c, k in _chunks(x // size // SHARD, x, y)]
+        got = [(shard, side, c, k) for side, x, y in ((0, code, n), (1, turned[order], n[order])) for shard, c, k in _chunks(shard_of(x // size), x, y)]
         return pa.table([pa.array(c, k) for c, k in zip(zip(*got, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["shard", "side", "code", "n"])
 
     def whole(key: tuple, part: pa.Table) -> pa.Table:
-        got = [key[0].as_py()]
+        both = []
         for side in (0, 1):
             rows = part.filter(pc.equal(part.column("side"), side))
             code, n = _joined(rows.column("code")), _joined(rows.column("n"))
+            order = np.argsort(code)
+            code, n = code[order], n[order]
             most = (1 << 31) - 1
             times = np.maximum(-(-n // most), 1)
             again = np.repeat(np.arange(len(n)), times)
             place = np.arange(len(again)) - np.repeat(np.cumsum(times) - times, times)
-            code, n = code[again], np.minimum(n[again] - place * most, most)
-            got += [x.astype(np.int32).tobytes() for x in (code // size - got[0] * SHARD, code % size, n)]
-        return pa.table([pa.array([x], k) for x, k in zip(got, (pa.int32(), *[pa.binary()] * 6), strict=True)], [x.split()[0] for x in SHARD_ROW.split(", ")])
+            both.append((code[again] // size, code[again] % size, np.minimum(n[again] - place * most, most)))
+        start = min(int(own[0]) for own, _, _ in both if len(own))
+        units = 1 + max(int(own[-1]) for own, _, _ in both if len(own)) - start
+        total = np.cumsum(sum(np.bincount(own - start, minlength=units) for own, _, _ in both))
+        cuts = [0]
+        while cuts[-1] < units:
+            cuts.append(max(cuts[-1] + 1, int(np.searchsorted(total, (total[cuts[-1] - 1] if cuts[-1] else 0) + ROW, "right"))))
+        got = []
+        for a, b in pairwise(cuts):
+            got.append([start + a, b - a])
+            for own, other, n in both:
+                some = slice(*np.searchsorted(own, (start + a, start + b)))
+                got[-1] += [x.astype(np.int32).tobytes() for x in (own[some] - start - a, other[some], n[some])]
+        return pa.table([pa.array(x, k) for x, k in zip(zip(*got, strict=True), (pa.int32(), pa.int32(), *[pa.binary()] * 6), strict=True)], [x.split()[0] for x in SHARD_ROW.split(", ")])
 
     summed = docs.select(F.col(text_col)).mapInArrow(run, "part int, code binary, n binary").groupBy("part").applyInArrow(sides, "shard int, side int, code binary, n binary")
     return summed.groupBy("shard").applyInArrow(whole, SHARD_ROW)
@@ -251,10 +269,17 @@ def best_moves(right: np.ndarray, left: np.ndarray, a: np.ndarray, m: np.ndarray
     return to, gain[np.arange(len(a)), to]
 
 
-def by_class(own: bytes, other: bytes, n: bytes, of: np.ndarray, k: int) -> np.ndarray:
-    """Of a shard's side, each unit's bigrams by the class of the other."""
-    own, other, n = (np.frombuffer(x, np.int32) for x in (own, other, n))
-    return np.bincount(own.astype(np.int64) * k + of[other], n, SHARD * k).reshape(SHARD, k)
+def by_class(own: np.ndarray, other: np.ndarray, n: np.ndarray, of: np.ndarray, k: int, units: int) -> np.ndarray:
+    """Of a row's side, each unit's bigrams by the class of the other."""
+    return np.bincount(own.astype(np.int64) * k + of[other], n, units * k).reshape(units, k)
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """start, units and the arrays of each row, where they lie in the batch."""
+    for batch in batches:
+        start, units, *arrays = batch.columns
+        for i in range(len(start)):
+            yield start[i].as_py(), units[i].as_py(), [np.frombuffer(c[i].as_buffer(), np.int32) for c in arrays]
 
 
 class Shards:
@@ -269,13 +294,11 @@ class Shards:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             of, m = made.value, np.zeros((k, k))
-            for batch in batches:
-                for shard, *side in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    own = of[shard * SHARD : (shard + 1) * SHARD]
-                    np.add.at(m, own, by_class(*side, of, k)[: len(own)])
+            for start, units, (own, other, n) in _rows(batches):
+                m += np.bincount(of[start : start + units][own].astype(np.int64) * k + of[other], n, k * k).reshape(k, k)
             yield pa.RecordBatch.from_arrays([pa.array([m.tobytes()], pa.binary())], ["m"])
 
-        got = self.rows.select("shard", "own0", "other0", "n0").mapInArrow(run, "m binary").collect()  # k * k numbers a task
+        got = self.rows.select("start", "units", "own0", "other0", "n0").mapInArrow(run, "m binary").collect()  # k * k numbers a task
         made.unpersist()
         return sum((np.frombuffer(r.m).reshape(k, k) for r in got), np.zeros((k, k)))
 
@@ -285,17 +308,14 @@ class Shards:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             of, m = made.value
-            for batch in batches:
-                for shard, *sides in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    own = of[shard * SHARD : (shard + 1) * SHARD].astype(np.int64)
-                    right, left = (by_class(*x, of, k)[: len(own)] for x in (sides[:3], sides[3:]))
-                    to, gain = best_moves(right, left, own, m)
-                    yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (to.astype(np.uint8), gain.astype(np.float32)))], ["shard", "to", "gain"])
+            for start, units, sides in _rows(batches):
+                right, left = (by_class(*x, of, k, units) for x in (sides[:3], sides[3:]))
+                to, gain = best_moves(right, left, of[start : start + units].astype(np.int64), m)
+                yield pa.RecordBatch.from_arrays([pa.array([start], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (to.astype(np.uint8), gain.astype(np.float32)))], ["start", "to", "gain"])
 
         to, gain = of.copy(), np.zeros(self.n, np.float32)
-        for r in self.rows.mapInArrow(run, "shard int, to binary, gain binary").collect():  # five bytes a unit
-            at = r.shard * SHARD
-            to[at : at + len(r.to)], gain[at : at + len(r.to)] = np.frombuffer(r.to, np.uint8), np.frombuffer(r.gain, np.float32)
+        for r in self.rows.mapInArrow(run, "start int, to binary, gain binary").collect():  # five bytes a unit
+            to[r.start : r.start + len(r.to)], gain[r.start : r.start + len(r.to)] = np.frombuffer(r.to, np.uint8), np.frombuffer(r.gain, np.float32)
         made.unpersist()
         gain[0] = 0
         return to, gain
@@ -306,15 +326,14 @@ class Shards:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             of, chosen = made.value
-            for batch in batches:
-                for shard, *sides in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    own = chosen[np.searchsorted(chosen, shard * SHARD) : np.searchsorted(chosen, (shard + 1) * SHARD)] - shard * SHARD
-                    if len(own):
-                        right, left = (by_class(*x, of, k)[own] for x in (sides[:3], sides[3:]))
-                        u, v, n = (np.frombuffer(x, np.int32) for x in sides[:3])
-                        both = np.isin(u, own) & np.isin(v, chosen)
-                        got = (own.astype(np.int64) + shard * SHARD, right, left, u[both].astype(np.int64) + shard * SHARD, v[both].astype(np.int64), n[both].astype(np.int64))
-                        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in got], ["units", "r", "l", "u", "v", "n"])
+            for start, units, sides in _rows(batches):
+                own = chosen[slice(*np.searchsorted(chosen, (start, start + units)))] - start
+                if len(own):
+                    right, left = (by_class(*x, of, k, units)[own] for x in (sides[:3], sides[3:]))
+                    u, v, n = sides[:3]
+                    both = np.isin(u, own) & np.isin(v, chosen)
+                    got = (own.astype(np.int64) + start, right, left, u[both].astype(np.int64) + start, v[both].astype(np.int64), n[both].astype(np.int64))
+                    yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in got], ["units", "r", "l", "u", "v", "n"])
 
         got = self.rows.mapInArrow(run, "units binary, r binary, l binary, u binary, v binary, n binary").toArrow()  # of ALONE units
         made.unpersist()

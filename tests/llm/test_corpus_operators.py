@@ -265,6 +265,28 @@ def test_op3_shards_count_all_bigrams(spark, monkeypatch):
     assert np.array_equal(to[used], want[used]) and np.allclose(gain[used], up[used], rtol=1e-5)
 
 
+def test_op3_rows_of_bigrams_are_bounded(spark, monkeypatch):
+    """Words with one end on a few endings: no row holds more than ROW bigrams, unless it is of one unit, and none is lost or shared."""
+    monkeypatch.setattr(class_lm, "ROW", 150)
+    x = np.random.default_rng(3)
+    texts = [" ".join(f"{w}{e}" for w, e in zip(x.choice(WORDS, 60), x.choice(["aa", "bb", "cd", "ef", "xy"], 60), strict=True)) for _ in range(20)]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    units = class_lm.Units(np.sort(class_lm.hashes_of([f"{w}aa" for w in WORDS[:20]])))
+    rows = class_lm.count_bigrams(docs, "text", units).collect()
+    assert all(r.units == 1 or (len(r.own0) + len(r.own1)) // 4 <= 150 for r in rows) and any(r.units > 1 for r in rows)
+    covered = [u for r in rows for u in range(r.start, r.start + r.units)]
+    assert len(covered) == len(set(covered))
+    want = Counter()
+    for t in texts:
+        names = t.split()
+        s = [0, *units.of(names, class_lm.hashes_of(names)).tolist(), 0]
+        want.update(zip(s[:-1], s[1:], strict=True))
+    ints = lambda b: np.frombuffer(b, np.int32).tolist()
+    for own, other, n, turned in (("own0", "other0", "n0", 1), ("own1", "other1", "n1", -1)):
+        got = {(r.start + u, v)[::turned]: k for r in rows for u, v, k in zip(ints(r[own]), ints(r[other]), ints(r[n]), strict=True)}
+        assert got == want
+
+
 def test_op3_best_moves_as_by_recounting():
     """To the first order: a unit of one bigram among many."""
     x = np.random.default_rng(1)
