@@ -1,6 +1,6 @@
 """How the sources of a language differ in their words: a relational audit.
 
-Terms are exploded regular-expression matches, counted by (lang, source, term) with one flag for each document that has the term. A language's vocabulary
+Terms are counted by (lang, source, term), with the documents that have the term: over each run of texts in Arrow and numpy, then over all by Spark. A language's vocabulary
 is the terms of at least `least` of its documents. Groups are crossed with their language's vocabulary, so that a term that a group lacks counts 0 there;
 smoothed shares of two groups meet on (lang, term), and triangular divergences are summed and ranked.
 
@@ -13,32 +13,70 @@ source. Repeated rows are documents of their own. No rows give no rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillspark.llm import common
+from quillspark.llm import bpe, common
 
 #: Characters between terms; a term is a run of others.
 BETWEEN = r"\x00-\x40\x5B-\x60\x7B-\x7F"
 TERM = f"[^{BETWEEN}]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Of each byte: A-Z in lower case, a space for what stands between terms, else itself.
+BYTES = bytes(ord(chr(b).lower()) if 65 <= b <= 90 else 32 if b < 128 and not 97 <= b <= 122 else b for b in range(256))
 SCALE = 1_000_000_000
 #: Bytes of a group's row when broadcast, names included.
 GROUP_BYTES = 256
 
 
-def ascii_lower(text: Column) -> Column:
-    """A-Z in lower case, other letters as they are."""
-    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
+def counted(texts: pa.Array, group: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts and their groups' numbers: term, group, n (occurrences) and n_docs (texts with the term), once for each group and term."""
+    texts = texts.cast(pa.large_binary())
+    ends = np.frombuffer(texts.buffers()[1], "<i8")[texts.offset : texts.offset + len(texts) + 1]
+    # what stands between terms is ASCII, and no byte of a longer character is: bytes can be replaced one by one
+    flat = pa.py_buffer((texts.buffers()[2] or pa.py_buffer(b""))[ends[0] : ends[-1]].to_pybytes().translate(BYTES))
+    split = pc.split_pattern(pa.Array.from_buffers(pa.large_string(), len(texts), [None, pa.py_buffer(ends - ends[0]), flat]), " ")
+    coded = split.values.dictionary_encode()
+    size = max(len(coded.dictionary), 1)
+    key = np.repeat(np.arange(len(texts)), np.diff(split.offsets.to_numpy())) * size + coded.indices.to_numpy()
+    key = key[coded.indices.to_numpy() != pc.index(coded.dictionary, "").as_py()]
+    once = lambda key: np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
+    key.sort()
+    new = once(key)
+    n, key = np.diff(np.r_[new, len(key)]), key[new]
+    key = group[key // size] * size + key % size
+    order = np.argsort(key)
+    key, n = key[order], n[order]
+    new = once(key)
+    return coded.dictionary.take(pa.array(key[new] % size)), key[new] // size, np.add.reduceat(n, new) if len(new) else n, np.diff(np.r_[new, len(key)])
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
-    """lang, source, term, n (occurrences), n_docs (documents with the term)."""
-    # The matches of TERM are what lies between matches of its complement, which costs a fifth of extracting them. Sorted, so that a document's first of
-    # equal terms is the one that differs from the one before.
-    flagged = common.bind(F.array_sort(F.split(ascii_lower(F.col("text")), f"[{BETWEEN}]+")), lambda a: F.transform(a, lambda x, i: F.struct(x.alias("term"), ((i == 0) | (x != F.get(a, i - 1))).cast("long").alias("first"))))
-    return docs.select("lang", "source", F.explode(flagged).alias("t")).where("t.term != ''").groupBy("lang", "source", "t.term").agg(F.count(F.lit(1)).alias("n"), F.sum("t.first").alias("n_docs"))
+    """lang, source, term, n (occurrences), n_docs (documents with the term). Runs of a batch are counted in the worker, the sums in Spark."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = 0
+            for part in bpe.runs(batch.column(2)):
+                names = pa.Table.from_batches([batch.slice(at, len(part)).select(["lang", "source"])])
+                at += len(part)
+                each = names.append_column("row", pa.array(np.arange(len(part)))).group_by(["lang", "source"]).aggregate([("row", "list")])
+                rows = each.column("row_list").combine_chunks()
+                group = np.empty(len(part), np.int64)
+                group[rows.values.to_numpy()] = np.repeat(np.arange(len(rows)), np.diff(rows.offsets.to_numpy()))
+                term, of, n, n_docs = counted(part, group)
+                lang, source = (each.column(c).combine_chunks().take(pa.array(of)) for c in ("lang", "source"))
+                yield pa.RecordBatch.from_arrays([lang, source, term.cast(pa.string()), pa.array(n, pa.int64()), pa.array(n_docs, pa.int64())], ["lang", "source", "term", "n", "n_docs"])
+
+    common.ship(docs.sparkSession)
+    counts = docs.select("lang", "source", "text").mapInArrow(run, "lang string, source string, term string, n long, n_docs long")
+    return counts.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("n_docs").alias("n_docs"))
 
 
 def share(n: Column, of: Column) -> Column:

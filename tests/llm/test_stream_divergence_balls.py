@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -150,6 +151,24 @@ def test_op12_by_hand(spark):
     assert divergence.audit(spark.createDataFrame([], "text string, lang string, source string")).collect() == []
 
 
+def test_op12_terms_of_odd_texts(spark, monkeypatch):
+    """As by the pattern: every ASCII character between terms, NUL, letters of other scripts, in runs of any length, with the same term again in a document."""
+    monkeypatch.setattr(divergence.bpe, "AT_ONCE", 30)
+    odd = ["".join(f"x{chr(b)}Y" for b in range(128)), "É é\u00a0É\x00a", "日本 日本語 a", "", " ", "🎉A a🎉", "Ab" * 50, "a a a A", "\u0130 \u212a K", None]
+    rows = [(t, lang, source) for k in range(3) for t in odd for lang, source in (("x", "s"), ("", "a|b"), ("y", f"s{k}"))]
+    want_n, want_docs = Counter(), Counter()
+    for t, lang, source in rows:
+        found = re.findall(divergence.TERM, (t or "").translate(str.maketrans(divergence.UPPER, divergence.LOWER)))
+        want_n.update((lang, source, x) for x in found)
+        want_docs.update((lang, source, x) for x in set(found))
+    docs = spark.createDataFrame([(t or "", lang, source) for t, lang, source in rows], "text string, lang string, source string").coalesce(2)
+    made = divergence.term_counts(docs)
+    got = made.collect()
+    assert {(r.lang, r.source, r.term): r.n for r in got} == want_n and {(r.lang, r.source, r.term): r.n_docs for r in got} == want_docs and len(got) == len(want_n)
+    # terms are counted in the worker, not exploded into a row for each occurrence
+    assert "Generate" not in made._jdf.queryExecution().executedPlan().toString()
+
+
 def brute(vectors, k=16, rounds=3):
     """vectors: (id, components). Every vector with every centroid, in Python's integers."""
     v = [(i, tuple(math.floor(64 * float(np.float32(c))) for c in x)) for i, x in vectors]
