@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import base64
 import codecs
-import ctypes
 import os
 import re
 from array import array
@@ -29,6 +28,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillspark.llm import common
+
 #: Letters and marks. A line feed, letters (with a space before them) and marks after them are separate matches of the split pattern, whatever stands around them.
 LETTERS, MARKS = re.compile(r"[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+"), ".,;:!?*$%&#|"
 #: Distinct pieces, and characters of these, that a Python worker keeps.
@@ -244,14 +245,6 @@ def pieces(path: str, dtype: str = "<u4", kept: int | None = None) -> Pieces:
     return once(("pieces", path, dtype, kept), lambda: Pieces(once(("tokenizer", path), lambda: load_tokenizer(path)), dtype, kept))
 
 
-def give_back() -> None:
-    """Return memory that is free to the system, where the allocators can."""
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim:
-        trim(0)
-
-
 def runs(texts: pa.Array, at_once: int | None = None) -> Iterator[pa.Array]:
     """The texts in runs of AT_ONCE bytes or little more; a longer text is a run of its own."""
     size = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
@@ -292,7 +285,7 @@ def encode_checked(text: Column, path: str) -> Column:
                     yield pa.StructArray.from_arrays([pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids.view("<i4"))), same], ["ids", "same_text"])
         finally:
             pieces(path, kept=FEW_PIECES).forget()
-            give_back()
+            common.give_back()
 
     return F.arrow_udf(run, T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType(), False)), T.StructField("same_text", T.BooleanType())]))(text)
 

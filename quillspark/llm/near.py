@@ -198,8 +198,8 @@ def candidates(texts: DataFrame, hashes: Hashes, bands: int, rows: int, name: st
             least = np.minimum.reduceat(who, np.flatnonzero(new))[np.cumsum(new) - 1]
             yield links(who[who != least], least[who != least])
 
-    found = texts.select("id", "text").mapInArrow(run, "bucket int, left binary, right binary, linked boolean")
-    return found.repartitionById(buckets, F.col("bucket")).mapInArrow(meet, "a long, b long")
+    found = texts.select("id", "text").mapInArrow(common.tidy(run), "bucket int, left binary, right binary, linked boolean")
+    return found.repartitionById(buckets, F.col("bucket")).mapInArrow(common.tidy(meet), "a long, b long")
 
 
 class Compare:
@@ -380,7 +380,7 @@ def verify(members: DataFrame, hashes: Hashes, threshold: float, counted: bool)
         if out:
             yield flush()
 
-    return dealt.mapInArrow(run, "class long, split boolean, id long, root long, links long")
+    return dealt.mapInArrow(common.tidy(run), "class long, split boolean, id long, root long, links long")
 
 
 def classes(texts: DataFrame, hashes: Hashes, threshold: float, bands: int, rows: int, name: str, counted: bool = True) -> DataFrame:

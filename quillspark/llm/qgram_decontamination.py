@@ -309,7 +309,7 @@ def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
                 kinds = (*[pa.int64()] * 3, *[pa.int32()] * 3)
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["id", "text_hash", "item_id", "start", "end", "edits"])
 
-        part = rows.mapInArrow(run, "id long, text_hash long, item_id long, start int, end int, edits int")
+        part = rows.mapInArrow(common.tidy(run), "id long, text_hash long, item_id long, start int, end int, edits int")
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -11,7 +11,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quillspark.llm import bpe, registry, token_files
+from quillspark.llm import bpe, common, registry, token_files
 
 HARD = [
     None, "", " ", "   ", "a", "a  b", "a\n b\n\n  c", "tab\t x", "x\x1c y", "!\x1c !", "don't we'll  ", "  lead", "ñandú über 日本語のテキスト 🎉🎉 x", "é" * 300,
@@ -74,6 +74,13 @@ def test_bytes_that_differ_are_told(monkeypatch):
     assert list(run[0](iter([pa.array([], pa.string())]))) == []
 
 
+def test_tidy_gives_memory_back_when_a_task_ends(monkeypatch):
+    given = []
+    monkeypatch.setattr(common, "give_back", lambda: given.append(1))
+    made = common.tidy(lambda batches: (2 * x for x in batches))(iter([1, 2]))
+    assert next(made) == 2 and not given and list(made) == [4] and given == [1]
+
+
 def test_workers_keep_no_pieces_of_a_task(monkeypatch):
     path = P.path("byte_bpe_multi_50k.tiktoken")
     run = []
