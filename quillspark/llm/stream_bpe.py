@@ -285,8 +285,8 @@ class Decoder:
 class Streamed(bpe.Pieces):
     """Ids of texts through a bounded store of pieces, which the transducer fills."""
 
-    def __init__(self, model: Model, dtype: str = "<u4"):
-        self.model, self.dtype = model, np.dtype(dtype)
+    def __init__(self, model: Model, dtype: str = "<u4", kept: int | None = None):
+        self.model, self.dtype, self.kept = model, np.dtype(dtype), kept
         self.forget()
 
     def merge(self, words: list[str]) -> None:

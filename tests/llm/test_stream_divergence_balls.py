@@ -60,6 +60,17 @@ def test_op11_no_rows_and_general_forms(spark, folder_of, library):
     assert [r.t for r in cut] == [library.decode(library.encode("🎉").ids[:1]), None]
 
 
+def test_streamed_store_is_bounded_as_its_base(library, model):
+    texts = [t or "" for t in HARD]
+    for given in ({}, {"kept": 2}):
+        made, sizes = stream_bpe.Streamed(model, **given), []
+        for text in texts + texts:
+            ids, ends = made.encode(pa.array([text]))
+            assert ids.tolist() == library.encode(text, add_special_tokens=False).ids and ends.tolist() == [0, len(ids)]
+            sizes.append(len(made.open))
+        assert (sizes == sorted(sizes)) == (not given)
+
+
 def test_transducer_in_parts_within_its_bounds(library, model):
     rng = random.Random(1)
     letters = list("aaabcdeé ñ  \n\n\t\r'sltreve'd!?.,;12٣　\x1c\u0085日本🎉") + ["<|endoftext|>", "<|end", "'ll", " the", "ing"]
