@@ -24,11 +24,11 @@ import json
 import unicodedata
 from array import array
 from collections.abc import Iterable, Iterator
-from itertools import groupby
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -42,6 +42,8 @@ HELD, BLOCK = 64, 1024
 SIDE_BY_SIDE, AT_ONCE = 64, 4096
 NONE = np.iinfo(np.int32).max
 MATCH = regex.compile(public_tokenizers.PATTERN)
+#: bpe.LETTERS for Arrow.
+SIMPLE = r"\A" + regex.sub(r"\\u(\w{4})", r"\\x{\1}", bpe.LETTERS.pattern) + r"\z"
 #: How an open match goes on, by the class of its last character.
 LETTERS, NUMBERS, SPACES, OTHERS = (regex.compile(x) for x in (r"\p{L}*", r"\p{N}*", r"\s*", r"[^\s\p{L}\p{N}]*"))
 
@@ -104,9 +106,10 @@ class Merges:
     def many(self, words: list[bytes], dtype: np.dtype) -> list[bytes]:
         """The ids of each of many whole matches. Words of one length go in step: a round joins the leftmost pair of least rank in each."""
         out = [b""] * len(words)
-        for n, which in groupby(sorted(range(len(words)), key=lambda k: len(words[k])), key=lambda k: len(words[k])):
-            which = np.array(list(which))
-            if n == 0:
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        order = np.argsort(size, kind="stable")
+        for which in np.split(order, np.flatnonzero(np.diff(size[order])) + 1) if words else ():
+            if (n := int(size[which[0]])) == 0:
                 continue
             if n > SIDE_BY_SIDE:
                 for k in which.tolist():
@@ -283,18 +286,86 @@ class Decoder:
 
 
 class Streamed(bpe.Pieces):
-    """Ids of texts through a bounded store of pieces, which the transducer fills."""
+    """Ids of texts through a bounded store, which the transducer fills.
+
+    Most pieces of a corpus are rare, and a word stands in many of them. So words, marks and pieces that the transducer cuts are kept, while a run's pieces
+    are taken apart by Arrow and put together by numpy, numbered anew in each run.
+    """
 
     def __init__(self, model: Model, dtype: str = "<u4", kept: int | None = None):
         self.model, self.dtype, self.kept = model, np.dtype(dtype), kept
         self.forget()
 
-    def merge(self, words: list[str]) -> None:
-        self.words |= zip(words, self.model.merges.many([(x if x != "\r" else "\n").encode() for x in words], self.dtype), strict=True)
-
     def forget(self) -> None:
         super().forget()
         self.matches: dict[str, bytes] = {}
+        #: Numbers of words among all that is kept; 0 is nothing.
+        self.words: dict[str, int] = {}
+        self.made = bpe.Joined([b""])
+
+    def keep(self, names: list[str], ids: Iterable[bytes]) -> range:
+        """Their numbers."""
+        begin = len(self.made.ends) - 1
+        for x in ids:
+            self.made.append(x)
+        self.characters += sum(map(len, names))
+        return range(begin, begin + len(names))
+
+    def merge(self, words: list[str]) -> Iterable[bytes]:
+        return self.model.merges.many([(x if x != "\r" else "\n").encode() for x in words], self.dtype)
+
+    def kept_words(self, words: pa.Array) -> np.ndarray:
+        """Numbers of words in the store."""
+        coded = words.dictionary_encode()
+        names = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        got = list(map(self.words.get, names))
+        if None in got:
+            new = [x for x, k in zip(names, got, strict=True) if k is None]
+            fresh = self.keep(new, self.merge(new))
+            self.words |= zip(new, fresh, strict=True)
+            following = iter(fresh)
+            got = [next(following) if k is None else k for k in got]
+        return np.array(got, np.int64)[coded.indices.to_numpy()]
+
+    def numbers(self, names: list[str], first: bool) -> np.ndarray:
+        """Numbers of distinct pieces in this run."""
+        column, known, space = pa.array(names, pa.large_string()), self.known[first], "" if first else " "
+        # a line feed begins a piece or is in none
+        core = column if first else pc.utf8_ltrim(column, "\n")
+        word = pc.utf8_rtrim(core, bpe.MARKS)
+        plain = pc.match_substring_regex(word, SIMPLE)
+        ok = plain.to_numpy(zero_copy_only=False)
+        at, rest = np.flatnonzero(ok), np.flatnonzero(~ok)
+        # a line feed, a word and marks after it, or a piece that is kept whole
+        parts = np.zeros((len(names), 3), np.int64)
+        if len(at):
+            sizes = [pc.binary_length(x).to_numpy() for x in (column, core, word)]
+            line, marks = (sizes[0] > sizes[1])[at], np.flatnonzero(ok & (sizes[1] > sizes[2]))
+            parts[at[line], 0] = self.kept_words(pa.array(["\r"], pa.large_string()))[0] if line.any() else 0
+            before, nothing = (pa.scalar(x, pa.large_string()) for x in (space, ""))
+            parts[at, 1] = self.kept_words(pc.binary_join_element_wise(pc.if_else(pa.array(line), nothing, before), word.filter(plain), nothing))
+            parts[marks, 2] = self.kept_words(pa.array([names[k][-n:] for k, n in zip(marks.tolist(), (sizes[1] - sizes[2])[marks].tolist(), strict=True)], pa.large_string()))
+        if len(rest):
+            whole = [names[k] for k in rest.tolist()]
+            if new := list({x: None for x in whole if x not in known}):
+                # a line feed was given a space before it, to be cut there
+                known |= zip(new, self.keep(new, self.whole([(space + x).replace(" \n", "\n") for x in new])), strict=True)
+            parts[rest, 1] = [known[x] for x in whole]
+        self.made.arrays or self.made.freeze(self.dtype)
+        begin, ends = len(self.open), np.cumsum(self.made.lengths(parts).sum(1)) * self.dtype.itemsize
+        self.ids.ends.frombytes((ends + len(self.ids.flat)).astype(np.int64).tobytes())
+        self.ids.flat += self.made.gather(parts.ravel()).tobytes()
+        self.ids.arrays = None
+        is_open = np.zeros(len(names), np.uint8)
+        is_open[rest] = [not x or x[-1].isspace() for x in map(names.__getitem__, rest.tolist())]
+        self.open += is_open.tobytes()
+        return np.arange(begin, begin + len(names))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.made.ends) > (self.kept or bpe.KEPT_PIECES) or self.characters > bpe.KEPT_CHARACTERS:
+            self.forget()
+        self.ids, self.open = bpe.Joined(), bytearray()
+        return super().encode(texts)
 
     def whole(self, texts: list[str]) -> Iterator[bytes]:
         cuts, known = [self.cut(x) for x in texts], self.matches

@@ -67,7 +67,7 @@ def test_streamed_store_is_bounded_as_its_base(library, model):
         for text in texts + texts:
             ids, ends = made.encode(pa.array([text]))
             assert ids.tolist() == library.encode(text, add_special_tokens=False).ids and ends.tolist() == [0, len(ids)]
-            sizes.append(len(made.open))
+            sizes.append(len(made.made.ends))
         assert (sizes == sorted(sizes)) == (not given)
 
 
