@@ -11,6 +11,9 @@ Ids needn't be unique. Other columns are carried along as they are.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,13 +21,15 @@ from quillspark.llm import common, near
 
 CHARS, THRESHOLD, RECALL, ROWS = 8, 0.8, 0.998, 4
 SPACE = " \t\r\x0b\f"
+#: For the table of lines: most are rare, so that dictionaries of them are given up late, and it is read a few times only.
+QUICK = {"parquet.enable.dictionary#line": "false", "parquet.enable.dictionary#line_hash": "false", "parquet.compression.codec.zstd.level": "1"}
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """__id and __h of a row, place, line and line_hash of each of its lines that isn't blank."""
     cut = F.posexplode(F.split(F.lower(text_col), "\n")).alias("place", "raw")
     rows = docs.where(F.col(text_col).isNotNull()).select(key(id_col).alias("__id"), F.xxhash64(text_col).alias("__h"), cut)
-    named = rows.where(~blank(F.col("raw"))).select("__id", "__h", "place", F.btrim(F.col("raw"), F.lit(SPACE)).alias("line"))
+    named = rows.where(~blank(F.col("raw"))).select("__id", "__h", "place", trimmed(F.col("raw")).alias("line"))
     return named.withColumn("line_hash", F.xxhash64("line"))
 
 
@@ -32,13 +37,19 @@ def blank(line: Column) -> Column:
     return F.ltrim(line, F.lit(SPACE)) == ""
 
 
+def trimmed(line: Column) -> Column:
+    """Most lines have no white space at their ends, and Spark's trim takes every line apart."""
+    edge = reduce(or_, [f(line, F.lit(x)) for x in SPACE for f in (F.startswith, F.endswith)])
+    return F.when(edge, F.btrim(line, F.lit(SPACE))).otherwise(line)
+
+
 def key(id_col: str) -> Column:
     return F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
 
 
 def dedupe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars: int = CHARS, threshold: float = THRESHOLD, recall: float = RECALL, rows: int = ROWS) -> DataFrame:
     """The input with the lines that stay, n_lines and n_kept; columns of these names are replaced."""
-    lines = common.written(lines_of(docs, id_col, text_col), "lines")
+    lines = common.written(lines_of(docs, id_col, text_col), "lines", **QUICK)
     texts = lines.select(F.col("line_hash").alias("id"), F.col("line").alias("text"))
     found = near.classes(texts, near.char_shingles(chars), threshold, near.choose_bands(threshold, recall, rows), rows, "fuzzy-lines", counted=False)
     found = common.written(found.select(F.col("id").alias("line_hash"), F.col("root").alias("class")).where("line_hash != class"), "line-classes")

@@ -96,6 +96,21 @@ def word_shingles(n: int = 5) -> Hashes:
     return make
 
 
+def rolling(codes: np.ndarray, n: int) -> np.ndarray:
+    """The hash, as spans gives it, of the n codes from each place on. Those of the last n - 1 places mean nothing."""
+    part, width, base = codes.astype(np.uint64) + np.uint64(1), 1, int(BASE)
+    out, done = np.zeros_like(part), 0
+    while True:  # part[i]: the codes from i to i + width, weighted by powers of BASE
+        if n & width:
+            out[: len(out) - done] += part[done:] * np.uint64(pow(base, done, 1 << 64))
+            done += width
+        if done == n or width >= len(codes):
+            return mix(out + np.uint64(n))
+        wider = part.copy()
+        wider[:-width] += part[width:] * np.uint64(pow(base, width, 1 << 64))
+        part, width = wider, width * 2
+
+
 def char_shingles(n: int) -> Hashes:
     """Runs of n characters; a shorter text is one shingle."""
 
@@ -104,14 +119,20 @@ def char_shingles(n: int) -> Hashes:
         size = np.array([len(t) for t in texts], np.int64)
         first = np.cumsum(size) - size
         per = np.where(size >= n, size - n + 1, (size > 0).astype(np.int64))
-        ends = np.r_[0, np.cumsum(per)]
-        start = np.arange(ends[-1]) - np.repeat(ends[:-1] - first, per)
-        return spans(codes, start, np.minimum(start + n, np.repeat(first + size, per))), ends
+        ends, short = np.r_[0, np.cumsum(per)], np.flatnonzero((size > 0) & (size < n))
+        begins = np.ones(len(codes), bool)
+        for k in range(1, n):
+            begins[(first + size)[size >= k] - k] = False
+        begins[first[short]] = True
+        out = rolling(codes, n)[begins]
+        if len(short):
+            out[ends[short]] = spans(codes, first[short], first[short] + size[short])
+        return out, ends
 
     return make
 
 
-def runs(n_chars: list[int], at_once: int = 200_000) -> Iterator[tuple[int, int]]:
+def runs(n_chars: list[int], at_once: int = 100_000) -> Iterator[tuple[int, int]]:
     """Bounds of runs of texts with about so many characters."""
     a = total = 0
     for i, n in enumerate(n_chars):
@@ -325,14 +346,15 @@ class Compare:
         return zip(np.arange(n).tolist(), label.tolist(), strict=True)
 
 
-def verify(members: DataFrame, hashes: Hashes, threshold: float, counted: bool) -> DataFrame:
-    """class, split, id, root, links, from members (class, id, weight, text), one row for each id.
+def verify(members: DataFrame, member: DataFrame, hashes: Hashes, threshold: float, counted: bool) -> DataFrame:
+    """class, split, id, root, links, from members (class, id, weight, text), one row for each id, and member, their classes and ids alone.
 
     An id has a row for each group in which it has a link: in a class that was not split, one.
     """
     compare = Compare(hashes, threshold)
     tasks = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sizes = members.groupBy("class").count().where(F.col("count") > LEAST).select("class", F.least(F.ceil(F.col("count") / LEAST), F.greatest(F.lit(SPREAD), F.ceil(F.col("count") / BLOCK))).cast("int").alias("blocks"))
+    # Counted without the texts, which would else be gathered twice.
+    sizes = member.groupBy("class").count().where(F.col("count") > LEAST).select("class", F.least(F.ceil(F.col("count") / LEAST), F.greatest(F.lit(SPREAD), F.ceil(F.col("count") / BLOCK))).cast("int").alias("blocks"))
     placed = members.join(sizes, "class", "left").withColumn("own", F.when(F.col("blocks").isNull(), 0).otherwise(F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")))
     other = F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1)))
     met = placed.withColumn("other", other).select(
@@ -393,7 +415,7 @@ def classes(texts: DataFrame, hashes: Hashes, threshold: float, bands: int, rows
         met = texts.join(F.broadcast(member), "id").groupBy("class", "id", "text").agg(F.count("*").alias("weight"))
     else:  # equal texts are one before they meet, so that a frequent one doesn't gather in a task
         met = texts.groupBy("id", "text").agg(F.count("*").alias("weight")).join(member, "id")
-    found = common.written(verify(met.select("class", "id", "weight", "text"), hashes, threshold, counted), f"{name}-verified")
+    found = common.written(verify(met.select("class", "id", "weight", "text"), member, hashes, threshold, counted), f"{name}-verified")
     parts = found.where("split").select(F.col("id").alias("a"), F.col("root").alias("b"))
     joined = components(parts, f"{name}-split")
     whole = found.where("not split").select("id", "root", "links")

@@ -444,6 +444,33 @@ def test_op6_hard_rows(spark, hard):
     assert sum(x[2] for x in got if x[0] == 0) == 1
 
 
+def test_op6_shingles_roll_to_the_hashes_of_their_spans():
+    texts = ["", "a", "exactly8", "seven77", "é🎉 und ñ, länger als acht", "", "aaaaaaaaaaaaaaaa"]
+    for n in (1, 3, 5, 8, 13):
+        made, ends = near.char_shingles(n)(texts)
+        for t, a, b in zip(texts, ends[:-1], ends[1:], strict=True):
+            codes = np.array([ord(c) for c in t], np.uint32)
+            runs = [(k, min(k + n, len(t))) for k in range(max(1, len(t) - n + 1) if t else 0)]
+            assert made[a:b].tolist() == [near.spans(codes, np.array([x]), np.array([y]))[0] for x, y in runs]
+            if len(t) >= n:
+                assert made[a:b].tolist() == near.rolling(codes, n)[: len(t) - n + 1].tolist()
+
+
+def test_op6_lines_are_trimmed_at_either_end(spark):
+    lines = [a + x + b for a in ("", *fuzzy_lines.SPACE, " \t") for b in ("", *fuzzy_lines.SPACE, "\f ") for x in ("", "x", "a b", "\u00a0é\u00a0")]
+    got = spark.createDataFrame([(x,) for x in lines], "x string").select("x", fuzzy_lines.trimmed(F.col("x")).alias("y")).collect()
+    assert [r.y for r in got] == [r.x.strip(fuzzy_lines.SPACE) for r in got]
+    assert fuzzy_lines.lines_of(spark.createDataFrame([(1, "\n".join(lines))], "i long, t string"), "i", "t").count() == sum(bool(x.strip(fuzzy_lines.SPACE)) for x in lines)
+
+
+def test_op6_texts_of_classes_are_gathered_once(spark):
+    texts = spark.createDataFrame([(k, 7, f"text {k}") for k in range(9)], "id long, class long, text string")
+    met = texts.withColumn("weight", F.lit(1)).groupBy("class", "id", "text").agg(F.sum("weight").alias("weight")).select("class", "id", "weight", "text")
+    found = near.verify(met, texts.select("class", "id"), near.char_shingles(3), 0.4, False)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(" AS weight#") == 1 and {r["class"] for r in found.collect()} == {7}
+
+
 def test_op8(spark, sf_dir, documents):
     plain = lambda t: " ".join(re.findall(r"[^\W_]+", t.lower()))
     items = {r.item_id: plain(r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()}
