@@ -120,8 +120,11 @@ SQL_PAGE_OF = "(SELECT l_orderkey, arg_max(l_linenumber, l_linenumber * 100000 +
 
 @query(f"SELECT l_orderkey, CAST(page AS INT) AS page FROM {SQL_PAGE_OF}")
 def item_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Item to page; of repeated items the last one counts."""
-    return t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.max_by("l_linenumber", F.struct("l_linenumber", "l_partkey")).alias("page"))
+    """Item to page; of repeated items the last one counts. Parts beyond 100,000 reach into the next line's numbers; of equal numbers the first row of the file counts."""
+    low = -(F.col("l_linenumber").cast("long") * 100_000 + F.col("l_partkey"))
+    lines = t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", low.alias("low"), F.col("_metadata.row_index").alias("at"))
+    place = F.when(F.col("low").isNotNull(), F.struct("low", "at", "l_linenumber"))
+    return lines.groupBy("l_orderkey").agg(F.min_by("l_linenumber", place).alias("page"))
 
 
 @query(f"SELECT DISTINCT CAST(page AS INT) AS page FROM {SQL_PAGE_OF} WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P')")
