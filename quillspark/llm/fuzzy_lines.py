@@ -49,14 +49,21 @@ def key(id_col: str) -> Column:
 
 def dedupe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars: int = CHARS, threshold: float = THRESHOLD, recall: float = RECALL, rows: int = ROWS) -> DataFrame:
     """The input with the lines that stay, n_lines and n_kept; columns of these names are replaced."""
-    lines = common.written(lines_of(docs, id_col, text_col), "lines", **QUICK)
+    spark = docs.sparkSession
+    path = common.scratch(spark, "lines")
+    lines = common.write(lines_of(docs, id_col, text_col), path, **QUICK)
     texts = lines.select(F.col("line_hash").alias("id"), F.col("line").alias("text"))
     found = near.classes(texts, near.char_shingles(chars), threshold, near.choose_bands(threshold, recall, rows), rows, "fuzzy-lines", counted=False)
     found = common.written(found.select(F.col("id").alias("line_hash"), F.col("root").alias("class")).where("line_hash != class"), "line-classes")
     # Equal lines are one before they meet their class, so that a frequent one doesn't gather in a task.
-    each = lines.groupBy("line_hash").agg(F.min(F.struct("__id", "__h", "place")).alias("at")).join(common.checked_broadcast(found, found.count()), "line_hash", "left")
+    n = found.count()
+    of = F.broadcast(found) if common.fits_broadcast(n, 32) else found.hint("shuffle_hash")
+    each = lines.groupBy("line_hash").agg(F.min(F.struct("__id", "__h", "place")).alias("at")).join(of, "line_hash", "left")
     first = each.groupBy(F.coalesce("class", "line_hash").alias("class")).agg(F.min("at").alias("at"))
     stay = first.groupBy("at.__id", "at.__h").agg(F.collect_list("at.place").alias("__stay")).withColumnsRenamed({"__id": "__kid", "__h": "__kh"})
+    # The lines go before the texts are dealt: either is about as large as the input.
+    stay = common.written(stay, "places")
+    common.remove(spark, path)
     keyed = common.one_of_each(docs.drop("n_lines", "n_kept").withColumn("__id", key(id_col)).withColumn("__h", F.xxhash64(text_col)), "__id", "__h")
     met = keyed.join(stay.hint("shuffle_hash"), (F.col("__id") == F.col("__kid")) & (F.col("__h") == F.col("__kh")), "left").drop("__kid", "__kh")
     none = F.array().cast("array<int>")

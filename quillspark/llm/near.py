@@ -8,7 +8,8 @@
 4. Each class's texts meet once and are compared on their full sets. A large class is split into blocks
    of BLOCK texts or fewer, and each pair of blocks is a group of its own, dealt evenly; within a group, sets are compared by
    matrix products over bounded slices. Pairs are never written: a group gives, for each text, how many it is linked to and the least id it is connected to.
-   Where links aren't counted, only texts that aren't connected yet are compared.
+   Where links aren't counted, only texts that aren't connected yet are compared, and of a class of more than FEW texts only those that share a band: chance
+   candidates grow with the square of the texts, and join what isn't alike into classes of any size.
 
 Ids are 64-bit hashes of the texts, so equal texts are one. Texts without a shingle have no links.
 """
@@ -29,6 +30,10 @@ from quillspark.llm.components import Forest, components
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 #: Texts in a block: BLOCK at most on average, LEAST at least; between these a class is split into SPREAD blocks, for as many tasks as their pairs.
 BLOCK, LEAST, SPREAD = 2048, 256, 24
+#: Texts of a class that are all compared where links aren't counted; in a larger one each band's are.
+FEW = 2048
+#: Bits of a sieve at most.
+SIEVE = 1 << 26
 #: Groups up to so many texts are compared set by set.
 SMALL = 32
 COLUMNS = 4096
@@ -161,14 +166,14 @@ def band_hashes(hashes: np.ndarray, ends: np.ndarray, bands: int, rows: int) ->
     return out
 
 
-def pack(bucket: np.ndarray, left: list[np.ndarray], right: list[np.ndarray], linked: bool) -> pa.RecordBatch:
-    """A row for each bucket, with the numbers of either side as bytes."""
-    sides = [pa.array([x.tobytes() for x in side], pa.binary()) for side in (left, right)]
-    return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), *sides, pa.array([linked] * len(bucket))], ["bucket", "left", "right", "linked"])
+def pack(bucket: np.ndarray, band: list[np.ndarray], who: list[np.ndarray], root: list[np.ndarray | None]) -> pa.RecordBatch:
+    """A row for each bucket, with the bands' hashes and the ids as bytes; root: what the ids are linked to, if they are."""
+    sides = [pa.array([None if x is None else x.tobytes() for x in side], pa.binary()) for side in (band, who, root)]
+    return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), *sides], ["bucket", "band", "who", "root"])
 
 
 def candidates(texts: DataFrame, hashes: Hashes, bands: int, rows: int, name: str) -> DataFrame:
-    """a, b: links between the ids of texts (id, text) that share a band; each id's with the least of its batch or of its band.
+    """a, b, band: links between the ids of texts (id, text) that share a band; each id's with the least of its batch or of its band. A band's links connect all that share it.
 
     Bands are dealt to buckets by their upper bits, packed: a batch sends each bucket one row. There are as many buckets as keep one's bands near IN_BUCKET.
     """
@@ -194,33 +199,32 @@ def candidates(texts: DataFrame, hashes: Hashes, bands: int, rows: int, name: st
             root = who[np.flatnonzero(new)][np.cumsum(new) - 1]
             rest = ~new & (who != root)
             if rest.any():
-                links = np.unique(np.stack([who[rest], root[rest]], 1), axis=0)
-                yield pack(links[:1, 0] % buckets, [links[:, 0].copy()], [links[:, 1].copy()], True)
+                yield pack(who[rest][:1] % buckets, [flat[rest]], [who[rest]], [root[rest]])
             flat, who = flat[new], who[new]
             to = ((flat >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
             start = np.flatnonzero(np.r_[True, to[1:] != to[:-1]])
-            yield pack(to[start], np.split(flat, start[1:]), np.split(who, start[1:]), False)
+            yield pack(to[start], np.split(flat, start[1:]), np.split(who, start[1:]), [None] * len(start))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        links = lambda a, b: pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+        links = lambda a, b, band: pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(band.view(np.int64))], ["a", "b", "band"])
         flat, who = [], []
         for batch in batches:
-            for left, right, linked in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
-                if linked:
-                    yield links(np.frombuffer(left, np.int64), np.frombuffer(right, np.int64))
+            for band, ids, root in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
+                if root is not None:
+                    yield links(np.frombuffer(ids, np.int64), np.frombuffer(root, np.int64), np.frombuffer(band, np.uint64))
                 else:
-                    flat.append(np.frombuffer(left, np.uint64))
-                    who.append(np.frombuffer(right, np.int64))
+                    flat.append(np.frombuffer(band, np.uint64))
+                    who.append(np.frombuffer(ids, np.int64))
         if flat:
             flat, who = np.concatenate(flat), np.concatenate(who)
             order = np.argsort(flat)
             flat, who = flat[order], who[order]
             new = np.r_[True, flat[1:] != flat[:-1]]
             least = np.minimum.reduceat(who, np.flatnonzero(new))[np.cumsum(new) - 1]
-            yield links(who[who != least], least[who != least])
+            yield links(who[who != least], least[who != least], flat[who != least])
 
-    found = texts.select("id", "text").mapInArrow(common.tidy(run), "bucket int, left binary, right binary, linked boolean")
-    return found.repartitionById(buckets, F.col("bucket")).mapInArrow(common.tidy(meet), "a long, b long")
+    found = texts.select("id", "text").mapInArrow(common.tidy(run), "bucket int, band binary, who binary, root binary")
+    return found.repartitionById(buckets, F.col("bucket")).mapInArrow(common.tidy(meet), "a long, b long, band long")
 
 
 class Compare:
@@ -347,18 +351,19 @@ class Compare:
 
 
 def verify(members: DataFrame, member: DataFrame, hashes: Hashes, threshold: float, counted: bool) -> DataFrame:
-    """class, split, id, root, links, from members (class, id, weight, text), one row for each id, and member, their classes and ids alone.
+    """class, split, id, root, links, from members (class, part, id, weight, text), one row for each class and id, and member, their classes and ids alone.
 
-    An id has a row for each group in which it has a link: in a class that was not split, one.
+    An id has a row for each group in which it has a link: in a class that was not split, one. part (false if it isn't there): this is only a part of a class, which counts as split.
     """
     compare = Compare(hashes, threshold)
+    part = F.col("part") if "part" in members.columns else F.lit(False)
     tasks = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # Counted without the texts, which would else be gathered twice.
     sizes = member.groupBy("class").count().where(F.col("count") > LEAST).select("class", F.least(F.ceil(F.col("count") / LEAST), F.greatest(F.lit(SPREAD), F.ceil(F.col("count") / BLOCK))).cast("int").alias("blocks"))
     placed = members.join(sizes, "class", "left").withColumn("own", F.when(F.col("blocks").isNull(), 0).otherwise(F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")))
     other = F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1)))
     met = placed.withColumn("other", other).select(
-        "class", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), (F.col("own") <= F.col("other")).alias("left"), F.col("blocks").isNotNull().alias("split"), "id", "weight", "text"
+        "class", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), (F.col("own") <= F.col("other")).alias("left"), (part | F.col("blocks").isNotNull()).alias("split"), "id", "weight", "text"
     )
     # A class's pairs of blocks, numbered, go to one task after another.
     to = F.pmod(F.xxhash64("class") + F.shiftright(F.col("q").cast("long") * (F.col("q") + 1), 1) + F.col("p"), F.lit(tasks).cast("long")).cast("int")
@@ -405,17 +410,48 @@ def verify(members: DataFrame, member: DataFrame, hashes: Hashes, threshold: flo
     return dealt.mapInArrow(common.tidy(run), "class long, split boolean, id long, root long, links long")
 
 
+def by_band(links: DataFrame, member: DataFrame, n: int) -> DataFrame:
+    """class, id, part: the classes of up to FEW texts as they are, and in place of each larger one the texts of each of its bands, without sets that are there already."""
+    size = member.groupBy("class").agg(F.count("*").alias("n"))
+    large = size.where(F.col("n") > FEW).select("class")
+    n_large = large.count()
+    if not n_large:
+        return member.select("class", "id", F.lit(False).alias("part"))
+    large = common.checked_broadcast(large, n_large, 16)
+    small = member.join(large, "class", "left_anti").select("class", "id", F.lit(False).alias("part"))
+    within = common.checked_broadcast(member.join(large, "class", "left_semi").select(F.col("id").alias("a")), n)
+    each = links.join(within, "a", "left_semi").select("band", F.explode(F.array("a", "b")).alias("id")).distinct()
+    same = [F.count("*").alias("n"), F.min("id").alias("least"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("y")]
+    once = each.groupBy("band").agg(*same).groupBy("n", "least", "x", "y").agg(F.min("band").alias("band")).select("band")
+    return small.unionByName(each.join(once, "band", "left_semi").select(F.col("band").alias("class"), "id", F.lit(True).alias("part")))
+
+
+def sieve(texts: DataFrame, ids: DataFrame, n: int) -> DataFrame:
+    """The texts whose id is one of n ids, and few others, without a shuffle of the texts: the lower bits of the ids (hashes) make a bitmap of 8 MB at most that is broadcast."""
+    size = min(SIEVE, 1 << max(14, (16 * n - 1).bit_length()))
+    chunk, word, bit = f"CAST((id & {size - 1}L) >> 14 AS INT)", "CAST((id >> 6) & 255L AS INT)", "CAST(id & 63L AS INT)"
+    words = ids.groupBy(F.expr(chunk).alias("__chunk"), F.expr(word).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, {bit})")).alias("bits"))
+    rows = words.groupBy("__chunk").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("of"))
+    filled = rows.select("__chunk", F.transform(F.sequence(F.lit(0), F.lit(255)), lambda i: F.coalesce(F.col("of")[i], F.lit(0).cast("long"))).alias("__words"))
+    return texts.join(F.broadcast(filled), F.expr(f"{chunk} = __chunk AND getbit(__words[{word}], {bit}) = 1"), "left_semi")
+
+
 def classes(texts: DataFrame, hashes: Hashes, threshold: float, bands: int, rows: int, name: str, counted: bool = True) -> DataFrame:
     """id, root, links of every id that is linked to another; root: the least id of its class. texts: id, text; equal ids are one text, and links count a partner as
     often as it occurs (not counted: links mean nothing)."""
-    of = components(candidates(texts, hashes, bands, rows, name), f"{name}-candidates")
+    links = candidates(texts, hashes, bands, rows, name)
+    if not counted:
+        links = common.written(links, f"{name}-links")
+    of = components(links.select("a", "b"), f"{name}-candidates")
     member = common.written(of.select(F.col("a").alias("id"), F.col("b").alias("class")).unionByName(of.select(F.col("b").alias("id"), F.col("b").alias("class")).distinct()), f"{name}-members")
     n = member.count()
-    if common.fits_broadcast(n, 32):
-        met = texts.join(F.broadcast(member), "id").groupBy("class", "id", "text").agg(F.count("*").alias("weight"))
-    else:  # equal texts are one before they meet, so that a frequent one doesn't gather in a task
-        met = texts.groupBy("id", "text").agg(F.count("*").alias("weight")).join(member, "id")
-    found = common.written(verify(met.select("class", "id", "weight", "text"), member, hashes, threshold, counted), f"{name}-verified")
+    groups = member.select("class", "id", F.lit(False).alias("part"))
+    if not counted:
+        groups = common.written(by_band(links, member, n), f"{name}-groups")
+    # Equal texts are one before they meet, so that a frequent one doesn't gather in a task.
+    some = texts.join(F.broadcast(member.select("id")), "id", "left_semi") if common.fits_broadcast(n, 32) else sieve(texts, member.select("id"), n)
+    met = some.groupBy("id", "text").agg(F.count("*").alias("weight")).join(common.checked_broadcast(groups, n if counted else groups.count()), "id")
+    found = common.written(verify(met.select("class", "part", "id", "weight", "text"), groups, hashes, threshold, counted), f"{name}-verified")
     parts = found.where("split").select(F.col("id").alias("a"), F.col("root").alias("b"))
     joined = components(parts, f"{name}-split")
     whole = found.where("not split").select("id", "root", "links")

@@ -2,9 +2,11 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -574,6 +576,54 @@ def test_op9_split_classes(spark, monkeypatch):
     assert Counter((r.id, r.class_id, r.n_links) for r in got) == want
 
 
+def chained(spark, n):
+    """Texts of which each shares most of its runs with the next, and none 0.8 of them."""
+    rng = random.Random(5)
+    t = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(17 * n + 200))
+    some = [t[17 * i : 17 * i + 150] for i in range(n)]
+    some += [x + "." for x in some[:: n // 10]] * 2  # these are near-equal
+    return spark.createDataFrame([(x,) for x in some], "text string").select(F.xxhash64("text").alias("id"), "text")
+
+
+def test_large_classes_meet_by_band(spark, monkeypatch):
+    """A class that chance candidates hold together is not compared text by text, and near-equal texts in it are found."""
+    texts, made, verify = chained(spark, 1000), near.char_shingles(8), near.verify
+    seen = []
+    monkeypatch.setattr(near, "verify", lambda members, member, *more: (seen.append(member.groupBy("class").count().agg(F.max("count")).first()[0]), verify(members, member, *more))[1])
+    kept = {}
+    for few in (10_000, 20):
+        monkeypatch.setattr(near, "FEW", few)
+        kept[few] = sorted((r.id, r.root) for r in near.classes(texts, made, 0.8, 12, 4, "chain", counted=False).collect())
+    assert seen[0] > 100 and seen[1] < seen[0] / 2
+    assert kept[20] == kept[10_000] and len(kept[20]) == 20
+
+
+def test_texts_of_classes_are_not_shuffled_with_all_others(spark, monkeypatch):
+    """Beyond what is broadcast a bitmap picks the texts of classes, so that the others stay where they are."""
+    texts, made = chained(spark, 300), near.char_shingles(8)
+    want = sorted((r.id, r.root) for r in near.classes(texts, made, 0.8, 12, 4, "wide", counted=False).collect())
+    seen, verify = [], near.verify
+    monkeypatch.setattr(near, "verify", lambda members, *more: (seen.append(members._jdf.queryExecution().executedPlan().toString()), verify(members, *more))[1])
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    assert sorted((r.id, r.root) for r in near.classes(texts, made, 0.8, 12, 4, "wide", counted=False).collect()) == want
+    assert "BroadcastHashJoin" in seen[0] and "LeftSemi" in seen[0]
+    ids = spark.range(3000).select(F.xxhash64("id").alias("id"))
+    some = ids.limit(1000)
+    got = near.sieve(ids.withColumn("text", F.lit("")), some, 1000)
+    assert got.select("id").exceptAll(some).count() < 500 and some.exceptAll(got.select("id")).count() == 0
+    assert near.sieve(ids, some.limit(0), 0).count() == 0
+
+
+def test_lines_go_before_texts_are_dealt(spark, folder_of):
+    """The table of lines, as large as the input, is gone when the result is read."""
+    at = common.shared_dir(spark).removeprefix("file:")
+    before = {p.name for p in Path(at).glob("lines-*")}
+    docs = spark.read.parquet(folder_of([(1, "a line of some length\nanother line", "en", "a", 1), (2, "a line of some length", "en", "a", 1)]) + "/documents.parquet")
+    got = fuzzy_lines.dedupe(docs)
+    assert {p.name for p in Path(at).glob("lines-*")} == before
+    assert sorted((r.doc_id, r.n_kept) for r in got.collect()) == [(1, 2), (2, 0)]
+
+
 def test_components(spark):
     x = np.random.default_rng(1)
     chain = [(i, i + 1) for i in range(300)]
