@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillspark import rounds
 from quillspark.operators import geometry, grouped
 
 # Fixed values of the merge and of the cut.
@@ -53,6 +54,77 @@ def merged(rects: np.ndarray) -> np.ndarray:
     return kept
 
 
+#: Rectangles of many pages that are merged side by side, about.
+TOGETHER = 65_536
+#: A page of more rectangles is dealt band by band.
+MANY = 1024
+
+
+def merged_side_by_side(rects: np.ndarray, start: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of groups of rectangles (n x 4; group g from start[g] to start[g + 1]) what merged gives: the groups' numbers, the rectangles, and low, of which a union has the least."""
+    size = np.diff(start)
+    largest, out, a = np.argsort(-size, kind="stable"), [], 0
+    while a < len(largest):
+        k = int(size[largest[a]])
+        some = largest[a : a + max(1, TOGETHER // k)]
+        out.append(_side_by_side(rects, low, some, start[some], size[some], k))
+        a += len(some)
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def _side_by_side(rects: np.ndarray, low: np.ndarray, group: np.ndarray, start: np.ndarray, size: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A row for each group, the largest first, and a place for each rectangle: each group's next rectangle takes in those of the places before it."""
+    kept, lows = np.full((4, len(group), k), np.nan), np.full((low.shape[1], len(group), k), np.nan)
+    areas, alive = np.full((len(group), k), np.nan), np.zeros((len(group), k), bool)
+    for i in range(k):
+        n = int(np.searchsorted(-size, -i))  # groups that have such a rectangle
+        one, least = rects[start[:n] + i].T.copy(), low[start[:n] + i].T.copy()
+        own = _areas(one)
+        act, at, changed = np.arange(n if i else 0), np.zeros(n, np.int64), np.zeros(n, bool)
+        while len(act):
+            whole = len(act) == n
+            first = _first_hit(kept[:, :n, :i] if whole else kept[:, act, :i], areas[:n, :i] if whole else areas[act, :i], one[:, act], own[act], at[act])
+            hit = first < i
+            h, f = act[hit], first[hit]
+            one[:2, h], one[2:, h] = np.minimum(one[:2, h], kept[:2, h, f]), np.maximum(one[2:, h], kept[2:, h, f])
+            least[:, h] = np.minimum(least[:, h], lows[:, h, f])
+            own[h] = _areas(one[:, h])
+            kept[:, h, f], areas[h, f], alive[h, f] = np.nan, np.nan, False
+            at[h], changed[h] = f + 1, True
+            again = act[~hit]
+            again = again[changed[again]]
+            at[again], changed[again] = 0, False
+            act = np.sort(np.concatenate([h, again]))
+        kept[:, :n, i], lows[:, :n, i], areas[:n, i], alive[:n, i] = one, least, own, True
+    row, place = np.nonzero(alive)
+    return group[row], kept[:, row, place].T, lows[:, row, place].T
+
+
+def _areas(sides: np.ndarray) -> np.ndarray:
+    return np.maximum(0, sides[2] - sides[0]) * np.maximum(0, sides[3] - sides[1])
+
+
+def _first_hit(kept: np.ndarray, areas: np.ndarray, one: np.ndarray, own: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The first place from at on whose rectangle should_merge with the group's own one, or the number of places."""
+    x0, y0, x1, y1 = (c[:, None] for c in one)
+    left, right, top, bottom = np.maximum(kept[0], x0), np.minimum(kept[2], x1), np.maximum(kept[1], y0), np.minimum(kept[3], y1)
+    row = (np.abs(kept[1] - y0) <= MISALIGNED) & (np.abs(kept[3] - y1) <= MISALIGNED) & (left - right <= GAP)
+    maybe = row | ((left < right) & (top < bottom))
+    if at.any():
+        maybe &= np.arange(areas.shape[1]) >= at[:, None]
+    g, f = np.nonzero(maybe)
+    k, o, a, b = kept[:, g, f], one[:, g], areas[g, f], own[g]
+    share = (right[g, f] - left[g, f]) * (bottom[g, f] - top[g, f]) / np.maximum(1.0, np.minimum(a, b))
+    both = a + b
+    with np.errstate(divide="ignore", invalid="ignore"):
+        grown = _areas(np.concatenate([np.minimum(k[:2], o[:2]), np.maximum(k[2:], o[2:])])) / both
+    good = (both > 0) & (grown <= GROWTH) & (row[g, f] | (share >= OVERLAP))
+    g, f = g[good], f[good]
+    first = np.full(len(at), areas.shape[1])
+    first[g[::-1]] = f[::-1]  # the first of each row is written last
+    return first
+
+
 def bands(rects: DataFrame, page: list[str]) -> DataFrame:
     """The rectangles with band: those of two bands of a page can't ever merge, as more than MISALIGNED lies between them.
 
@@ -73,10 +145,37 @@ def bands(rects: DataFrame, page: list[str]) -> DataFrame:
 def merge(rects: DataFrame, page: list[str], tie: list[str] = ()) -> DataFrame:
     """page, no (from 1, in order of y0, x0, y1), x0, y0, x1, y1: the merged rectangles of each page.
 
-    Rectangles are taken in order of y0, x0, y1 to two places; tie orders equal ones. Pages are split at empty bands, so a page with very many rectangles
-    isn't one group unless they lie close throughout. A rectangle with a null side is left out; one without an area stays as it is.
+    Rectangles are taken in order of y0, x0, y1 to two places; tie orders equal ones. A task takes many pages at once. Pages of more than MANY rectangles are split
+    at empty bands, so that such a page isn't one group unless they lie close throughout. A rectangle with a null side is left out; one without an area stays as it is.
     """
     whole = rects.where(" and ".join(f"{c} is not null" for c in SIDES)).select(*page, *tie, *[F.col(c).cast("double").alias(c) for c in SIDES])
+    large = rounds.written(whole.groupBy(*page).agg(F.count("*").alias("__n")).where(F.col("__n") > MANY).select(*[F.col(c).alias(f"__of_{c}") for c in page]), "large-pages")
+    if large.isEmpty():
+        return _merged_pages(whole, page, tie)
+    same = [F.col(c).eqNullSafe(F.col(f"__of_{c}")) for c in page]
+    return _merged_pages(whole.join(large, same, "left_anti"), page, tie).unionByName(_merged_bands(whole.join(large, same, "left_semi"), page, tie))
+
+
+def _merged_pages(rects: DataFrame, page: list[str], tie: list[str]) -> DataFrame:
+    # Whole numbers are rounded already. A union's rounded sides are the least (of -y1: the least, too) of its rectangles'.
+    places = {f"__{c}": F.when(F.rint(c) == F.col(c), F.col(c)).otherwise(F.round(c, 2)) for c in ("y0", "x0", "y1")}
+
+    def run(g: grouped.Group, start: np.ndarray) -> dict:
+        low = np.column_stack([g["__y0"], g["__x0"], -g["__y1"]])
+        of, m, low = merged_side_by_side(np.column_stack([g[c] for c in SIDES]), start, low)
+        order = np.lexsort((m[:, 3], m[:, 2], m[:, 1], m[:, 0], -low[:, 2], low[:, 1], low[:, 0], of))
+        of, m = of[order], m[order]
+        no = np.arange(len(of)) - np.searchsorted(of, of) + 1
+        first = start[of]
+        named = {c: g[c][first] if isinstance(g[c], np.ndarray) else [g[c][i] for i in first.tolist()] for c in page}
+        return named | {"no": no} | {c: m[:, i] for i, c in enumerate(SIDES)}
+
+    kinds = {f.name: f.dataType.simpleString() for f in rects.schema.fields}
+    schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in page], "no int", *[f"{c} double" for c in SIDES]])
+    return grouped.map_runs(rects, page, [*places, *tie, *SIDES], schema, run, places, [*page, *places, *SIDES], TOGETHER)
+
+
+def _merged_bands(rects: DataFrame, page: list[str], tie: list[str]) -> DataFrame:
     order = [F.round(c, 2) for c in ("y0", "x0", "y1")]
 
     def each(g: grouped.Group) -> dict:
@@ -85,7 +184,7 @@ def merge(rects: DataFrame, page: list[str], tie: list[str] = ()) -> DataFrame:
 
     kinds = {f.name: f.dataType.simpleString() for f in rects.schema.fields}
     schema = ", ".join([f"`{c}` {kinds[c]}" for c in page] + [f"{c} double" for c in SIDES])
-    got = grouped.map_groups(bands(whole, page), [*page, "band"], [*order, *tie, *SIDES], schema, each)
+    got = grouped.map_groups(bands(rects, page), [*page, "band"], [*order, *tie, *SIDES], schema, each)
     return got.withColumn("no", F.row_number().over(Window.partitionBy(*page).orderBy(*order, *SIDES))).select(*page, "no", *SIDES)
 
 

@@ -55,6 +55,39 @@ def test_merge_as_by_hand(spark):
     assert rectangles.merge(df.limit(0), ["page"]).collect() == []
 
 
+def test_pages_merge_side_by_side(monkeypatch):
+    """Many pages go through a few steps together, each as it would alone, in order."""
+    rng = np.random.default_rng(8)
+    size = np.r_[rng.integers(1, 30, 1500), 200, 1]
+    start = np.r_[0, np.cumsum(size)]
+    at = np.column_stack([rng.integers(0, 70, start[-1]), rng.integers(0, 90, start[-1])]).astype(float)
+    rects = np.column_stack([at, at + rng.integers(-1, 30, at.shape) / 2])
+    rects[7], rects[40, 2] = np.nan, np.inf
+    order = np.lexsort((rects[:, 3], rects[:, 0], rects[:, 1], np.repeat(np.arange(len(size)), size)))
+    rects, steps = rects[order], []
+    first_hit = rectangles._first_hit
+    monkeypatch.setattr(rectangles, "_first_hit", lambda *x: (steps.append(1), first_hit(*x))[1])
+    of, got, low = rectangles.merged_side_by_side(rects, start, rects[:, :2])
+    assert len(steps) < 1000 < len(rects)
+    for g in range(len(size)):
+        alone = rectangles.merged(rects[start[g] : start[g + 1]])
+        assert np.array_equal(got[of == g], alone, equal_nan=True)
+        assert np.array_equal(low[of == g], alone[:, :2], equal_nan=True)
+
+
+def test_large_pages_merge_by_band(spark, monkeypatch):
+    monkeypatch.setattr(rectangles, "MANY", 20)
+    rng = random.Random(6)
+    pages = {p: [(float(x), float(y), float(x + rng.randint(1, 30)), float(y + rng.randint(1, 12))) for x, y in ((rng.randint(0, 60), rng.randint(0, 300)) for _ in range(n))] for p, n in ((1, 5), (2, 60), (3, 20), (None, 90), (5, 1))}
+    df = spark.createDataFrame([(p, i, *r) for p, rs in pages.items() for i, r in enumerate(rs)], "page int, i int, x0 double, y0 double, x1 double, y1 double")
+    got = {}
+    for r in rectangles.merge(df, ["page"], ["i"]).collect():
+        got.setdefault(r.page, []).append((r.no, (r.y0, r.x0, r.y1), (r.x0, r.y0, r.x1, r.y1)))
+    assert {p: sorted(r for *_, r in rs) for p, rs in got.items()} == {p: by_hand(rs) for p, rs in pages.items()}
+    for rs in got.values():
+        assert [n for n, *_ in sorted(rs)] == list(range(1, len(rs) + 1)) and [k for _, k, _ in sorted(rs)] == sorted(k for _, k, _ in rs)
+
+
 def test_bands_keep_apart_what_cannot_merge(spark):
     df = spark.createDataFrame([(1, 0.0, 0.0, 9.0, 5.0), (1, 0.0, 9.0, 9.0, 12.0), (1, 0.0, 30.0, 9.0, 31.0), (None, 0.0, 0.0, 1.0, 1.0)], "page int, x0 double, y0 double, x1 double, y1 double")
     assert sorted((r.page or 0, r.y0, r.band) for r in rectangles.bands(df, ["page"]).collect()) == [(0, 0.0, 1), (1, 0.0, 1), (1, 9.0, 1), (1, 30.0, 2)]
