@@ -3,7 +3,7 @@ import re
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quillspark.llm import common
+from quillspark.llm import common, near
 
 
 def test_pipeline(spark, sf_dir):
@@ -35,3 +35,15 @@ def test_pipeline_of_hard_rows(spark, tmp_path):
     # the earliest line is the null id's; null and empty texts are equal texts, of which the least id stays
     assert sorted((r.doc_id or 0, r.n_tokens > 0) for r in got) == [(0, True), (2, False)]
     assert corpus_pipeline.run(spark, f"{tmp_path}/none").collect() == []
+
+
+def test_line_dedup_of_more_than_is_broadcast(spark, sf_dir, monkeypatch):
+    """The same documents where nothing is broadcast and every class meets by band."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = lambda: sorted(((r.doc_id, r.text, r.n_chars) for r in corpus_pipeline.line_dedup(spark, docs, sf_dir).collect()), key=str)
+    want = rows()
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(near, "FEW", 1)
+    got = rows()
+    assert [r[0] for r in got] == [r[0] for r in want]
+    assert sum(a != b for a, b in zip(got, want, strict=True)) <= len(want) // 100  # by band a pair at the threshold is found with probability 0.998
